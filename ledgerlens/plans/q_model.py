@@ -218,3 +218,29 @@ def q_evaluate_nb(spark, sf_dir):
         res = res.select(F.lit(head).alias("head"), "n", "accuracy", "loss")
         out = res if out is None else out.unionByName(res)
     return out
+
+
+# --- rows-only learners ----------------------------------------------------
+
+@register("train_lr", None)
+def q_train_lr(spark, sf_dir):
+    """CountVectorizer -> IDF -> class-weighted multinomial LogisticRegression
+    on the training split; predictions for the test split."""
+    from ..operators.logistic import fit_lr, predict_lr
+    prepared = prepared_docs(spark, sf_dir)
+    model = fit_lr(prepared.filter(~F.col("is_test")), "Category", "tokens")
+    test = prepared.filter(F.col("is_test"))
+    return predict_lr(model, test).select("doc_id", "pred_label")
+
+
+@register("predict_udf", None)
+def q_predict_udf(spark, sf_dir):
+    """A model object applied batch by batch (64 rows) to hashed token ids of
+    whole documents, via ``mapInPandas``."""
+    from ..operators.batch import batch_predict, bucket_ids, hashed_nb_predict_fn
+    prepared = prepared_docs(spark, sf_dir).withColumn("ids", bucket_ids("tokens"))
+    make_fn, labels = hashed_nb_predict_fn(prepared.filter(~F.col("is_test")), "Category", "ids")
+    test = prepared.filter(F.col("is_test"))
+    preds = batch_predict(test, "doc_id", "ids", make_fn, batch_size=64, out_col="pred_idx")
+    names = F.array(*[F.lit(n) for n in labels])
+    return preds.select("doc_id", F.element_at(names, F.col("pred_idx") + 1).alias("pred_label"))
