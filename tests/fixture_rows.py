@@ -1,0 +1,11 @@
+"""Sample ledgers carried inline as test fixtures (text as in the
+sample files: UTF-8 with BOM where the file has one, CRLF kept)."""
+
+FAST_FOOD_CSV = "\ufeffDescription,Category,Sub_Category\r\nMcDonald's,,\r\nStarbucks,,\r\nSubway,,\r\nTaco Bell,,\r\nBurger King,,\r\nWendy's,,\r\nDunkin' (formerly Dunkin' Donuts),,\r\nDomino's Pizza,,\r\nPizza Hut,,\r\nKFC (Kentucky Fried Chicken),,\r\nChick-fil-A,,\r\nSonic Drive-In,,\r\nPanera Bread,,\r\nChipotle Mexican Grill,,\r\nPopeyes Louisiana Kitchen,,\r\nLittle Caesars,,\r\nPanda Express,,\r\nJimmy John's,,\r\nDairy Queen,,\r\nArby's,,\r\nFive Guys,,\r\nIn-N-Out Burger,,\r\nJack in the Box,,\r\nHardee's / Carl's Jr.,,\r\nPapa John's,,\r\nBaskin-Robbins,,\r\nAuntie Anne's,,\r\nJersey Mike's Subs,,\r\nKrispy Kreme,,\r\nShake Shack,,\r\nTim Hortons,,\r\nBojangles' Famous Chicken 'n Biscuits,,\r\nRaising Cane's Chicken Fingers,,\r\nWhite Castle,,\r\nWhataburger,,\r\nZaxby's,,\r\nCulver's,,\r\nCheckers / Rally's,,\r\nQdoba Mexican Eats,,\r\nBlaze Pizza,,\r\nEl Pollo Loco,,\r\nChurch's Chicken,,\r\nWingstop,,\r\nNoodles & Company,,\r\nMoe's Southwest Grill,,\r\nFirehouse Subs,,\r\nDel Taco,,\r\nJason's Deli,,\r\nMOD Pizza,,\r\nBoston Market,,\r\nSmoothie King,,\r\nDairy Queen / Orange Julius,,\r\nThe Cheesecake Factory,,\r\nLong John Silver's,,\r\nCinnabon,,\r\nRed Lobster,,\r\nOlive Garden,,\r\nApplebee's,,\r\nOutback Steakhouse,,\r\nBuffalo Wild Wings,,\r\nDave & Buster's,,\r\nPanda Express,,\r\nWaffle House,,\r\nAuntie Anne's,,\r\nJersey Mike's Subs,,\r\nKrispy Kreme,,\r\nBlaze Pizza,,\r\nSmashburger,,\r\nCulver's,,\r\nZaxby's,,\r\nRaising Cane's Chicken Fingers,,\r\nWingstop,,\r\nEl Pollo Loco,,\r\nNoodles & Company,,\r\nMoe's Southwest Grill,,\r\nFirehouse Subs,,\r\nDel Taco,,\r\nJason's Deli,,\r\nMOD Pizza,,\r\nBoston Market,,\r\nSmoothie King,,\r\nDairy Queen / Orange Julius,,\r\nThe Cheesecake Factory,,\r\nLong John Silver's,,\r\nCinnabon,,\r\nRed Lobster,,\r\nOlive Garden,,\r\nApplebee's,,\r\nOutback Steakhouse,,\r\nBuffalo Wild Wings,,\r\nDave & Buster's,,\r\nIHOP (International House of Pancakes),,\r\nChili's Grill & Bar,,\r\nP.F. Chang's,,\r\nRed Robin,,\r\nTGI Fridays,,\r\nCheesecake Factory,,\r\nBJ's Restaurant & Brewhouse,,\r\nOlive Garden,,\r\nTexas Roadhouse,,\r\nCracker Barrel,,\r\nRuby Tuesday,,\r\nBuffalo Wild Wings,,\r\nPanera Bread,,\r\nDenny's,,\r\nGolden Corral,,\r\nFamous Dave's,,\r\nMaggiano's Little Italy,,\r\nBonefish Grill,,\r\nHard Rock Cafe,,\r\nO'Charley's,,\r\nPerkins Restaurant & Bakery,,\r\nSizzler,,\r\nUno Pizzeria & Grill,,\r\nPanda Express,,\r\nCorner Bakery Cafe,,\r\nNoodles & Company,,\r\nFirst Watch,,\r\nMellow Mushroom,,\r\nPei Wei Asian Diner,,\r\nBojangles' Famous Chicken 'n Biscuits,,\r\nMOD Pizza,,\r\nJollibee,,\r\nTropical Smoothie Cafe,,\r\nBrio Tuscan Grille,,\r\nSchlotzsky's,,\r\nCaptain D's,,\r\nZaxby's,,\r\nPollo Tropical,,\r\nWhataburger,,\r\nDickey's Barbecue Pit,,\r\nRubio's Coastal Grill,,\r\nWingstop,,\r\nBaja Fresh,,\r\nMoe's Southwest Grill,,\r\nJersey Mike's Subs,,\r\nNaf Naf Grill,,\r\nSalata,,\r\nTaco Cabana,,\r\nShake Shack,,\r\nZoes Kitchen,,\r\nFreddy's Frozen Custard & Steakburgers,,\r\nRaising Cane's Chicken Fingers,,\r\nDickey's Barbecue Pit,,\r\nJamba Juice,,\r\nPeet's Coffee,,\r\nPotbelly Sandwich Shop,,\r\nEinstein Bros. Bagels,,\r\nSmoothie King,,\r\nCold Stone Creamery,,\r\nStarbucks,,\r\nDunkin' (formerly Dunkin' Donuts),,\r\nTim Hortons,,\r\nDutch Bros. Coffee,,\r\nThe Coffee Bean & Tea Leaf,,\r\nScooter's Coffee,,\r\nCaribou Coffee,,\r\nBiggby Coffee,,\r\nPJ's Coffee,,\r\nGloria Jean's Coffees,,\r\nLa Colombe Coffee Roasters,,\r\nIt's A Grind Coffee House,,\r\nMaui Wowi Hawaiian,,\r\nDunn Brothers Coffee,,\r\nThe Human Bean,,\r\nBad Ass Coffee,,\r\nPeet's Coffee,,\r\nPort City Java,,\r\nPJ's Coffee,,\r\nGloria Jean's Coffees,,\r\nThe Coffee Bean & Tea Leaf,,\r\nLa Colombe Coffee Roasters,,\r\nIt's A Grind Coffee House,,\r\nMaui Wowi Hawaiian,,\r\nDunn Brothers Coffee,,\r\nThe Human Bean,,\r\nBad Ass Coffee,,\r\nBiggby Coffee,,\r\nPort City Java,,\r\nDutch Bros. Coffee,,\r\nScooter's Coffee,,\r\nStarbucks,,\r\nCaribou Coffee,,\r\nCold Stone Creamery,,\r\nSmoothie King,,\r\nEinstein Bros. Bagels,,\r\nPotbelly Sandwich Shop,,\r\nJamba Juice,,\r\nPeet's Coffee,,\r\nTim Hortons,,\r\nDunkin' (formerly Dunkin' Donuts),,\r\nThe Coffee Bean & Tea Leaf,,\r\nPJ's Coffee,,\r\nGloria Jean's Coffees,,\r\nLa Colombe Coffee Roasters,,\r\nIt's A Grind Coffee House,,\r\nMaui Wowi Hawaiian,,\r\nDunn Brothers Coffee,,\r\nThe Human Bean,,\r\nBad Ass Coffee,,\r\n"
+
+DECOR_CSV = '\ufeffDescription,Category,Sub_Category\r\nPottery Barn,,\r\nWest Elm,,\r\nCrate & Barrel,,\r\nPier 1 Imports,,\r\nWorld Market,,\r\nHomeGoods,,\r\nAnthropologie,,\r\nBallard Designs,,\r\nWilliams Sonoma Home,,\r\nZ Gallerie,,\r\nAt Home,,\r\nBed Bath & Beyond,,\r\nSerena & Lily,,\r\nJonathan Adler,,\r\nLulu & Georgia,,\r\nOverstock,,\r\nBirch Lane,,\r\nJoss & Main,,\r\nRoom & Board,,\r\nOne Kings Lane,,\r\n'
+
+FINISHED_CSV = 'Description,Category,Subcategory\nmcdonalds,Food,Groceries\nstarbucks,Food,Groceries\nsubway,Food,Groceries\ntaco bell,Food,Gas\nburger king,Food,Groceries\nwendys,Food,Groceries\ndunkin formerly dunkin donuts,Food,Groceries\ndominos pizza,Food,Groceries\npizza hut,Food,Groceries\nkfc kentucky fried chicken,Food,Groceries\nchickfila,Food,Groceries\nsonic drivein,Entertainment,Groceries\npanera bread,Food,Groceries\nchipotle mexican grill,Food,Groceries\npopeyes louisiana kitchen,Food,Groceries\nlittle caesars,Food,Groceries\npanda express,Food,Groceries\njimmy johns,Food,Groceries\ndairy queen,Food,Groceries\narbys,Food,Gas\nfive guys,Entertainment,Sports_Outdoors\ninnout burger,Food,Groceries\njack box,Food,Groceries\nhardees carls jr,Auto,Gas\npapa johns,Food,Groceries\nbaskinrobbins,Food,Groceries\nauntie annes,Food,Groceries\njersey mikes subs,Entertainment,Sports_Outdoors\nkrispy kreme,Food,Groceries\nshake shack,Home,Groceries\ntim hortons,Food,Gas\nbojangles famous chicken biscuits,Food,Groceries\nraising canes chicken fingers,Food,Health_Wellness\nwhite castle,Food,Groceries\nwhataburger,Food,Groceries\nzaxbys,Entertainment,Gas\nculvers,Home,Groceries\ncheckers rallys,Entertainment,Sports_Outdoors\nqdoba mexican eats,Food,Groceries\nblaze pizza,Food,Groceries\nel pollo loco,Food,Groceries\nchurchs chicken,Food,Groceries\nwingstop,Home,Sports_Outdoors\nnoodles company,Food,Groceries\nmoes southwest grill,Home,Groceries\nfirehouse subs,Home,Sports_Outdoors\ndel taco,Food,Groceries\njasons deli,Food,Groceries\nmod pizza,Food,Groceries\nboston market,Food,Gas\nsmoothie king,Food,Groceries\ndairy queen orange julius,Food,Groceries\ncheesecake factory,Food,Groceries\nlong john silvers,Food,Gas\ncinnabon,Food,Groceries\nred lobster,Food,Groceries\nolive garden,Food,Groceries\napplebees,Food,Groceries\noutback steakhouse,Food,Groceries\nbuffalo wild wings,Entertainment,Groceries\ndave busters,Entertainment,Sports_Outdoors\nwaffle house,Food,Sports_Outdoors\nsmashburger,Food,Groceries\nihop international house pancakes,Food,Groceries\nchilis grill bar,Food,Groceries\npf changs,Food,Groceries\nred robin,Food,Groceries\ntgi fridays,Food,Groceries\ncheesecake factory,Food,Groceries\nbjs restaurant brewhouse,Home,Groceries\ntexas roadhouse,Entertainment,Sports_Outdoors\ncracker barrel,Food,Groceries\nruby tuesday,Food,Groceries\ndennys,Food,Groceries\ngolden corral,Food,Sports_Outdoors\nfamous daves,Food,Groceries\nmaggianos little italy,Food,Groceries\nbonefish grill,Food,Groceries\nhard rock cafe,Food,Groceries\nocharleys,Food,Groceries\nperkins restaurant bakery,Food,Groceries\nsizzler,Food,Sports_Outdoors\nuno pizzeria grill,Food,Groceries\ncorner bakery cafe,Home,Other_Baby\nfirst watch,Food,Bags_Accessories\nmellow mushroom,Food,Groceries\npei wei asian diner,Food,Groceries\njollibee,Food,Gas\ntropical smoothie cafe,Food,Groceries\nbrio tuscan grille,Home,Groceries\nschlotzskys,Food,Gas\ncaptain ds,Auto,Sports_Outdoors\npollo tropical,Food,Groceries\ndickeys barbecue pit,Entertainment,Sports_Outdoors\nrubios coastal grill,Food,Groceries\nbaja fresh,Food,Groceries\nnaf naf grill,Home,Sports_Outdoors\nsalata,Food,Groceries\ntaco cabana,Food,Groceries\nzoes kitchen,Home,Kitchen\nfreddys frozen custard steakburgers,Food,Groceries\njamba juice,Food,Groceries\npeets coffee,Food,Groceries\npotbelly sandwich shop,Food,Groceries\neinstein bros bagels,Food,Groceries\ncold stone creamery,Food,Groceries\ndutch bros coffee,Food,Groceries\ncoffee bean tea leaf,Food,Groceries\nscooters coffee,Food,Groceries\ncaribou coffee,Food,Groceries\nbiggby coffee,Food,Groceries\npjs coffee,Food,Groceries\ngloria jeans coffees,Food,Groceries\nla colombe coffee roasters,Food,Groceries\ngrind coffee house,Food,Groceries\nmaui wowi hawaiian,Food,Groceries\ndunn brothers coffee,Food,Groceries\nhuman bean,Food,Groceries\nbad ass coffee,Food,Groceries\nport city java,Auto,Gas\npottery barn,Home,Decor\nwest elm,Home,Decor\ncrate barrel,Home,Groceries\npier imports,Home,Home_Essentials\nworld market,Food,Gas\nhomegoods,Home,Decor\nanthropologie,Home,Groceries\nballard designs,Home,Decor\nwilliams sonoma home,Home,Decor\ngallerie,Home,Decor\nhome,Home,Home_Essentials\nbed bath beyond,Home,Decor\nserena lily,Home,Groceries\njonathan adler,Home,Decor\nlulu georgia,Home,Decor\noverstock,Home,Decor\nbirch lane,Home,Decor\njoss main,Food,Decor\nroom board,Home,Decor\none kings lane,Home,Decor\n'
+
+GRAPH_TEST_CSV = "\ufeffDescription,Category,Sub_category,Price,Date\nDKNY Unisex Black & Grey Printed Medium Trolley Bag,Clothes,Bags_Accessories,45.14,9/2/2023\nEthnoVogue Women Beige & Grey Made to Measure Custom Made Kurta Set with Jacket,Clothes,Clothes,23.14,9/1/2023\nSPYKAR Women Pink Alexa Super Skinny Fit High-Rise Clean Look Stretchable Cropped Jeans,Clothes,Clothes,10.12,8/4/2023\nRaymond Men Blue Self-Design Single-Breasted Bandhgala Suit,Clothes,Clothes,14.62,8/23/2023\n7Rainbow Beige & Blue Checked Saree,Clothes,Bags_Accessories,104.82,9/1/2023\n7Rainbow Pink & Beige Printed Bandhani Saree,Clothes,Bags_Accessories,98.45,9/1/2023\nMcDonald's,Food,FastFood_Restaurants,12.47,9/2/2023\nStarbucks,Food,FastFood_Restaurants,17.83,9/3/2023\nSubway,Food,FastFood_Restaurants,15.62,9/4/2023\nTaco Bell,Food,FastFood_Restaurants,11.95,9/5/2023\nBurger King,Food,FastFood_Restaurants,16.28,9/1/2023\nWendy's,Food,FastFood_Restaurants,14.76,9/1/2023\nDunkin' (formerly Dunkin' Donuts),Food,FastFood_Restaurants,10.59,8/23/2023\nDomino's Pizza,Food,FastFood_Restaurants,18.34,9/1/2023\nPizza Hut,Food,FastFood_Restaurants,13.69,9/1/2023\nKFC (Kentucky Fried Chicken),Food,FastFood_Restaurants,19.55,9/1/2023\nChick-fil-A,Food,FastFood_Restaurants,10.87,9/1/2023\nSonic Drive-In,Food,FastFood_Restaurants,16.75,9/1/2023\nPanera Bread,Food,FastFood_Restaurants,14.23,9/1/2023\nChipotle Mexican Grill,Food,FastFood_Restaurants,12.89,9/1/2023\nPopeyes Louisiana Kitchen,Food,FastFood_Restaurants,18.01,9/1/2023\nLittle Caesars,Food,FastFood_Restaurants,11.42,9/1/2023\nPanda Express,Food,FastFood_Restaurants,19.78,9/1/2023\nJimmy John's,Food,FastFood_Restaurants,13.24,9/1/2023\nDairy Queen,Food,FastFood_Restaurants,15.09,9/1/2023\nArby's,Food,FastFood_Restaurants,10.32,9/1/2023\nFive Guys,Food,FastFood_Restaurants,17.66,9/1/2023\nIn-N-Out Burger,Food,FastFood_Restaurants,12.18,9/1/2023\nJack in the Box,Food,FastFood_Restaurants,19.92,9/1/2023\nHardee's / Carl's Jr.,Food,FastFood_Restaurants,14.5,9/1/2023\nPottery Barn,Home,Decor,10.12,9/3/2023\nWest Elm,Home,Decor,14.62,9/4/2023\nCrate & Barrel,Home,Decor,104.82,9/5/2023\nPier 1 Imports,Home,Decor,98.45,9/1/2023\nWorld Market,Home,Decor,12.47,9/1/2023\nHomeGoods,Home,Decor,17.83,8/23/2023\nAnthropologie,Home,Decor,15.62,9/1/2023\nBallard Designs,Home,Decor,11.95,9/1/2023\nWilliams Sonoma Home,Home,Decor,16.28,9/1/2023\nZ Gallerie,Home,Decor,14.76,9/1/2023\nAt Home,Home,Decor,10.59,9/1/2023\nBed Bath & Beyond,Home,Decor,18.34,9/1/2023\nSerena & Lily,Home,Decor,13.69,9/1/2023\nJonathan Adler,Home,Decor,19.55,9/1/2023\nLulu & Georgia,Home,Decor,10.87,9/1/2023\nOverstock,Home,Decor,16.75,9/1/2023\nBirch Lane,Home,Decor,14.23,9/1/2023\nJoss & Main,Home,Decor,12.89,9/1/2023\nRoom & Board,Home,Decor,18.01,9/1/2023\nOne Kings Lane,Home,Decor,11.42,9/1/2023\nBrake booster,Auto,Maintenance,15.09,9/2/2023\nShocks and struts,Auto,Maintenance,10.32,9/3/2023\nControl arms,Auto,Maintenance,17.66,9/4/2023\nBall joints,Auto,Maintenance,12.18,9/5/2023\nTie rod ends,Auto,Maintenance,19.92,9/6/2023\nSway bar links,Auto,Maintenance,14.5,9/7/2023\nBushings,Auto,Maintenance,19.92,9/8/2023\nSteering rack/boot kit,Auto,Maintenance,19.92,9/9/2023\nGas,Auto,Gas,400.92,9/1/2023\nBaby Bottles,Baby,Formula,86.42,9/1/2023\nBaby Diapers,Baby ,Diapers,46.22,9/1/2023\nBaby Clothes,Baby,B_Clothes,64.29,9/1/2023\nHaircuts,Personal_Care,Hair,40.22,9/1/2023\nNails,Personal_Care,Makeup_Nails,140.84,9/1/2023\nAirplane flights,Travel,Flights,600.42,9/1/2023\nHotels,Travel,Hotels,429.41,9/1/2023\nRent,Home,Rent,1200,9/1/2023\nSecurity Cameras,Home,Security,129.99,9/1/2023\nKitchen stuff,Home,Kitchen,22.89,9/2/2023\nProtein powder,Personal_Care,Vitamins_Supplements,140.99,9/3/2023\nPet food,Pets,Pet_Food,40.99,9/4/2023\nRAM,Electronics,Computer,135.99,9/1/2023\nBooks,Entertainment,Books,20.99,9/1/2023\nShoes,Clothes,Shoes,199.99,9/1/2023\nCOSTCO,Food,Groceries,700.89,9/2/2023\nMovie night,Entertainment,DateNights,99.99,9/1/2023\nEarings,Clothes,Jewelry,150.99,9/1/2023\nLui vitoon ,Clothes,Bags_Accessories,42.12,9/1/2023\nBaby Toys,Baby,Toys,48.96,9/1/2023\nVASA,Subscriptions_Memberships,Gym,20.99,9/1/2023\nCostco food,Food,Groceries,500,1/1/2023\nCostco food,Food,Groceries,501,1/2/2023\nCostco food,Food,Groceries,502,1/3/2023\nCostco food,Food,Groceries,503,1/4/2023\nCostco food,Food,Groceries,504,1/5/2023\nCostco food,Food,Groceries,505,1/6/2023\nCostco food,Food,Groceries,506,1/7/2023\nCostco food,Food,Groceries,507,1/8/2023\nVASA,Subscriptions_Memberships,Gym,20.99,1/1/2023\nVASA,Subscriptions_Memberships,Gym,21.99,1/2/2023\nVASA,Subscriptions_Memberships,Gym,22.99,1/3/2023\nVASA,Subscriptions_Memberships,Gym,23.99,1/4/2023\nVASA,Subscriptions_Memberships,Gym,24.99,1/5/2023\nVASA,Subscriptions_Memberships,Gym,25.99,1/6/2023\nVASA,Subscriptions_Memberships,Gym,26.99,1/7/2023\nVASA,Subscriptions_Memberships,Gym,27.99,1/8/2023\nPet food,Pets,Pet_Food,40.99,1/1/2023\nPet food,Pets,Pet_Food,41.99,1/2/2023\nPet food,Pets,Pet_Food,42.99,1/3/2023\nPet food,Pets,Pet_Food,43.99,1/4/2023\nPet food,Pets,Pet_Food,44.99,1/5/2023\nPet food,Pets,Pet_Food,45.99,1/6/2023\nPet food,Pets,Pet_Food,46.99,1/7/2023\nPet food,Pets,Pet_Food,47.99,1/8/2023\n,,,,\n"
+
