@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_elements
+
 DEFAULT_BUCKETS = 1 << 16
 MAX_PARAMS = 50_000_000
 
@@ -61,7 +63,7 @@ def hashed_nb_predict_fn(train: DataFrame, label_col: str, ids_col: str, *,
         raise ValueError("model too large for a broadcast")
     index = {n: i for i, n in enumerate(labels)}
     docs = rows.groupBy(label_col).count().collect()
-    pairs = (rows.select(label_col, F.explode(ids_col).alias("b"))
+    pairs = (explode_elements(rows, [label_col], ids_col, "b")
              .groupBy(label_col, "b").count().collect())
     counts = np.zeros((k, buckets + 1))
     for r in pairs:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import explode_elements
 from .rank import global_rank
 
 PAD_ID = 0
@@ -85,27 +86,30 @@ def build_vocab(tokens: DataFrame, token_col: str = "token") -> DataFrame:
 
 def explode_tokens(df: DataFrame, key: str, tokens_col: str) -> DataFrame:
     """``(key, pos, token)``; only the key travels with each token."""
-    return df.select(key, F.posexplode(tokens_col).alias("pos", "token"))
+    return explode_elements(df, [key], tokens_col, "token", pos="pos")
 
 
 def token_ids(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
               out_col: str = "token_ids") -> DataFrame:
-    """Add ``out_col``: the id of every token in order (unknown -> 100).
+    """``(key, out_col)``: the id of every token in order (unknown -> 100),
+    for every row of ``df`` (null tokens -> null, empty -> []).
 
     Tokens are exploded with their position, joined to the vocabulary (AQE
     broadcasts it when its measured size allows, otherwise a sort-merge join
-    whose hot keys AQE splits) and regrouped per row key.  The regrouped ids
-    join back to the rows by key; row text never travels with the tokens."""
-    exploded = explode_tokens(df, key, tokens_col)
+    whose hot keys AQE splits) and regrouped per row key.  The regrouping
+    ``collect_list`` is combined map-side: the exploded rows of one row sit in
+    one task, so the shuffle carries one array per row, not one row per
+    token.  Row text never travels with the tokens."""
+    arr = F.col(tokens_col)
+    exploded = df.select(key, arr.isNull().alias("_null"),
+                         F.posexplode_outer(arr).alias("pos", "token"))
     joined = exploded.join(vocab.select("token", "token_id"), "token", "left")
-    ids = (joined.groupBy(key)
-           .agg(F.sort_array(F.collect_list(F.struct(
-               "pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id")))).alias("_p"))
-           .select(key, F.transform("_p", lambda s: s["id"].cast("int")).alias(out_col)))
-    empty = F.array().cast("array<int>")
-    return (df.join(ids, key, "left")
-            .withColumn(out_col, F.when(F.col(tokens_col).isNull(), F.lit(None))
-                        .otherwise(F.coalesce(F.col(out_col), empty))))
+    item = F.when(F.col("pos").isNotNull(), F.struct(
+        "pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id")))
+    return (joined.groupBy(key)
+            .agg(F.sort_array(F.collect_list(item)).alias("_p"), F.max("_null").alias("_null"))
+            .select(key, F.when(F.col("_null"), F.lit(None))
+                    .otherwise(F.transform("_p", lambda s: s["id"].cast("int"))).alias(out_col)))
 
 
 def pad_ids(ids: str | Column, length: int) -> Column:
@@ -116,19 +120,21 @@ def pad_ids(ids: str | Column, length: int) -> Column:
 
 def decode_ids(df: DataFrame, key: str, ids_col: str, vocab: DataFrame,
                out_col: str = "decoded", drop_pad: bool = True) -> DataFrame:
-    """Ids back to text (pads dropped, unknown ids as ``[UNK]``), words joined
-    by one space."""
-    exploded = df.select(key, F.posexplode(ids_col).alias("pos", "token_id"))
+    """``(key, out_col)``: ids back to text (pads dropped, unknown ids as
+    ``[UNK]``), words joined by one space; null ids -> null."""
+    arr = F.col(ids_col)
+    exploded = df.select(key, arr.isNull().alias("_null"),
+                         F.posexplode_outer(arr).alias("pos", "token_id"))
+    keep = F.col("pos").isNotNull()
     if drop_pad:
-        exploded = exploded.filter(F.col("token_id") != PAD_ID)
+        keep = keep & (F.col("token_id") != PAD_ID)
     joined = exploded.join(vocab.select("token_id", "token"), "token_id", "left")
-    words = (joined.groupBy(key)
-             .agg(F.sort_array(F.collect_list(F.struct(
-                 "pos", F.coalesce("token", F.lit(UNKNOWN_TOKEN)).alias("w")))).alias("_p"))
-             .select(key, F.array_join(F.transform("_p", lambda s: s["w"]), " ").alias(out_col)))
-    return (df.join(words, key, "left")
-            .withColumn(out_col, F.when(F.col(ids_col).isNull(), F.lit(None))
-                        .otherwise(F.coalesce(F.col(out_col), F.lit("")))))
+    item = F.when(keep, F.struct("pos", F.coalesce("token", F.lit(UNKNOWN_TOKEN)).alias("w")))
+    return (joined.groupBy(key)
+            .agg(F.sort_array(F.collect_list(item)).alias("_p"), F.max("_null").alias("_null"))
+            .select(key, F.when(F.col("_null"), F.lit(None))
+                    .otherwise(F.array_join(F.transform("_p", lambda s: s["w"]), " "))
+                    .alias(out_col)))
 
 
 def ids_text(ids: str | Column) -> Column:

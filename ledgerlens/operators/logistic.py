@@ -19,7 +19,7 @@ from .evaluate import class_weights
 
 
 def fit_lr(train: DataFrame, label_col: str, tokens_col: str, *, weighted: bool = True,
-           vocab_size: int = 1 << 18, max_iter: int = 30, reg_param: float = 0.01) -> PipelineModel:
+           vocab_size: int = 1 << 16, max_iter: int = 20, reg_param: float = 0.01) -> PipelineModel:
     data = train.filter(F.col(label_col).isNotNull())
     stages = [
         StringIndexer(inputCol=label_col, outputCol="_label_idx",

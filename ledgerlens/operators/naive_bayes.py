@@ -32,6 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_elements
 from .encode import MAX_CLASSES, class_table, classes_from_data
 
 KNOWN = -1               # class index of the per-token "in vocabulary" row
@@ -79,10 +80,9 @@ def fit(df: DataFrame, label_col: str, tokens_col: str, *, alpha: float = 1.0,
     if classes is not None:
         labelled = labelled.join(F.broadcast(classes.select("class_name")), "class_name",
                                  "left_semi")
-    counts = (labelled
-              .select("class_name", F.explode(F.concat(F.array(F.lit(DOC_MARKER)),
-                                                       F.coalesce("toks", F.array().cast("array<string>"))))
-                      .alias("token"))
+    with_marker = F.concat(F.array(F.lit(DOC_MARKER)),
+                           F.coalesce("toks", F.array().cast("array<string>")))
+    counts = (explode_elements(labelled, ["class_name"], with_marker, "token")
               .groupBy("class_name", "token").agg(F.count(F.lit(1)).alias("count"))
               .checkpoint(eager=True))
     cls = (classes if classes is not None
@@ -131,7 +131,7 @@ def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
     prior's class).  ``key`` must be unique per row."""
     params = model.class_params()
     a = model.alpha
-    exploded = df.select(key, F.explode(tokens_col).alias("token"))
+    exploded = explode_elements(df, [key], tokens_col, "token")
     per_class = (exploded.join(_token_side(model, broadcast_rows), "token")
                  .groupBy(key, "class_idx").agg(F.sum("weight").alias("s")))
     per_row = per_class.groupBy(key).agg(

@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_elements
 from ..functions.text import clean_tokens, clean_tokens_sql
 from ..operators import encode
 from ..operators.evaluate import class_weights
 from ..operators.split import split_counts, threshold_hex, train_test_split
 from ..sources.tables import docs_ledger, parts_ledger, table
+from ..session import checkpoint_dir
 from .catalog import register
 from .q_summary import txn_taxonomy
 from .sqltext import q
@@ -110,13 +112,19 @@ v AS (SELECT token, CAST(100 + row_number() OVER (ORDER BY cnt DESC, token ASC)
              AS token_id, CAST(cnt AS BIGINT) AS count FROM c)"""
 
 
-def doc_tokens(spark, sf_dir):
+def doc_tokens(spark, sf_dir, reuse: bool = False):
+    """Cleaned tokens of every document; checkpointed when the caller reads
+    them more than once (vocabulary, then ids)."""
     docs = docs_ledger(spark, sf_dir)
-    return docs.select("doc_id", clean_tokens("Description").alias("tokens"))
+    toks = docs.select("doc_id", clean_tokens("Description").alias("tokens"))
+    if reuse:
+        checkpoint_dir(spark)
+        toks = toks.checkpoint(eager=True)
+    return toks
 
 
 def doc_vocab(toks):
-    return encode.build_vocab(toks.select(F.explode("tokens").alias("token")))
+    return encode.build_vocab(explode_elements(toks, [], "tokens", "token"))
 
 
 @register("build_vocab", f"WITH {DOC_TOKENS_SQL}, {VOCAB_SQL} SELECT * FROM v")
@@ -131,7 +139,7 @@ IDS_SQL = """ids AS (SELECT e.doc_id, string_agg(CAST(v.token_id AS VARCHAR), '
 @register("token_ids", f"""WITH {DOC_TOKENS_SQL}, {VOCAB_SQL}, {IDS_SQL}
 SELECT d.doc_id, COALESCE(ids.ids, '') AS token_ids FROM d LEFT JOIN ids ON d.doc_id = ids.doc_id""")
 def q_token_ids(spark, sf_dir):
-    toks = doc_tokens(spark, sf_dir)
+    toks = doc_tokens(spark, sf_dir, reuse=True)
     out = encode.token_ids(toks, "doc_id", "tokens", doc_vocab(toks))
     return out.select("doc_id", encode.ids_text("token_ids").alias("token_ids"))
 
@@ -142,7 +150,7 @@ dec AS (SELECT e.doc_id, string_agg(v.token, ' ' ORDER BY e.pos) AS txt
 SELECT d.doc_id, COALESCE(dec.txt, '') AS decoded FROM d LEFT JOIN dec ON d.doc_id = dec.doc_id""")
 def q_decode_tokens(spark, sf_dir):
     """Whole documents to ids and back: pads and unknown ids handled."""
-    toks = doc_tokens(spark, sf_dir)
+    toks = doc_tokens(spark, sf_dir, reuse=True)
     vocab = doc_vocab(toks)
     ids = encode.token_ids(toks, "doc_id", "tokens", vocab)
     return encode.decode_ids(ids, "doc_id", "token_ids", vocab).select("doc_id", "decoded")
@@ -169,7 +177,7 @@ def q_pad_tokens(spark, sf_dir):
     """Short descriptions (part names) to fixed-length id vectors (L=50)."""
     part = parts_ledger(spark, sf_dir).select(
         "p_partkey", clean_tokens("Description").alias("tokens"))
-    vocab = encode.build_vocab(part.select(F.explode("tokens").alias("token")))
+    vocab = encode.build_vocab(explode_elements(part, [], "tokens", "token"))
     ids = encode.token_ids(part, "p_partkey", "tokens", vocab)
     return ids.select("p_partkey",
                       encode.ids_text(encode.pad_ids("token_ids", TRAIN_LEN)).alias("padded"))

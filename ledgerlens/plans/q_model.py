@@ -11,7 +11,7 @@ from ..operators import naive_bayes as nb
 from ..operators.dedupe import dedupe_first
 from ..operators.evaluate import accuracy_and_loss
 from ..operators.split import threshold_hex, train_test_split
-from ..session import scratch_path
+from ..session import checkpoint_dir, scratch_path
 from ..sources.models import load_nb
 from ..sources.tables import docs_ledger
 from .catalog import register
@@ -26,12 +26,15 @@ SQL_LABEL = {"Category": "lang", "Sub_Category": "source"}
 
 def prepared_docs(spark, sf_dir):
     """Keep-first on raw (Description, Category) by doc_id, then clean and
-    flag the md5 test split."""
+    flag the md5 test split.  Checkpointed: both heads' fits and scores read
+    it several times, and recomputing means another shuffle of the texts and
+    another pass of the cleaning regex."""
+    checkpoint_dir(spark)
     docs = docs_ledger(spark, sf_dir)
     first = dedupe_first(docs, ["Description", "Category"], "doc_id")
     toks = first.select("doc_id", "Category", "Sub_Category",
                         clean_tokens("Description").alias("tokens"))
-    return train_test_split(toks, "doc_id", test_size=TEST_SIZE, seed=SEED)
+    return train_test_split(toks, "doc_id", test_size=TEST_SIZE, seed=SEED).checkpoint(eager=True)
 
 
 def fit_head(prepared, label):
