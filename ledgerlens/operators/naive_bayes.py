@@ -31,14 +31,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import explode_elements
-from .encode import MAX_CLASSES, class_table, classes_from_data
+from .encode import MAX_CLASSES, class_table
 
 KNOWN = -1               # class index of the per-token "in vocabulary" row
 BROADCAST_ROWS = 2_000_000
 TIE_DECIMALS = 9         # scores are compared after rounding to this many places
 
+CLASS_SCHEMA = T.StructType([
+    T.StructField("class_name", T.StringType(), False),
+    T.StructField("class_idx", T.IntegerType(), False),
+    T.StructField("n_docs", T.LongType(), False),
+    T.StructField("n_tokens", T.LongType(), False),
+    T.StructField("log_prior", T.DoubleType(), True),
+    T.StructField("log_denom", T.DoubleType(), True),
+])
+
 
 @dataclass
 class NaiveBayesModel:
@@ -85,27 +95,35 @@ def fit(df: DataFrame, label_col: str, tokens_col: str, *, alpha: float = 1.0,
     counts = (explode_elements(labelled, ["class_name"], with_marker, "token")
               .groupBy("class_name", "token").agg(F.count(F.lit(1)).alias("count"))
               .checkpoint(eager=True))
-    cls = (classes if classes is not None
-           else classes_from_data(counts.filter(F.col("token") == DOC_MARKER), "class_name"))
     pair_counts = counts.filter(F.col("token") != DOC_MARKER)
-    vocab_size = pair_counts.select("token").distinct().count()
-    per_class = counts.groupBy("class_name").agg(
+    # one job for both scalars: vocabulary size and number of seen pairs
+    stats = pair_counts.agg(F.countDistinct("token").alias("v"),
+                            F.count(F.lit(1)).alias("pairs")).first()
+    vocab_size, n_pairs = int(stats.v or 0), int(stats.pairs or 0)
+    # K rows (bounded by MAX_CLASSES): rows and tokens per class
+    per_class = (counts.groupBy("class_name").agg(
         F.sum(F.when(F.col("token") == DOC_MARKER, F.col("count"))).alias("n_docs"),
         F.sum(F.when(F.col("token") != DOC_MARKER, F.col("count"))).alias("n_tokens"))
+        .limit(MAX_CLASSES + 1).collect())
+    if len(per_class) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    stats_by = {r.class_name: (int(r.n_docs or 0), int(r.n_tokens or 0)) for r in per_class}
+    if classes is None:
+        names = sorted(stats_by)
+    else:
+        names = [r.class_name for r in classes.select("class_name", "class_idx")
+                 .orderBy("class_idx").limit(MAX_CLASSES + 1).collect()]
 
     a = float(alpha)
     v = float(vocab_size)
-    classes_out = (F.broadcast(cls).join(per_class, "class_name", "left")
-                   .select("class_name", F.col("class_idx").cast("int").alias("class_idx"),
-                           F.coalesce("n_docs", F.lit(0)).cast("bigint").alias("n_docs"),
-                           F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
-                   .checkpoint(eager=True))
-    n_total = classes_out.agg(F.sum("n_docs")).first()[0] or 0
-    classes_out = classes_out.select(
-        "*",
-        F.when(F.col("n_docs") > 0, F.ln(F.col("n_docs") / F.lit(float(max(n_total, 1)))))
-         .alias("log_prior"),
-        F.ln(F.col("n_tokens") + F.lit(a * v)).alias("log_denom")).checkpoint(eager=True)
+    n_total = sum(d for d, _ in stats_by.values())
+    rows = []
+    for idx, name in enumerate(names):
+        n_docs, n_tokens = stats_by.get(name, (0, 0))
+        rows.append((name, idx, n_docs, n_tokens,
+                     math.log(n_docs / n_total) if n_docs > 0 else None,
+                     math.log(n_tokens + a * v) if n_tokens + a * v > 0 else None))
+    classes_out = spark.createDataFrame(rows, CLASS_SCHEMA)
 
     seen = (pair_counts.join(F.broadcast(classes_out.select("class_name", "class_idx", "log_denom")),
                              "class_name")
@@ -116,7 +134,7 @@ def fit(df: DataFrame, label_col: str, tokens_col: str, *, alpha: float = 1.0,
               .select("token", F.lit(KNOWN).alias("class_idx"), F.lit(0).cast("bigint").alias("count"),
                       F.lit(None).cast("double").alias("log_lik"), F.lit(1.0).alias("weight")))
     tokens = seen.unionByName(marker).checkpoint(eager=True)
-    return NaiveBayesModel(classes_out, tokens, vocab_size, a, tokens.count())
+    return NaiveBayesModel(classes_out, tokens, vocab_size, a, n_pairs + vocab_size)
 
 
 def _token_side(model: NaiveBayesModel, broadcast_rows: int) -> DataFrame:
