@@ -38,6 +38,7 @@ from .encode import MAX_CLASSES, class_table
 
 KNOWN = -1               # class index of the per-token "in vocabulary" row
 BROADCAST_ROWS = 2_000_000
+PIVOT_MAX = 1024         # up to this many classes: one conditional sum per class
 TIE_DECIMALS = 9         # scores are compared after rounding to this many places
 
 CLASS_SCHEMA = T.StructType([
@@ -146,20 +147,38 @@ def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(key, scores array<double> indexed by class, pred_idx, pred_label,
     log_norm)`` for every row of ``df`` (rows without a known token get the
-    prior's class).  ``key`` must be unique per row."""
+    prior's class).  ``key`` must be unique per row.
+
+    Plan: outer explode (rows without tokens survive), left join to the
+    token table, then ONE group-by on the key with a conditional sum per
+    class (combined map-side: a row's tokens sit in one task, so the shuffle
+    carries one partial row per key).  With more than ``PIVOT_MAX`` classes
+    the sums go through a (key, class) aggregate and a per-key map instead."""
     params = model.class_params()
     a = model.alpha
-    exploded = explode_elements(df, [key], tokens_col, "token")
-    per_class = (exploded.join(_token_side(model, broadcast_rows), "token")
-                 .groupBy(key, "class_idx").agg(F.sum("weight").alias("s")))
-    per_row = per_class.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("class_idx", "s"))).alias("m"))
-    rows = df.select(key).join(per_row, key, "left")
-
-    m = F.col("m")
-    n_known = F.coalesce(F.try_element_at(m, F.lit(KNOWN)), F.lit(0.0))
     k = max(p[0] for p in params) + 1 if params else 0
     by_idx = {p[0]: p for p in params}
+    exploded = df.select(key, F.explode_outer(tokens_col).alias("token"))
+    joined = exploded.join(_token_side(model, broadcast_rows), "token", "left")
+    cls = F.col("class_idx")
+    if k + 1 <= PIVOT_MAX:
+        sums = joined.groupBy(key).agg(*[
+            F.sum(F.when(cls == c, F.col("weight"))).alias(f"_s{c + 1}")
+            for c in range(KNOWN, k)])
+
+        def s_of(c: int) -> Column:
+            return F.col(f"_s{c + 1}")
+    else:
+        per_class = (joined.filter(cls.isNotNull()).groupBy(key, "class_idx")
+                     .agg(F.sum("weight").alias("s")))
+        per_row = per_class.groupBy(key).agg(
+            F.map_from_entries(F.collect_list(F.struct("class_idx", "s"))).alias("_m"))
+        sums = df.select(key).join(per_row, key, "left")
+
+        def s_of(c: int) -> Column:
+            return F.try_element_at(F.col("_m"), F.lit(c))
+
+    n_known = F.coalesce(s_of(KNOWN), F.lit(0.0))
     terms = []
     for c in range(k):
         p = by_idx.get(c)
@@ -167,15 +186,15 @@ def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
             terms.append(F.lit(None).cast("double"))
             continue
         _, _, log_prior, log_denom = p
-        s = F.coalesce(F.when(m.isNotNull(), F.try_element_at(m, F.lit(c))), F.lit(0.0))
-        terms.append(F.lit(log_prior) + n_known * F.lit(math.log(a) - log_denom) + s)
+        terms.append(F.lit(log_prior) + n_known * F.lit(math.log(a) - log_denom)
+                     + F.coalesce(s_of(c), F.lit(0.0)))
     scores = F.col("scores")
     best = F.array_max(F.filter(
         F.transform(scores, lambda x, i: F.struct(F.round(x, TIE_DECIMALS).alias("s"),
                                                   (-i).alias("neg"))),
         lambda t: t["s"].isNotNull()))
     names = F.array(*[F.lit(by_idx[c][1] if c in by_idx else None) for c in range(k)])
-    out = rows.select(key, F.array(*terms).alias("scores")).withColumn(
+    out = sums.select(key, F.array(*terms).alias("scores")).withColumn(
         "pred_idx", (-best["neg"]).cast("int"))
     return out.select(key, "scores", "pred_idx",
                       F.element_at(names, F.col("pred_idx") + 1).alias("pred_label"),
