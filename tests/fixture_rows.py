@@ -9,3 +9,4 @@ FINISHED_CSV = 'Description,Category,Subcategory\nmcdonalds,Food,Groceries\nstar
 
 GRAPH_TEST_CSV = "\ufeffDescription,Category,Sub_category,Price,Date\nDKNY Unisex Black & Grey Printed Medium Trolley Bag,Clothes,Bags_Accessories,45.14,9/2/2023\nEthnoVogue Women Beige & Grey Made to Measure Custom Made Kurta Set with Jacket,Clothes,Clothes,23.14,9/1/2023\nSPYKAR Women Pink Alexa Super Skinny Fit High-Rise Clean Look Stretchable Cropped Jeans,Clothes,Clothes,10.12,8/4/2023\nRaymond Men Blue Self-Design Single-Breasted Bandhgala Suit,Clothes,Clothes,14.62,8/23/2023\n7Rainbow Beige & Blue Checked Saree,Clothes,Bags_Accessories,104.82,9/1/2023\n7Rainbow Pink & Beige Printed Bandhani Saree,Clothes,Bags_Accessories,98.45,9/1/2023\nMcDonald's,Food,FastFood_Restaurants,12.47,9/2/2023\nStarbucks,Food,FastFood_Restaurants,17.83,9/3/2023\nSubway,Food,FastFood_Restaurants,15.62,9/4/2023\nTaco Bell,Food,FastFood_Restaurants,11.95,9/5/2023\nBurger King,Food,FastFood_Restaurants,16.28,9/1/2023\nWendy's,Food,FastFood_Restaurants,14.76,9/1/2023\nDunkin' (formerly Dunkin' Donuts),Food,FastFood_Restaurants,10.59,8/23/2023\nDomino's Pizza,Food,FastFood_Restaurants,18.34,9/1/2023\nPizza Hut,Food,FastFood_Restaurants,13.69,9/1/2023\nKFC (Kentucky Fried Chicken),Food,FastFood_Restaurants,19.55,9/1/2023\nChick-fil-A,Food,FastFood_Restaurants,10.87,9/1/2023\nSonic Drive-In,Food,FastFood_Restaurants,16.75,9/1/2023\nPanera Bread,Food,FastFood_Restaurants,14.23,9/1/2023\nChipotle Mexican Grill,Food,FastFood_Restaurants,12.89,9/1/2023\nPopeyes Louisiana Kitchen,Food,FastFood_Restaurants,18.01,9/1/2023\nLittle Caesars,Food,FastFood_Restaurants,11.42,9/1/2023\nPanda Express,Food,FastFood_Restaurants,19.78,9/1/2023\nJimmy John's,Food,FastFood_Restaurants,13.24,9/1/2023\nDairy Queen,Food,FastFood_Restaurants,15.09,9/1/2023\nArby's,Food,FastFood_Restaurants,10.32,9/1/2023\nFive Guys,Food,FastFood_Restaurants,17.66,9/1/2023\nIn-N-Out Burger,Food,FastFood_Restaurants,12.18,9/1/2023\nJack in the Box,Food,FastFood_Restaurants,19.92,9/1/2023\nHardee's / Carl's Jr.,Food,FastFood_Restaurants,14.5,9/1/2023\nPottery Barn,Home,Decor,10.12,9/3/2023\nWest Elm,Home,Decor,14.62,9/4/2023\nCrate & Barrel,Home,Decor,104.82,9/5/2023\nPier 1 Imports,Home,Decor,98.45,9/1/2023\nWorld Market,Home,Decor,12.47,9/1/2023\nHomeGoods,Home,Decor,17.83,8/23/2023\nAnthropologie,Home,Decor,15.62,9/1/2023\nBallard Designs,Home,Decor,11.95,9/1/2023\nWilliams Sonoma Home,Home,Decor,16.28,9/1/2023\nZ Gallerie,Home,Decor,14.76,9/1/2023\nAt Home,Home,Decor,10.59,9/1/2023\nBed Bath & Beyond,Home,Decor,18.34,9/1/2023\nSerena & Lily,Home,Decor,13.69,9/1/2023\nJonathan Adler,Home,Decor,19.55,9/1/2023\nLulu & Georgia,Home,Decor,10.87,9/1/2023\nOverstock,Home,Decor,16.75,9/1/2023\nBirch Lane,Home,Decor,14.23,9/1/2023\nJoss & Main,Home,Decor,12.89,9/1/2023\nRoom & Board,Home,Decor,18.01,9/1/2023\nOne Kings Lane,Home,Decor,11.42,9/1/2023\nBrake booster,Auto,Maintenance,15.09,9/2/2023\nShocks and struts,Auto,Maintenance,10.32,9/3/2023\nControl arms,Auto,Maintenance,17.66,9/4/2023\nBall joints,Auto,Maintenance,12.18,9/5/2023\nTie rod ends,Auto,Maintenance,19.92,9/6/2023\nSway bar links,Auto,Maintenance,14.5,9/7/2023\nBushings,Auto,Maintenance,19.92,9/8/2023\nSteering rack/boot kit,Auto,Maintenance,19.92,9/9/2023\nGas,Auto,Gas,400.92,9/1/2023\nBaby Bottles,Baby,Formula,86.42,9/1/2023\nBaby Diapers,Baby ,Diapers,46.22,9/1/2023\nBaby Clothes,Baby,B_Clothes,64.29,9/1/2023\nHaircuts,Personal_Care,Hair,40.22,9/1/2023\nNails,Personal_Care,Makeup_Nails,140.84,9/1/2023\nAirplane flights,Travel,Flights,600.42,9/1/2023\nHotels,Travel,Hotels,429.41,9/1/2023\nRent,Home,Rent,1200,9/1/2023\nSecurity Cameras,Home,Security,129.99,9/1/2023\nKitchen stuff,Home,Kitchen,22.89,9/2/2023\nProtein powder,Personal_Care,Vitamins_Supplements,140.99,9/3/2023\nPet food,Pets,Pet_Food,40.99,9/4/2023\nRAM,Electronics,Computer,135.99,9/1/2023\nBooks,Entertainment,Books,20.99,9/1/2023\nShoes,Clothes,Shoes,199.99,9/1/2023\nCOSTCO,Food,Groceries,700.89,9/2/2023\nMovie night,Entertainment,DateNights,99.99,9/1/2023\nEarings,Clothes,Jewelry,150.99,9/1/2023\nLui vitoon ,Clothes,Bags_Accessories,42.12,9/1/2023\nBaby Toys,Baby,Toys,48.96,9/1/2023\nVASA,Subscriptions_Memberships,Gym,20.99,9/1/2023\nCostco food,Food,Groceries,500,1/1/2023\nCostco food,Food,Groceries,501,1/2/2023\nCostco food,Food,Groceries,502,1/3/2023\nCostco food,Food,Groceries,503,1/4/2023\nCostco food,Food,Groceries,504,1/5/2023\nCostco food,Food,Groceries,505,1/6/2023\nCostco food,Food,Groceries,506,1/7/2023\nCostco food,Food,Groceries,507,1/8/2023\nVASA,Subscriptions_Memberships,Gym,20.99,1/1/2023\nVASA,Subscriptions_Memberships,Gym,21.99,1/2/2023\nVASA,Subscriptions_Memberships,Gym,22.99,1/3/2023\nVASA,Subscriptions_Memberships,Gym,23.99,1/4/2023\nVASA,Subscriptions_Memberships,Gym,24.99,1/5/2023\nVASA,Subscriptions_Memberships,Gym,25.99,1/6/2023\nVASA,Subscriptions_Memberships,Gym,26.99,1/7/2023\nVASA,Subscriptions_Memberships,Gym,27.99,1/8/2023\nPet food,Pets,Pet_Food,40.99,1/1/2023\nPet food,Pets,Pet_Food,41.99,1/2/2023\nPet food,Pets,Pet_Food,42.99,1/3/2023\nPet food,Pets,Pet_Food,43.99,1/4/2023\nPet food,Pets,Pet_Food,44.99,1/5/2023\nPet food,Pets,Pet_Food,45.99,1/6/2023\nPet food,Pets,Pet_Food,46.99,1/7/2023\nPet food,Pets,Pet_Food,47.99,1/8/2023\n,,,,\n"
 
+DATAS_CSV = '\ufeffDescription,Category,Tok-Cat,Sub_Category,Tok-Sub\r\nCinemark,Entertainment,,Movies_TV,\r\nADMIRAL BEVERAGE CORP,Food,,Groceries,\r\nBARNES &amp; NOBLE #2626,Entertainment,,Books,\r\nPure Encapsulations ONE Multivitamin,Medical,,Vitamins_Supplements,\r\nDr Bergs Electrolyte Powder Raspberry Lemonade,Medical,,Vitamins_Supplements,\r\n"Carlson - Super Omega-3 Gems, 1200 mg Omega-3 Fatty Acids with EPA and DHA, Wild-Caught Norwegian Fish Oil Supplement, Sustainably Sourced Fish Oil Capsules, Omega 3 Supplements, 100+30 SoftgelsCarlson - Super Omega-3 Gems, 1200 mg Omega-3 Fatty Acids with EPA and DHA, Wild-Caught Norwegian Fish Oil Supplement, Sustainably Sourced Fish Oil",Medical,,Vitamins_Supplements,\r\nQuest Nutrition S\'mores Protein Bar,Food,,Groceries,\r\nPregmate 50 Ovulation and 20 Pregnancy Test Strips Predictor Kit,Medical,,Health_Wellness,\r\nQuest Nutrition Cookies Cream Protein Bars,Food,,Groceries,\r\nNatural Force Organic MTC oil Pure glass Bottle,Food,,Groceries,\r\n"Organic Inulin FOS Powder (Jerusalem Artichoke), 2.2 Pounds (35 Ounce), Quick Water Soluble, Prebiotic Intestinal Support for Colon and Gut Health, Natural Fibers for Smoothie & Drinks, Vegan FriendlyOrganic Inulin FOS Powder (Jerusalem Artichoke)",Food,,Groceries,\r\nBlue Lizard Sunscreen,Medical,,Health_Wellness,\r\nBOSCH 6055C HEPA Cabin Air Filter - Compatible With SelectBOSCH 6055C HEPA Cabin Air Filter,Auto,,Maintenance,\r\nGOOGLE YOUTUBEPREMIUM,Subscriptions_Memberships,,Entertainment,\r\nBEANS BREWS COFFEE,Food,,Groceries,\r\nThorne Creatine,Medical,,Vitamins_Supplements,\r\nPure Encapsulations Magnesium,Medical,,Vitamins_Supplements,\r\n"Batiste Dry Shampoo, Coconut & Exotic Tropical, 6.73 Fl Oz, Pack of 6Batiste Dry Shampoo, Coconut & Exotic Tropical",Personal_Care,,Hair,\r\nThorne Basic Prenatal - Well-Researched Folate Multi for Pregnant and Nursing Women Includes 18 Vitamins and Minerals,Medical,,Vitamins_Supplements,\r\nBlizzard Entertainment,Electronics,,Gaming,\r\nWithdrawal from CITI CARD ONLINE PAYMENT,Debt,,Credit Cards,\r\nWithdrawal to 360 Performance Savings XXXXXXX2456,Savings,,Savings,\r\nBurst Oral Care,Subscriptions_Memberships,,Sub_Other,\r\nCinemark Theatres,Entertainment,,Movies_TV,\r\nBlue Lemon,Food,,FastFood_Restaurants,\r\nQuick Quack Car Wash,Auto,,Maintenance,\r\nZybook College Txtbook Campbell CA,Subscriptions_Memberships,,Sub_Other,\r\nHarmons,Food,,Groceries,\r\nRoxBerry Juice,Food,,FastFood_Restaurants,\r\nCafé Rio,Food,,FastFood_Restaurants,\r\nMy Tire Guys,Auto,,Maintenance,\r\nGoogle Google Storage,Subscriptions_Memberships,,Entertainment,\r\nProtonmail,Subscriptions_Memberships,,Entertainment,\r\nMcDonald\'s,Food,,FastFood_Restaurants,\r\nStarbucks,Food,,FastFood_Restaurants,\r\nChick-fil-A,Food,,FastFood_Restaurants,\r\nTaco Bell,Food,,FastFood_Restaurants,\r\nWendy\'s,Food,,FastFood_Restaurants,\r\nBurger King,Food,,FastFood_Restaurants,\r\nDunkin\',Food,,FastFood_Restaurants,\r\nSubway,Food,,FastFood_Restaurants,\r\nDomino\'s,Food,,FastFood_Restaurants,\r\nChipotle Mexican Grill,Food,,FastFood_Restaurants,\r\nSonic Drive-In,Food,,FastFood_Restaurants,\r\nPizza Hut,Food,,FastFood_Restaurants,\r\nPanera Bread,Food,,FastFood_Restaurants,\r\nKFC,Food,,FastFood_Restaurants,\r\nPopeyes Louisiana Kitchen,Food,,FastFood_Restaurants,\r\nArby\'s,Food,,FastFood_Restaurants,\r\nDairy Queen,Food,,FastFood_Restaurants,\r\nLittle Caesars,Food,,FastFood_Restaurants,\r\nPanda Express,Food,,FastFood_Restaurants,\r\nJack in the Box,Food,,FastFood_Restaurants,\r\nOlive Garden,Food,,FastFood_Restaurants,\r\nPapa John\'s,Food,,FastFood_Restaurants,\r\nBuffalo Wild Wings,Food,,FastFood_Restaurants,\r\nApplebee\'s,Food,,FastFood_Restaurants,\r\nChili\'s Grill & Bar,Food,,FastFood_Restaurants,\r\nWhataburger,Food,,FastFood_Restaurants,\r\nTexas Roadhouse,Food,,FastFood_Restaurants,\r\nIHOP,Food,,FastFood_Restaurants,\r\nOutback Steakhouse,Food,,FastFood_Restaurants,\r\nZaxby\'s,Food,,FastFood_Restaurants,\r\nCulver\'s,Food,,FastFood_Restaurants,\r\nJimmy John\'s Gourmet Sandwiches,Food,,FastFood_Restaurants,\r\nWingstop,Food,,FastFood_Restaurants,\r\nHardee\'s,Food,,FastFood_Restaurants,\r\nCracker Barrel,Food,,FastFood_Restaurants,\r\nRed Lobster,Food,,FastFood_Restaurants,\r\nDenny\'s,Food,,FastFood_Restaurants,\r\nRaising Cane\'s Chicken Fingers,Food,,FastFood_Restaurants,\r\nFive Guys,Food,,FastFood_Restaurants,\r\nJersey Mike\'s Subs,Food,,FastFood_Restaurants,\r\nLongHorn Steakhouse,Food,,FastFood_Restaurants,\r\nThe Cheesecake Factory,Food,,FastFood_Restaurants,\r\nBojangles,Food,,FastFood_Restaurants,\r\nCarl\'s Jr.,Food,,FastFood_Restaurants,\r\nIn-N-Out Burger,Food,,FastFood_Restaurants,\r\nRed Robin,Food,,FastFood_Restaurants,\r\nEl Pollo Loco,Food,,FastFood_Restaurants,\r\nDel Taco,Food,,FastFood_Restaurants,\r\nFirehouse Subs,Food,,FastFood_Restaurants,\r\nQdoba Mexican Eats,Food,,FastFood_Restaurants,\r\nPapa Murphy\'s Pizza,Food,,FastFood_Restaurants,\r\nBJ\'s Restaurant & Brewhouse,Food,,FastFood_Restaurants,\r\nSteak \'n Shake,Food,,FastFood_Restaurants,\r\nMarco\'s Pizza,Food,,FastFood_Restaurants,\r\nChurch\'s Chicken,Food,,FastFood_Restaurants,\r\nWaffle House,Food,,FastFood_Restaurants,\r\nKrispy Kreme,Food,,FastFood_Restaurants,\r\nTropical Smoothie Cafe,Food,,FastFood_Restaurants,\r\nTGI Fridays,Food,,FastFood_Restaurants,\r\nGolden Corral,Food,,FastFood_Restaurants,\r\nFreddy\'s Frozen Custard & Steakburgers,Food,,FastFood_Restaurants,\r\nMcAlister\'s Deli,Food,,FastFood_Restaurants,\r\nBaskin-Robbins,Food,,FastFood_Restaurants,\r\nHooters,Food,,FastFood_Restaurants,\r\nP.F. Chang\'s,Food,,FastFood_Restaurants,\r\nDutch Bros Coffee,Food,,FastFood_Restaurants,\r\nWhite Castle,Food,,FastFood_Restaurants,\r\nMoe\'s Southwest Grill,Food,,FastFood_Restaurants,\r\nCheckers Drive-In Restaurants,Food,,FastFood_Restaurants,\r\nCaptain D\'s Seafood Kitchen,Food,,FastFood_Restaurants,\r\nShake Shack,Food,,FastFood_Restaurants,\r\nCarrabba\'s Italian Grill,Food,,FastFood_Restaurants,\r\nTim Hortons,Food,,FastFood_Restaurants,\r\nCheddar\'s Scratch Kitchen,Food,,FastFood_Restaurants,\r\nSmoothie King,Food,,FastFood_Restaurants,\r\nNoodles & Company,Food,,FastFood_Restaurants,\r\nThe Habit Burger Grill,Food,,FastFood_Restaurants,\r\nMOD Pizza,Food,,FastFood_Restaurants,\r\nJack\'s,Food,,FastFood_Restaurants,\r\nPortillo\'s,Food,,FastFood_Restaurants,\r\nHungry Howie\'s Pizza,Food,,FastFood_Restaurants,\r\nBob Evans,Food,,FastFood_Restaurants,\r\nRound Table Pizza,Food,,FastFood_Restaurants,\r\nCharleys Philly Steaks,Food,,FastFood_Restaurants,\r\nRuth\'s Chris Steak House,Food,,FastFood_Restaurants,\r\nYard House,Food,,FastFood_Restaurants,\r\nEinstein Bros. Bagels,Food,,FastFood_Restaurants,\r\nFirst Watch,Food,,FastFood_Restaurants,\r\nCalifornia Pizza Kitchen,Food,,FastFood_Restaurants,\r\nJamba,Food,,FastFood_Restaurants,\r\nJason\'s Deli,Food,,FastFood_Restaurants,\r\nBonefish Grill,Food,,FastFood_Restaurants,\r\nTaco John\'s,Food,,FastFood_Restaurants,\r\nBoston Market,Food,,FastFood_Restaurants,\r\nPollo Tropical,Food,,FastFood_Restaurants,\r\nAuntie Anne\'s,Food,,FastFood_Restaurants,\r\nCold Stone Creamery,Food,,FastFood_Restaurants,\r\nJet\'s Pizza,Food,,FastFood_Restaurants,\r\nMaggiano\'s Little Italy,Food,,FastFood_Restaurants,\r\nThe Capital Grille,Food,,FastFood_Restaurants,\r\ntropical fruit,Food,,Groceries,\r\nwhole milk,Food,,Groceries,\r\npip fruit,Food,,Groceries,\r\nrolls/buns,Food,,Groceries,\r\npot plants,Home,,Yard_Garden,\r\ncitrus fruit,Food,,Groceries,\r\nbeef,Food,,Groceries,\r\nfrankfurter,Food,,Groceries,\r\nchicken,Food,,Groceries,\r\nbutter,Food,,Groceries,\r\nfruit/vegetable juice,Food,,Groceries,\r\npackaged fruit/vegetables,Food,,Groceries,\r\nchocolate,Food,,Groceries,\r\nbutter milk,Food,,Groceries,\r\nbottled water,Food,,Groceries,\r\nyogurt,Food,,Groceries,\r\nsausage,Food,,Groceries,\r\nbrown bread,Food,,Groceries,\r\nhamburger meat,Food,,Groceries,\r\nroot vegetables,Food,,Groceries,\r\npork,Food,,Groceries,\r\npastry,Food,,Groceries,\r\ncanned beer,Food,,Groceries,\r\nberries,Food,,Groceries,\r\ncoffee,Food,,Groceries,\r\nham,Food,,Groceries,\r\nturkey,Food,,Groceries,\r\ncurd cheese,Food,,Groceries,\r\nred/blush wine,Food,,Groceries,\r\nfrozen potato products,Food,,Groceries,\r\nflour,Food,,Groceries,\r\nsugar,Food,,Groceries,\r\nfrozen meals,Food,,Groceries,\r\nherbs,Food,,Groceries,\r\nsoda,Food,,Groceries,\r\ndetergent,Home,,Laundry,\r\ngrapes,Food,,Groceries,\r\nprocessed cheese,Food,,Groceries,\r\nfish,Food,,Groceries,\r\nsparkling wine,Food,,Groceries,\r\ncurd,Food,,Groceries,\r\npasta,Food,,Groceries,\r\npopcorn,Food,,Groceries,\r\nbeverages,Food,,Groceries,\r\ndessert,Food,,Groceries,\r\nspecialty chocolate,Food,,Groceries,\r\ncondensed milk,Food,,Groceries,\r\ncleaner,Food,,Groceries,\r\nmeat,Food,,Groceries,\r\nice cream,Food,,Groceries,\r\nhard cheese,Food,,Groceries,\r\ncream cheese ,Food,,Groceries,\r\npickled vegetables,Food,,Groceries,\r\nUHT-milk,Food,,Groceries,\r\ncandy,Food,,Groceries,\r\nonions,Food,,Groceries,\r\nhair spray,Food,,Groceries,\r\nphoto/film,Electronics,,Camera,\r\ndomestic eggs,Food,,Groceries,\r\nmargarine,Food,,Groceries,\r\nshopping bags,Home,,Kitchen,\r\nsalt,Food,,Groceries,\r\noil,Food,,Groceries,\r\nwhipped/sour cream,Food,,Groceries,\r\nfrozen vegetables,Food,,Groceries,\r\nsliced cheese,Food,,Groceries,\r\ndish cleaner,Home,,Kitchen,\r\nbaking powder,Food,,Groceries,\r\nspecialty cheese,Food,,Groceries,\r\nsalty snack,Food,,Groceries,\r\nInstant food products,Food,,Groceries,\r\nwhite bread,Food,,Groceries,\r\ncling film/bags,Home,,Kitchen,\r\nsoap,Food,,Groceries,\r\nfrozen chicken,Food,,Groceries,\r\nspread cheese,Food,,Groceries,\r\nfrozen dessert,Food,,Groceries,\r\nvinegar,Food,,Groceries,\r\nnuts/prunes,Food,,Groceries,\r\npotato products,Food,,Groceries,\r\nfrozen fish,Food,,Groceries,\r\nartif. sweetener,Food,,Groceries,\r\nlight bulbs,Home,,Decor,\r\ncanned vegetables,Food,,Groceries,\r\nchewing gum,Food,,Groceries,\r\ncanned fish,Food,,Groceries,\r\ncookware,Home,,Kitchen,\r\nsemi-finished bread,Food,,Groceries,\r\ncat food,Pets,,Pet_Food,\r\nbathroom cleaner,Food,,Groceries,\r\nprosecco,Food,,Groceries,\r\nliver loaf,Food,,Groceries,\r\ncanned fruit,Food,,Groceries,\r\nfrozen fruits,Food,,Groceries,\r\nbaby cosmetics,Food,,Groceries,\r\nspices,Food,,Groceries,\r\nnapkins,Food,,Groceries,\r\nwaffles,Food,,Groceries,\r\nsauces,Food,,Groceries,\r\nchocolate marshmallow,Food,,Groceries,\r\nlong life bakery product,Food,,Groceries,\r\nbags,Home,,Kitchen,\r\nsweet spreads,Food,,Groceries,\r\nsoups,Food,,Groceries,\r\nmustard,Food,,Groceries,\r\nspecialty fat,Food,,Groceries,\r\ninstant coffee,Food,,Groceries,\r\norganic sausage,Food,,Groceries,\r\nsoft cheese,Food,,Groceries,\r\nmayonnaise,Food,,Groceries,\r\ndental care,Home,,Home Essentials,\r\nkitchen towels,Home,,Kitchen,\r\nflower soil/fertilizer,Home,,Yard_Garden,\r\ncereals,Food,,Groceries,\r\nmeat spreads,Food,,Groceries,\r\ndishes,Home,,Kitchen,\r\ncandles,Home,,Home Essentials,\r\nwhisky,Food,,Groceries,\r\ntidbits,Food,,Groceries,\r\ncooking chocolate,Food,,Groceries,\r\nabrasive cleaner,Home,,Home Essentials,\r\nsyrup,Food,,Groceries,\r\nketchup,Food,,Groceries,\r\ncream,Food,,Groceries,\r\nskin care,Personal_Care,,Lotion,\r\nrubbing alcohol,Home,,Home Essentials,\r\nnut snack,Food,,Groceries,\r\ncocoa drinks,Food,,Groceries,\r\norganic products,Food,,Groceries,\r\ncake bar,Food,,Groceries,\r\nhoney,Food,,Groceries,\r\njam,Food,,Groceries,\r\nkitchen utensil,Home,,Kitchen,\r\nrice,Food,,Groceries,\r\ntea,Food,,Groceries,\r\nsalad dressing,Food,,Groceries,\r\nspecialty vegetables,Food,,Groceries,\r\npudding powder,Food,,Groceries,\r\nready soups,Food,,Groceries,\r\nmake up remover,Personal_Care,,Makeup,\r\ntoilet cleaner,Home,,Home Essentials,\r\nWalmart,Food,,Groceries,\r\nCostco WHS,Food,,Groceries,\r\nCostco Gas,Auto,,Gas,\r\nCostco Wholesale,Food,,Groceries,\r\nThe Home Depot,Home,,Maintenance,\r\nThe Kroger Co.,Food,,Groceries,\r\nLowe\'s Companies,Home,,Tools,\r\nApple Stores / iTunes,Utilities,,Phone,\r\nMint Mobile,Utilities,,Phone,\r\nPublix Super Markets,Food,,Groceries,\r\nBest Buy,Electronics,,Other,\r\nAldi,Food,,Groceries,\r\nH.E. Butt Grocery,Food,,Groceries,\r\nAce Hardware,Home,,Maintenance,\r\nMacy\'s,Food,,Groceries,\r\n7-Eleven,Auto,,Gas,\r\nAT&T Wireless,Utilities,,Phone,\r\nVerizon Wireless,Utilities,,Phone,\r\nRoss Stores,Clothes,,Clothes,\r\nKohl\'s,Clothes,,Clothes,\r\nDell Technologies,Electronics,,Computer,\r\nGap,Clothes,,Clothes,\r\nNordstrom,Clothes,,Clothes,\r\nO’Reilly Auto Parts,Auto,,Maintenance,\r\nAutoZone,Auto,,Maintenance,\r\nDick\'s Sporting Goods,Entertainment,,Sports_Outdoors,\r\nWayfair,Home,,Furniture_Appliances,\r\nWegmans Food Market,Food,,Groceries,\r\nJ.C. Penney Company,Clothes,,Clothes,\r\nWinCo Foods,Food,,Groceries,\r\nGood Neighbor Pharmacy,Medical,,Perscriptions,\r\nUlta Beauty,Personal_Care,,Makeup,\r\nPetSmart,Pets,,Pet_Food,\r\nBass Pro,Entertainment,,Sports_Outdoors,\r\nBath & Body Works,Home,,Home Essentials,\r\nSoutheastern Grocers,Food,,Groceries,\r\nAcademy Sports,Entertainment,,Sports_Outdoors,\r\nHobby Lobby Stores,Home,,Decor,\r\nBed Bath & Beyond,Home,,Home Essentials,\r\nSignet Jewelers,Clothes,,Jewelry,\r\nFoot Locker,Clothes,,Shoes,\r\nSprouts Farmers Market,Food,,Groceries,\r\nSephora (LVMH),Personal_Care,,Makeup,\r\nIkea North America Services,Home,,Decor,\r\nDiscount Tire,Auto,,Maintenance,\r\nCamping World,Entertainment,,Sports_Outdoors,\r\nPetco,Pets,,Pet_Food,\r\nVictoria\'s Secret,Clothes,,Clothes,\r\nAdvance Auto,Auto,,Maintenance,\r\nHarbor Freight Tools,Home,,Maintenance,\r\nExxon Mobil Corporation,Auto,,Gas,\r\nAmerican Eagle Outfitters,Clothes,,Clothes,\r\nLululemon,Clothes,,Clothes,\r\nShell Oil Company,Auto,,Gas,\r\nUrban Outfitters,Clothes,,Clothes,\r\nBarnes & Noble,Entertainment,,Books,\r\nState Farm,Auto,,Insurance,\r\nProgressive,Auto,,Insurance,\r\nAllstate,Auto,,Insurance,\r\nUSAA,Auto,,Insurance,\r\nLiberty Mutal,Auto,,Insurance,\r\nFarmers Insurance,Auto,,Insurance,\r\nNationwide,Auto,,Insurance,\r\nAmerican Family,Auto,,Insurance,\r\nAAA Insurance Auto Club Exchange,Auto,,Insurance,\r\nKemper,Auto,,Insurance,\r\nDMV (Division of Motor Vehicles),Auto,,Fees,\r\nharry potter halfblood prince harry potter jk rowlingmary grandpr,Entertainment,,Books,\r\nharry potter order phoenix harry potter jk rowlingmary grandpr,Entertainment,,Books,\r\nharry potter chamber secrets harry potter jk rowling,Entertainment,,Books,\r\nharry potter prisoner azkaban harry potter jk rowlingmary grandpr,Entertainment,,Books,\r\nharry potter boxed books harry potter jk rowlingmary grandpr,Entertainment,,Books,\r\nunauthorized harry potter book seven news halfblood prince analysis speculation frederick zimmerman,Entertainment,,Books,\r\nharry potter collection harry potter jk rowling,Entertainment,,Books,\r\nultimate hitchhikers guide five complete novels one story hitchhikers guide galaxy douglas adams,Entertainment,,Books,\r\nultimate hitchhikers guide galaxy hitchhikers guide galaxy douglas adams,Entertainment,,Books,\r\nhitchhikers guide galaxy hitchhikers guide galaxy douglas adams,Entertainment,,Books,\r\nhitchhikers guide galaxy hitchhikers guide galaxy douglas adamsstephen fry,Entertainment,,Books,\r\nultimate hitchhikers guide hitchhikers guide galaxy douglas adams,Entertainment,,Books,\r\nshort history nearly everything bill bryson,Entertainment,,Books,\r\nbill brysons african diary bill bryson,Entertainment,,Books,\r\nbrysons dictionary troublesome words writers guide getting right bill bryson,Entertainment,,Books,\r\nsunburned country bill bryson,Entertainment,,Books,\r\nim stranger notes returning america twenty years away bill bryson,Entertainment,,Books,\r\nlost continent travels small town america bill bryson,Entertainment,,Books,\r\nneither travels europe bill bryson,Entertainment,,Books,\r\nnotes small island bill bryson,Entertainment,,Books,\r\nmother tongue english got way bill bryson,Entertainment,,Books,\r\njrr tolkien book boxed hobbit lord rings jrr tolkien,Entertainment,,Books,\r\nlord rings lord rings jrr tolkien,Entertainment,,Books,\r\nfellowship ring lord rings jrr tolkien,Entertainment,,Books,\r\nlord rings lord rings jrr tolkienalan lee,Entertainment,,Books,\r\nlord rings weapons warfare chris smithchristopher leerichard taylor,Entertainment,,Books,\r\nlord rings complete visual companion jude fisher,Entertainment,,Books,\r\nagile web development rails pragmatic guide dave thomasdavid heinemeier hanssonleon breedtmike clarkthomas fuchsandreas schwarz,Entertainment,,Books,\r\nhatchet brians saga gary paulsen,Entertainment,,Books,\r\nhatchet guide using hatchet classroom donna ickesedward scirankokeith vasconcelles,Entertainment,,Books,\r\nguts true stories behind hatchet brian books gary paulsen,Entertainment,,Books,\r\nmolly hatchet best molly hatchet,Entertainment,,Books,\r\nhatchet jobs writings contemporary fiction dale peck,Entertainment,,Books,\r\nsimply beautiful beaded jewelry heidi boyd,Entertainment,,Books,\r\nalways enough gods miraculous provision among poorest children earth heidi bakerrolland baker,Entertainment,,Books,\r\nmapping big picture integrating curriculum assessment heidi hayes jacobs,Entertainment,,Books,\r\nheidi heidi johanna spyribeverly clearyangelo rinaldi,Entertainment,,Books,\r\ngetting results curriculum mapping heidi hayes jacobs,Entertainment,,Books,\r\ntheres always enough miraculous move god mozambique rolland bakerheidi baker,Entertainment,,Books,\r\nexpect first year expect heidi murkoffsharon mazelarlene eisenbergsandee hathawaymark widome,Entertainment,,Books,\r\nplayers handbook ultimate guide dating relationships heidi fleisslibby keatinge,Entertainment,,Books,\r\nsimply beautiful beading quick easy projects heidi boyd,Entertainment,,Books,\r\ngod emperor dune dune chronicles frank herbert,Entertainment,,Books,\r\nchapterhouse dune dune chronicles frank herbert,Entertainment,,Books,\r\ndune messiah dune chronicles frank herbert,Entertainment,,Books,\r\ndreamer dune biography frank herbert brian herbert,Entertainment,,Books,\r\nheretics dune dune chronicles frank herbert,Entertainment,,Books,\r\nroad dune frank herbertbrian herbertkevin anderson,Entertainment,,Books,\r\nheretics dune dune chronicles frank herbert,Entertainment,,Books,\r\nlord rings art fellowship ring gary russell,Entertainment,,Books,\r\npower one power one bryce courtenay,Entertainment,,Books,\r\npower one one person one rule one month john maxwellstephen gravesthomas addington,Entertainment,,Books,\r\npower hour business life mastery one hour week dave lakhani,Entertainment,,Books,\r\npower one solo play playwrights actors directors louis catron,Entertainment,,Books,\r\nbuy sell profit ebay kickstart homebased business thirty days adam ginsberg,Entertainment,,Books,\r\nebay dummies marsha collier,Entertainment,,Books,\r\nsell ebay get definitive guide product sourcing ebay beyond chris maltalisa suttora,Entertainment,,Books,\r\nstarting ebay business dummies marsha collier,Entertainment,,Books,\r\nebay top simplified tips tricks julia wilkinson,Entertainment,,Books,\r\nebay timesaving techniques dummies marsha collier,Entertainment,,Books,\r\nebay business allinone desk reference dummies marsha collier,Entertainment,,Books,\r\nruby cookbook lucas carlsonleonard richardson,Entertainment,,Books,\r\nruby anns home trailer park cookbook ruby ann boxcar,Entertainment,,Books,\r\nruby anns home trailer park bbqin cookbook ruby ann boxcar,Entertainment,,Books,\r\nrails cookbook recipes rapid web development ruby rob orsini,Entertainment,,Books,\r\nanna karenina leo tolstoyrichard pevearlarissa volokhonsky,Entertainment,,Books,\r\nanna karenina leo tolstoydavid magarshackpriscilla meyer,Entertainment,,Books,\r\nanna karenina leo tolstoyrichard pevearlarissa volokhonskyjohn bayley,Entertainment,,Books,\r\ncliffsnotes tolstoys anna karenina marianne sturmanleo tolstoy,Entertainment,,Books,\r\nanna karenina leo tolstoyamy mandelkerconstance garnett,Entertainment,,Books,\r\nanna karenina leo tolstoylouise maudeaylmer maude,Entertainment,,Books,\r\nanna karenina leo tolstoyconstance garnettamy mandelker,Entertainment,,Books,\r\ndinner anna karenina gloria goldreich,Entertainment,,Books,\r\ntolstoy anna karenina anthony thorlby,Entertainment,,Books,\r\nuntouchable mulk raj anandem forster,Entertainment,,Books,\r\nuntouchable john banville,Entertainment,,Books,\r\nuntouchables eliot nessoscar fraley,Entertainment,,Books,\r\nuntouchables familys triumphant journey caste system modern india narendra jadhav,Entertainment,,Books,\r\ndalit black untaouchables india vt rajshekaryn kly,Entertainment,,Books,\r\ngrowing untouchable india dalit autobiography vasant moongail omvedteleanor zelliot,Entertainment,,Books,\r\nevidencebased social work skills book barry cournoyer,Entertainment,,Books,\r\nwrinkle time guide using wrinkle time classroom john carratellopatty carratellotheresa wright,Entertainment,,Books,\r\nwrinkles time george smootkeay davidson,Entertainment,,Books,\r\nwrinkle time related readings wrinkle time quintet madeleine lengle,Entertainment,,Books,\r\nliterature circle guide wrinkle time tara maccarthy,Entertainment,,Books,\r\nuna arruga en el tiempo wrinkle time madeleine lengle,Entertainment,,Books,\r\nlong shadow morland dynasty cynthia harrodeagles,Entertainment,,Books,\r\nlong shadow inspector ian rutledge charles todd,Entertainment,,Books,\r\nlong way round chasing shadows across world ewan mcgregorcharley boormanrobert uhlig,Entertainment,,Books,\r\nshadow summer long price quartet daniel abraham,Entertainment,,Books,\r\nnew hope dead hoke mosely charles willefordjames lee burke,Entertainment,,Books,\r\nsideswipe hoke moseley novel charles willefordlawrence block,Entertainment,,Books,\r\nmiami blues hoke moseley charles willefordelmore leonard,Entertainment,,Books,\r\nburnt orange heresy vintage crimeblack lizard charles willeford,Entertainment,,Books,\r\ncharlotte simmons tom wolfe,Entertainment,,Books,\r\npoetry young people edward lear edward learlaura huliskabeithedward mendelson,Entertainment,,Books,\r\npuffin book nonsense verse quentin blake,Entertainment,,Books,\r\nhenry miller writing henry millerthomas moore,Entertainment,,Books,\r\nquiet days clichy henry miller,Entertainment,,Books,\r\ntropic cancer henry millerji nl,Entertainment,,Books,\r\ntropic capricorn henry miller,Entertainment,,Books,\r\nnexus rosy crucifixion henry miller,Entertainment,,Books,\r\nsexus rosy crucifixion henry miller,Entertainment,,Books,\r\nairconditioned nightmare henry miller,Entertainment,,Books,\r\nportrait lady henry jamespatricia crick,Entertainment,,Books,\r\nportrait lady henry jamesgabriel brownsteinmary cregan,Entertainment,,Books,\r\nwriting marguerite duras,Entertainment,,Books,\r\nwar marguerite durasbarbara bray,Entertainment,,Books,\r\nravishing lol stein marguerite durasrichard seever,Entertainment,,Books,\r\nlove letters kahlil gibransuheil bushruisalma alkuzbari,Entertainment,,Books,\r\nkahlil gibran life world jean gibran kahlil gibran,Entertainment,,Books,\r\nbeloved reflections path heart kahlil gibranjohn walbridgerobin waterfield,Entertainment,,Books,\r\njesus son man kahlil gibran,Entertainment,,Books,\r\nbroken wings kahlil gibran anthony rizcallah ferris,Entertainment,,Books,\r\nsand foam kahlil gibran,Entertainment,,Books,\r\ntreasure island robert louis stevenson,Entertainment,,Books,\r\ntreasure island robert louis stevensonscott mckowen,Entertainment,,Books,\r\nyears lynchings ralph ginzburg,Entertainment,,Books,\r\ncien aos de soledad gabriel garca mrquez,Entertainment,,Books,\r\nbeyond zebra dr seuss,Entertainment,,Books,\r\nwedding clause debbie raleigh,Entertainment,,Books,\r\nzebra wall kevin henkes,Entertainment,,Books,\r\nel perfume historia de un asesino patrick sskind,Entertainment,,Books,\r\ndoor summer robert heinlein,Entertainment,,Books,\r\nstranger strange land robert heinlein,Entertainment,,Books,\r\nsail beyond sunset robert heinlein,Entertainment,,Books,\r\njob comedy justice robert heinlein,Entertainment,,Books,\r\ntime stars heinleins juveniles robert heinlein,Entertainment,,Books,\r\nlong dark teatime soul dirk gently douglas adams,Entertainment,,Books,\r\nsalmon doubt dirk gently douglas adams,Entertainment,,Books,\r\nwish official biography douglas adams nick webb,Entertainment,,Books,\r\ndouglas adamss starship titanic terry jones,Entertainment,,Books,\r\nsalmon doubt hitchhiking galaxy one last time douglas adamschristopher cerf,Entertainment,,Books,\r\n'
