@@ -37,7 +37,7 @@ from ..functions.arrays import explode_elements
 from .encode import MAX_CLASSES, class_table
 
 KNOWN = -1               # class index of the per-token "in vocabulary" row
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 PIVOT_MAX = 1024         # up to this many classes: one conditional sum per class
 TIE_DECIMALS = 9         # scores are compared after rounding to this many places
 
