@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from .split import BATCH_SIZE
 
+METRIC = "decimal(18,6)"
+
+
+def fixed6(x):
+    """A metric rounded to 6 places as an exact decimal (stable to compare
+    and hash across engines, unlike a rounded double)."""
+    return F.round(x, 6).cast(METRIC)
+
 
 def class_weights(labels: DataFrame, label_col: str, classes: DataFrame) -> DataFrame:
     """``(class_name, class_idx, n, weight)`` for every class, observed or
@@ -21,8 +29,8 @@ def class_weights(labels: DataFrame, label_col: str, classes: DataFrame) -> Data
     everything = Window.partitionBy()
     return per_class.select(
         "class_name", F.col("class_idx").cast("int").alias("class_idx"), "n",
-        F.round((F.sum("n").over(everything) + F.count(F.lit(1)).over(everything))
-                / (F.col("n") + 1), 6).alias("weight"))
+        fixed6((F.sum("n").over(everything) + F.count(F.lit(1)).over(everything))
+               / (F.col("n") + 1)).alias("weight"))
 
 
 def accuracy_and_loss(scored: DataFrame, *, label_idx: str, pred_idx: str,
@@ -33,5 +41,5 @@ def accuracy_and_loss(scored: DataFrame, *, label_idx: str, pred_idx: str,
     n = F.count(F.lit(1))
     return scored.agg(
         n.cast("bigint").alias("n"),
-        F.round(F.avg((F.col(pred_idx) == F.col(label_idx)).cast("double")), 6).alias("accuracy"),
-        F.round(F.sum(-F.col(log_p_true)) / F.ceil(n / batch_size), 6).alias("loss"))
+        fixed6(F.avg((F.col(pred_idx) == F.col(label_idx)).cast("double"))).alias("accuracy"),
+        fixed6(F.sum(-F.col(log_p_true)) / F.ceil(n / batch_size)).alias("loss"))

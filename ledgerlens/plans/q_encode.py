@@ -232,7 +232,8 @@ cnt AS (SELECT p_type AS class_name, COUNT(*) AS n FROM part
 tot AS (SELECT SUM(n) AS total FROM cnt)
 SELECT c.class_name, CAST(c.class_idx AS INTEGER) AS class_idx,
        CAST(COALESCE(cnt.n, 0) AS BIGINT) AS n,
-       round((tot.total + {len(_weight_classes())}) / (COALESCE(cnt.n, 0) + 1.0), 6) AS weight
+       CAST(round((tot.total + {len(_weight_classes())}) / (COALESCE(cnt.n, 0) + 1.0), 6)
+            AS DECIMAL(18,6)) AS weight
 FROM cls c LEFT JOIN cnt ON c.class_name = cnt.class_name CROSS JOIN tot""")
 def q_class_weights(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_type")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_tokens, clean_tokens_sql
 from ..operators import naive_bayes as nb
 from ..operators.dedupe import dedupe_first
-from ..operators.evaluate import accuracy_and_loss
+from ..operators.evaluate import accuracy_and_loss, fixed6
 from ..operators.split import threshold_hex, train_test_split
 from ..session import checkpoint_dir, scratch_path
 from ..sources.models import load_nb
@@ -46,7 +46,7 @@ def token_table(model):
     return (model.tokens.filter(F.col("class_idx") >= 0)
             .join(F.broadcast(names), "class_idx")
             .select("class_name", "token", F.col("count").cast("bigint").alias("count"),
-                    F.round("log_lik", 6).alias("log_lik")))
+                    fixed6(F.col("log_lik")).alias("log_lik")))
 
 
 # --- SQL side --------------------------------------------------------------
@@ -101,7 +101,7 @@ def _score_sql(label: str, p: str, test: str = "test") -> str:
 def _train_sql(label: str) -> str:
     return f"""WITH {_docs_sql()}, {_head_sql(label, 'h_')}
 SELECT pp.label AS class_name, t.token, CAST(t.cnt AS BIGINT) AS count,
-       round(ln(t.cnt + 1.0) - pp.log_denom, 6) AS log_lik
+       CAST(round(ln(t.cnt + 1.0) - pp.log_denom, 6) AS DECIMAL(18,6)) AS log_lik
 FROM h_tc t JOIN h_params pp ON t.label = pp.label"""
 
 
@@ -119,19 +119,21 @@ def q_train_nb_sub(spark, sf_dir):
 
 @register("nb_classes", f"""WITH {_docs_sql()}, {_head_sql('lang', 'c_')}, {_head_sql('source', 's_')}
 SELECT 'category' AS head, label AS class_name, class_idx, CAST(n_docs AS BIGINT) AS n_docs,
-       CAST(n_tokens AS BIGINT) AS n_tokens, round(log_prior, 6) AS log_prior,
-       round(log_denom, 6) AS log_denom FROM c_params
+       CAST(n_tokens AS BIGINT) AS n_tokens,
+       CAST(round(log_prior, 6) AS DECIMAL(18,6)) AS log_prior,
+       CAST(round(log_denom, 6) AS DECIMAL(18,6)) AS log_denom FROM c_params
 UNION ALL
 SELECT 'sub_category', label, class_idx, CAST(n_docs AS BIGINT), CAST(n_tokens AS BIGINT),
-       round(log_prior, 6), round(log_denom, 6) FROM s_params""")
+       CAST(round(log_prior, 6) AS DECIMAL(18,6)), CAST(round(log_denom, 6) AS DECIMAL(18,6))
+FROM s_params""")
 def q_nb_classes(spark, sf_dir):
     prepared = prepared_docs(spark, sf_dir)
     out = None
     for head, label in HEADS.items():
         m = fit_head(prepared, label)
         t = m.classes.select(F.lit(head).alias("head"), "class_name", "class_idx", "n_docs",
-                             "n_tokens", F.round("log_prior", 6).alias("log_prior"),
-                             F.round("log_denom", 6).alias("log_denom"))
+                             "n_tokens", fixed6(F.col("log_prior")).alias("log_prior"),
+                             fixed6(F.col("log_denom")).alias("log_denom"))
         out = t if out is None else out.unionByName(t)
     return out
 
@@ -187,8 +189,9 @@ def _eval_sql() -> str:
         col = SQL_LABEL[label]
         p = head[0] + "_"
         parts.append(f"""SELECT '{head}' AS head, CAST(COUNT(*) AS BIGINT) AS n,
-       round(AVG(CASE WHEN pr.pred = t.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
-       round(SUM(-(st.score - ls.lse)) / ceil(COUNT(*) / 64.0), 6) AS loss
+       CAST(round(AVG(CASE WHEN pr.pred = t.label THEN 1.0 ELSE 0.0 END), 6) AS DECIMAL(18,6))
+         AS accuracy,
+       CAST(round(SUM(-(st.score - ls.lse)) / ceil(COUNT(*) / 64.0), 6) AS DECIMAL(18,6)) AS loss
 FROM (SELECT doc_id, {col} AS label FROM d WHERE is_test) t
 JOIN {p}params pp ON pp.label = t.label
 JOIN {p}pred pr ON pr.doc_id = t.doc_id

@@ -17,7 +17,7 @@ def test_datas_facts(spark, write_text):
     led = io_csv.read_ledger(spark, write_text("Datas.csv", DATAS_CSV))
     assert led.count() == 474
     assert jobs.prepare(led).count() == 473
-    w = {r.class_name: r.weight for r in
+    w = {r.class_name: float(r.weight) for r in
          class_weights(led, "Category", classes_from_data(led, "Category")).collect()}
     assert abs(w["Food"] - 487 / 243) < 1e-6 and abs(w["Pets"] - 121.75) < 1e-6
     cats = set(MODEL_TAXONOMY)
@@ -35,7 +35,7 @@ def test_train_then_predict(spark, write_text, tmp_path):
     assert out["rejects"].count() == len(bad)
     metrics = {r.head: r for r in out["metrics"].collect()}
     assert set(metrics) == {"category", "sub_category"}
-    assert 0.0 <= metrics["category"].accuracy <= 1.0
+    assert 0.0 <= float(metrics["category"].accuracy) <= 1.0
 
     ff = write_text("Food - Fast Food.csv", FAST_FOOD_CSV)
     decor = write_text("Decor Stores.csv", DECOR_CSV)

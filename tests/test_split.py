@@ -32,7 +32,7 @@ def test_exact_split_and_counts(spark):
 def test_class_weights_includes_empty_class(spark):
     labels = spark.createDataFrame([("Food",)] * 242 + [("Pets",)] * 3, "c string")
     cls = class_table(spark, ["Food", "Pets", "Travel"])
-    got = {r.class_name: (r.n, r.weight) for r in class_weights(labels, "c", cls).collect()}
+    got = {r.class_name: (r.n, float(r.weight)) for r in class_weights(labels, "c", cls).collect()}
     assert got["Food"] == (242, round(248 / 243, 6))
     assert got["Pets"] == (3, round(248 / 4, 6))
     assert got["Travel"] == (0, 248.0)

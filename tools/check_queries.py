@@ -22,9 +22,14 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations"]
 
 
+STRICT = os.environ.get("CHECK_STRICT") == "1"
+
+
 def norm(v):
     if v is None:
         return None
+    if STRICT and isinstance(v, (float, decimal.Decimal)):
+        return repr(v)
     if isinstance(v, bool):
         return bool(v)
     if isinstance(v, int):
