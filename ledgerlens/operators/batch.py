@@ -62,15 +62,13 @@ def hashed_nb_predict_fn(train: DataFrame, label_col: str, ids_col: str, *,
     if k * (buckets + 1) > MAX_PARAMS:
         raise ValueError("model too large for a broadcast")
     index = {n: i for i, n in enumerate(labels)}
-    docs = rows.groupBy(label_col).count().collect()
+    docs = rows.groupBy(label_col).count().toPandas()
     pairs = (explode_elements(rows, [label_col], ids_col, "b")
-             .groupBy(label_col, "b").count().collect())
+             .groupBy(label_col, "b").count().toPandas())      # Arrow transfer, <= K x buckets rows
     counts = np.zeros((k, buckets + 1))
-    for r in pairs:
-        counts[index[r[0]], r[1]] = r[2]
+    counts[pairs[label_col].map(index).to_numpy(), pairs["b"].to_numpy()] = pairs["count"].to_numpy()
     n_docs = np.zeros(k)
-    for r in docs:
-        n_docs[index[r[0]]] = r[1]
+    n_docs[docs[label_col].map(index).to_numpy()] = docs["count"].to_numpy()
     used = int((counts.sum(axis=0) > 0).sum())
     log_prior = np.log(n_docs / n_docs.sum())
     log_lik = np.log((counts + alpha) / (counts.sum(axis=1, keepdims=True) + alpha * used))

@@ -46,6 +46,7 @@ def predict_lr(model: PipelineModel, df: DataFrame, out_col: str = "pred_label")
     scored = model.transform(df)
     back = IndexToString(inputCol="_pred_idx", outputCol=out_col, labels=indexer.labels)
     out = back.transform(scored)
-    drop = [c for c in out.columns if c.startswith("_") and c != "_pred_idx"]
+    drop = [c for c in ("_label_idx", "_tf", "_features", "_raw", "_prob", "_w")
+            if c in out.columns and c not in df.columns]
     return out.drop(*drop).withColumn("_pred_idx", F.col("_pred_idx").cast("int")) \
         .withColumnRenamed("_pred_idx", "pred_idx")

@@ -65,3 +65,10 @@ def test_retailer_rules_first_match(spark):
                                 ("Electronics|Computers",), ("Garden",)], "path string")
     got = [r.target for r in map_by_rule(df, "path", RETAILER_SUB_RULES).collect()]
     assert got == ["Furniture/Appliances", "Baby", "Electronics", None]
+
+
+def test_source_name_from_file_metadata(spark, write_text):
+    p = write_text("Food - Fast Food.v2.csv", "Description,Category,Sub_Category\nx,y,z\n")
+    got = io_csv.read_csv(spark, p).select(io_csv.source_name_col().alias("s")).first().s
+    assert got == "Food - Fast Food"
+    assert io_csv.source_name_of(p) == "Food - Fast Food"

@@ -53,3 +53,16 @@ def test_summarise_job(spark, write_text):
     t = out["totals"].first()
     assert (t.mtd_total, t.ytd_total) == (Decimal("5958.35"), Decimal("10591.35"))
     assert out["tree_ytd"].count() == 36 and out["tree_mtd"].count() == 36
+
+
+def test_logistic_pipeline_save_load(spark, write_text, tmp_path):
+    from ledgerlens.functions.text import clean_tokens
+    from ledgerlens.operators.logistic import fit_lr, predict_lr
+    from ledgerlens.sources.models import load_pipeline, save_pipeline
+    led = io_csv.read_ledger(spark, write_text("Datas.csv", DATAS_CSV))
+    rows = led.select("_pos", "Category", clean_tokens("Description").alias("tokens"))
+    model = fit_lr(rows, "Category", "tokens", max_iter=5)
+    path = save_pipeline(model, str(tmp_path / "lr"))
+    a = {str(r._pos): r.pred_label for r in predict_lr(model, rows).collect()}
+    b = {str(r._pos): r.pred_label for r in predict_lr(load_pipeline(path), rows).collect()}
+    assert a == b and len(a) == 474
