@@ -75,4 +75,4 @@ def test_no_generate_filter_reevaluating_cleaning(spark):
     toks = docs.select("doc_id", clean_tokens("text").alias("tokens"))
     from ledgerlens.functions.arrays import explode_elements
     plan = _plan(explode_elements(toks, ["doc_id"], "tokens", "token"))
-    assert plan.count("regexp_replace") == 1
+    assert plan.count("regexp_extract_all") == 1
