@@ -2,12 +2,16 @@
 
 ``batch_predict`` runs ``make_predict_fn()`` once per task (so a model is
 loaded once, not per row) and feeds it mini-batches of ``batch_size`` rows
-from Arrow batches (``mapInPandas``).  This is the only row-level Python in
-the library, and only because the callable is the user's.
+sliced from the task's Arrow record batches (``mapInArrow``, zero-copy).  The
+callable receives the batch's input column as a ``pyarrow`` array and returns
+one prediction per row.  This is the only Python in the scoring path, and
+only because the callable is the user's.
 
 ``hashed_nb_predict_fn`` is a small ready-made model for it: naive Bayes over
 hashed token buckets, trained with Spark aggregations; its parameters are a
-K x buckets matrix, bounded by construction and shipped by broadcast.
+K x buckets matrix, bounded by construction and shipped by broadcast.  It
+scores a whole mini-batch with array operations (one gather of the flat
+token ids, one segmented sum by the list offsets), never row by row.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,21 +36,51 @@ def bucket_ids(tokens: str | Column, buckets: int = DEFAULT_BUCKETS) -> Column:
 
 
 def batch_predict(df: DataFrame, key: str, input_col: str,
-                  make_predict_fn: Callable[[], Callable[[list], np.ndarray]], *,
+                  make_predict_fn: Callable[[], Callable[[pa.Array], np.ndarray]], *,
                   batch_size: int = 64, out_col: str = "prediction",
                   out_type: str = "int") -> DataFrame:
+    """``(key, out_col)``: ``predict(inputs)`` applied to every mini-batch of
+    ``batch_size`` rows; ``inputs`` is a ``pyarrow`` array of the batch's
+    ``input_col`` values."""
     key_type = dict(df.dtypes)[key]
     schema = f"`{key}` {key_type}, `{out_col}` {out_type}"
+    arrow_out = pa.int32() if out_type == "int" else None
 
     def run(batches):
         predict = make_predict_fn()
-        for pdf in batches:
-            for start in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[start:start + batch_size]
-                preds = predict(list(chunk[input_col]))
-                yield pd.DataFrame({key: chunk[key].to_numpy(), out_col: np.asarray(preds)})
-
-    return df.select(key, input_col).mapInPandas(run, schema)
+        for rb in batches:
+            keys, inputs = rb.column(key), rb.column(input_col)
+            for start in range(0, rb.num_rows, batch_size):
+                preds = np.asarray(predict(inputs.slice(start, batch_size)))
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(start, batch_size), pa.array(preds, type=arrow_out)],
+                    names=[key, out_col])
+
+    return df.select(key, input_col).mapInArrow(run, schema)
+
+
+def list_parts(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(flat values, offsets rebased to 0)`` of a (possibly sliced) list
+    array; a null list has no values."""
+    offsets = arr.offsets.to_numpy().astype(np.int64)
+    flat = arr.flatten().to_numpy(zero_copy_only=False)
+    return flat, offsets - offsets[0]
+
+
+def segment_sums(weights: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """``out[c, r] = sum(weights[c, flat[offsets[r]:offsets[r + 1]]])`` for a
+    K x buckets weight matrix -> K x n; empty rows sum to 0.  One vectorised
+    pass per class, so memory stays at one value per token of the batch."""
+    n = len(offsets) - 1
+    out = np.zeros((weights.shape[0], n))
+    rows = np.flatnonzero(np.diff(offsets) > 0)
+    if rows.size:
+        # the starts of the non-empty rows are strictly increasing and each
+        # such row's tokens run to the next non-empty start
+        starts = offsets[rows]
+        for c in range(weights.shape[0]):
+            out[c, rows] = np.add.reduceat(weights[c, flat], starts)
+    return out
 
 
 def hashed_nb_predict_fn(train: DataFrame, label_col: str, ids_col: str, *,
@@ -57,7 +91,9 @@ def hashed_nb_predict_fn(train: DataFrame, label_col: str, ids_col: str, *,
     count matrix reaches the driver (checked against ``MAX_PARAMS``)."""
     spark = train.sparkSession
     rows = train.filter(F.col(label_col).isNotNull())
-    labels = sorted(r[0] for r in rows.select(label_col).distinct().collect())
+    # K class names (bounded: a longer list fails the parameter check below)
+    limit = MAX_PARAMS // (buckets + 1) + 1
+    labels = sorted(r[0] for r in rows.select(label_col).distinct().limit(limit).collect())
     k = len(labels)
     if k * (buckets + 1) > MAX_PARAMS:
         raise ValueError("model too large for a broadcast")
@@ -80,12 +116,10 @@ def hashed_nb_predict_fn(train: DataFrame, label_col: str, ids_col: str, *,
     def make_predict_fn():
         prior, lik = params.value
 
-        def predict(batch):
-            out = np.empty(len(batch), dtype=np.int32)
-            for i, ids in enumerate(batch):
-                ids = np.asarray(ids, dtype=np.int64)
-                out[i] = int(np.argmax(prior + lik[:, ids].sum(axis=1)))
-            return out
+        def predict(batch: pa.Array) -> np.ndarray:
+            flat, offsets = list_parts(batch)
+            scores = prior[:, None] + segment_sums(lik, flat.astype(np.int64), offsets)
+            return np.argmax(scores, axis=0).astype(np.int32)   # first max on ties
         return predict
 
     return make_predict_fn, labels
