@@ -18,16 +18,22 @@ Sparse form used for scoring, so the model never becomes K × V rows:
 The model has two tables: ``classes`` (K rows) and ``tokens`` (one row per
 seen (token, class) pair plus one "known token" row per token).  Both are
 checkpointed to the shared folder, which cuts lineage and gives exact sizes.
-The token table is broadcast only when its row count is under
-``broadcast_rows``; otherwise the join is a shuffle join whose hot tokens
-AQE splits.  The K class rows are the only thing read on the driver; they
-become literal arrays in the scoring expression (bounded by ``MAX_CLASSES``).
+
+For scoring with up to ``DENSE_MAX_CLASSES`` classes the token table is
+pivoted once per model into one row per token with one weight column per
+class (0 for a pair never seen, which is exactly its sparse weight
+ln(α/α)), so every document token joins to one row and the per-document
+sums are plain column sums.  That table is broadcast only when its cell
+count (V × (K + 1)) is under ``broadcast_cells``; otherwise the join is a
+shuffle join whose hot tokens AQE splits.  The K class rows are the only
+thing read on the driver; they become literals in the scoring expression
+(bounded by ``MAX_CLASSES``).
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +43,8 @@ from ..functions.arrays import explode_elements
 from .encode import MAX_CLASSES, class_table
 
 KNOWN = -1               # class index of the per-token "in vocabulary" row
-BROADCAST_ROWS = 1_000_000
-PIVOT_MAX = 1024         # up to this many classes: one conditional sum per class
+DENSE_MAX_CLASSES = 256  # up to this many classes: one weight column per class
+BROADCAST_CELLS = 8_000_000   # dense token table cells (V x (K + 1)) broadcast below this
 TIE_DECIMALS = 9         # scores are compared after rounding to this many places
 
 CLASS_SCHEMA = T.StructType([
@@ -58,6 +64,7 @@ class NaiveBayesModel:
     vocab_size: int
     alpha: float
     token_rows: int
+    _dense: DataFrame | None = field(default=None, repr=False, compare=False)
 
     def class_params(self) -> list[tuple[int, str, float | None, float]]:
         rows = (self.classes.select("class_idx", "class_name", "log_prior", "log_denom")
@@ -66,6 +73,21 @@ class NaiveBayesModel:
             raise ValueError(f"more than {MAX_CLASSES} classes")
         return [(r.class_idx, r.class_name, r.log_prior, r.log_denom) for r in rows]
 
+    def dense_tokens(self, k: int) -> DataFrame:
+        """``(token, _hit, _w0 .. _w{k-1})``: one row per vocabulary token with
+        the weight of every class (0 where the pair was never seen).  Built
+        by one group-by over the token table (at most K + 1 rows per token)
+        and checkpointed once per model, so repeated scoring (micro-batches,
+        both heads) reuses it."""
+        if self._dense is None:
+            cls = F.col("class_idx")
+            dense = self.tokens.groupBy("token").agg(
+                F.lit(True).alias("_hit"),
+                *[F.coalesce(F.sum(F.when(cls == c, F.col("weight"))), F.lit(0.0)).alias(f"_w{c}")
+                  for c in range(k)])
+            self._dense = dense.checkpoint(eager=True)
+        return self._dense
+
     def save(self, path: str) -> None:
         from ..sources.models import save_nb
         save_nb(self, path)
@@ -138,39 +160,49 @@ def fit(df: DataFrame, label_col: str, tokens_col: str, *, alpha: float = 1.0,
     return NaiveBayesModel(classes_out, tokens, vocab_size, a, n_pairs + vocab_size)
 
 
-def _token_side(model: NaiveBayesModel, broadcast_rows: int) -> DataFrame:
-    side = model.tokens.select("token", "class_idx", "weight")
-    return F.broadcast(side) if model.token_rows <= broadcast_rows else side
+def _token_side(model: NaiveBayesModel, k: int, broadcast_cells: int) -> DataFrame:
+    """The token table the documents join to, hinted for broadcast only when
+    its exact size (known from the fit) is under the bound."""
+    if k <= DENSE_MAX_CLASSES:
+        side = model.dense_tokens(k)
+        cells = model.vocab_size * (k + 1)
+    else:
+        side = model.tokens.select("token", "class_idx", "weight")
+        cells = model.token_rows * 3
+    return F.broadcast(side) if cells <= broadcast_cells else side
 
 
 def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
-          broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+          broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """``(key, scores array<double> indexed by class, pred_idx, pred_label,
     log_norm)`` for every row of ``df`` (rows without a known token get the
     prior's class).  ``key`` must be unique per row.
 
     Plan: outer explode (rows without tokens survive), left join to the
-    token table, then ONE group-by on the key with a conditional sum per
-    class (combined map-side: a row's tokens sit in one task, so the shuffle
-    carries one partial row per key).  With more than ``PIVOT_MAX`` classes
-    the sums go through a (key, class) aggregate and a per-key map instead."""
+    dense token table (one row per token), then ONE group-by on the key with
+    a sum per class column (combined map-side: with a broadcast join a row's
+    tokens sit in one task, so the shuffle carries one partial row per key).
+    With more than ``DENSE_MAX_CLASSES`` classes the join goes to the sparse
+    (token, class) table and the sums through a (key, class) aggregate and a
+    per-key map instead."""
     params = model.class_params()
     a = model.alpha
     k = max(p[0] for p in params) + 1 if params else 0
     by_idx = {p[0]: p for p in params}
     exploded = df.select(key, F.explode_outer(tokens_col).alias("token"))
-    joined = exploded.join(_token_side(model, broadcast_rows), "token", "left")
-    cls = F.col("class_idx")
-    if k + 1 <= PIVOT_MAX:
-        sums = joined.groupBy(key).agg(*[
-            F.sum(F.when(cls == c, F.col("weight"))).alias(f"_s{c + 1}")
-            for c in range(KNOWN, k)])
+    joined = exploded.join(_token_side(model, k, broadcast_cells), "token", "left")
+    if k <= DENSE_MAX_CLASSES:
+        sums = joined.groupBy(key).agg(
+            F.count("_hit").alias("_known"),
+            *[F.sum(f"_w{c}").alias(f"_s{c}") for c in range(k)])
+        n_known = F.col("_known")
 
         def s_of(c: int) -> Column:
-            return F.col(f"_s{c + 1}")
+            return F.col(f"_s{c}")
     else:
-        per_class = (joined.filter(cls.isNotNull()).groupBy(key, "class_idx")
-                     .agg(F.sum("weight").alias("s")))
+        per_class = (joined.filter(F.col("class_idx").isNotNull())
+                     .groupBy(key, "class_idx").agg(F.sum("weight").alias("s")))
+        # at most K + 1 entries per key (the known-token row counts matches)
         per_row = per_class.groupBy(key).agg(
             F.map_from_entries(F.collect_list(F.struct("class_idx", "s"))).alias("_m"))
         sums = df.select(key).join(per_row, key, "left")
@@ -178,7 +210,8 @@ def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
         def s_of(c: int) -> Column:
             return F.try_element_at(F.col("_m"), F.lit(c))
 
-    n_known = F.coalesce(s_of(KNOWN), F.lit(0.0))
+        n_known = F.coalesce(s_of(KNOWN), F.lit(0.0))
+
     terms = []
     for c in range(k):
         p = by_idx.get(c)

@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 from ledgerlens.operators import naive_bayes as nb
 
 
@@ -29,7 +31,10 @@ def brute(train, test, alpha=1.0):
     return out
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("dense_max", [nb.DENSE_MAX_CLASSES, 1])
+def test_matches_brute_force(spark, monkeypatch, dense_max):
+    # dense_max=1 sends the three classes through the sparse (many-class) path
+    monkeypatch.setattr(nb, "DENSE_MAX_CLASSES", dense_max)
     rng = random.Random(7)
     words = [f"w{i}" for i in range(40)]
     train = []

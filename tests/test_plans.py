@@ -61,12 +61,15 @@ def test_scoring_is_one_aggregation_and_bounded_broadcast(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     toks = docs.select("doc_id", "lang", clean_tokens("text").alias("tokens"))
     model = nb.fit(toks, "lang", "tokens")
-    assert model.token_rows <= nb.BROADCAST_ROWS
+    k = len(model.class_params())
+    assert model.vocab_size * (k + 1) <= nb.BROADCAST_CELLS
     plan = _run_plan(nb.score(model, toks, "doc_id", "tokens"))
     assert plan.count("Exchange hashpartitioning") == 1
     assert "BroadcastHashJoin" in plan
+    # one weight column per class: no per-class CASE WHEN over joined rows
+    assert "CASE WHEN" not in plan
     # above the bound the token table is not hinted for broadcast
-    side = nb._token_side(model, broadcast_rows=0)
+    side = nb._token_side(model, k, broadcast_cells=0)
     assert "ResolvedHint" not in side._jdf.queryExecution().analyzed().toString()
 
 
