@@ -16,8 +16,9 @@ Sparse form used for scoring, so the model never becomes K × V rows:
                   + Σ_{t in d, (t, c) seen} ln((count(t, c) + α) / α)
 
 The model has two tables: ``classes`` (K rows) and ``tokens`` (one row per
-seen (token, class) pair plus one "known token" row per token).  Both are
-checkpointed to the shared folder, which cuts lineage and gives exact sizes.
+seen (token, class) pair plus one "known token" row per token).  The
+(class, token) counts they derive from are checkpointed to the shared
+folder, which cuts lineage and gives exact sizes.
 
 For scoring with up to ``DENSE_MAX_CLASSES`` classes the token table is
 pivoted once per model into one row per token with one weight column per
@@ -75,17 +76,13 @@ class NaiveBayesModel:
 
     def dense_tokens(self, k: int) -> DataFrame:
         """``(token, _hit, _w0 .. _w{k-1})``: one row per vocabulary token with
-        the weight of every class (0 where the pair was never seen).  Built
-        by one group-by over the token table (at most K + 1 rows per token)
-        and checkpointed once per model, so repeated scoring (micro-batches,
-        both heads) reuses it."""
+        the weight of every class (0 where the pair was never seen).  Made by
+        the fit, or for a loaded model once from its token table (at most
+        K + 1 rows per token) and checkpointed, so repeated scoring
+        (micro-batches, both heads) reuses it."""
         if self._dense is None:
-            cls = F.col("class_idx")
-            dense = self.tokens.groupBy("token").agg(
-                F.lit(True).alias("_hit"),
-                *[F.coalesce(F.sum(F.when(cls == c, F.col("weight"))), F.lit(0.0)).alias(f"_w{c}")
-                  for c in range(k)])
-            self._dense = dense.checkpoint(eager=True)
+            pairs = self.tokens.filter(F.col("class_idx") != KNOWN)
+            self._dense = pivot_weights(pairs, k).checkpoint(eager=True)
         return self._dense
 
     def save(self, path: str) -> None:
@@ -96,6 +93,17 @@ class NaiveBayesModel:
 DOC_MARKER = ""          # pseudo-token counted once per row (real tokens are never empty)
 
 
+def pivot_weights(pairs: DataFrame, k: int) -> DataFrame:
+    """``(token, _hit, _w0 .. _w{k-1})`` from seen ``(token, class_idx,
+    weight)`` pairs: one row per token (at most K pairs each), weight 0
+    where a pair was never seen."""
+    cls = F.col("class_idx")
+    return pairs.groupBy("token").agg(
+        F.lit(True).alias("_hit"),
+        *[F.coalesce(F.sum(F.when(cls == c, F.col("weight"))), F.lit(0.0)).alias(f"_w{c}")
+          for c in range(k)])
+
+
 def fit(df: DataFrame, label_col: str, tokens_col: str, *, alpha: float = 1.0,
         classes: DataFrame | list[str] | None = None) -> NaiveBayesModel:
     """Train on rows with a non-null label that is a known class.  Without a
@@ -104,7 +112,10 @@ def fit(df: DataFrame, label_col: str, tokens_col: str, *, alpha: float = 1.0,
     One pass over the training rows: each row explodes into its tokens plus
     one marker, and a single partially aggregated group-by on (class, token)
     yields token counts and (from the marker) row counts per class.  That
-    result is checkpointed; everything else derives from it."""
+    result is checkpointed; everything else derives from it: the K class
+    rows (read on the driver), the dense scoring table (the only other
+    shuffle, keyed by token; its row count is the vocabulary size) and the
+    sparse token table (a narrow union, no shuffle)."""
     spark = df.sparkSession
     labelled = (df.select(F.col(label_col).alias("class_name"), F.col(tokens_col).alias("toks"))
                 .filter(F.col("class_name").isNotNull()))
@@ -118,46 +129,60 @@ def fit(df: DataFrame, label_col: str, tokens_col: str, *, alpha: float = 1.0,
     counts = (explode_elements(labelled, ["class_name"], with_marker, "token")
               .groupBy("class_name", "token").agg(F.count(F.lit(1)).alias("count"))
               .checkpoint(eager=True))
-    pair_counts = counts.filter(F.col("token") != DOC_MARKER)
-    # one job for both scalars: vocabulary size and number of seen pairs
-    stats = pair_counts.agg(F.countDistinct("token").alias("v"),
-                            F.count(F.lit(1)).alias("pairs")).first()
-    vocab_size, n_pairs = int(stats.v or 0), int(stats.pairs or 0)
-    # K rows (bounded by MAX_CLASSES): rows and tokens per class
+    # K rows (bounded by MAX_CLASSES): rows, tokens and seen pairs per class
+    is_doc = F.col("token") == DOC_MARKER
     per_class = (counts.groupBy("class_name").agg(
-        F.sum(F.when(F.col("token") == DOC_MARKER, F.col("count"))).alias("n_docs"),
-        F.sum(F.when(F.col("token") != DOC_MARKER, F.col("count"))).alias("n_tokens"))
+        F.sum(F.when(is_doc, F.col("count"))).alias("n_docs"),
+        F.sum(F.when(~is_doc, F.col("count"))).alias("n_tokens"),
+        F.count(F.when(~is_doc, 1)).alias("n_pairs"))
         .limit(MAX_CLASSES + 1).collect())
     if len(per_class) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     stats_by = {r.class_name: (int(r.n_docs or 0), int(r.n_tokens or 0)) for r in per_class}
+    n_pairs = sum(int(r.n_pairs or 0) for r in per_class)
     if classes is None:
         names = sorted(stats_by)
     else:
         names = [r.class_name for r in classes.select("class_name", "class_idx")
                  .orderBy("class_idx").limit(MAX_CLASSES + 1).collect()]
+    k = len(names)
+    idx = spark.createDataFrame(list(enumerate(names)), "class_idx int, class_name string")
 
     a = float(alpha)
+    log_a = math.log(a)
+    pairs = (counts.filter(~is_doc).join(F.broadcast(idx), "class_name")
+             .select("token", "class_idx", "count",
+                     (F.ln(F.col("count") + F.lit(a)) - F.lit(log_a)).alias("weight")))
+    if k <= DENSE_MAX_CLASSES:
+        dense = pivot_weights(pairs, k).checkpoint(eager=True)
+        vocab_size = dense.count()          # one row per distinct token: a scan
+        known = dense.select("token")
+    else:
+        dense = None
+        known = pairs.select("token").distinct().checkpoint(eager=True)
+        vocab_size = known.count()
+
     v = float(vocab_size)
     n_total = sum(d for d, _ in stats_by.values())
     rows = []
-    for idx, name in enumerate(names):
+    for i, name in enumerate(names):
         n_docs, n_tokens = stats_by.get(name, (0, 0))
-        rows.append((name, idx, n_docs, n_tokens,
+        rows.append((name, i, n_docs, n_tokens,
                      math.log(n_docs / n_total) if n_docs > 0 else None,
                      math.log(n_tokens + a * v) if n_tokens + a * v > 0 else None))
     classes_out = spark.createDataFrame(rows, CLASS_SCHEMA)
 
-    seen = (pair_counts.join(F.broadcast(classes_out.select("class_name", "class_idx", "log_denom")),
-                             "class_name")
+    seen = (pairs.join(F.broadcast(classes_out.select("class_idx", "log_denom")), "class_idx")
             .select("token", "class_idx", "count",
                     (F.ln(F.col("count") + F.lit(a)) - F.col("log_denom")).alias("log_lik"),
-                    (F.ln(F.col("count") + F.lit(a)) - F.lit(math.log(a))).alias("weight")))
-    marker = (pair_counts.select("token").distinct()
-              .select("token", F.lit(KNOWN).alias("class_idx"), F.lit(0).cast("bigint").alias("count"),
-                      F.lit(None).cast("double").alias("log_lik"), F.lit(1.0).alias("weight")))
-    tokens = seen.unionByName(marker).checkpoint(eager=True)
-    return NaiveBayesModel(classes_out, tokens, vocab_size, a, n_pairs + vocab_size)
+                    "weight"))
+    marker = known.select("token", F.lit(KNOWN).alias("class_idx"),
+                          F.lit(0).cast("bigint").alias("count"),
+                          F.lit(None).cast("double").alias("log_lik"), F.lit(1.0).alias("weight"))
+    # narrow steps from the checkpointed counts (and dense table): no shuffle
+    # to re-run on recovery, so no checkpoint of its own
+    tokens = seen.unionByName(marker)
+    return NaiveBayesModel(classes_out, tokens, vocab_size, a, n_pairs + vocab_size, dense)
 
 
 def _token_side(model: NaiveBayesModel, k: int, broadcast_cells: int) -> DataFrame:
