@@ -37,11 +37,13 @@ def class_table(spark: SparkSession, names: Iterable[str]) -> DataFrame:
 
 
 def classes_from_data(df: DataFrame, label_col: str) -> DataFrame:
-    """Class table of the distinct non-null labels of a column (ranked
-    without a single-partition window)."""
-    distinct = df.select(F.col(label_col).alias("class_name")).dropna().distinct()
-    ranked = global_rank(distinct, [F.col("class_name")], "r")
-    return ranked.select("class_name", (F.col("r") - 1).cast("int").alias("class_idx"))
+    """Class table of the distinct non-null labels of a column.  The
+    distinct is a partially aggregated group-by; at most ``MAX_CLASSES + 1``
+    names reach the driver (more is an error, as a class table is
+    broadcast wherever it is used)."""
+    names = [r[0] for r in df.select(F.col(label_col)).dropna().distinct()
+             .limit(MAX_CLASSES + 1).collect()]
+    return class_table(df.sparkSession, names)
 
 
 def one_hot(idx: str | Column, k: int) -> Column:
