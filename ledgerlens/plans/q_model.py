@@ -30,7 +30,8 @@ def prepared_docs(spark, sf_dir):
     it several times, and recomputing means another shuffle of the texts and
     another pass of the cleaning regex."""
     checkpoint_dir(spark)
-    docs = docs_ledger(spark, sf_dir)
+    # the de-duplication's shuffle spreads the rows before the cleaning runs
+    docs = docs_ledger(spark, sf_dir, spread_rows=False)
     first = dedupe_first(docs, ["Description", "Category"], "doc_id")
     toks = first.select("doc_id", "Category", "Sub_Category",
                         clean_tokens("Description").alias("tokens"))

@@ -53,14 +53,15 @@ def txn_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("l_shipdate").cast("date").alias("Date")))
 
 
-def docs_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents are the text-heavy table: spread them over the cores."""
+def docs_ledger(spark: SparkSession, sf_dir: str, *, spread_rows: bool = True) -> DataFrame:
+    """Documents are the text-heavy table: spread them over the cores, unless
+    the caller's next step is a shuffle anyway (e.g. a de-duplication)."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
         F.col("text").alias("Description"),
         F.col("lang").alias("Category"),
         F.col("source").alias("Sub_Category"))
-    return spread(docs, "doc_id")
+    return spread(docs, "doc_id") if spread_rows else docs
 
 
 def parts_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
