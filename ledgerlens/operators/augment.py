@@ -9,11 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import global_rank
-
 DEFAULT_CAP = 2000
 
 
@@ -52,17 +50,27 @@ def augment_city(merchants: DataFrame, cities: DataFrame, *, order_col: str,
 
     Cities are ranked by ``md5(seed|city)``; the city of rank r goes to the
     merchant at position ``(r - 1) mod n_merchants`` (merchant positions from
-    ``order_col``); ``min(cap, distinct cities)`` rows are produced, each
-    ``Description + ' ' + city``.  Both rankings are distributed
-    (``global_rank``); the final join is an equi-join on the merchant position."""
-    m = global_rank(merchants, [F.col(order_col)], "_m").withColumn("_m", F.col("_m") - 1)
-    n = m.count()
+    ``order_col``, which must be unique); ``min(cap, distinct cities)`` rows
+    are produced, each ``Description + ' ' + city``.
+
+    Only ranks up to ``cap`` are ever used, so neither side is sorted in
+    full: each keeps its first ``cap`` rows by a partial top-k (every task
+    keeps at most ``cap`` rows; the merge sees ``cap`` per task), and the
+    positions are numbered within those ``cap`` rows.  The inputs are only
+    scanned (plus a distinct of the cities and a count of the merchants)."""
+    if cap < 1:
+        raise ValueError("cap must be positive")
+    n = merchants.count()
     if n == 0:
         raise ValueError("no merchants")
+    first = Window.orderBy(order_col)
+    m = (merchants.select(order_col, text_col).orderBy(order_col).limit(min(cap, n))
+         .withColumn("_m", F.row_number().over(first) - 1))
     c = (cities.select(F.col(city_col).alias("city_state")).dropna().distinct()
          .withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("city_state")))))
-    ranked = (global_rank(c, [F.col("_h"), F.col("city_state")], "city_rank")
-              .filter(F.col("city_rank") <= cap)
+    by_hash = Window.orderBy("_h", "city_state")
+    ranked = (c.orderBy("_h", "city_state").limit(cap)
+              .withColumn("city_rank", F.row_number().over(by_hash).cast("bigint"))
               .withColumn("_m", F.pmod(F.col("city_rank") - 1, F.lit(n))))
     return (ranked.join(m, "_m")
             .select("city_rank", F.col(text_col).alias("merchant"), "city_state",
