@@ -4,7 +4,14 @@ A row is in the test set when the first 8 hex digits of
 ``md5(seed || '|' || key)`` fall below ``test_size * 2^32``: a per-row
 expression (no shuffle), stable under any partitioning and expressible in
 SQL.  ``exact=True`` instead takes exactly ``ceil(test_size * n)`` rows with
-the smallest hashes (one distributed sort).
+the smallest (hash, key).
+
+The exact cut-off is found without sorting the data: two histograms of the
+hash prefix (16 bits each, at most 65,536 counts reach the driver) narrow
+the cut-off to one 8-digit hash, and the rows sharing that hash (a handful
+for unique keys) are ordered by key with a bounded top-k (a distributed rank
+beyond ``MAX_TIES``).  Each pass reads only the key column; the flag itself
+is a per-row comparison with the cut-off.
 """
 
 from __future__ import annotations
@@ -17,6 +24,8 @@ from pyspark.sql import functions as F
 from .rank import global_rank
 
 BATCH_SIZE = 64
+LEVEL_DIGITS = 4          # hex digits (16 bits) resolved per histogram pass
+MAX_TIES = 100_000        # rows sharing the cut-off hash ordered by a top-k up to this
 
 
 def split_hash(key: str | Column, seed: int = 42) -> Column:
@@ -36,8 +45,39 @@ def train_test_split(df: DataFrame, key: str, *, test_size: float = 0.33, seed:
         return df.withColumn(flag, h < F.lit(threshold_hex(test_size)))
     n = df.count()
     n_test = math.ceil(test_size * n)
-    ranked = global_rank(df.withColumn("_h", h), [F.col("_h"), F.col(key)], "_r")
-    return ranked.withColumn(flag, F.col("_r") <= F.lit(n_test)).drop("_h", "_r")
+    if n_test == 0:
+        return df.withColumn(flag, F.lit(False))
+    cut_hash, cut_key = exact_cutoff(df, key, h, n_test)
+    k = F.col(key)
+    return df.withColumn(flag, (h < F.lit(cut_hash))
+                         | ((h == F.lit(cut_hash)) & (k <= F.lit(cut_key))))
+
+
+def exact_cutoff(df: DataFrame, key: str, h: Column, rank: int):
+    """``(hash, key)`` of the row at 1-based position ``rank`` in (hash, key)
+    order (``key`` unique, ``1 <= rank <= rows``)."""
+    hashed = df.select(F.col(key).alias("_k"), h.alias("_h"))
+    width = 8
+    prefix, remaining, group_rows = "", rank, None
+    while len(prefix) < width:
+        part = hashed if not prefix else hashed.filter(F.col("_h").startswith(prefix))
+        bucket = F.substring("_h", len(prefix) + 1, LEVEL_DIGITS)
+        # at most 16^LEVEL_DIGITS rows (one per bucket)
+        counts = sorted((r.b, r.n) for r in part.groupBy(bucket.alias("b"))
+                        .agg(F.count(F.lit(1)).alias("n")).collect())
+        for b, c in counts:
+            if remaining <= c:
+                prefix, group_rows = prefix + b, c
+                break
+            remaining -= c
+        else:
+            raise ValueError("rank is larger than the number of rows")
+    ties = hashed.filter(F.col("_h") == prefix).select("_k")
+    if group_rows <= MAX_TIES:
+        last = ties.orderBy("_k").limit(remaining).collect()[-1]
+    else:
+        last = global_rank(ties, [F.col("_k")], "_r").filter(F.col("_r") == remaining).first()
+    return prefix, last["_k"]
 
 
 def split_counts(flagged: DataFrame, flag: str = "is_test",

@@ -1,7 +1,9 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import split
 from ledgerlens.operators.evaluate import class_weights
 from ledgerlens.operators.encode import class_table
 from ledgerlens.operators.split import split_counts, threshold_hex, train_test_split
@@ -36,3 +38,28 @@ def test_class_weights_includes_empty_class(spark):
     assert got["Food"] == (242, round(248 / 243, 6))
     assert got["Pets"] == (3, round(248 / 4, 6))
     assert got["Travel"] == (0, 248.0)
+
+
+def _brute_exact(keys, test_size, seed=42):
+    import hashlib
+    order = sorted(keys, key=lambda k: (hashlib.md5(f"{seed}|{k}".encode()).hexdigest()[:8], k))
+    return set(order[:math.ceil(test_size * len(keys))])
+
+
+@pytest.mark.parametrize("n, test_size", [(1, 0.33), (2, 0.5), (997, 0.33), (3000, 0.9), (50, 0.0)])
+def test_exact_split_matches_sorted_hashes(spark, n, test_size):
+    df = spark.range(0, n).withColumnRenamed("id", "k")
+    got = {r.k for r in train_test_split(df, "k", test_size=test_size, exact=True)
+           .filter("is_test").collect()}
+    assert got == _brute_exact(range(n), test_size)
+
+
+@pytest.mark.parametrize("max_ties", [split.MAX_TIES, 2])
+def test_exact_cutoff_with_heavy_ties(spark, monkeypatch, max_ties):
+    # three hash values shared by many keys: the cut-off falls inside a tie group
+    monkeypatch.setattr(split, "MAX_TIES", max_ties)
+    df = spark.range(0, 300).withColumnRenamed("id", "k")
+    h = F.lpad((F.col("k") % 3).cast("string"), 8, "0")
+    rows = sorted(((f"{k % 3:08d}", k) for k in range(300)))
+    for rank in (1, 99, 100, 101, 250, 300):
+        assert split.exact_cutoff(df, "k", h, rank) == rows[rank - 1]
