@@ -34,6 +34,7 @@ thing read on the driver; they become literals in the scoring expression
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -198,7 +199,7 @@ def _token_side(model: NaiveBayesModel, k: int, broadcast_cells: int) -> DataFra
 
 
 def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
-          broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+          carry: Sequence[str] = (), broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """``(key, scores array<double> indexed by class, pred_idx, pred_label,
     log_norm)`` for every row of ``df`` (rows without a known token get the
     prior's class).  ``key`` must be unique per row.
@@ -209,15 +210,21 @@ def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
     tokens sit in one task, so the shuffle carries one partial row per key).
     With more than ``DENSE_MAX_CLASSES`` classes the join goes to the sparse
     (token, class) table and the sums through a (key, class) aggregate and a
-    per-key map instead."""
+    per-key map instead.
+
+    ``carry`` names short per-row columns (e.g. the true label) to keep in the
+    output: they ride along as extra group-by keys (the key is unique), so no
+    join back to ``df`` is needed.  Keep long text out of it: it would be
+    repeated on every exploded token."""
+    carry = list(carry)
     params = model.class_params()
     a = model.alpha
     k = max(p[0] for p in params) + 1 if params else 0
     by_idx = {p[0]: p for p in params}
-    exploded = df.select(key, F.explode_outer(tokens_col).alias("token"))
+    exploded = df.select(key, *carry, F.explode_outer(tokens_col).alias("token"))
     joined = exploded.join(_token_side(model, k, broadcast_cells), "token", "left")
     if k <= DENSE_MAX_CLASSES:
-        sums = joined.groupBy(key).agg(
+        sums = joined.groupBy(key, *carry).agg(
             F.count("_hit").alias("_known"),
             *[F.sum(f"_w{c}").alias(f"_s{c}") for c in range(k)])
         n_known = F.col("_known")
@@ -230,7 +237,7 @@ def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
         # at most K + 1 entries per key (the known-token row counts matches)
         per_row = per_class.groupBy(key).agg(
             F.map_from_entries(F.collect_list(F.struct("class_idx", "s"))).alias("_m"))
-        sums = df.select(key).join(per_row, key, "left")
+        sums = df.select(key, *carry).join(per_row, key, "left")
 
         def s_of(c: int) -> Column:
             return F.try_element_at(F.col("_m"), F.lit(c))
@@ -252,9 +259,9 @@ def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
                                                   (-i).alias("neg"))),
         lambda t: t["s"].isNotNull()))
     names = F.array(*[F.lit(by_idx[c][1] if c in by_idx else None) for c in range(k)])
-    out = sums.select(key, F.array(*terms).alias("scores")).withColumn(
+    out = sums.select(key, *carry, F.array(*terms).alias("scores")).withColumn(
         "pred_idx", (-best["neg"]).cast("int"))
-    return out.select(key, "scores", "pred_idx",
+    return out.select(key, *carry, "scores", "pred_idx",
                       F.element_at(names, F.col("pred_idx") + 1).alias("pred_label"),
                       log_sum_exp("scores").alias("log_norm"))
 

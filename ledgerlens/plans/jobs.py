@@ -79,10 +79,9 @@ def train_models(spark: SparkSession, source, model_dir: str, *,
         model = nb.fit(train, label, "tokens", alpha=alpha, classes=classes)
         save_nb(model, f"{model_dir}/{head}")
         models[head] = model
-        scored = nb.score(model, test, "_key", "tokens")
-        truth = (test.select("_key", F.col(label).alias("class_name"))
-                 .join(F.broadcast(model.classes.select("class_name", "class_idx")), "class_name"))
-        joined = scored.join(truth, "_key").withColumn(
+        scored = nb.score(model, test, "_key", "tokens", carry=[label])
+        truth_idx = model.classes.select(F.col("class_name").alias(label), "class_idx")
+        joined = scored.join(F.broadcast(truth_idx), label).withColumn(
             "log_p_true", F.element_at("scores", F.col("class_idx") + 1) - F.col("log_norm"))
         m = accuracy_and_loss(joined, label_idx="class_idx", pred_idx="pred_idx",
                               log_p_true="log_p_true").select(F.lit(head).alias("head"), "*")

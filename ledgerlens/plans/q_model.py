@@ -215,10 +215,10 @@ def q_evaluate_nb(spark, sf_dir):
     out = None
     for head, label in HEADS.items():
         model = fit_head(prepared, label)
-        scored = nb.score(model, test, "doc_id", "tokens")
-        truth = (test.select("doc_id", F.col(label).alias("class_name"))
-                 .join(F.broadcast(model.classes.select("class_name", "class_idx")), "class_name"))
-        joined = scored.join(truth, "doc_id").withColumn(
+        # the true label rides through the scoring aggregate: no join back
+        scored = nb.score(model, test, "doc_id", "tokens", carry=[label])
+        truth_idx = model.classes.select(F.col("class_name").alias(label), "class_idx")
+        joined = scored.join(F.broadcast(truth_idx), label).withColumn(
             "log_p_true", F.element_at("scores", F.col("class_idx") + 1) - F.col("log_norm"))
         res = accuracy_and_loss(joined, label_idx="class_idx", pred_idx="pred_idx",
                                 log_p_true="log_p_true")

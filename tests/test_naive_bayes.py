@@ -60,3 +60,18 @@ def test_unknown_tokens_get_largest_prior_and_ties_lowest_index(spark):
     tie = spark.createDataFrame([(1, "b", ["x"]), (2, "a", ["y"])], "k int, label string, toks array<string>")
     got = nb.score(nb.fit(tie, "label", "toks"), te, "k", "toks").collect()
     assert {r.pred_label for r in got} == {"a"}
+
+
+@pytest.mark.parametrize("dense_max", [nb.DENSE_MAX_CLASSES, 1])
+def test_carried_columns_come_through_both_paths(spark, monkeypatch, dense_max):
+    monkeypatch.setattr(nb, "DENSE_MAX_CLASSES", dense_max)
+    tr = spark.createDataFrame([(1, "a", ["x", "y"]), (2, "b", ["z"]), (3, "c", ["q", "x"])],
+                               "k int, label string, toks array<string>")
+    te = spark.createDataFrame([(1, "a", ["x"]), (2, None, []), (3, "c", None), (4, "zz", ["nope"])],
+                               "k int, truth string, toks array<string>")
+    model = nb.fit(tr, "label", "toks")
+    plain = {r.k: r.pred_label for r in nb.score(model, te, "k", "toks").collect()}
+    out = nb.score(model, te, "k", "toks", carry=["truth"])
+    assert out.columns[:2] == ["k", "truth"]
+    got = {r.k: (r.truth, r.pred_label) for r in out.collect()}
+    assert got == {1: ("a", plain[1]), 2: (None, plain[2]), 3: ("c", plain[3]), 4: ("zz", plain[4])}
