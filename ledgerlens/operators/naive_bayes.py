@@ -34,7 +34,7 @@ thing read on the driver; they become literals in the scoring expression
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -220,7 +220,6 @@ def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
     params = model.class_params()
     a = model.alpha
     k = max(p[0] for p in params) + 1 if params else 0
-    by_idx = {p[0]: p for p in params}
     exploded = df.select(key, *carry, F.explode_outer(tokens_col).alias("token"))
     joined = exploded.join(_token_side(model, k, broadcast_cells), "token", "left")
     if k <= DENSE_MAX_CLASSES:
@@ -244,6 +243,16 @@ def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
 
         n_known = F.coalesce(s_of(KNOWN), F.lit(0.0))
 
+    out = sums.select(key, *carry, _score_array(params, a, n_known, s_of).alias("scores"))
+    return _add_predictions(out, {"": (params, "scores")}).select(
+        key, *carry, "scores", "pred_idx", "pred_label", "log_norm")
+
+
+def _score_array(params, alpha: float, n_known: Column, s_of) -> Column:
+    """``array<double>`` of the K class scores (null for a class without
+    training rows) from the matched-token count and the per-class sums."""
+    by_idx = {p[0]: p for p in params}
+    k = max(by_idx) + 1 if by_idx else 0
     terms = []
     for c in range(k):
         p = by_idx.get(c)
@@ -251,19 +260,81 @@ def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
             terms.append(F.lit(None).cast("double"))
             continue
         _, _, log_prior, log_denom = p
-        terms.append(F.lit(log_prior) + n_known * F.lit(math.log(a) - log_denom)
+        terms.append(F.lit(log_prior) + n_known * F.lit(math.log(alpha) - log_denom)
                      + F.coalesce(s_of(c), F.lit(0.0)))
-    scores = F.col("scores")
-    best = F.array_max(F.filter(
-        F.transform(scores, lambda x, i: F.struct(F.round(x, TIE_DECIMALS).alias("s"),
-                                                  (-i).alias("neg"))),
-        lambda t: t["s"].isNotNull()))
-    names = F.array(*[F.lit(by_idx[c][1] if c in by_idx else None) for c in range(k)])
-    out = sums.select(key, *carry, F.array(*terms).alias("scores")).withColumn(
-        "pred_idx", (-best["neg"]).cast("int"))
-    return out.select(key, *carry, "scores", "pred_idx",
-                      F.element_at(names, F.col("pred_idx") + 1).alias("pred_label"),
-                      log_sum_exp("scores").alias("log_norm"))
+    return F.array(*terms)
+
+
+def _add_predictions(df: DataFrame, heads: Mapping[str, tuple]) -> DataFrame:
+    """For each ``prefix -> (class params, scores column)`` add
+    ``{prefix}pred_idx`` (arg-max, lowest index on ties after rounding),
+    ``{prefix}pred_label`` and ``{prefix}log_norm``."""
+    def arg_max(scores: str) -> Column:
+        best = F.array_max(F.filter(
+            F.transform(scores, lambda x, i: F.struct(F.round(x, TIE_DECIMALS).alias("s"),
+                                                      (-i).alias("neg"))),
+            lambda t: t["s"].isNotNull()))
+        return (-best["neg"]).cast("int")
+
+    def names(params) -> Column:
+        by_idx = {p[0]: p[1] for p in params}
+        k = max(by_idx) + 1 if by_idx else 0
+        return F.array(*[F.lit(by_idx.get(c)).cast("string") for c in range(k)])
+
+    with_idx = df.select("*", *[arg_max(sc).alias(f"{p}pred_idx")
+                                for p, (_, sc) in heads.items()])
+    return with_idx.select("*", *[
+        col for p, (params, sc) in heads.items() for col in
+        (F.element_at(names(params), F.col(f"{p}pred_idx") + 1).alias(f"{p}pred_label"),
+         log_sum_exp(sc).alias(f"{p}log_norm"))])
+
+
+def score_heads(models: Mapping[str, NaiveBayesModel], df: DataFrame, key: str,
+                tokens_col: str, *, carry: Sequence[str] = (),
+                broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+    """Several independent classifiers over the same tokens in ONE pass:
+    ``(key, *carry, {head}_scores, {head}_pred_idx, {head}_pred_label,
+    {head}_log_norm, ...)``.  Each head's arg-max is its own (a pair of
+    predictions may be one no taxonomy lists).
+
+    The heads' dense tables (model-sized) are outer-joined on token into one
+    wide table, so the rows are exploded, joined and aggregated once instead
+    of once per head.  Heads with more than ``DENSE_MAX_CLASSES`` classes
+    are scored on their own and joined on the key."""
+    carry = list(carry)
+    params = {h: m.class_params() for h, m in models.items()}
+    ks = {h: (max(p[0] for p in ps) + 1 if ps else 0) for h, ps in params.items()}
+    if any(k > DENSE_MAX_CLASSES for k in ks.values()) or not models:
+        out = None
+        for h, m in models.items():
+            one = score(m, df, key, tokens_col, carry=carry if out is None else (),
+                        broadcast_cells=broadcast_cells)
+            one = one.select(key, *(carry if out is None else []),
+                             *[F.col(c).alias(f"{h}_{c}") for c in
+                               ("scores", "pred_idx", "pred_label", "log_norm")])
+            out = one if out is None else out.join(one, key)
+        return out
+    wide, cells = None, 0
+    for h, m in models.items():
+        k = ks[h]
+        d = m.dense_tokens(k).select(
+            "token", F.col("_hit").alias(f"_hit_{h}"),
+            *[F.col(f"_w{c}").alias(f"_w_{h}_{c}") for c in range(k)])
+        wide = d if wide is None else wide.join(d, "token", "full_outer")
+        cells += m.vocab_size * (k + 1)
+    side = F.broadcast(wide) if cells <= broadcast_cells else wide
+    exploded = df.select(key, *carry, F.explode_outer(tokens_col).alias("token"))
+    sums = exploded.join(side, "token", "left").groupBy(key, *carry).agg(*[
+        agg for h in models for agg in
+        [F.count(f"_hit_{h}").alias(f"_known_{h}"),
+         *[F.sum(f"_w_{h}_{c}").alias(f"_s_{h}_{c}") for c in range(ks[h])]]])
+    out = sums.select(key, *carry, *[
+        _score_array(params[h], models[h].alpha, F.col(f"_known_{h}"),
+                     lambda c, h=h: F.col(f"_s_{h}_{c}")).alias(f"{h}_scores")
+        for h in models])
+    out = _add_predictions(out, {f"{h}_": (params[h], f"{h}_scores") for h in models})
+    return out.select(key, *carry, *[f"{h}_{c}" for h in models for c in
+                                     ("scores", "pred_idx", "pred_label", "log_norm")])
 
 
 def log_sum_exp(scores: str | Column) -> Column:

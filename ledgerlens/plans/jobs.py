@@ -98,14 +98,13 @@ def predict_ledger(spark: SparkSession, source, model_dir: str, out_path: str |
     Every surviving row is labelled, even without a known token."""
     checkpoint_dir(spark)
     rows = prepare(load_ledger(spark, source)).checkpoint(eager=True)
-    out = rows.select("_pos", "Raw_Description",
-                      F.array_join("tokens", " ").alias("Description"))
-    for head, label in HEAD_LABELS.items():
-        model = load_nb(spark, f"{model_dir}/{head}")
-        pred = nb.score(model, rows, "_pos", "tokens").select(
-            "_pos", F.col("pred_label").alias(label))
-        out = out.join(pred, "_pos")
-    out = out.select("_pos", "Description", "Category", "Sub_Category", "Raw_Description")
+    models = {head: load_nb(spark, f"{model_dir}/{head}") for head in HEAD_LABELS}
+    # both heads scored independently, in one pass over the tokens
+    preds = nb.score_heads(models, rows, "_pos", "tokens").select(
+        "_pos", *[F.col(f"{head}_pred_label").alias(label) for head, label in HEAD_LABELS.items()])
+    out = (rows.select("_pos", "Raw_Description", F.array_join("tokens", " ").alias("Description"))
+           .join(preds, "_pos")
+           .select("_pos", "Description", "Category", "Sub_Category", "Raw_Description"))
     if out_path is None:
         return out
     io_csv.write_predictions(out, out_path)

@@ -177,11 +177,12 @@ def q_predict_both(spark, sf_dir):
     (so a pair may lie outside the taxonomy)."""
     prepared = prepared_docs(spark, sf_dir)
     test = prepared.filter(F.col("is_test"))
-    cat = nb.score(fit_head(prepared, "Category"), test, "doc_id", "tokens")
-    sub = nb.score(fit_head(prepared, "Sub_Category"), test, "doc_id", "tokens")
+    models = {"cat": fit_head(prepared, "Category"), "sub": fit_head(prepared, "Sub_Category")}
+    # both heads in one explode / join / aggregate
+    preds = nb.score_heads(models, test, "doc_id", "tokens")
     return (test.select("doc_id", F.array_join("tokens", " ").alias("Description"))
-            .join(cat.select("doc_id", F.col("pred_label").alias("Category")), "doc_id")
-            .join(sub.select("doc_id", F.col("pred_label").alias("Subcategory")), "doc_id"))
+            .join(preds.select("doc_id", F.col("cat_pred_label").alias("Category"),
+                               F.col("sub_pred_label").alias("Subcategory")), "doc_id"))
 
 
 def _eval_sql() -> str:

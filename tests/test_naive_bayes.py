@@ -75,3 +75,27 @@ def test_carried_columns_come_through_both_paths(spark, monkeypatch, dense_max):
     assert out.columns[:2] == ["k", "truth"]
     got = {r.k: (r.truth, r.pred_label) for r in out.collect()}
     assert got == {1: ("a", plain[1]), 2: (None, plain[2]), 3: ("c", plain[3]), 4: ("zz", plain[4])}
+
+
+@pytest.mark.parametrize("dense_max", [nb.DENSE_MAX_CLASSES, 1])
+def test_heads_in_one_pass_equal_separate_scoring(spark, monkeypatch, dense_max):
+    # two heads trained on different rows (one label is often missing), so
+    # their vocabularies differ; dense_max=1 takes the per-head fallback
+    monkeypatch.setattr(nb, "DENSE_MAX_CLASSES", dense_max)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, rng.choice(["x", "y"]), rng.choice(["p", "q", "r", None]),
+             [rng.choice(words) for _ in range(rng.randint(0, 8))]) for i in range(200)]
+    tr = spark.createDataFrame(rows, "k int, a string, b string, toks array<string>")
+    models = {"cat": nb.fit(tr, "a", "toks"), "sub": nb.fit(tr, "b", "toks")}
+    te = spark.createDataFrame(
+        [(i, [rng.choice(words + ["unseen"]) for _ in range(rng.randint(0, 6))]) for i in range(80)]
+        + [(80, None)], "k int, toks array<string>")
+    both = {r.k: r for r in nb.score_heads(models, te, "k", "toks").collect()}
+    assert len(both) == 81
+    for h, m in models.items():
+        alone = {r.k: r for r in nb.score(m, te, "k", "toks").collect()}
+        for k, r in alone.items():
+            assert both[k][f"{h}_pred_label"] == r.pred_label
+            assert both[k][f"{h}_pred_idx"] == r.pred_idx
+            assert math.isclose(both[k][f"{h}_log_norm"], r.log_norm, rel_tol=1e-9)
