@@ -43,3 +43,26 @@ def accuracy_and_loss(scored: DataFrame, *, label_idx: str, pred_idx: str,
         n.cast("bigint").alias("n"),
         fixed6(F.avg((F.col(pred_idx) == F.col(label_idx)).cast("double"))).alias("accuracy"),
         fixed6(F.sum(-F.col(log_p_true)) / F.ceil(n / batch_size)).alias("loss"))
+
+
+def head_metrics(scored: DataFrame, heads: dict[str, tuple[str, str, str]], *,
+                 batch_size: int = BATCH_SIZE) -> DataFrame:
+    """``(head, n, accuracy, loss)`` for several heads in ONE aggregate.
+    ``heads`` maps a head name to its ``(label_idx, pred_idx, log_p_true)``
+    columns; a row counts for a head only where its ``label_idx`` is set
+    (the true label is a class of that head).  Same formulas as
+    ``accuracy_and_loss``."""
+    aggs = []
+    for h, (label_idx, pred_idx, log_p_true) in heads.items():
+        known = F.col(label_idx).isNotNull()
+        n = F.count(F.when(known, 1))
+        aggs += [n.cast("bigint").alias(f"{h}__n"),
+                 fixed6(F.avg(F.when(known, (F.col(pred_idx) == F.col(label_idx))
+                                     .cast("double")))).alias(f"{h}__accuracy"),
+                 fixed6(F.sum(F.when(known, -F.col(log_p_true))) / F.ceil(n / batch_size))
+                 .alias(f"{h}__loss")]
+    wide = scored.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(h).alias("head"), F.col(f"{h}__n").alias("n"),
+                              F.col(f"{h}__accuracy").alias("accuracy"),
+                              F.col(f"{h}__loss").alias("loss")) for h in heads])
+    return wide.select(F.inline(rows))

@@ -337,6 +337,27 @@ def score_heads(models: Mapping[str, NaiveBayesModel], df: DataFrame, key: str,
                                      ("scores", "pred_idx", "pred_label", "log_norm")])
 
 
+def evaluate_heads(models: Mapping[str, NaiveBayesModel], test: DataFrame, key: str,
+                   tokens_col: str, labels: Mapping[str, str]) -> DataFrame:
+    """``(head, n, accuracy, loss)`` of every head on ``test`` (``labels``:
+    head -> true-label column): one scoring pass with the true labels carried
+    through its aggregate, each head's true class index from a broadcast of
+    its K-row class table, and all metrics in one aggregate.  A row counts
+    for a head only when its true label is one of that head's classes."""
+    from .evaluate import head_metrics
+    scored = score_heads(models, test, key, tokens_col, carry=list(dict.fromkeys(labels.values())))
+    cols = {}
+    for head, label in labels.items():
+        idx = f"{head}_true_idx"
+        truth_idx = models[head].classes.select(F.col("class_name").alias(label),
+                                                F.col("class_idx").alias(idx))
+        scored = scored.join(F.broadcast(truth_idx), label, "left").withColumn(
+            f"{head}_log_p_true", F.element_at(f"{head}_scores", F.col(idx) + 1)
+            - F.col(f"{head}_log_norm"))
+        cols[head] = (idx, f"{head}_pred_idx", f"{head}_log_p_true")
+    return head_metrics(scored, cols)
+
+
 def log_sum_exp(scores: str | Column) -> Column:
     s = F.col(scores) if isinstance(scores, str) else scores
     valid = F.filter(s, lambda x: x.isNotNull())

@@ -24,7 +24,6 @@ from ..operators import summary
 from ..operators.columns import drop_unlabelled
 from ..operators.dedupe import dedupe_first
 from ..operators.encode import class_table
-from ..operators.evaluate import accuracy_and_loss
 from ..operators.split import train_test_split
 from ..session import checkpoint_dir
 from ..sources import csv as io_csv
@@ -73,19 +72,12 @@ def train_models(spark: SparkSession, source, model_dir: str, *,
                              test_size=test_size, seed=seed).checkpoint(eager=True)
     train = split.filter(~F.col("is_test"))
     test = split.filter(F.col("is_test"))
-    models, metrics = {}, None
+    models = {}
     for head, label in HEAD_LABELS.items():
         classes = cats if label == "Category" else subs
-        model = nb.fit(train, label, "tokens", alpha=alpha, classes=classes)
-        save_nb(model, f"{model_dir}/{head}")
-        models[head] = model
-        scored = nb.score(model, test, "_key", "tokens", carry=[label])
-        truth_idx = model.classes.select(F.col("class_name").alias(label), "class_idx")
-        joined = scored.join(F.broadcast(truth_idx), label).withColumn(
-            "log_p_true", F.element_at("scores", F.col("class_idx") + 1) - F.col("log_norm"))
-        m = accuracy_and_loss(joined, label_idx="class_idx", pred_idx="pred_idx",
-                              log_p_true="log_p_true").select(F.lit(head).alias("head"), "*")
-        metrics = m if metrics is None else metrics.unionByName(m)
+        models[head] = nb.fit(train, label, "tokens", alpha=alpha, classes=classes)
+        save_nb(models[head], f"{model_dir}/{head}")
+    metrics = nb.evaluate_heads(models, test, "_key", "tokens", HEAD_LABELS)
     metrics.write.mode("overwrite").parquet(f"{model_dir}/metrics")
     return {"metrics": spark.read.parquet(f"{model_dir}/metrics"), "rejects": rejects,
             "models": models}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_tokens, clean_tokens_sql
 from ..operators import naive_bayes as nb
 from ..operators.dedupe import dedupe_first
-from ..operators.evaluate import accuracy_and_loss, fixed6
+from ..operators.evaluate import fixed6
 from ..operators.split import threshold_hex, train_test_split
 from ..session import checkpoint_dir, scratch_path
 from ..sources.models import load_nb
@@ -213,19 +213,8 @@ def q_evaluate_nb(spark, sf_dir):
     split (rows whose true label is a trained class)."""
     prepared = prepared_docs(spark, sf_dir)
     test = prepared.filter(F.col("is_test"))
-    out = None
-    for head, label in HEADS.items():
-        model = fit_head(prepared, label)
-        # the true label rides through the scoring aggregate: no join back
-        scored = nb.score(model, test, "doc_id", "tokens", carry=[label])
-        truth_idx = model.classes.select(F.col("class_name").alias(label), "class_idx")
-        joined = scored.join(F.broadcast(truth_idx), label).withColumn(
-            "log_p_true", F.element_at("scores", F.col("class_idx") + 1) - F.col("log_norm"))
-        res = accuracy_and_loss(joined, label_idx="class_idx", pred_idx="pred_idx",
-                                log_p_true="log_p_true")
-        res = res.select(F.lit(head).alias("head"), "n", "accuracy", "loss")
-        out = res if out is None else out.unionByName(res)
-    return out
+    models = {head: fit_head(prepared, label) for head, label in HEADS.items()}
+    return nb.evaluate_heads(models, test, "doc_id", "tokens", HEADS)
 
 
 # --- rows-only learners ----------------------------------------------------
