@@ -10,8 +10,8 @@ The exact cut-off is found without sorting the data: two histograms of the
 hash prefix (16 bits each, at most 65,536 counts reach the driver) narrow
 the cut-off to one 8-digit hash, and the rows sharing that hash (a handful
 for unique keys) are ordered by key with a bounded top-k (a distributed rank
-beyond ``MAX_TIES``).  Each pass reads only the key column; the flag itself
-is a per-row comparison with the cut-off.
+beyond ``MAX_TIES``).  The passes read a checkpoint of the (key, hash)
+projection alone; the flag itself is a per-row comparison with the cut-off.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from .rank import global_rank
 
 BATCH_SIZE = 64
@@ -43,11 +44,15 @@ def train_test_split(df: DataFrame, key: str, *, test_size: float = 0.33, seed:
     h = split_hash(key, seed)
     if not exact:
         return df.withColumn(flag, h < F.lit(threshold_hex(test_size)))
-    n = df.count()
+    # the passes below read this narrow (key, hash) checkpoint, not the
+    # caller's plan: its upstream runs once here and once for the flag
+    checkpoint_dir(df.sparkSession)
+    pairs = df.select(key, h.alias("_h")).checkpoint(eager=True)
+    n = pairs.count()
     n_test = math.ceil(test_size * n)
     if n_test == 0:
         return df.withColumn(flag, F.lit(False))
-    cut_hash, cut_key = exact_cutoff(df, key, h, n_test)
+    cut_hash, cut_key = exact_cutoff(pairs, key, F.col("_h"), n_test)
     k = F.col(key)
     return df.withColumn(flag, (h < F.lit(cut_hash))
                          | ((h == F.lit(cut_hash)) & (k <= F.lit(cut_key))))
