@@ -63,13 +63,19 @@ def train_models(spark: SparkSession, source, model_dir: str, *,
     rows = drop_unlabelled(prepare(load_ledger(spark, source)))
     cats = class_table(spark, taxonomy.keys())
     subs = class_table(spark, distinct_subs(taxonomy))
-    ok = (rows.join(F.broadcast(cats.select(F.col("class_name").alias("Category"))),
-                    "Category", "left_semi")
-          .join(F.broadcast(subs.select(F.col("class_name").alias("Sub_Category"))),
-                "Sub_Category", "left_semi"))
-    rejects = rows.join(ok.select("_pos"), "_pos", "left_anti")
-    split = train_test_split(ok.withColumn("_key", F.to_json("_pos")), "_key",
-                             test_size=test_size, seed=seed).checkpoint(eager=True)
+    # labels in the taxonomy are flagged by broadcast lookups (bounded class
+    # tables); the split flag is per row, so one checkpoint holds both the
+    # training rows and the rejects and the upstream runs once
+    known = (rows.join(F.broadcast(cats.select(F.col("class_name").alias("Category"),
+                                               F.lit(True).alias("_cat_ok"))), "Category", "left")
+             .join(F.broadcast(subs.select(F.col("class_name").alias("Sub_Category"),
+                                           F.lit(True).alias("_sub_ok"))), "Sub_Category", "left")
+             .withColumn("_known", F.coalesce(F.col("_cat_ok") & F.col("_sub_ok"), F.lit(False)))
+             .drop("_cat_ok", "_sub_ok"))
+    flagged = train_test_split(known.withColumn("_key", F.to_json("_pos")), "_key",
+                               test_size=test_size, seed=seed).checkpoint(eager=True)
+    rejects = flagged.filter(~F.col("_known")).select(*rows.columns)
+    split = flagged.filter(F.col("_known"))
     train = split.filter(~F.col("is_test"))
     test = split.filter(F.col("is_test"))
     models = {}
