@@ -67,13 +67,18 @@ class NaiveBayesModel:
     alpha: float
     token_rows: int
     _dense: DataFrame | None = field(default=None, repr=False, compare=False)
+    _params: list | None = field(default=None, repr=False, compare=False)
 
     def class_params(self) -> list[tuple[int, str, float | None, float]]:
-        rows = (self.classes.select("class_idx", "class_name", "log_prior", "log_denom")
-                .orderBy("class_idx").limit(MAX_CLASSES + 1).collect())
-        if len(rows) > MAX_CLASSES:
-            raise ValueError(f"more than {MAX_CLASSES} classes")
-        return [(r.class_idx, r.class_name, r.log_prior, r.log_denom) for r in rows]
+        """The K class rows, read once per model (scoring every micro-batch of
+        a stream does not re-run this job)."""
+        if self._params is None:
+            rows = (self.classes.select("class_idx", "class_name", "log_prior", "log_denom")
+                    .orderBy("class_idx").limit(MAX_CLASSES + 1).collect())
+            if len(rows) > MAX_CLASSES:
+                raise ValueError(f"more than {MAX_CLASSES} classes")
+            self._params = [(r.class_idx, r.class_name, r.log_prior, r.log_denom) for r in rows]
+        return self._params
 
     def dense_tokens(self, k: int) -> DataFrame:
         """``(token, _hit, _w0 .. _w{k-1})``: one row per vocabulary token with
@@ -183,7 +188,10 @@ def fit(df: DataFrame, label_col: str, tokens_col: str, *, alpha: float = 1.0,
     # narrow steps from the checkpointed counts (and dense table): no shuffle
     # to re-run on recovery, so no checkpoint of its own
     tokens = seen.unionByName(marker)
-    return NaiveBayesModel(classes_out, tokens, vocab_size, a, n_pairs + vocab_size, dense)
+    params = [(i, name, log_prior, log_denom)
+              for name, i, _, _, log_prior, log_denom in rows]
+    return NaiveBayesModel(classes_out, tokens, vocab_size, a, n_pairs + vocab_size,
+                           dense, params)
 
 
 def _token_side(model: NaiveBayesModel, k: int, broadcast_cells: int) -> DataFrame:
