@@ -79,3 +79,23 @@ def test_no_generate_filter_reevaluating_cleaning(spark):
     from ledgerlens.functions.arrays import explode_elements
     plan = _plan(explode_elements(toks, ["doc_id"], "tokens", "token"))
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_two_heads_shuffle_the_documents_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    toks = docs.select("doc_id", "lang", "source", clean_tokens("text").alias("tokens"))
+    models = {"cat": nb.fit(toks, "lang", "tokens"), "sub": nb.fit(toks, "source", "tokens")}
+    plan = _run_plan(nb.score_heads(models, toks, "doc_id", "tokens", carry=["lang"]))
+    # the only exchange on the document side is the one keyed by the row key;
+    # the others are the model-sized outer join of the dense tables on token
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1
+    assert plan.count("BroadcastHashJoin") == 1
+
+
+def test_exact_split_flags_without_a_shuffle(spark):
+    from ledgerlens.operators.split import train_test_split
+    part = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_name")
+    flagged = train_test_split(part, "p_partkey", exact=True)
+    plan = _run_plan(flagged)
+    assert "Exchange" not in plan and "Sort" not in plan
+    assert flagged.filter("is_test").count() == -(-33 * part.count() // 100)
