@@ -10,7 +10,7 @@ idempotent, batch-id-named sink folder).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,13 +31,21 @@ def dedupe_stream(stream: DataFrame, keys: Sequence[str], event_time: str,
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def score_batches(model: nb.NaiveBayesModel, key: str, text_col: str,
+def score_batches(model: nb.NaiveBayesModel | Mapping[str, nb.NaiveBayesModel], key: str,
+                  text_col: str,
                   sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: clean, score, hand ``(key, pred_label)``
-    to ``sink(predictions, batch_id)``."""
+    """A ``foreachBatch`` function: clean, score, hand the predictions to
+    ``sink(predictions, batch_id)``: ``(key, pred_label)`` for one model, or
+    ``(key, {head}_pred_label, ...)`` for a mapping of heads, all scored in
+    one pass.  The models' class parameters and dense tables are read once
+    and reused by every micro-batch."""
     def run(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(key, clean_tokens(text_col).alias("_tokens"))
-        preds = nb.score(model, rows, key, "_tokens").select(key, "pred_label")
+        if isinstance(model, Mapping):
+            preds = nb.score_heads(model, rows, key, "_tokens").select(
+                key, *[f"{h}_pred_label" for h in model])
+        else:
+            preds = nb.score(model, rows, key, "_tokens").select(key, "pred_label")
         sink(preds, batch_id)
     return run
 
@@ -49,7 +57,8 @@ def parquet_sink(path: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
-def score_stream(model: nb.NaiveBayesModel, stream: DataFrame, key: str, text_col: str,
+def score_stream(model: nb.NaiveBayesModel | Mapping[str, nb.NaiveBayesModel],
+                 stream: DataFrame, key: str, text_col: str,
                  sink: Callable[[DataFrame, int], None], checkpoint: str,
                  available_now: bool = False) -> StreamingQuery:
     writer = (stream.writeStream.foreachBatch(score_batches(model, key, text_col, sink))

@@ -24,3 +24,20 @@ def test_stream_scores_match_batch(spark):
     q.awaitTermination(300)
     got = {r.doc_id: r.pred_label for r in spark.read.parquet(out).collect()}
     assert got == want
+
+
+def test_stream_scores_both_heads_in_one_pass(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    toks = docs.select("doc_id", "lang", "source", clean_tokens("text").alias("tokens"))
+    models = {"cat": nb.fit(toks, "lang", "tokens"), "sub": nb.fit(toks, "source", "tokens")}
+    want = {r.doc_id: (r.cat_pred_label, r.sub_pred_label)
+            for r in nb.score_heads(models, toks, "doc_id", "tokens").collect()}
+
+    stream = (spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet")
+              .parquet(SF))
+    out = scratch_path(spark, "stream-heads-out")
+    q = score_stream(models, stream, "doc_id", "text", parquet_sink(out),
+                     checkpoint=scratch_path(spark, "stream-heads-ckpt"), available_now=True)
+    q.awaitTermination(300)
+    got = {r.doc_id: (r.cat_pred_label, r.sub_pred_label) for r in spark.read.parquet(out).collect()}
+    assert got == want
