@@ -233,7 +233,7 @@ def q_train_lr(spark, sf_dir):
 @register("predict_udf", None)
 def q_predict_udf(spark, sf_dir):
     """A model object applied batch by batch (64 rows) to hashed token ids of
-    whole documents, via ``mapInPandas``."""
+    whole documents, via ``mapInArrow``."""
     from ..operators.batch import batch_predict, bucket_ids, hashed_nb_predict_fn
     prepared = prepared_docs(spark, sf_dir).withColumn("ids", bucket_ids("tokens"))
     make_fn, labels = hashed_nb_predict_fn(prepared.filter(~F.col("is_test")), "Category", "ids")
