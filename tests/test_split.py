@@ -63,3 +63,17 @@ def test_exact_cutoff_with_heavy_ties(spark, monkeypatch, max_ties):
     rows = sorted(((f"{k % 3:08d}", k) for k in range(300)))
     for rank in (1, 99, 100, 101, 250, 300):
         assert split.exact_cutoff(df, "k", h, rank) == rows[rank - 1]
+
+
+def test_head_metrics_equal_per_head_accuracy_and_loss(spark):
+    from ledgerlens.operators.evaluate import accuracy_and_loss, head_metrics
+    rows = [(i, i % 3 if i % 7 else None, (i * 5) % 3, -0.1 * (i % 4) - 0.01,
+             i % 2, (i + 1) % 2, -0.2) for i in range(150)]
+    df = spark.createDataFrame(
+        rows, "k int, a_true int, a_pred int, a_lp double, b_true int, b_pred int, b_lp double")
+    got = {r.head: (r.n, r.accuracy, r.loss) for r in head_metrics(
+        df, {"a": ("a_true", "a_pred", "a_lp"), "b": ("b_true", "b_pred", "b_lp")}).collect()}
+    for h in ("a", "b"):
+        one = accuracy_and_loss(df.filter(F.col(f"{h}_true").isNotNull()), label_idx=f"{h}_true",
+                                pred_idx=f"{h}_pred", log_p_true=f"{h}_lp").first()
+        assert got[h] == (one.n, one.accuracy, one.loss)
