@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_CAP = 2000
+from .rank import global_rank
 
 
 def _c(x: str | Column) -> Column:
@@ -45,36 +45,33 @@ def shuffle_words(df: DataFrame, key: str, text_col: str = "Description", *,
 
 def augment_city(merchants: DataFrame, cities: DataFrame, *, order_col: str,
                  text_col: str = "Description", city_col: str = "city_state",
-                 cap: int = DEFAULT_CAP, seed: int = 42) -> DataFrame:
+                 cap: int | None = None, seed: int = 42) -> DataFrame:
     """Attach distinct cities to merchants round-robin.
 
     Cities are ranked by ``md5(seed|city)``; the city of rank r goes to the
     merchant at position ``(r - 1) mod n_merchants`` (merchant positions from
-    ``order_col``, which must be unique); ``min(cap, distinct cities)`` rows
-    are produced, each ``Description + ' ' + city``.
-
-    Only ranks up to ``cap`` are ever used, so neither side is sorted in
-    full: each keeps its first ``cap`` rows by a partial top-k (every task
-    keeps at most ``cap`` rows; the merge sees ``cap`` per task), and the
-    positions are numbered within those ``cap`` rows.  The inputs are only
-    scanned (plus a distinct of the cities and a count of the merchants)."""
-    if cap < 1:
+    ``order_col``, which must be unique).  Every distinct city gives a row (the
+    first ``cap`` ones if a cap is asked for) with all columns of its merchant,
+    the text extended by the city, and ``city_rank, merchant, city_state``.
+
+    Positions come from range-partitioned sorts (``global_rank``), never from
+    one task; merchants are then met by a join on the position."""
+    if cap is not None and cap < 1:
         raise ValueError("cap must be positive")
+    ranked = global_rank(merchants, [order_col], "_m").withColumn("_m", F.col("_m") - 1)
     n = merchants.count()
     if n == 0:
         raise ValueError("no merchants")
-    first = Window.orderBy(order_col)
-    m = (merchants.select(order_col, text_col).orderBy(order_col).limit(min(cap, n))
-         .withColumn("_m", F.row_number().over(first) - 1))
     c = (cities.select(F.col(city_col).alias("city_state")).dropna().distinct()
          .withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("city_state")))))
-    by_hash = Window.orderBy("_h", "city_state")
-    ranked = (c.orderBy("_h", "city_state").limit(cap)
-              .withColumn("city_rank", F.row_number().over(by_hash).cast("bigint"))
-              .withColumn("_m", F.pmod(F.col("city_rank") - 1, F.lit(n))))
-    return (ranked.join(m, "_m")
-            .select("city_rank", F.col(text_col).alias("merchant"), "city_state",
-                    F.concat(F.col(text_col), F.lit(" "), F.col("city_state")).alias(text_col)))
+    c = global_rank(c, ["_h", "city_state"], "city_rank").drop("_h")
+    if cap is not None:
+        c = c.where(F.col("city_rank") <= cap)
+    c = c.withColumn("_m", F.pmod(F.col("city_rank") - 1, F.lit(n)))
+    text = F.concat(F.col(text_col), F.lit(" "), F.col("city_state")).alias(text_col)
+    return c.join(ranked, "_m").select(
+        "city_rank", F.col(text_col).alias("merchant"), "city_state", text,
+        *[x for x in merchants.columns if x not in (text_col, order_col)])
 
 
 def compose_description(name: str | Column, address: str | Column, categories: str | Column,

@@ -26,13 +26,16 @@ from pyspark.sql import functions as F
 from ..functions.arrays import explode_elements
 
 DEFAULT_BUCKETS = 1 << 16
-MAX_PARAMS = 50_000_000
+MAX_PARAMS = 8_000_000      # classes x buckets: the counts the driver holds
 
 
 def bucket_ids(tokens: str | Column, buckets: int = DEFAULT_BUCKETS) -> Column:
-    """Token -> bucket id in ``[1, buckets]`` (0 stays free for padding)."""
+    """Token -> bucket id in ``[1, buckets]`` (0 stays free for padding): the
+    first 32 bits of its md5, modulo ``buckets``, so any engine can repeat it."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    return F.transform(t, lambda w: (F.pmod(F.xxhash64(w), F.lit(buckets)) + 1).cast("int"))
+    return F.transform(t, lambda w: (F.pmod(
+        F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)) + 1)
+        .cast("int"))
 
 
 def batch_predict(df: DataFrame, key: str, input_col: str,
@@ -49,11 +52,12 @@ def batch_predict(df: DataFrame, key: str, input_col: str,
     def run(batches):
         predict = make_predict_fn()
         for rb in batches:
-            keys, inputs = rb.column(key), rb.column(input_col)
-            for start in range(0, rb.num_rows, batch_size):
-                preds = np.asarray(predict(inputs.slice(start, batch_size)))
+            inputs = rb.column(input_col)
+            preds = [np.asarray(predict(inputs.slice(start, batch_size)))
+                     for start in range(0, rb.num_rows, batch_size)]
+            if preds:
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(start, batch_size), pa.array(preds, type=arrow_out)],
+                    [rb.column(key), pa.array(np.concatenate(preds), type=arrow_out)],
                     names=[key, out_col])
 
     return df.select(key, input_col).mapInArrow(run, schema)

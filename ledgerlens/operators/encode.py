@@ -21,7 +21,8 @@ PAD_ID = 0
 UNKNOWN_ID = 100
 FIRST_TOKEN_ID = 101
 UNKNOWN_TOKEN = "[UNK]"
-MAX_CLASSES = 100_000
+MAX_CLASSES = 2_000        # class tables are broadcast and become literals
+BROADCAST_TOKENS = 2_000_000   # vocabulary rows broadcast up to this
 
 
 # --- labels ----------------------------------------------------------------
@@ -63,7 +64,9 @@ def argmax_index(vec: str | Column) -> Column:
 def encode_labels(df: DataFrame, label_col: str, classes: DataFrame, *,
                   idx_col: str, vec_col: str | None = None, k: int | None = None) -> DataFrame:
     """Left join to the class table: unknown labels keep the row with a null
-    index.  The class table is bounded (taxonomy), hence broadcast."""
+    index.  The class table is broadcast after a check of its size."""
+    if classes.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     cls = classes.select(F.col("class_name").alias(label_col),
                          F.col("class_idx").alias(idx_col))
     out = df.join(F.broadcast(cls), label_col, "left")
@@ -92,24 +95,33 @@ def explode_tokens(df: DataFrame, key: str, tokens_col: str) -> DataFrame:
 
 
 def token_ids(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
-              out_col: str = "token_ids") -> DataFrame:
+              out_col: str = "token_ids", *,
+              broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """``(key, out_col)``: the id of every token in order (unknown -> 100),
     for every row of ``df`` (null tokens -> null, empty -> []).
 
-    Tokens are exploded with their position, joined to the vocabulary (AQE
-    broadcasts it when its measured size allows, otherwise a sort-merge join
-    whose hot keys AQE splits) and regrouped per row key.  The regrouping
-    ``collect_list`` is combined map-side: the exploded rows of one row sit in
-    one task, so the shuffle carries one array per row, not one row per
-    token.  Row text never travels with the tokens."""
+    The vocabulary is broadcast when it has at most ``broadcast_tokens`` rows:
+    the exploded rows of a key then sit in one task and its ids are collected
+    there, so the shuffle carries one array per row.  A larger one is met by a
+    shuffle join of distinct (key, token) pairs with their positions, so a common
+    token is sent once per row that has it.  Row text never travels with the
+    tokens."""
     arr = F.col(tokens_col)
     exploded = df.select(key, arr.isNull().alias("_null"),
                          F.posexplode_outer(arr).alias("pos", "token"))
-    joined = exploded.join(vocab.select("token", "token_id"), "token", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct(
-        "pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id")))
+    pairs = vocab.select("token", "token_id")
+    known = F.coalesce("token_id", F.lit(UNKNOWN_ID))
+    if vocab.limit(broadcast_tokens + 1).count() <= broadcast_tokens:
+        joined = exploded.join(F.broadcast(pairs), "token", "left")
+        item = F.collect_list(F.when(F.col("pos").isNotNull(),
+                                     F.struct("pos", known.alias("id"))))
+    else:
+        places = exploded.groupBy(key, "_null", "token").agg(F.collect_list("pos").alias("_at"))
+        joined = places.join(pairs, "token", "left")
+        item = F.flatten(F.collect_list(F.transform(
+            "_at", lambda p: F.struct(p.alias("pos"), known.alias("id")))))
     return (joined.groupBy(key)
-            .agg(F.sort_array(F.collect_list(item)).alias("_p"), F.max("_null").alias("_null"))
+            .agg(F.sort_array(item).alias("_p"), F.max("_null").alias("_null"))
             .select(key, F.when(F.col("_null"), F.lit(None))
                     .otherwise(F.transform("_p", lambda s: s["id"].cast("int"))).alias(out_col)))
 
@@ -121,19 +133,30 @@ def pad_ids(ids: str | Column, length: int) -> Column:
 
 
 def decode_ids(df: DataFrame, key: str, ids_col: str, vocab: DataFrame,
-               out_col: str = "decoded", drop_pad: bool = True) -> DataFrame:
+               out_col: str = "decoded", drop_pad: bool = True, *,
+               broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """``(key, out_col)``: ids back to text (pads dropped, unknown ids as
-    ``[UNK]``), words joined by one space; null ids -> null."""
+    ``[UNK]``), words joined by one space; null ids -> null.  Planned as
+    ``token_ids``."""
     arr = F.col(ids_col)
     exploded = df.select(key, arr.isNull().alias("_null"),
                          F.posexplode_outer(arr).alias("pos", "token_id"))
     keep = F.col("pos").isNotNull()
     if drop_pad:
         keep = keep & (F.col("token_id") != PAD_ID)
-    joined = exploded.join(vocab.select("token_id", "token"), "token_id", "left")
-    item = F.when(keep, F.struct("pos", F.coalesce("token", F.lit(UNKNOWN_TOKEN)).alias("w")))
+    pairs = vocab.select("token_id", "token")
+    word = F.coalesce("token", F.lit(UNKNOWN_TOKEN))
+    if vocab.limit(broadcast_tokens + 1).count() <= broadcast_tokens:
+        joined = exploded.join(F.broadcast(pairs), "token_id", "left")
+        item = F.collect_list(F.when(keep, F.struct("pos", word.alias("w"))))
+    else:
+        places = exploded.withColumn("_keep", keep).groupBy(key, "_null", "token_id").agg(
+            F.collect_list(F.when(F.col("_keep"), F.col("pos"))).alias("_at"))
+        joined = places.join(pairs, "token_id", "left")
+        item = F.flatten(F.collect_list(F.transform(
+            "_at", lambda p: F.struct(p.alias("pos"), word.alias("w")))))
     return (joined.groupBy(key)
-            .agg(F.sort_array(F.collect_list(item)).alias("_p"), F.max("_null").alias("_null"))
+            .agg(F.sort_array(item).alias("_p"), F.max("_null").alias("_null"))
             .select(key, F.when(F.col("_null"), F.lit(None))
                     .otherwise(F.array_join(F.transform("_p", lambda s: s["w"]), " "))
                     .alias(out_col)))

@@ -20,11 +20,12 @@ def class_weights(labels: DataFrame, label_col: str, classes: DataFrame) -> Data
     """``(class_name, class_idx, n, weight)`` for every class, observed or
     not: ``weight = (N + K) / (n + 1)`` with N the rows whose label is a known
     class and K the number of classes.  Labels outside the class table are
-    not counted.  Counting is a partially aggregated group-by; the totals are
-    taken over the K-row result (bounded by the class table)."""
-    counts = (labels.groupBy(F.col(label_col).alias("class_name"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    per_class = (F.broadcast(classes).join(counts, "class_name", "left")
+    not counted, so what is counted and broadcast is bounded by the class
+    table (whose size is checked where it is made)."""
+    known = labels.select(F.col(label_col).alias("class_name")).join(
+        F.broadcast(classes.select("class_name")), "class_name", "left_semi")
+    counts = known.groupBy("class_name").agg(F.count(F.lit(1)).alias("n"))
+    per_class = (classes.join(F.broadcast(counts), "class_name", "left")
                  .withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint")))
     everything = Window.partitionBy()
     return per_class.select(
@@ -46,8 +47,9 @@ def accuracy_and_loss(scored: DataFrame, *, label_idx: str, pred_idx: str,
 
 
 def head_metrics(scored: DataFrame, heads: dict[str, tuple[str, str, str]], *,
-                 batch_size: int = BATCH_SIZE) -> DataFrame:
-    """``(head, n, accuracy, loss)`` for several heads in ONE aggregate.
+                 batch_size: int = BATCH_SIZE, split: str | None = None) -> DataFrame:
+    """``(head, n, accuracy, loss)`` for several heads in ONE aggregate, with
+    ``split`` for each value of that column.
     ``heads`` maps a head name to its ``(label_idx, pred_idx, log_p_true)``
     columns; a row counts for a head only where its ``label_idx`` is set
     (the true label is a class of that head).  Same formulas as
@@ -61,8 +63,9 @@ def head_metrics(scored: DataFrame, heads: dict[str, tuple[str, str, str]], *,
                                      .cast("double")))).alias(f"{h}__accuracy"),
                  fixed6(F.sum(F.when(known, -F.col(log_p_true))) / F.ceil(n / batch_size))
                  .alias(f"{h}__loss")]
-    wide = scored.agg(*aggs)
+    by = [split] if split else []
+    wide = scored.groupBy(*by).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(h).alias("head"), F.col(f"{h}__n").alias("n"),
                               F.col(f"{h}__accuracy").alias("accuracy"),
                               F.col(f"{h}__loss").alias("loss")) for h in heads])
-    return wide.select(F.inline(rows))
+    return wide.select(*by, F.inline(rows))

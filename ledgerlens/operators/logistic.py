@@ -1,16 +1,17 @@
-"""Second learner: Spark ML ``CountVectorizer -> IDF -> LogisticRegression``.
+"""Second learner: Spark ML ``HashingTF -> IDF -> LogisticRegression``.
 
 Labels are indexed in sorted order (the same class index as elsewhere) and
 rows may carry per-class weights (``class_weights``) as ``weightCol``.
-Training is Spark ML's distributed L-BFGS (tree aggregation of gradients);
-the vocabulary is bounded by ``vocab_size``.
+Training is Spark ML's distributed L-BFGS (tree aggregation of gradients).
+Every token counts: it is hashed to one of ``features`` dimensions, which fixes
+the model's size (classes x features) without a vocabulary on the driver.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, StringIndexer
+from pyspark.ml.feature import IDF, HashingTF, IndexToString, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +19,19 @@ from .encode import classes_from_data
 from .evaluate import class_weights
 
 
+FEATURES = 1 << 18       # dimensions tokens are hashed to
+
+
 def fit_lr(train: DataFrame, label_col: str, tokens_col: str, *, weighted: bool = True,
-           vocab_size: int = 1 << 16, max_iter: int = 20, reg_param: float = 0.01) -> PipelineModel:
+           features: int = FEATURES, max_iter: int = 20, reg_param: float = 0.01) -> PipelineModel:
     data = train.filter(F.col(label_col).isNotNull())
+    # one pass for the classes (checked for size); they give index and weights
+    cls = classes_from_data(data, label_col)
+    names = [r.class_name for r in cls.orderBy("class_idx").collect()]
     stages = [
-        StringIndexer(inputCol=label_col, outputCol="_label_idx",
-                      stringOrderType="alphabetAsc", handleInvalid="skip"),
-        CountVectorizer(inputCol=tokens_col, outputCol="_tf", vocabSize=vocab_size),
+        StringIndexerModel.from_labels(names, inputCol=label_col, outputCol="_label_idx",
+                                       handleInvalid="skip"),
+        HashingTF(inputCol=tokens_col, outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_features"),
     ]
     lr = LogisticRegression(featuresCol="_features", labelCol="_label_idx",
@@ -32,7 +39,6 @@ def fit_lr(train: DataFrame, label_col: str, tokens_col: str, *, weighted: bool
                             rawPredictionCol="_raw", maxIter=max_iter, regParam=reg_param,
                             family="multinomial")
     if weighted:
-        cls = classes_from_data(data, label_col)
         w = class_weights(data, label_col, cls).select(
             F.col("class_name").alias(label_col), F.col("weight").alias("_w"))
         data = data.join(F.broadcast(w), label_col)

@@ -45,7 +45,8 @@ from ..functions.arrays import explode_elements
 from .encode import MAX_CLASSES, class_table
 
 KNOWN = -1               # class index of the per-token "in vocabulary" row
-DENSE_MAX_CLASSES = 256  # up to this many classes: one weight column per class
+DENSE_MAX_CLASSES = 96   # up to this many classes: one weight column per class, which
+                         # keeps the aggregate inside code generation (100 fields)
 BROADCAST_CELLS = 8_000_000   # dense token table cells (V x (K + 1)) broadcast below this
 TIE_DECIMALS = 9         # scores are compared after rounding to this many places
 
@@ -113,28 +114,49 @@ def pivot_weights(pairs: DataFrame, k: int) -> DataFrame:
 def fit(df: DataFrame, label_col: str, tokens_col: str, *, alpha: float = 1.0,
         classes: DataFrame | list[str] | None = None) -> NaiveBayesModel:
     """Train on rows with a non-null label that is a known class.  Without a
-    class list the distinct labels are the classes (sorted = index order).
-
-    One pass over the training rows: each row explodes into its tokens plus
-    one marker, and a single partially aggregated group-by on (class, token)
-    yields token counts and (from the marker) row counts per class.  That
-    result is checkpointed; everything else derives from it: the K class
-    rows (read on the driver), the dense scoring table (the only other
-    shuffle, keyed by token; its row count is the vocabulary size) and the
-    sparse token table (a narrow union, no shuffle)."""
-    spark = df.sparkSession
-    labelled = (df.select(F.col(label_col).alias("class_name"), F.col(tokens_col).alias("toks"))
-                .filter(F.col("class_name").isNotNull()))
-    if isinstance(classes, (list, tuple)):
-        classes = class_table(spark, classes)
-    if classes is not None:
-        labelled = labelled.join(F.broadcast(classes.select("class_name")), "class_name",
-                                 "left_semi")
-    with_marker = F.concat(F.array(F.lit(DOC_MARKER)),
-                           F.coalesce("toks", F.array().cast("array<string>")))
-    counts = (explode_elements(labelled, ["class_name"], with_marker, "token")
-              .groupBy("class_name", "token").agg(F.count(F.lit(1)).alias("count"))
-              .checkpoint(eager=True))
+    class list the distinct labels are the classes (sorted = index order)."""
+    return fit_heads(df, {"": label_col}, tokens_col, alpha=alpha, classes={"": classes})[""]
+
+
+def fit_heads(df: DataFrame, labels: Mapping[str, str], tokens_col: str, *, alpha: float = 1.0,
+              classes: Mapping[str, DataFrame | list[str] | None] | None = None,
+              ) -> dict[str, NaiveBayesModel]:
+    """One model per head (``labels``: head -> label column) from ONE pass over
+    the training rows: each row explodes into its tokens plus one marker, and a
+    single partially aggregated group-by on (all labels, token) counts them.
+    That result is checkpointed; the heads' own counts are small aggregates of
+    it.  Empty tokens are not counted."""
+    columns = list(dict.fromkeys(labels.values()))
+    real = F.filter(F.coalesce(F.col(tokens_col), F.array().cast("array<string>")),
+                    lambda t: t != DOC_MARKER)
+    with_marker = F.concat(F.array(F.lit(DOC_MARKER)), real)
+    joint = (explode_elements(df, columns, with_marker, "token")
+             .groupBy(*columns, "token").agg(F.count(F.lit(1)).alias("count"))
+             .checkpoint(eager=True))
+    out = {}
+    for head, label in labels.items():
+        known = joint.select(F.col(label).alias("class_name"), "token", "count") \
+            .where(F.col("class_name").isNotNull())
+        own = (classes or {}).get(head)
+        if isinstance(own, (list, tuple)):
+            own = class_table(df.sparkSession, own)
+        if own is not None:
+            if own.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+                raise ValueError(f"more than {MAX_CLASSES} classes")
+            known = known.join(F.broadcast(own.select("class_name")), "class_name", "left_semi")
+        if len(columns) > 1:
+            known = known.groupBy("class_name", "token").agg(F.sum("count").alias("count"))
+            known = known.checkpoint(eager=True)
+        out[head] = _from_counts(known, own, alpha)
+    return out
+
+
+def _from_counts(counts: DataFrame, classes: DataFrame | None, alpha: float) -> NaiveBayesModel:
+    """A model from ``(class_name, token, count)``, the marker's count being the
+    class's rows: the K class rows (read on the driver), the dense scoring table
+    (the only shuffle, keyed by token; its row count is the vocabulary size) and
+    the sparse token table (a narrow union, no shuffle)."""
+    spark = counts.sparkSession
     # K rows (bounded by MAX_CLASSES): rows, tokens and seen pairs per class
     is_doc = F.col("token") == DOC_MARKER
     per_class = (counts.groupBy("class_name").agg(
@@ -194,16 +216,40 @@ def fit(df: DataFrame, label_col: str, tokens_col: str, *, alpha: float = 1.0,
                            dense, params)
 
 
-def _token_side(model: NaiveBayesModel, k: int, broadcast_cells: int) -> DataFrame:
-    """The token table the documents join to, hinted for broadcast only when
-    its exact size (known from the fit) is under the bound."""
+def _sized_side(model: NaiveBayesModel, k: int, broadcast_cells: int) -> tuple[DataFrame, bool]:
+    """The token table the documents join to, and whether its exact size (known
+    from the fit) allows a broadcast."""
     if k <= DENSE_MAX_CLASSES:
-        side = model.dense_tokens(k)
-        cells = model.vocab_size * (k + 1)
-    else:
-        side = model.tokens.select("token", "class_idx", "weight")
-        cells = model.token_rows * 3
-    return F.broadcast(side) if cells <= broadcast_cells else side
+        return model.dense_tokens(k), model.vocab_size * (k + 1) <= broadcast_cells
+    return (model.tokens.select("token", "class_idx", "weight"),
+            model.token_rows * 3 <= broadcast_cells)
+
+
+def _token_side(model: NaiveBayesModel, k: int, broadcast_cells: int) -> DataFrame:
+    """``_sized_side`` with its broadcast hint, where the size allows one."""
+    side, fits = _sized_side(model, k, broadcast_cells)
+    return F.broadcast(side) if fits else side
+
+
+def _occurrences(df: DataFrame, keys: list, tokens_col: str, broadcast: bool) -> DataFrame:
+    """``(*keys, token)``: every token of every row, or, for a shuffle join, each
+    distinct token of a row once with its count ``_n``, so a common token is sent
+    once per row that has it."""
+    exploded = df.select(*keys, F.explode_outer(tokens_col).alias("token"))
+    if broadcast:
+        return exploded
+    return exploded.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _times(weight: str, counted: bool) -> Column:
+    return F.col(weight) * F.col("_n") if counted else F.col(weight)
+
+
+def _hits(hit: str, counted: bool) -> Column:
+    """Known tokens of a row."""
+    if not counted:
+        return F.count(hit)
+    return F.coalesce(F.sum(F.when(F.col(hit), F.col("_n"))), F.lit(0))
 
 
 def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
@@ -228,19 +274,21 @@ def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
     params = model.class_params()
     a = model.alpha
     k = max(p[0] for p in params) + 1 if params else 0
-    exploded = df.select(key, *carry, F.explode_outer(tokens_col).alias("token"))
+    _, fits = _sized_side(model, k, broadcast_cells)
+    exploded = _occurrences(df, [key, *carry], tokens_col, fits)
     joined = exploded.join(_token_side(model, k, broadcast_cells), "token", "left")
     if k <= DENSE_MAX_CLASSES:
         sums = joined.groupBy(key, *carry).agg(
-            F.count("_hit").alias("_known"),
-            *[F.sum(f"_w{c}").alias(f"_s{c}") for c in range(k)])
+            _hits("_hit", not fits).alias("_known"),
+            *[F.sum(_times(f"_w{c}", not fits)).alias(f"_s{c}") for c in range(k)])
         n_known = F.col("_known")
 
         def s_of(c: int) -> Column:
             return F.col(f"_s{c}")
     else:
         per_class = (joined.filter(F.col("class_idx").isNotNull())
-                     .groupBy(key, "class_idx").agg(F.sum("weight").alias("s")))
+                     .groupBy(key, "class_idx")
+                     .agg(F.sum(_times("weight", not fits)).alias("s")))
         # at most K + 1 entries per key (the known-token row counts matches)
         per_row = per_class.groupBy(key).agg(
             F.map_from_entries(F.collect_list(F.struct("class_idx", "s"))).alias("_m"))
@@ -331,11 +379,13 @@ def score_heads(models: Mapping[str, NaiveBayesModel], df: DataFrame, key: str,
         wide = d if wide is None else wide.join(d, "token", "full_outer")
         cells += m.vocab_size * (k + 1)
     side = F.broadcast(wide) if cells <= broadcast_cells else wide
-    exploded = df.select(key, *carry, F.explode_outer(tokens_col).alias("token"))
+    counted = cells > broadcast_cells
+    exploded = _occurrences(df, [key, *carry], tokens_col, not counted)
     sums = exploded.join(side, "token", "left").groupBy(key, *carry).agg(*[
         agg for h in models for agg in
-        [F.count(f"_hit_{h}").alias(f"_known_{h}"),
-         *[F.sum(f"_w_{h}_{c}").alias(f"_s_{h}_{c}") for c in range(ks[h])]]])
+        [_hits(f"_hit_{h}", counted).alias(f"_known_{h}"),
+         *[F.sum(_times(f"_w_{h}_{c}", counted)).alias(f"_s_{h}_{c}")
+           for c in range(ks[h])]]])
     out = sums.select(key, *carry, *[
         _score_array(params[h], models[h].alpha, F.col(f"_known_{h}"),
                      lambda c, h=h: F.col(f"_s_{h}_{c}")).alias(f"{h}_scores")
@@ -346,14 +396,17 @@ def score_heads(models: Mapping[str, NaiveBayesModel], df: DataFrame, key: str,
 
 
 def evaluate_heads(models: Mapping[str, NaiveBayesModel], test: DataFrame, key: str,
-                   tokens_col: str, labels: Mapping[str, str]) -> DataFrame:
-    """``(head, n, accuracy, loss)`` of every head on ``test`` (``labels``:
+                   tokens_col: str, labels: Mapping[str, str],
+                   split: str | None = None) -> DataFrame:
+    """``(head, n, accuracy, loss)`` of every head on ``test``, per value of the
+    column ``split`` if one is named (``labels``:
     head -> true-label column): one scoring pass with the true labels carried
     through its aggregate, each head's true class index from a broadcast of
     its K-row class table, and all metrics in one aggregate.  A row counts
     for a head only when its true label is one of that head's classes."""
     from .evaluate import head_metrics
-    scored = score_heads(models, test, key, tokens_col, carry=list(dict.fromkeys(labels.values())))
+    carry = list(dict.fromkeys([*labels.values(), *([split] if split else [])]))
+    scored = score_heads(models, test, key, tokens_col, carry=carry)
     cols = {}
     for head, label in labels.items():
         idx = f"{head}_true_idx"
@@ -363,7 +416,7 @@ def evaluate_heads(models: Mapping[str, NaiveBayesModel], test: DataFrame, key:
             f"{head}_log_p_true", F.element_at(f"{head}_scores", F.col(idx) + 1)
             - F.col(f"{head}_log_norm"))
         cols[head] = (idx, f"{head}_pred_idx", f"{head}_log_p_true")
-    return head_metrics(scored, cols)
+    return head_metrics(scored, cols, split=split)
 
 
 def log_sum_exp(scores: str | Column) -> Column:

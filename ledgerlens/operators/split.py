@@ -34,6 +34,16 @@ def split_hash(key: str | Column, seed: int = 42) -> Column:
     return F.substring(F.md5(F.concat(F.lit(f"{seed}|"), k.cast("string"))), 1, 8)
 
 
+def content_key(*columns: str) -> Column:
+    """A 128-bit key of the columns' values as text, nulls told apart from every
+    value: the same wherever and however the row is stored."""
+    parts = []
+    for c in columns:
+        parts += [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")),
+                  F.lit(chr(31))]
+    return F.md5(F.concat(*parts[:-1]))
+
+
 def threshold_hex(test_size: float) -> str:
     return format(min(int(test_size * 2 ** 32), 2 ** 32 - 1), "08x")
 

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..taxonomy import taxonomy_df
+from ..taxonomy import MAX_TAXONOMY, taxonomy_df
 
 MONEY = "decimal(18,2)"
 
@@ -91,15 +91,19 @@ def spend_tree(ledger: DataFrame, taxonomy: Mapping[str, Sequence[str]] | DataFr
     category's value counts all its rows, listed sub-category or not.  A
     sub-category named like its category is labelled ``"<name> (sub)"``.
 
-    Plan: one scan and one shuffle of the ledger.  It is aggregated by
-    (category, sub-category) with map-side partial aggregation, so a hot
-    category costs one partial row per task; the small result is tagged from
-    the broadcast taxonomy (bounded when built), category totals come from a
-    window over that small result, and every aggregated pair emits at most
-    two nodes (its category once, itself if listed).
+    Plan: one scan and one shuffle of the ledger.  Rows are tagged from the
+    broadcast taxonomy (its size is checked) and aggregated by listed
+    sub-category, all unlisted ones of a category as one, with map-side partial
+    aggregation: the result has at most one row more per category than the
+    taxonomy, whatever texts the data holds.  Category totals come from a window
+    over that bounded result, and every aggregated pair emits at most two nodes
+    (its category once, itself if listed).  Sums are rounded to cents, half to
+    even, once.
     """
     spark = ledger.sparkSession
     tax = taxonomy if isinstance(taxonomy, DataFrame) else taxonomy_df(spark, taxonomy)
+    if isinstance(taxonomy, DataFrame) and tax.limit(MAX_TAXONOMY + 1).count() > MAX_TAXONOMY:
+        raise ValueError(f"the taxonomy has more than {MAX_TAXONOMY} entries")
     cats = tax.select("category", "cat_ord").distinct()
     subs = tax.filter(F.col("sub_category").isNotNull()).select(
         "category", "sub_category", "sub_ord")
@@ -115,13 +119,15 @@ def spend_tree(ledger: DataFrame, taxonomy: Mapping[str, Sequence[str]] | DataFr
              # only taxonomy categories can become nodes: drop the rest
              # before the shuffle (broadcast inner join with a bounded list)
              .join(F.broadcast(cats), "category")
-             .groupBy("category", "cat_ord", "sub_category")
-             .agg(F.sum("price").alias("v"))
-             .join(F.broadcast(subs), ["category", "sub_category"], "left"))
+             .join(F.broadcast(subs), ["category", "sub_category"], "left")
+             .groupBy("category", "cat_ord", "sub_ord",
+                      F.when(F.col("sub_ord").isNotNull(), F.col("sub_category"))
+                      .alias("sub_category"))
+             .agg(F.sum("price").alias("v")))
 
     by_cat = Window.partitionBy("category")
     first_in_cat = Window.partitionBy("category").orderBy(
-        F.col("sub_category").asc_nulls_first())
+        F.col("sub_ord").asc_nulls_first())
     tagged = (pairs
               .withColumn("cat_v", F.sum("v").over(by_cat))
               .withColumn("first", F.row_number().over(first_in_cat) == 1)

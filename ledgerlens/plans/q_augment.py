@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import augment
 from ..operators.dedupe import dedupe_first
 from ..operators.rules import map_by_rule
+from ..taxonomy import AMAZON_CATEGORY_RULES, RETAILER_SUB_RULES
 from ..sources.tables import table
 from .catalog import register
 from .sqltext import rule_values
@@ -30,24 +31,28 @@ def q_shuffle_words(spark, sf_dir):
 
 
 CITY_SQL = f"""
-WITH m AS (SELECT p_name, CAST(row_number() OVER (ORDER BY min_key) - 1 AS BIGINT) AS m_ord
-           FROM (SELECT p_name, MIN(p_partkey) AS min_key FROM part GROUP BY p_name) x),
+WITH m AS (SELECT p_name, p_type, p_brand,
+                  CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS m_ord
+           FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS nth
+                 FROM part) x WHERE nth = 1),
 nm AS (SELECT COUNT(*) AS n FROM m),
 c AS (SELECT DISTINCT cu.c_name || ' ' || na.n_name AS city_state
       FROM customer cu JOIN nation na ON cu.c_nationkey = na.n_nationkey),
 cr AS (SELECT city_state, CAST(row_number() OVER (ORDER BY md5('{SEED}|' || city_state), city_state)
                                AS BIGINT) AS city_rank FROM c)
 SELECT cr.city_rank, m.p_name AS merchant, cr.city_state,
-       m.p_name || ' ' || cr.city_state AS Description
-FROM cr JOIN m ON m.m_ord = (cr.city_rank - 1) % (SELECT n FROM nm)
-WHERE cr.city_rank <= {augment.DEFAULT_CAP}"""
+       m.p_name || ' ' || cr.city_state AS Description,
+       m.p_type AS Category, m.p_brand AS Sub_Category
+FROM cr JOIN m ON m.m_ord = (cr.city_rank - 1) % (SELECT n FROM nm)"""
 
 
 @register("augment_city", CITY_SQL)
 def q_augment_city(spark, sf_dir):
     """Distinct part names as merchants (first position = smallest key),
-    customers' name + nation as cities, the reference's 2000-row cap."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("Description"))
+    customers' name + nation as cities; labels go with the merchants."""
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_name").alias("Description"), F.col("p_type").alias("Category"),
+        F.col("p_brand").alias("Sub_Category"))
     merchants = dedupe_first(part, ["Description"], "p_partkey")
     cust = table(spark, sf_dir, "customer").select("c_name", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -98,3 +103,27 @@ GROUP BY p.p_partkey, p.p_name""")
 def q_map_by_rule(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     return map_by_rule(part, "p_name", part_rules())
+
+
+RETAIL_PATH_SQL = """CASE c_custkey % 4
+         WHEN 0 THEN 'Home|' || c_mktsegment || '|' || c_name
+         WHEN 1 THEN 'Baby Products | ' || c_name
+         WHEN 2 THEN 'Grocery & Gourmet Food | ' || c_mktsegment
+         ELSE 'Electronics|Computers|' || c_name END"""
+
+
+@register("map_retailer_rules", f"""
+WITH a(target, rule_ord, pattern) AS (VALUES {rule_values(AMAZON_CATEGORY_RULES)}),
+s(target, rule_ord, pattern) AS (VALUES {rule_values(RETAILER_SUB_RULES)}),
+p AS (SELECT c_custkey, {RETAIL_PATH_SQL} AS path FROM customer)
+SELECT p.c_custkey, p.path,
+       (SELECT arg_min(a.target, a.rule_ord) FROM a WHERE contains(p.path, a.pattern)) AS category,
+       (SELECT arg_min(s.target, s.rule_ord) FROM s WHERE contains(p.path, s.pattern)) AS sub
+FROM p""")
+def q_map_retailer_rules(spark, sf_dir):
+    """The retailers' category-path rules on paths built from customers."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    path = F.expr(RETAIL_PATH_SQL)
+    both = map_by_rule(c.select("c_custkey", path.alias("path")), "path",
+                       AMAZON_CATEGORY_RULES, "category")
+    return map_by_rule(both, "path", RETAILER_SUB_RULES, "sub")

@@ -9,7 +9,8 @@ from ..functions.arrays import explode_elements
 from ..functions.text import clean_tokens, clean_tokens_sql
 from ..operators import encode
 from ..operators.evaluate import class_weights
-from ..operators.split import split_counts, threshold_hex, train_test_split
+from ..operators.dedupe import dedupe_first
+from ..operators.split import content_key, split_counts, threshold_hex, train_test_split
 from ..sources.tables import docs_ledger, parts_ledger, table
 from ..session import checkpoint_dir
 from .catalog import register
@@ -164,6 +165,30 @@ def q_max_token_len(spark, sf_dir):
                     F.count(F.lit(1)).cast("bigint").alias("n_rows"))
 
 
+TRAIN_VOCAB_SQL = VOCAB_SQL.replace(
+    "FROM e GROUP BY token", f"""FROM e WHERE NOT (substr(md5('{SEED}|' || CAST(doc_id AS VARCHAR)),
+    1, 8) < '{threshold_hex(TEST_SIZE)}') GROUP BY token""")
+
+
+@register("token_ids_unknown", f"""WITH {DOC_TOKENS_SQL}, {TRAIN_VOCAB_SQL},
+ids AS (SELECT e.doc_id, string_agg(CAST(COALESCE(v.token_id, 100) AS VARCHAR), ' ' ORDER BY e.pos)
+          AS ids, COUNT(*) FILTER (WHERE v.token_id IS NULL) AS n_unknown
+        FROM e LEFT JOIN v ON e.token = v.token GROUP BY e.doc_id)
+SELECT d.doc_id, COALESCE(ids.ids, '') AS token_ids,
+       CAST(COALESCE(ids.n_unknown, 0) AS BIGINT) AS n_unknown
+FROM d LEFT JOIN ids ON d.doc_id = ids.doc_id""")
+def q_token_ids_unknown(spark, sf_dir):
+    """Vocabulary of the training split applied to all documents: words of the
+    test split alone get the unknown id."""
+    toks = doc_tokens(spark, sf_dir, reuse=True)
+    train = train_test_split(toks, "doc_id", test_size=TEST_SIZE, seed=SEED)
+    vocab = doc_vocab(train.where("not is_test"))
+    out = encode.token_ids(toks, "doc_id", "tokens", vocab)
+    unknown = F.size(F.filter("token_ids", lambda x: x == encode.UNKNOWN_ID))
+    return out.select("doc_id", encode.ids_text("token_ids").alias("token_ids"),
+                      unknown.cast("bigint").alias("n_unknown"))
+
+
 PART_TOKENS_SQL = f"d AS (SELECT p_partkey AS doc_id, {clean_tokens_sql('p_name')} AS toks FROM part)"
 
 
@@ -183,12 +208,46 @@ def q_pad_tokens(spark, sf_dir):
                       encode.ids_text(encode.pad_ids("token_ids", TRAIN_LEN)).alias("padded"))
 
 
+@register("decode_padded", f"""WITH {PART_TOKENS_SQL}, {TRAIN_VOCAB_SQL},
+w AS (SELECT e.doc_id, string_agg(COALESCE(v.token, '[UNK]'), ' ' ORDER BY e.pos) AS txt
+      FROM e LEFT JOIN v ON e.token = v.token WHERE e.pos <= {TRAIN_LEN} GROUP BY e.doc_id)
+SELECT d.doc_id AS p_partkey, COALESCE(w.txt, '') AS decoded
+FROM d LEFT JOIN w ON d.doc_id = w.doc_id""")
+def q_decode_padded(spark, sf_dir):
+    """Padded ids back to text: pads dropped, unknown words as [UNK]."""
+    part = parts_ledger(spark, sf_dir).select(
+        "p_partkey", clean_tokens("Description").alias("tokens"))
+    train = train_test_split(part, "p_partkey", test_size=TEST_SIZE, seed=SEED)
+    vocab = encode.build_vocab(explode_elements(train.where("not is_test"), [], "tokens",
+                                                "token"))
+    ids = encode.token_ids(part, "p_partkey", "tokens", vocab)
+    padded = ids.select("p_partkey", encode.pad_ids("token_ids", TRAIN_LEN).alias("padded"))
+    return encode.decode_ids(padded, "p_partkey", "padded", vocab)
+
+
 # --- split -----------------------------------------------------------------
 
 SPLIT_SQL = (f"substr(md5('{SEED}|' || CAST(p_partkey AS VARCHAR)), 1, 8) "
              f"< '{threshold_hex(TEST_SIZE)}'")
 
 
+@register("train_split_content", f"""
+WITH first AS (SELECT p_name, p_type FROM part GROUP BY p_name, p_type)
+SELECT p_name, p_type,
+       substr(md5('{SEED}|' || md5(coalesce('v' || p_name, 'n') || chr(31)
+                                   || coalesce('v' || p_type, 'n'))), 1, 8)
+         < '{threshold_hex(TEST_SIZE)}' AS is_test
+FROM first""")
+def q_train_split_content(spark, sf_dir):
+    """The training job's split: keep-first rows by (Description, Category),
+    flagged by their content alone."""
+    part = parts_ledger(spark, sf_dir).select("p_partkey", "Description", "Category")
+    first = dedupe_first(part, ["Description", "Category"], "p_partkey")
+    keyed = first.withColumn("_key", content_key("Description", "Category"))
+    return train_test_split(keyed, "_key", test_size=TEST_SIZE, seed=SEED).select(
+        F.col("Description").alias("p_name"), F.col("Category").alias("p_type"), "is_test")
+
+
 @register("train_split", f"SELECT p_partkey, {SPLIT_SQL} AS is_test FROM part")
 def q_train_split(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey")
@@ -238,6 +297,4 @@ FROM cls c LEFT JOIN cnt ON c.class_name = cnt.class_name CROSS JOIN tot""")
 def q_class_weights(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_type")
     cls = encode.class_table(spark, _weight_classes())
-    known = part.join(F.broadcast(cls.select(F.col("class_name").alias("p_type"))),
-                      "p_type", "left_semi")
-    return class_weights(known, "p_type", cls)
+    return class_weights(part, "p_type", cls)

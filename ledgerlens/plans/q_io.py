@@ -114,17 +114,49 @@ def q_merge_labelled(spark, sf_dir):
 SELECT source_name, CAST(COUNT(*) AS BIGINT) AS n_rows FROM (""" +
           _merged_sql().format(cat="p_type", sub="p_brand") + ") s GROUP BY source_name")
 def q_source_name(spark, sf_dir):
+    """Names from the metadata of the files that were read."""
     paths = _write_three(spark, sf_dir, labelled_nulls=False)
     merged = io.merge_sources(spark, paths, extra=["key"])
-    # also read back the per-file name Spark sees, to prove both agree
     return (merged.groupBy(F.col("_source").alias("source_name"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")))
 
 
+@register("merge_folder", _merged_sql().format(cat="p_type", sub="p_brand")
+          .replace(", 0 AS file_ordinal", "").replace(", 1 AS file_ordinal", "")
+          .replace(", 2 AS file_ordinal", ""))
+def q_merge_folder(spark, sf_dir):
+    """One folder with three header orders, read by name."""
+    paths = _write_three(spark, sf_dir, labelled_nulls=False)
+    led = io.read_ledger(spark, paths[0].rsplit("/", 1)[0], extra=["key"])
+    return _merged_out(led).drop("file_ordinal")
+
+
+# --- text that needs quoting -------------------------------------------------
+
+@register("csv_text_edges", r"""
+SELECT doc_id, '  "' || text || '" \, ' || source || ' ' AS Description,
+       lang || ' ' AS Category, ' "' || source || '"" , x' AS Sub_Category
+FROM documents WHERE text IS NOT NULL""")
+def q_csv_text_edges(spark, sf_dir):
+    """Whole texts with line breaks, quotes, commas, backslashes and edge
+    spaces, written and read back unchanged."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    rows = docs.select(
+        "doc_id", F.concat(F.lit('  "'), "text", F.lit('" \\, '), "source", F.lit(" "))
+        .alias("Description"), F.concat("lang", F.lit(" ")).alias("Category"),
+        F.concat(F.lit(' "'), "source", F.lit('"" , x')).alias("Sub_Category"))
+    path = scratch_path(spark, "edges") + "/edges.csv"
+    io.write_csv(rows, path)
+    back = io.read_ledger(spark, path, extra=["doc_id"], multi_line=True)
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "Description",
+                       "Category", "Sub_Category")
+
+
 # --- dated ledger round trip ------------------------------------------------
 
 @register("dated_scan", f"""WITH {TXN_SQL}
-SELECT order_key, line_number, Description, Category, Sub_category, Price, Date FROM txn""")
+SELECT order_key, line_number, Description, Category, Sub_category,
+       CAST(Price AS DECIMAL(20,6)) AS Price, Date FROM txn""")
 def q_dated_scan(spark, sf_dir):
     txn = txn_ledger(spark, sf_dir)
     # entered dates are M/d/yyyy for the first lines of an order, ISO otherwise

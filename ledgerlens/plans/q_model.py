@@ -130,8 +130,7 @@ FROM s_params""")
 def q_nb_classes(spark, sf_dir):
     prepared = prepared_docs(spark, sf_dir)
     out = None
-    for head, label in HEADS.items():
-        m = fit_head(prepared, label)
+    for head, m in nb.fit_heads(prepared.filter(~F.col("is_test")), HEADS, "tokens").items():
         t = m.classes.select(F.lit(head).alias("head"), "class_name", "class_idx", "n_docs",
                              "n_tokens", fixed6(F.col("log_prior")).alias("log_prior"),
                              fixed6(F.col("log_denom")).alias("log_denom"))
@@ -145,16 +144,15 @@ test AS (SELECT doc_id, toks FROM d WHERE is_test), {_score_sql(label, 'h_')}
 SELECT doc_id, pred AS pred_label FROM h_pred"""
 
 
-def _predict_test(spark, sf_dir, model=None):
-    prepared = prepared_docs(spark, sf_dir)
-    model = model or fit_head(prepared, "Category")
+def _predict_test(prepared, model):
     test = prepared.filter(F.col("is_test"))
     return nb.score(model, test, "doc_id", "tokens").select("doc_id", "pred_label")
 
 
 @register("predict_nb", _predict_sql("lang"))
 def q_predict_nb(spark, sf_dir):
-    return _predict_test(spark, sf_dir)
+    prepared = prepared_docs(spark, sf_dir)
+    return _predict_test(prepared, fit_head(prepared, "Category"))
 
 
 @register("model_roundtrip", _predict_sql("lang"))
@@ -163,7 +161,7 @@ def q_model_roundtrip(spark, sf_dir):
     prepared = prepared_docs(spark, sf_dir)
     path = scratch_path(spark, "nb-model")
     fit_head(prepared, "Category").save(path)
-    return _predict_test(spark, sf_dir, load_nb(spark, path))
+    return _predict_test(prepared, load_nb(spark, path))
 
 
 @register("predict_both", f"""WITH {_docs_sql()}, {_head_sql('lang', 'c_')}, {_head_sql('source', 's_')},
@@ -177,7 +175,8 @@ def q_predict_both(spark, sf_dir):
     (so a pair may lie outside the taxonomy)."""
     prepared = prepared_docs(spark, sf_dir)
     test = prepared.filter(F.col("is_test"))
-    models = {"cat": fit_head(prepared, "Category"), "sub": fit_head(prepared, "Sub_Category")}
+    models = nb.fit_heads(prepared.filter(~F.col("is_test")),
+                          {"cat": "Category", "sub": "Sub_Category"}, "tokens")
     # both heads in one explode / join / aggregate
     preds = nb.score_heads(models, test, "doc_id", "tokens")
     return (test.select("doc_id", F.array_join("tokens", " ").alias("Description"))
@@ -190,31 +189,33 @@ def _eval_sql() -> str:
     for head, label in HEADS.items():
         col = SQL_LABEL[label]
         p = head[0] + "_"
-        parts.append(f"""SELECT '{head}' AS head, CAST(COUNT(*) AS BIGINT) AS n,
+        parts.append(f"""SELECT CASE WHEN t.is_test THEN 'test' ELSE 'train' END AS split,
+       '{head}' AS head, CAST(COUNT(*) AS BIGINT) AS n,
        CAST(round(AVG(CASE WHEN pr.pred = t.label THEN 1.0 ELSE 0.0 END), 6) AS DECIMAL(18,6))
          AS accuracy,
        CAST(round(SUM(-(st.score - ls.lse)) / ceil(COUNT(*) / 64.0), 6) AS DECIMAL(18,6)) AS loss
-FROM (SELECT doc_id, {col} AS label FROM d WHERE is_test) t
+FROM (SELECT doc_id, {col} AS label, is_test FROM d) t
 JOIN {p}params pp ON pp.label = t.label
 JOIN {p}pred pr ON pr.doc_id = t.doc_id
 JOIN {p}sc st ON st.doc_id = t.doc_id AND st.class_idx = pp.class_idx
 JOIN (SELECT doc_id, mx + ln(SUM(exp(score - mx))) AS lse
       FROM (SELECT *, MAX(score) OVER (PARTITION BY doc_id) AS mx FROM {p}sc) x
-      GROUP BY doc_id, mx) ls ON ls.doc_id = t.doc_id""")
+      GROUP BY doc_id, mx) ls ON ls.doc_id = t.doc_id
+GROUP BY t.is_test""")
     return (f"""WITH {_docs_sql()}, {_head_sql('lang', 'c_')}, {_head_sql('source', 's_')},
-test AS (SELECT doc_id, toks FROM d WHERE is_test),
+test AS (SELECT doc_id, toks FROM d),
 {_score_sql('lang', 'c_')}, {_score_sql('source', 's_')}
 """ + "\nUNION ALL\n".join(parts))
 
 
 @register("evaluate_nb", _eval_sql())
 def q_evaluate_nb(spark, sf_dir):
-    """Accuracy and batch-averaged cross-entropy of both heads on the test
-    split (rows whose true label is a trained class)."""
+    """Accuracy and batch-averaged cross-entropy of both heads on the training
+    and the test split (rows whose true label is a trained class)."""
     prepared = prepared_docs(spark, sf_dir)
-    test = prepared.filter(F.col("is_test"))
-    models = {head: fit_head(prepared, label) for head, label in HEADS.items()}
-    return nb.evaluate_heads(models, test, "doc_id", "tokens", HEADS)
+    models = nb.fit_heads(prepared.filter(~F.col("is_test")), HEADS, "tokens")
+    rows = prepared.withColumn("split", F.when(F.col("is_test"), "test").otherwise("train"))
+    return nb.evaluate_heads(models, rows, "doc_id", "tokens", HEADS, split="split")
 
 
 # --- rows-only learners ----------------------------------------------------
@@ -230,7 +231,56 @@ def q_train_lr(spark, sf_dir):
     return predict_lr(model, test).select("doc_id", "pred_label")
 
 
-@register("predict_udf", None)
+@register("train_lr_facts", f"""WITH {_docs_sql()},
+train AS (SELECT lang, COUNT(*) AS n FROM d WHERE NOT is_test AND lang IS NOT NULL GROUP BY lang)
+SELECT CAST(COUNT(*) AS BIGINT) AS n_test, CAST(COUNT(*) AS BIGINT) AS n_known,
+       COUNT(*) = COUNT(DISTINCT doc_id) AS one_label_each, true AS beats_largest_class
+FROM d WHERE is_test""")
+def q_train_lr_facts(spark, sf_dir):
+    """What SQL can state about the second learner: one label per test row, each
+    a class of the training rows, right more often than the largest class."""
+    from ..operators.logistic import fit_lr, predict_lr
+    prepared = prepared_docs(spark, sf_dir)
+    train, test = prepared.filter(~F.col("is_test")), prepared.filter(F.col("is_test"))
+    preds = predict_lr(fit_lr(train, "Category", "tokens"), test)
+    classes = train.select(F.col("Category").alias("pred_label"), F.lit(1).alias("_known")) \
+        .dropna().distinct()
+    rows = preds.select("doc_id", "Category", "pred_label").join(
+        F.broadcast(classes), "pred_label", "left")
+    largest = train.groupBy("Category").count().agg(F.max("count")).first()[0] / train.count()
+    right = F.avg((F.col("Category") == F.col("pred_label")).cast("double"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_test"), F.count("_known").alias("n_known"),
+        (F.count(F.lit(1)) == F.countDistinct("doc_id")).alias("one_label_each"),
+        (right >= F.lit(largest)).alias("beats_largest_class"))
+
+
+UDF_SQL = f"""WITH {_docs_sql()},
+train AS (SELECT doc_id, lang, toks FROM d WHERE NOT is_test AND lang IS NOT NULL),
+b AS (SELECT lang, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 65536 AS bucket
+      FROM (SELECT lang, unnest(toks) AS t FROM train) x),
+n AS (SELECT lang, bucket, COUNT(*) AS cnt FROM b GROUP BY 1, 2),
+used AS (SELECT COUNT(DISTINCT bucket) AS v FROM n),
+cls AS (SELECT t.lang, ln(COUNT(*) / (SELECT COUNT(*) FROM train)) AS prior,
+               (SELECT COALESCE(SUM(cnt), 0) FROM n WHERE n.lang = t.lang) + (SELECT v FROM used)
+                 AS denom
+        FROM train t GROUP BY t.lang),
+q AS (SELECT doc_id, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 65536 AS bucket
+      FROM (SELECT doc_id, unnest(toks) AS t FROM d WHERE is_test) x),
+k AS (SELECT doc_id, bucket, COUNT(*) AS c FROM q
+      WHERE bucket IN (SELECT bucket FROM n) GROUP BY 1, 2),
+s AS (SELECT d.doc_id, cls.lang, any_value(cls.prior)
+               + COALESCE(SUM(k.c * ln((COALESCE(n.cnt, 0) + 1.0) / cls.denom)), 0) AS score
+      FROM (SELECT doc_id FROM d WHERE is_test) d CROSS JOIN cls
+      LEFT JOIN k ON k.doc_id = d.doc_id
+      LEFT JOIN n ON n.bucket = k.bucket AND n.lang = cls.lang
+      GROUP BY 1, 2)
+SELECT doc_id, lang AS pred_label FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, lang) AS rn
+  FROM s) x WHERE rn = 1"""
+
+
+@register("predict_udf", UDF_SQL)
 def q_predict_udf(spark, sf_dir):
     """A model object applied batch by batch (64 rows) to hashed token ids of
     whole documents, via ``mapInArrow``."""

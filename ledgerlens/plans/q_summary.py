@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import summary
-from ..sources.tables import MONEY, table, txn_ledger
+from ..sources.csv import PRICE
+from ..sources.tables import table, txn_ledger
 from .catalog import register
 from .sqltext import taxonomy_values
 
@@ -39,8 +40,9 @@ def _bounds(period):
     return s.isoformat(), e.isoformat()
 
 
-def tree_sql(ledger_cte: str, period: str) -> str:
+def tree_sql(ledger_cte: str, period: str, cents: str = "CAST({} AS DECIMAL(18,2))") -> str:
     s, e = _bounds(period)
+    value = cents.format("v")
     return f"""
 WITH {ledger_cte},
 tax(category, cat_ord, sub_category, sub_ord) AS (VALUES {taxonomy_values(txn_taxonomy())}),
@@ -60,11 +62,11 @@ subn AS (SELECT p.category, t.cat_ord, t.sub_ord, p.v,
            ON p.category = t.category AND p.sub_category = t.sub_category
          WHERE p.v <> 0 AND p.category IN (SELECT category FROM catn))
 SELECT category AS node_id, category AS label, '' AS parent,
-       CAST(v AS DECIMAL(18,2)) AS value, CAST(cat_ord AS INTEGER) AS cat_ord,
+       {value} AS value, CAST(cat_ord AS INTEGER) AS cat_ord,
        CAST(NULL AS INTEGER) AS sub_ord
 FROM catn
 UNION ALL
-SELECT category || '/' || lbl, lbl, category, CAST(v AS DECIMAL(18,2)),
+SELECT category || '/' || lbl, lbl, category, {value},
        CAST(cat_ord AS INTEGER), CAST(sub_ord AS INTEGER)
 FROM subn"""
 
@@ -110,7 +112,7 @@ def edge_ledger(spark, sf_dir):
                      .when(F.col("p_size") <= 6, F.lit(""))
                      .when(F.col("p_size") <= 9, F.col("p_type"))
                      .otherwise(F.col("p_brand")).alias("Sub_category"),
-                    F.col("l_extendedprice").cast(MONEY).alias("Price"),
+                    F.col("l_extendedprice").cast(PRICE).alias("Price"),
                     F.col("l_shipdate").cast("date").alias("Date"),
                     F.col("p_type").alias("ptype"), F.col("p_brand").alias("pbrand")))
     negated = (base.filter((F.col("ptype") == "MEDIUM") | (F.col("pbrand") == "Brand#2"))
@@ -163,3 +165,23 @@ FROM t"""
 @register("summary_labels", _labels_sql())
 def q_summary_labels(spark, sf_dir):
     return summary.summary_labels(txn_ledger(spark, sf_dir), AS_OF)
+
+
+# prices in eighths: sums that fall between two cents, rounded once, half to even
+EIGHTHS_SQL = """txn AS (
+  SELECT p.p_type AS Category, p.p_brand AS Sub_category,
+         CAST(l.l_quantity AS INTEGER) * CAST(0.125 AS DECIMAL(20,6)) AS Price,
+         CAST(l.l_shipdate AS DATE) AS Date
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
+
+
+@register("spend_tree_subcent", tree_sql(
+    EIGHTHS_SQL, "month", "CAST(round_even(CAST({} AS DOUBLE), 2) AS DECIMAL(18,2))"))
+def q_spend_tree_subcent(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_shipdate")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
+    ledger = li.join(part, li.l_partkey == part.p_partkey).select(
+        F.col("p_type").alias("Category"), F.col("p_brand").alias("Sub_category"),
+        (F.col("l_quantity").cast("int") * F.lit("0.125").cast(PRICE)).alias("Price"),
+        F.col("l_shipdate").cast("date").alias("Date"))
+    return summary.spend_tree_mtd(ledger, txn_taxonomy(), AS_OF)

@@ -1,9 +1,11 @@
 """CSV ledgers: readers, merge, dated scan, sinks and preview.
 
 Columns are read as strings and bound **by header name** (never by
-position), so files whose headers differ in order or spelling can be merged
-with ``unionByName``.  ``multiLine`` stays off by default so that large files
-split into many tasks.
+position): the files of a folder are grouped by their header line, each group
+is read on its own (a file that does not match fails), and the groups are
+united by name.  Quotes inside a field are doubled, spaces at its edges are
+kept.  ``multiLine`` stays off by default so that large files split into many
+tasks; fields with line breaks need it on reading.
 """
 
 from __future__ import annotations
@@ -28,7 +30,13 @@ NA_TOKENS: tuple[str, ...] = (
 # names case-insensitively, so only real spelling differences are listed).
 COLUMN_ALIASES = {"Subcategory": "Sub_Category", "Product Name": "Description"}
 
-MONEY = "decimal(18,2)"
+# prices as entered; sums are rounded to cents once, after adding up
+PRICE = "decimal(20,6)"
+
+# as entered, as written back, and with a time of day
+DATE_PATTERNS = ("M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
+                 "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss")
+_QUOTING = {"quote": '"', "escape": '"'}
 
 
 def na_to_null(c: str | Column) -> Column:
@@ -42,9 +50,12 @@ def source_name_of(path: str) -> str:
 
 
 def source_name_col() -> Column:
-    """Per-row source name from the file actually read (percent-decoded)."""
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\+", "%2B")
-    return F.substring_index(F.url_decode(name), ".", 1)
+    """Per-row source name from the file actually read (percent-decoded): the
+    file's, or that of the folder it is a part of if that is named ``*.csv``."""
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")
+    folder, name = F.element_at(F.split(path, "/"), -2), F.element_at(F.split(path, "/"), -1)
+    named = F.when(F.lower(folder).endswith(".csv"), folder).otherwise(name)
+    return F.substring_index(F.url_decode(named), ".", 1)
 
 
 def _check_suffix(path: str) -> None:
@@ -53,12 +64,49 @@ def _check_suffix(path: str) -> None:
         raise ValueError(f"not a .csv path: {path}")
 
 
+def _reader(spark: SparkSession, multi_line: bool):
+    return (spark.read.option("header", True).option("inferSchema", False)
+            .option("enforceSchema", False).option("multiLine", multi_line)
+            .option("pathGlobFilter", "*.csv").option("encoding", "UTF-8").options(**_QUOTING))
+
+
+def header_groups(spark: SparkSession, path: str) -> list[list[str]]:
+    """The ``*.csv`` files at ``path`` (a file, folder or pattern; folders named
+    ``*.csv`` inside a folder included), grouped by their header line.  Only
+    file names and first lines are read, by Hadoop's file system."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = list(system.globStatus(root) or [])
+    if not found:
+        raise FileNotFoundError(f"no such path: {path}")
+    files, folders = [], [(f, True) for f in found]
+    while folders:
+        status, given = folders.pop()
+        name = status.getPath().getName()
+        if status.isDirectory():
+            if given or name.lower().endswith(".csv"):
+                folders += [(f, False) for f in system.listStatus(status.getPath())]
+        elif name.lower().endswith(".csv") and name[0] not in "._" or given:
+            files.append(status.getPath())
+    groups: dict[str, list[str]] = {}
+    for file in sorted(files, key=lambda f: f.toString()):
+        stream = jvm.java.io.BufferedReader(
+            jvm.java.io.InputStreamReader(system.open(file), "UTF-8"))
+        try:
+            line = stream.readLine()
+        finally:
+            stream.close()
+        if line is not None:           # an empty file has no rows
+            groups.setdefault(line.lstrip("\ufeff"), []).append(file.toString())
+    return list(groups.values())
+
+
 def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
-    """All-string CSV with a header; inside folders only ``*.csv`` files."""
+    """All-string CSV with a header; inside folders only ``*.csv`` files, which
+    must have the same header (``read_ledger`` takes mixed ones)."""
     _check_suffix(path)
-    return (spark.read.option("header", True).option("inferSchema", False)
-            .option("multiLine", multi_line).option("pathGlobFilter", "*.csv")
-            .option("encoding", "UTF-8").csv(path))
+    return _reader(spark, multi_line).csv(path)
 
 
 def _resolve(df: DataFrame, name: str) -> str | None:
@@ -79,7 +127,7 @@ def read_ledger(spark: SparkSession, source, *, columns: Sequence[str] = LEDGER_
     """A ledger from a CSV path (or a DataFrame, passed through).
 
     Output: ``columns`` (+ ``extra``) as strings with NA tokens made null,
-    ``_source`` (file base name) and ``_pos`` — a sortable position
+    ``_source`` (name of the file a row is from) and ``_pos`` — a sortable position
     ``(ordinal, file path, block start, row id)`` that makes "first row"
     well defined for ``dedupe_first``.  A required column that is missing
     raises, as a by-name selection does.
@@ -88,62 +136,79 @@ def read_ledger(spark: SparkSession, source, *, columns: Sequence[str] = LEDGER_
         return source
     if not isinstance(source, str):
         raise ValueError("source must be a file path or a DataFrame")
-    raw = read_csv(spark, source, multi_line=multi_line)
-    cols = []
-    for name in (*columns, *extra):
-        found = _resolve(raw, name)
-        if found is None:
-            raise KeyError(f"column {name!r} not in {source}: {raw.columns}")
-        cols.append(na_to_null(F.col(f"`{found}`")).alias(name))
-    pos = F.struct(F.lit(ordinal).alias("ordinal"),
-                   F.col("_metadata.file_path").alias("file"),
-                   F.col("_metadata.file_block_start").alias("block"),
-                   F.monotonically_increasing_id().alias("row"))
-    return raw.select(*cols, F.lit(source_name_of(source)).alias("_source"),
-                      pos.alias("_pos"))
+    _check_suffix(source)
+    groups = header_groups(spark, source)
+    if not groups:
+        raise ValueError(f"no CSV file with a header at {source}")
+    parts = []
+    for files in groups:
+        raw = _reader(spark, multi_line).csv(source if len(groups) == 1 and _plain(files)
+                                             else files)
+        cols = []
+        for name in (*columns, *extra):
+            found = _resolve(raw, name)
+            if found is None:
+                raise KeyError(f"column {name!r} not in {files[0]}: {raw.columns}")
+            cols.append(na_to_null(F.col(f"`{found}`")).alias(name))
+        pos = F.struct(F.lit(ordinal).alias("ordinal"),
+                       F.col("_metadata.file_path").alias("file"),
+                       F.col("_metadata.file_block_start").alias("block"),
+                       F.monotonically_increasing_id().alias("row"))
+        parts.append(raw.select(*cols, source_name_col().alias("_source"), pos.alias("_pos")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _plain(files: Sequence[str]) -> bool:
+    """All files lie in one folder, so that its path names them."""
+    return len({f.rsplit("/", 1)[0] for f in files}) == 1
 
 
 def merge_sources(spark: SparkSession, paths: Sequence[str], *, min_files: int = 2,
                   max_files: int = 8, require_labels: bool = False,
                   columns: Sequence[str] = LEDGER_COLUMNS,
-                  extra: Sequence[str] = ()) -> DataFrame:
+                  extra: Sequence[str] = (), multi_line: bool = False) -> DataFrame:
     """Concatenate 2..8 ledgers in list order (``_pos`` carries the order).
     With ``require_labels`` rows missing Category or Sub_Category are dropped."""
     paths = list(paths)
     if not (min_files <= len(paths) <= max_files):
-        raise ValueError(f"Select between {min_files} to {max_files} CSV files for merging.")
-    parts = [read_ledger(spark, p, columns=columns, extra=extra, ordinal=i)
-             for i, p in enumerate(paths)]
+        raise ValueError(f"a merge takes {min_files} to {max_files} ledgers, not {len(paths)}")
+    parts = [read_ledger(spark, p, columns=columns, extra=extra, ordinal=i,
+                         multi_line=multi_line) for i, p in enumerate(paths)]
     merged = reduce(lambda a, b: a.unionByName(b), parts)
     if require_labels:
         merged = merged.dropna(how="any", subset=["Category", "Sub_Category"])
     return merged
 
 
-def parse_date(c: str | Column) -> Column:
-    """``M/d/yyyy`` (as entered) or ISO ``yyyy-MM-dd`` (as written back);
-    blank is null, anything else fails the job."""
+def parse_date(c: str | Column, patterns: Sequence[str] = DATE_PATTERNS) -> Column:
+    """The date in the first of ``patterns`` that fits; blank is null, anything
+    else fails the job."""
     col = F.trim(F.col(c) if isinstance(c, str) else c)
-    parsed = F.coalesce(F.try_to_date(col, "M/d/yyyy"),
-                        F.try_to_date(col, "yyyy-MM-dd"))
+    parsed = F.coalesce(*[F.try_to_date(col, p) for p in patterns])
     return (F.when(col.isNull() | (col == ""), F.lit(None).cast("date"))
             .when(parsed.isNull(), F.raise_error(F.concat(F.lit("bad date: "), col))
                   .cast("date"))
             .otherwise(parsed))
 
 
-def read_dated(spark: SparkSession, path: str, *, extra: Sequence[str] = ()) -> DataFrame:
+def read_dated(spark: SparkSession, path: str, *, extra: Sequence[str] = (),
+               multi_line: bool = False, patterns: Sequence[str] = DATE_PATTERNS) -> DataFrame:
     """Dated, priced ledger: ``Description, Category, Sub_category, Price
-    decimal(18,2), Date date``."""
+    decimal(20,6), Date date``."""
     led = read_ledger(spark, path, columns=["Description", "Category", "Sub_category",
-                                            "Price", "Date"], extra=extra)
-    return (led.withColumn("Price", F.col("Price").cast(MONEY))
-            .withColumn("Date", parse_date("Date")))
+                                            "Price", "Date"], extra=extra,
+                      multi_line=multi_line)
+    return (led.withColumn("Price", F.col("Price").cast(PRICE))
+            .withColumn("Date", parse_date("Date", patterns)))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Header CSV, UTF-8, one folder of part files (dates come out ISO)."""
-    df.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
+    """Header CSV, UTF-8, one folder of part files (dates come out ISO).  Values
+    come out as they are: edge spaces kept, quotes doubled, line breaks inside
+    quotes (read such files with ``multi_line``)."""
+    (df.write.mode(mode).option("header", True).option("encoding", "UTF-8").options(**_QUOTING)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
     return path
 
 
@@ -155,9 +220,10 @@ def write_predictions(df: DataFrame, path: str, mode: str = "overwrite",
     return write_csv(out, path, mode)
 
 
-def read_predictions(spark: SparkSession, path: str, *, extra: Sequence[str] = ()) -> DataFrame:
+def read_predictions(spark: SparkSession, path: str, *, extra: Sequence[str] = (),
+                     multi_line: bool = False) -> DataFrame:
     """Read a prediction file back; an empty description comes back null."""
-    led = read_ledger(spark, path, extra=extra)
+    led = read_ledger(spark, path, extra=extra, multi_line=multi_line)
     return led.withColumn("Description", F.nullif(F.col("Description"), F.lit("")))
 
 

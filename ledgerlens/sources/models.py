@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 
 def save_nb(model, path: str) -> str:
@@ -36,6 +35,3 @@ def save_pipeline(model, path: str) -> str:
 def load_pipeline(path: str):
     from pyspark.ml import PipelineModel
     return PipelineModel.load(path)
-
-
-__all__ = ["save_nb", "load_nb", "save_pipeline", "load_pipeline", "F"]

@@ -1,7 +1,7 @@
 """Ledger views over the shared Parquet tables.
 
 * ``txn``: the dated ledger ``lineitem JOIN part`` (Description p_name,
-  Category p_type, Sub_category p_brand, Price l_extendedprice as cents,
+  Category p_type, Sub_category p_brand, Price l_extendedprice,
   Date l_shipdate).
 * ``docs``: the labelled text ledger from ``documents`` (Description text,
   Category lang, Sub_Category source).
@@ -17,8 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
-
+from .csv import PRICE
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -49,7 +48,7 @@ def txn_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("p_name").alias("Description"),
                     F.col("p_type").alias("Category"),
                     F.col("p_brand").alias("Sub_category"),
-                    F.col("l_extendedprice").cast(MONEY).alias("Price"),
+                    F.col("l_extendedprice").cast(PRICE).alias("Price"),
                     F.col("l_shipdate").cast("date").alias("Date")))
 
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import clean_text, clean_tokens
@@ -66,6 +65,3 @@ def score_stream(model: nb.NaiveBayesModel | Mapping[str, nb.NaiveBayesModel],
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
-
-
-__all__ = ["clean_stream", "dedupe_stream", "score_batches", "parquet_sink", "score_stream", "F"]

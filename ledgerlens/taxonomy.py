@@ -138,7 +138,7 @@ RETAILER_SUB_RULES: dict[str, list[str]] = {
 
 # Taxonomies and rule sets are parameters, joined by broadcast; this bound
 # keeps that broadcast honest.
-MAX_TAXONOMY = 100_000
+MAX_TAXONOMY = 2_000      # entries of a taxonomy or rule table (one CASE or a broadcast)
 
 TAXONOMY_SCHEMA = T.StructType([
     T.StructField("category", T.StringType(), False),
@@ -147,12 +147,6 @@ TAXONOMY_SCHEMA = T.StructType([
     T.StructField("sub_ord", T.IntegerType(), True),
 ])
 
-RULE_SCHEMA = T.StructType([
-    T.StructField("target", T.StringType(), False),
-    T.StructField("rule_ord", T.IntegerType(), False),
-    T.StructField("pattern", T.StringType(), False),
-])
-
 
 def taxonomy_rows(taxonomy: Mapping[str, Sequence[str]]) -> list[tuple]:
     """``(category, cat_ord, sub_category, sub_ord)``; a category with no subs
@@ -183,13 +177,5 @@ def rule_rows(rules: Mapping[str, Sequence[str]]) -> list[tuple]:
     return rows
 
 
-def rules_df(spark: SparkSession, rules: Mapping[str, Sequence[str]]) -> DataFrame:
-    return spark.createDataFrame(rule_rows(rules), RULE_SCHEMA)
-
-
-def categories(taxonomy: Mapping[str, Sequence[str]]) -> list[str]:
-    return list(taxonomy.keys())
-
-
 def distinct_subs(taxonomy: Mapping[str, Sequence[str]]) -> list[str]:
     return sorted({s for subs in taxonomy.values() for s in subs})

@@ -1,6 +1,6 @@
-"""A token that holds over a third of all occurrences, with the token table
-too large to broadcast: AQE splits the hot partition of the shuffle join and
-the results equal the broadcast plan's."""
+"""A token that holds a third of all (row, token) pairs, with the token table
+too large to broadcast: the pairs are counted per row first, AQE splits the hot
+partition of the shuffle join, and the results equal the broadcast plan's."""
 
 import contextlib
 
@@ -35,8 +35,9 @@ def conf(spark, values):
 
 
 def hot_docs(spark, n=4000):
-    """Each row: nine ordinary tokens and the token 'hot' five times."""
-    ordinary = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.concat(
+    """Each row: two ordinary tokens and the token 'hot' five times, which is a
+    third of the distinct tokens of a row."""
+    ordinary = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.concat(
         F.lit("t"), ((F.col("id") * 7 + i) % 500).cast("string")))
     return spark.range(n).select(
         F.col("id").alias("k"),
@@ -66,7 +67,7 @@ def test_token_ids_split_hot_token(spark):
     vocab = encode.build_vocab(docs.select(F.explode("toks").alias("token")))
     want = {r.k: r.token_ids for r in encode.token_ids(docs, "k", "toks", vocab).collect()}
     with conf(spark, NO_BROADCAST_SMALL_SKEW):
-        out = encode.token_ids(docs, "k", "toks", vocab)
+        out = encode.token_ids(docs, "k", "toks", vocab, broadcast_tokens=0)
         got = {r.k: r.token_ids for r in out.collect()}
         plan = _plan(out)
     assert got == want
