@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate, lines, minhash, packing, quality
-from ledgerlens.llm.common import read_table, shared_table
+from ledgerlens.llm.common import free_name, read_table, shared_table
 from ledgerlens.llm.queries import BYTE_BPE, tokenizer_path
 
 
@@ -25,16 +25,17 @@ def _measured(docs: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field scores as good, learned from ``labels``."""
     field = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, field, name="_score")
-    return scored.where(F.col("_score") >= quality.KEEP).drop("_score")
+    name = free_name(docs, "_score")
+    scored = quality.score(docs, field, name=name)
+    return scored.where(F.col(name) >= quality.KEEP).drop(name)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of passages deleted; documents that lost all words go."""
-    done = lines.dedup_lines(docs)
-    lost = (F.col("_n_removed") > 0) & (F.trim(F.col("text")) == "")
-    return _measured(done.where(~F.coalesce(lost, F.lit(False)))
-                     .drop("_n_lines", "_n_removed"))
+    report = free_name(docs, "_report")
+    done = lines.dedup_lines(docs, report=report)
+    lost = (F.col(f"{report}.n_removed") > 0) & (F.trim(F.col("text")) == "")
+    return _measured(done.where(~F.coalesce(lost, F.lit(False))).drop(report))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.session import checkpoint_dir, scratch_path
@@ -29,6 +30,31 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def small_batches(batches, column: int, size: int = 4 << 20):
+    """The record batches cut so that the texts of ``column`` take about
+    ``size`` bytes in each (one row at least)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(
+            zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            used = ends[at] - sizes[at]
+            end = max(at + 1, int(np.searchsorted(ends, used + size, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def as_bytes(column: pa.Array, null: bytes | None = b"") -> list:
     """UTF-8 bytes of a string column; nulls become ``null``."""
     values = column.cast(pa.binary()).to_pylist()

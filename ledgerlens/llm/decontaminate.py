@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import as_bytes
+from ledgerlens.llm.common import as_bytes, small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -197,7 +197,7 @@ def _scan(docs: DataFrame, text_col: str, benchmark: DataFrame, **options) -> Da
     for shared in automata(benchmark, **options):
         def step(batches, shared=shared):
             automaton = shared.value
-            for batch in batches:
+            for batch in small_batches(batches, text_at):
                 texts = as_bytes(batch.column(text_at))
                 counts, masks, items = [], [], []
                 for text, before, known in zip(texts, batch.column(at + 2).to_pylist(),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import as_bytes, mix64, shared_table
+from ledgerlens.llm.common import as_bytes, mix64, shared_table, small_batches
 
 SHARD_DIGESTS = 200_000
 GAMMA = 2.0
@@ -120,7 +120,7 @@ def digests(docs: DataFrame, is_history, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def step(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             texts = as_bytes(batch.column(1))
             found = [hashlib.sha256(t.translate(None, _SPACE)).digest() for t in texts]
             yield pa.RecordBatch.from_arrays(

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.llm.common import small_batches
+
 SIGMA = 1.0
 # elements that end a line where they start and where they end
 _BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir
@@ -195,7 +197,7 @@ def extract_text(pages: DataFrame, html_col: str = "html",
                            T.StructField("n_chars", T.LongType())])
 
     def step(batches):
-        for batch in batches:
+        for batch in small_batches(batches, len(keep)):
             texts = [extract(h or "", sigma) for h in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keep)], pa.array(texts, pa.string()),

@@ -98,19 +98,22 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` (all columns) with later repeats deleted from the text, and
-    _n_lines, _n_removed."""
+                min_words: int = MIN_WORDS, report: str = "_report") -> DataFrame:
+    """``docs`` (all columns) with later repeats deleted from the text, and a
+    struct ``report`` of n_lines and n_removed."""
+    if report in docs.columns:
+        raise ValueError(f"the documents have a column {report!r} already")
     gone = repeated_lines(docs, id_col, text_col, min_words)
-    rows = docs.withColumn("_row", F.xxhash64(text_col)).alias("d").join(
-        gone.alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g._id"))
-        & (F.col("d._row") == F.col("g._row")), "left")
     text = F.col(f"d.{text_col}")
+    rows = docs.alias("d").join(gone.alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g._id"))
+                                & (F.xxhash64(text) == F.col("g._row")), "left")
     lines = F.split(text, "\n")
     kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("g.gone"))
     cut = F.array_join(F.transform(kept, lambda i: F.get(lines, i - 1)), "\n")
     new = F.when(F.col("g.gone").isNull(), text).otherwise(cut)
-    return rows.select(
-        *[new.alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("g.gone"), F.lit(0)).cast("long").alias("_n_removed"))
+    counts = F.struct(
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("g.gone").isNull(), 0).otherwise(F.size("g.gone")).cast("long")
+        .alias("n_removed"))
+    return rows.select(*[new.alias(c) if c == text_col else F.col(f"d.{c}")
+                         for c in docs.columns], counts.alias(report))

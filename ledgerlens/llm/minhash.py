@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import as_bytes, mix64, shared_table
+from ledgerlens.llm.common import as_bytes, mix64, shared_table, small_batches
 from ledgerlens.llm.components import components
 
 CHUNKS, VALUES, BITS = 8, 5, 12
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     kind = docs.schema[id_col].dataType.simpleString()
 
     def step(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             sets = shingle_sets(batch.column(2), size)
             chunks = [signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -174,7 +174,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> Da
         .join(wanted, "_row", "left_semi").select("_text")
 
     def step(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             sets = shingle_sets(batch.column(0), size)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),

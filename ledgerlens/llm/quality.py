@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import as_bytes
+from ledgerlens.llm.common import as_bytes, small_batches
 
 MAX_DOCS = 4000
 MAX_LINES = 200
@@ -225,7 +225,7 @@ def score(docs: DataFrame, field: LineField | None, text_col: str = "text",
 
     def step(batches):
         field = shared.value
-        for batch in batches:
+        for batch in small_batches(batches, at):
             if field is None:
                 found = [0.5] * batch.num_rows
             else:

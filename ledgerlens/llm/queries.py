@@ -64,8 +64,7 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", F.col("_n_lines").alias("n_lines"),
-                       F.col("_n_removed").alias("n_removed"),
+    return done.select("doc_id", "_report.n_lines", "_report.n_removed",
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

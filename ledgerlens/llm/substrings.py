@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import as_bytes, mix64, shared_table
+from ledgerlens.llm.common import as_bytes, mix64, shared_table, small_batches
 
 LENGTH = 400
 GRAM = 32
@@ -127,29 +127,21 @@ def anchors(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int)
 
     def step(batches):
         finder = Anchors(length, gram)
-        for batch in batches:
+        for batch in small_batches(batches, 2, _CHUNK):
             texts = as_bytes(batch.column(2))
-            at = 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and (end == at or size + len(texts[end]) <= _CHUNK):
-                    size += len(texts[end])
-                    end += 1
-                part = texts[at:end]
-                own, fp, lo, hi, pos = finder.find(part)
-                context = b"".join(
-                    xxhash.xxh3_128_digest(part[o][a:b]) for o, a, b in
-                    zip(own.tolist(), lo.tolist(), (hi + length).tolist()))
-                both = np.frombuffer(context, "<i8").reshape(-1, 2)
-                rows = pa.array(own + at)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows),
-                     pa.array(fp.astype(np.uint64).view(np.int64)),
-                     pa.array(both[:, 0]), pa.array(both[:, 1]),
-                     pa.array(lo, pa.int32()), pa.array(hi, pa.int32()),
-                     pa.array(pos, pa.int32())],
-                    names=["_id", "_row", "fp", "c1", "c2", "lo", "hi", "pos"])
-                at = end
+            own, fp, lo, hi, pos = finder.find(texts)
+            context = b"".join(
+                xxhash.xxh3_128_digest(texts[o][a:b]) for o, a, b in
+                zip(own.tolist(), lo.tolist(), (hi + length).tolist()))
+            both = np.frombuffer(context, "<i8").reshape(-1, 2)
+            rows = pa.array(own)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows),
+                 pa.array(fp.astype(np.uint64).view(np.int64)),
+                 pa.array(both[:, 0]), pa.array(both[:, 1]),
+                 pa.array(lo, pa.int32()), pa.array(hi, pa.int32()),
+                 pa.array(pos, pa.int32())],
+                names=["_id", "_row", "fp", "c1", "c2", "lo", "hi", "pos"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_row"),
                        F.col(text_col).alias("_text")) \
@@ -373,7 +365,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("i", "_text", "spans")
 
     def step(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             out = []
             for text, spans in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 runs = merge_spans([(s["lo"], s["hi"]) for s in spans or ()])
