@@ -197,6 +197,8 @@ def exact_dedup(docs: DataFrame, is_history=None, id_col: str = "doc_id",
     merged = (history.groupBy("shard").cogroup(new.groupBy("new_shard"))
               .applyInArrow(_merge, _GROUP)
               .select("digest", F.col("id").alias("_keep"), F.col("size").alias("group_size")))
+    # a table of its own: the join can be split where a text is hot
+    merged = shared_table(merged, "winners")
     keep = F.when(F.col("_keep") != _NO_ID, F.col("_keep"))
     return rows.join(merged, "digest").select(
         F.col("_id").alias(id_col), keep.alias("keep_id"), "group_size",

@@ -85,12 +85,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = windows(docs, id_col, text_col, min_words)
     # fingerprints that stand at two places or more
     place = F.xxhash64("_id", "_row", "q")
-    repeated = (found.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-                .where("a <> b").select("f"))
+    # tables of their own: joins with them can be split where a key is hot
+    repeated = shared_table(
+        found.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+        .where("a <> b").select("f"), "fingerprints")
     near = found.drop("q").join(repeated, "f").drop("f")
     here = F.struct("_id", "_row", "p")
-    first = near.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count("*").alias("c")) \
-        .where("c > 1").drop("c")
+    near = shared_table(near, "near")
+    first = shared_table(
+        near.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count("*").alias("c"))
+        .where("c > 1").drop("c"), "first")
     later = near.join(first, ["k1", "k2"]).where(here > F.col("first"))
     return later.groupBy("_id", "_row").agg(
         F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(p, p + n - 1)"))))

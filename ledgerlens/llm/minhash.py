@@ -199,14 +199,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      for i, s in enumerate(_SIGNATURE) for v, mask in enumerate(_masks()))
     keyed = nodes.select("node", F.explode(F.expr(f"array({keys})")).alias("key"))
     # keys of two nodes or more
-    multi = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    multi = shared_table(keyed.groupBy("key").agg(F.count("*").alias("c"))
+                         .where("c > 1").select("key"), "multi")
     led = shared_table(keyed.join(multi, "key"), "keys")
     wanted = led.select("node").distinct().join(nodes, "node").select("_row")
     sets = shared_table(_sets_of(docs, wanted, text_col, size), "sets")
 
     light = nodes.select("node", "n_shingles", *_SIGNATURE)
     fits = (f"{_similar('x', 'y', percent)} and ({_distance('x', 'y')}) <= {MAX_DISTANCE}")
-    leaders = led.groupBy("key").agg(F.min("node").alias("leader"))
+    leaders = shared_table(led.groupBy("key").agg(F.min("node").alias("leader")), "leaders")
     stars = (led.join(leaders, "key").where("node <> leader").select("node", "leader").distinct()
              .join(light.alias("x"), "node")
              .join(light.withColumnRenamed("node", "leader").alias("y"), "leader")
@@ -220,8 +221,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what the stars left: keys that hold more than one component
     held = (led.join(label, "node", "left")
             .select("key", "node", F.coalesce("component", "node").alias("component")))
-    mixed = (held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo <> hi").select("key"))
+    mixed = shared_table(
+        held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .where("lo <> hi").select("key"), "mixed")
     open_ = shared_table(held.join(mixed, "key").join(light, "node"), "open")
     rest = (open_.alias("x").join(open_.alias("y"), F.expr(
         f"x.key = y.key and x.component < y.component and {fits}"))
@@ -233,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = (nodes.select("node", "_id").join(label, "node", "left")
              .select("node", "_id", F.coalesce("component", "node").alias("component")))
     names = named.groupBy("component").agg(F.min("_id").alias("name"))
-    found = named.join(names, "component").select("node", "name")
+    found = shared_table(named.join(names, "component").select("node", "name"), "names")
     out = rows.join(found, "node", "left")
     name = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("name"))
     return out.select(F.col("_id").alias(id_col), "n_shingles", name.alias("component_id"),

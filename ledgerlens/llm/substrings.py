@@ -285,7 +285,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hashes = found.groupBy("fp").agg(
         F.count("*").alias("n"), F.min("c1").alias("a1"), F.max("c1").alias("b1"),
         F.min("c2").alias("a2"), F.max("c2").alias("b2")).where("n > 1")
-    hashes = hashes.select("fp", F.expr("a1 <> b1 or a2 <> b2").alias("mixed"))
+    # a table of its own: a join with it can be split where a hash is hot
+    hashes = shared_table(hashes.select(
+        "fp", F.expr("a1 <> b1 or a2 <> b2").alias("mixed")), "hashes")
     near = shared_table(found.join(hashes, "fp"), "repeats")
 
     # distinct contexts of mixed hashes, how often each occurs, and one place
@@ -316,8 +318,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     large = strings.join(twice, ["h1", "h2"]).select(*context, "s", F.col("s").alias("e"))
     whole = kinds.where("m > 1").select(*context, F.lit(0).alias("s"),
                                         F.expr("hi - lo").alias("e"))
-    shared = small.unionByName(large).unionByName(whole).groupBy(*context).agg(
-        F.collect_list(F.struct("s", "e")).alias("se"))
+    shared = shared_table(small.unionByName(large).unionByName(whole).groupBy(*context).agg(
+        F.collect_list(F.struct("s", "e")).alias("se")), "shared")
 
     even = near.where("not mixed").select("_id", "_row", "lo", F.expr("hi + {}".format(length))
                                           .alias("hi"))
