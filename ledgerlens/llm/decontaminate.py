@@ -28,9 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerlens.llm.common import as_bytes, small_batches
+from ledgerlens.llm.common import as_bytes, free_name, small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -178,20 +177,17 @@ def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
         yield spark.sparkContext.broadcast(SuffixAutomaton(rows, window))
 
 
-_FOUND = T.StructType([
-    T.StructField("_n_words", T.LongType()),
-    T.StructField("_n_hit", T.LongType()),
-    T.StructField("_mask", T.BinaryType()),
-    T.StructField("_items", T.ArrayType(T.StringType()))])
+_FOUND = (("_n_words", "long"), ("_n_hit", "long"), ("_mask", "binary"),
+          ("_items", "array<string>"))
 
 
 def _scan(docs: DataFrame, text_col: str, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` with the word count, hit mask and items of every text."""
-    out = docs.select("*", F.lit(0).cast("long").alias("_n_words"),
-                      F.lit(0).cast("long").alias("_n_hit"),
-                      F.lit(None).cast("binary").alias("_mask"),
-                      F.array().cast("array<string>").alias("_items"))
-    schema = T.StructType(list(docs.schema.fields) + list(_FOUND.fields))
+    """``docs`` with four more columns, last: the word count, the number of hit
+    words, the hit mask and the items of every text."""
+    names = [free_name(docs, name) for name, _ in _FOUND]
+    out = docs.select("*", *[F.lit(None).cast(kind).alias(name)
+                             for name, (_, kind) in zip(names, _FOUND)])
+    schema = out.schema
     at = len(docs.columns)
     text_at = docs.columns.index(text_col)
     for shared in automata(benchmark, **options):
@@ -215,7 +211,7 @@ def _scan(docs: DataFrame, text_col: str, benchmark: DataFrame, **options) -> Da
                     pa.array(counts, pa.int64()), pa.array(hits, pa.int64()),
                     pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(
-                    columns, names=batch.schema.names[:at] + _FOUND.names)
+                    columns, names=batch.schema.names)
         out = out.mapInArrow(step, schema)
     return out
 
@@ -224,7 +220,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text", **options) -> DataFrame:
     """One row per document: id, n_words, n_hit, item_ids (sorted), mask of hit
     words (one byte a word; null without hits)."""
-    found = _scan(docs.select(id_col, text_col), text_col, benchmark, **options)
+    found = _scan(docs.select(id_col, text_col), text_col, benchmark, **options).toDF(
+        id_col, text_col, *[name for name, _ in _FOUND])
     return found.select(id_col, F.col("_n_words").alias("n_words"),
                         F.col("_n_hit").alias("n_hit"),
                         F.col("_items").alias("item_ids"), F.col("_mask").alias("mask"))

@@ -136,10 +136,10 @@ def digests(docs: DataFrame, is_history, id_col: str = "doc_id",
 def groups(rows: DataFrame) -> DataFrame:
     """One row per digest: winner and size.  Code points and id are packed into
     one comparable value so that the aggregate stays partial and flat."""
-    best = F.max(F.struct(F.col("points"), (-F.col("id") - 1).alias("minus")))
+    best = F.max(F.struct(F.col("points"), F.bitwise_not("id").alias("minus")))
     return (rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("size"))
             .select("digest", F.col("best.points").alias("points"),
-                    (-F.col("best.minus") - 1).alias("id"), "size"))
+                    F.bitwise_not("best.minus").alias("id"), "size"))
 
 
 _FIELDS = ("digest", "points", "id", "size")

@@ -45,7 +45,11 @@ def test_odd_rows_give_one_result_each(spark, docs, extra):
             assert len(pieces) == len(EDGES)
         else:
             ids = sorted(((r.doc_id is None, r.doc_id or 0) for r in rows))
-            assert ids == sorted((i is None, i or 0) for i, _ in EDGES), name
+            want = sorted((i is None, i or 0) for i, _ in EDGES)
+            if name == "decontaminate":      # two texts are benchmark items whole
+                want = [w for w in want if w != (True, 0)] + [(True, 0)]
+                want.remove((False, 4))
+            assert ids == want, name
 
 
 def test_empty_tables(spark, docs):
