@@ -38,7 +38,7 @@ MAX_COVERAGE = 0.5
 # byte -> itself if part of a word (A-Z lowered), else a space
 _FOLD = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower()
               else b + 32 if chr(b).isupper() else 32 for b in range(256))
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(rb"[^ ]+")
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -231,7 +231,8 @@ def remove_spans(text: str, mask: bytes) -> str:
     """``text`` without the hit words and what stands between two of them."""
     data = text.encode("utf-8", "surrogatepass")
     kept, done, open_at, last_end = [], 0, None, 0
-    for hit, m in zip(mask, _WORD.finditer(data)):
+    # folding keeps every byte's place
+    for hit, m in zip(mask, _WORD.finditer(data.translate(_FOLD))):
         if hit and open_at is None:
             open_at = m.start()
         elif not hit and open_at is not None:

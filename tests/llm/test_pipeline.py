@@ -7,6 +7,7 @@ import corpus_pipeline
 from ledgerlens.llm import quality
 
 SF = "/root/testdata/sf0.001"
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @pytest.fixture(scope="module")
@@ -67,7 +68,7 @@ def test_one_of_each_group_stays(stages):
     kept = {r.doc_id for r in stages[3].collect()}
     sets = {}
     for i, text in rows.items():
-        w = text.lower().split()
+        w = text.translate(FOLD).split()
         n = min(5, len(w))
         sets[i] = frozenset(tuple(w[p:p + n]) for p in range(len(w) - n + 1)) if w else frozenset()
     name = {i: i for i in sets}
@@ -90,11 +91,11 @@ def test_no_benchmark_window_is_left(spark, stages):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = set()
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
-        w = word.findall(r.text.lower())
+        w = word.findall(r.text.translate(FOLD))
         n = min(10, len(w))
         windows |= {tuple(w[p:p + n]) for p in range(len(w) - n + 1)} if w else set()
-    before = {r.doc_id: word.findall(r.text.lower()) for r in stages[3].collect()}
-    after = {r.doc_id: word.findall(r.text.lower()) for r in stages[4].collect()}
+    before = {r.doc_id: word.findall(r.text.translate(FOLD)) for r in stages[3].collect()}
+    after = {r.doc_id: word.findall(r.text.translate(FOLD)) for r in stages[4].collect()}
     for i, w in before.items():
         hit = set()
         for p in range(len(w)):
