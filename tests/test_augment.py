@@ -33,3 +33,12 @@ def test_no_merchants_is_an_error(spark):
     c = spark.createDataFrame([("a",)], "city_state string")
     with pytest.raises(ValueError):
         augment_city(m, c, order_col="k")
+
+
+def test_every_city_is_used_and_columns_are_kept(spark):
+    m = spark.createDataFrame([(i, f"shop {i}", f"cat{i % 3}") for i in range(4)],
+                              "k long, Description string, Category string")
+    c = spark.range(2500).selectExpr("concat('c', id) as city_state")
+    rows = augment_city(m, c, order_col="k").collect()
+    assert sorted(r.city_rank for r in rows) == list(range(1, 2501))
+    assert all(r.Category == f"cat{int(r.merchant.split()[1]) % 3}" for r in rows)

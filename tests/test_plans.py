@@ -33,6 +33,7 @@ def test_hot_key_dedupe_is_partially_aggregated(spark):
     out = dedupe_first(df, ["k"], "id")
     plan = _plan(out)
     assert "partial_min" in plan and "Window" not in plan
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
     rows = {r.k: r.id for r in out.collect()}
     assert rows["hot"] == 0 and len(rows) == 20001
 
@@ -99,3 +100,23 @@ def test_exact_split_flags_without_a_shuffle(spark):
     plan = _run_plan(flagged)
     assert "Exchange" not in plan and "Sort" not in plan
     assert flagged.filter("is_test").count() == -(-33 * part.count() // 100)
+
+
+def test_heads_are_fitted_from_one_pass(spark):
+    """The training rows are exploded once for any number of heads."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = docs.select("doc_id", "lang", "source", clean_tokens("text").alias("tokens"))
+    rows = rows.mapInArrow(count, rows.schema)
+    models = nb.fit_heads(rows, {"a": "lang", "b": "source"}, "tokens")
+    assert seen.value == docs.count()
+    for head, label in (("a", "lang"), ("b", "source")):
+        alone = nb.fit(rows, label, "tokens")
+        assert sorted(map(tuple, alone.classes.collect())) == \
+            sorted(map(tuple, models[head].classes.collect()))
