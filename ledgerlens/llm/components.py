@@ -2,9 +2,9 @@
 
 Every round links all larger neighbours of a node to its smallest neighbour
 (large star), then all smaller ones (small star); links never lose
-connectivity, and when nothing changes every node is linked to the smallest of
-its component.  Each round is written to a shared table; the driver sees one
-number a round.
+connectivity, and in the end they are stars around the smallest node of each
+component.  Each round is written to a shared table; the driver sees one number
+a round.
 """
 
 from __future__ import annotations
@@ -33,25 +33,27 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether the links (a > b) are stars: every node has one link upwards, or
+    links downwards only."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")) \
+        .unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"),
+                                  F.lit(1).alias("down")))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("u"), F.max("down").alias("d")) \
+        .where("u > 1 or (u = 1 and d = 1)")
+    return odd.limit(1).count() == 0
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component (smallest node) of all nodes in ``links`` (a, b)."""
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) \
         .where("a <> b").distinct()
     links = shared_table(links, "star")
-    mark = _mark(links)
     for _ in range(max_rounds):
-        links = shared_table(_star(_star(links, True), False), "star")
-        now = _mark(links)
-        if now == mark:
+        if _settled(links):
             break
-        mark = now
+        links = shared_table(_star(_star(links, True), False), "star")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
-def _mark(links: DataFrame) -> tuple:
-    r = links.agg(F.count("*").alias("n"),
-                  F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return r.n, r.s

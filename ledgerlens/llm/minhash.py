@@ -12,19 +12,22 @@ pair misses all keys with a chance of 2 in 100,000, and less above.
 
 Components are found without all pairs of a group:
 1. equal sets are one node;
-2. every node is compared with the nearest leader (smallest node) of its keys;
-   confirmed links give first components;
-3. keys that still hold two components or more are joined with themselves, on
-   pairs of different components within the distance only; confirmed links
-   merge components.  No link between different components is left out, so the
-   components are those of all candidate links.
+2. every node is compared with the nearest leader of its keys (the member that
+   shares most keys with others); confirmed links give first components;
+3. in keys that still hold two components or more, the members outside the
+   key's largest component meet its other members.  A pair of different
+   components within the distance, and with sketches of 512 one-bit MinHash
+   values close enough for the similarity (a pair at exactly 0.8 is not, with a
+   chance of 1 in 100,000), is emitted once, at the first key both have;
+   confirmed links merge components.  No link between different components is
+   left out, so the components are those of all candidate links.
 
 Defined results: a null text, or one without words, has the empty set and is
 linked with nothing; fewer words than a shingle has make one shingle; rows with
 equal ids are judged each by its own text; a null id is never a group's name
 unless all ids of the group are null; an empty table gives no rows.
 
-Scale: only signatures (64 bytes) and keys are shuffled; texts never are, as
+Scale: signatures (64 bytes), keys and the sets of candidates are shuffled; texts never are, as
 long as the nodes with candidates fit a checked broadcast (``MAX_BROADCAST``),
 beyond which they are joined by hash.  Groups of copies collapse in a partial
 aggregate; a key's group is met by aggregates and joins only, which adaptive
@@ -51,6 +54,10 @@ _rng = np.random.default_rng(20240607)
 _MULTIPLY = _rng.integers(1, 1 << 32, CHUNKS * VALUES, np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, CHUNKS * VALUES, np.uint64).astype(np.uint32)
 _SIGNATURE = [f"s{i}" for i in range(CHUNKS)]
+SKETCH_BITS = 512
+_SKETCH = [f"k{i}" for i in range(SKETCH_BITS // 64)]
+_MULTIPLY_1 = _rng.integers(1, 1 << 32, SKETCH_BITS, np.uint64).astype(np.uint32) | np.uint32(1)
+_ADD_1 = _rng.integers(0, 1 << 32, SKETCH_BITS, np.uint64).astype(np.uint32)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -81,14 +88,33 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
+def _lowest(shingles: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """The smallest value of every hash function over the shingles, spread."""
+    low = np.full(len(multiply), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(shingles), 1 << 10):
+        part = shingles[at:at + (1 << 10), None]
+        h = (part >> np.uint64(32)).astype(np.uint32) * multiply + (part.astype(np.uint32) ^ add)
+        low = np.minimum(low, h.min(axis=0))
+    return low * np.uint32(0x9E3779B1)
+
+
+def sketch(shingles: np.ndarray) -> list[int]:
+    """The top bit of every one of ``SKETCH_BITS`` MinHash values."""
+    bits = _lowest(shingles, _MULTIPLY_1, _ADD_1) >> np.uint32(31)
+    return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
+
+
+def sketch_limit(percent: int) -> int:
+    """Differing sketch bits up to which a pair may have the similarity: 4.4
+    standard deviations above the mean."""
+    p = (1 - percent / 100) / 2
+    return int(SKETCH_BITS * p + 4.4 * (SKETCH_BITS * p * (1 - p)) ** 0.5) + 1
+
+
 def signature(shingles: np.ndarray) -> list[int]:
     """One number per chunk: its values side by side, ``BITS`` bits each."""
-    low = np.full(CHUNKS * VALUES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(shingles), 1 << 12):
-        part = shingles[at:at + (1 << 12), None]
-        h = (part >> np.uint64(32)).astype(np.uint32) * _MULTIPLY + (part.astype(np.uint32) ^ _ADD)
-        low = np.minimum(low, h.min(axis=0))
-    values = (low * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)).astype(np.int64)
+    low = _lowest(shingles, _MULTIPLY, _ADD)
+    values = (low >> np.uint32(32 - BITS)).astype(np.int64)
     shifts = np.arange(VALUES, dtype=np.int64) * BITS
     return (values.reshape(CHUNKS, VALUES) << shifts).sum(axis=1).tolist()
 
@@ -130,6 +156,19 @@ def _distance(a: str, b: str) -> str:
     return " + ".join(terms)
 
 
+def _first_slot(a: str, b: str) -> str:
+    """SQL for the first key place (chunk, value left out) that two share."""
+    cases = [f"when (({a}.{s} ^ {b}.{s}) & {mask}L) = 0 then {i * VALUES + v}"
+             for i, s in enumerate(_SIGNATURE) for v, mask in enumerate(_masks())]
+    return f"case {' '.join(cases)} end"
+
+
+def _close(a: str, b: str, percent: int) -> str:
+    """SQL: sketches that allow the similarity."""
+    bits = " + ".join(f"bit_count({a}.{k} ^ {b}.{k})" for k in _SKETCH)
+    return f"({bits}) <= {sketch_limit(percent)}"
+
+
 def _similar(a: str, b: str, percent: int) -> str:
     """SQL: set sizes that allow the similarity at all."""
     return (f"100 * {a}.n_shingles >= {percent} * {b}.n_shingles and "
@@ -167,7 +206,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> DataFrame:
-    """node, set (sorted hashes) of the nodes whose text hash is wanted."""
+    """node, set (sorted hashes) and sketch of the nodes whose text hash is
+    wanted."""
     if wanted.count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
     rows = docs.select(F.xxhash64(text_col).alias("_row"), F.col(text_col).alias("_text")) \
@@ -178,9 +218,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> Da
             sets = shingle_sets(batch.column(0), size)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
+                 pa.array([s.tobytes() for s in sets], pa.binary()),
+                 *[pa.array(k, pa.int64()) for k in zip(*map(sketch, sets))]],
+                names=["node", "set", *_SKETCH])
 
-    return rows.mapInArrow(step, "node binary, set binary").dropDuplicates(["node"])
+    words = ", ".join(f"{k} long" for k in _SKETCH)
+    return rows.mapInArrow(step, f"node binary, set binary, {words}").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -195,23 +238,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows.where("node is not null").groupBy("node").agg(
             F.min("_row").alias("_row"), F.min("n_shingles").alias("n_shingles"),
             F.min("_id").alias("_id"), *[F.min(s).alias(s) for s in _SIGNATURE]), "nodes")
-    keys = ", ".join(f"xxhash64({i * VALUES + v}, {s} & {mask}L)"
-                     for i, s in enumerate(_SIGNATURE) for v, mask in enumerate(_masks()))
-    keyed = nodes.select("node", F.explode(F.expr(f"array({keys})")).alias("key"))
+    keys = ", ".join(f"struct({i * VALUES + v} as slot, xxhash64({i * VALUES + v}, {s} & {mask}L)"
+                     f" as key)" for i, s in enumerate(_SIGNATURE)
+                     for v, mask in enumerate(_masks()))
+    keyed = nodes.select("node", F.inline(F.expr(f"array({keys})")))
     # keys of two nodes or more
     multi = shared_table(keyed.groupBy("key").agg(F.count("*").alias("c"))
-                         .where("c > 1").select("key"), "multi")
+                         .where("c > 1"), "multi")
     led = shared_table(keyed.join(multi, "key"), "keys")
     wanted = led.select("node").distinct().join(nodes, "node").select("_row")
     sets = shared_table(_sets_of(docs, wanted, text_col, size), "sets")
-
-    light = nodes.select("node", "n_shingles", *_SIGNATURE)
-    fits = (f"{_similar('x', 'y', percent)} and ({_distance('x', 'y')}) <= {MAX_DISTANCE}")
-    leaders = shared_table(led.groupBy("key").agg(F.min("node").alias("leader")), "leaders")
+    light = nodes.select("node", "n_shingles", *_SIGNATURE).join(sets.drop("set"), "node")
+    light = shared_table(light, "light")
+
+    # the leader of a key: the member whose keys hold most others
+    shares = shared_table(led.groupBy("node").agg(F.sum("c").alias("share")), "shares")
+    best = F.max(F.struct("share", "node")).alias("best")
+    leaders = shared_table(led.select("key", "node").join(shares, "node").groupBy("key").agg(best)
+                           .select("key", F.col("best.node").alias("leader")), "leaders")
+    near = (f"{_similar('x', 'y', percent)} and ({_distance('x', 'y')}) <= {MAX_DISTANCE}"
+            f" and {_close('x', 'y', percent)}")
     stars = (led.join(leaders, "key").where("node <> leader").select("node", "leader").distinct()
              .join(light.alias("x"), "node")
              .join(light.withColumnRenamed("node", "leader").alias("y"), "leader")
-             .where(fits)
+             .where(near)
              .groupBy(F.col("node").alias("a"))
              .agg(F.min(F.struct(F.expr(_distance("x", "y")).alias("d"), "leader")).alias("m"))
              .select("a", F.col("m.leader").alias("b")))
@@ -220,15 +270,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # what the stars left: keys that hold more than one component
     held = (led.join(label, "node", "left")
-            .select("key", "node", F.coalesce("component", "node").alias("component")))
+            .select("key", "slot", "node", F.coalesce("component", "node").alias("component")))
+    held = shared_table(held, "held")
+    largest = F.max(F.struct("n", "component")).alias("best")
     mixed = shared_table(
-        held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo <> hi").select("key"), "mixed")
+        held.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+        .agg(F.count("*").alias("parts"), largest).where("parts > 1")
+        .select("key", F.col("best.component").alias("main")), "mixed")
     open_ = shared_table(held.join(mixed, "key").join(light, "node"), "open")
-    rest = (open_.alias("x").join(open_.alias("y"), F.expr(
-        f"x.key = y.key and x.component < y.component and {fits}"))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    rest = rest.join(first, ["a", "b"], "left_anti")
+    rest = (open_.where("component <> main").alias("x").join(open_.alias("y"), F.expr(
+        f"x.key = y.key and x.component <> y.component"
+        f" and (y.component = y.main or x.component < y.component) and {near}"
+        f" and x.slot = {_first_slot('x', 'y')}"))
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     more = shared_table(confirm(rest, sets, percent).unionByName(first), "links")
     label = components(more)
 
