@@ -16,10 +16,11 @@ Components are found without all pairs of a group:
    shares most keys with others); confirmed links give first components;
 3. in keys that still hold two components or more, the members outside the
    key's largest component meet its other members.  A pair of different
-   components within the distance, and with sketches of 512 one-bit MinHash
-   values close enough for the similarity (a pair at exactly 0.8 is not, with a
-   chance of 1 in 100,000), is emitted once, at the first key both have;
-   confirmed links merge components.  No link between different components is
+   components is emitted once, at the first key both have, and only if it is
+   within the distance, its sketches of 512 one-bit MinHash values are close
+   enough for the similarity (a pair at exactly 0.8 is not, with a chance of 1
+   in 100,000), and its bitmaps of 4096 shingle bits allow it: bits set in one
+   only bound the intersection from above.  Confirmed links merge components.  No link between different components is
    left out, so the components are those of all candidate links.
 
 Defined results: a null text, or one without words, has the empty set and is
@@ -104,6 +105,13 @@ def sketch(shingles: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
 
 
+def bitmap(shingles: np.ndarray) -> list[int]:
+    """4096 bits, those of the shingles' top 12 bits set."""
+    bits = np.zeros(4096, np.uint8)
+    bits[(shingles >> np.uint64(52)).astype(np.int64)] = 1
+    return np.packbits(bits).view("<i8").tolist()
+
+
 def sketch_limit(percent: int) -> int:
     """Differing sketch bits up to which a pair may have the similarity: 4.4
     standard deviations above the mean."""
@@ -169,6 +177,16 @@ def _close(a: str, b: str, percent: int) -> str:
     return f"({bits}) <= {sketch_limit(percent)}"
 
 
+def _bounded(a: str, b: str, percent: int) -> str:
+    """SQL: bitmaps that allow the similarity.  Every bit that only one has is a
+    shingle that only it has, so the intersection is no larger than either set
+    without those."""
+    total = f"({a}.n_shingles + {b}.n_shingles) * {percent}"
+    return " and ".join(
+        f"({p}.n_shingles - aggregate(zip_with({p}.bits, {q}.bits, (u, v) -> bit_count(u & ~v)),"
+        f" 0, (s, c) -> s + c)) * {100 + percent} >= {total}" for p, q in ((a, b), (b, a)))
+
+
 def _similar(a: str, b: str, percent: int) -> str:
     """SQL: set sizes that allow the similarity at all."""
     return (f"100 * {a}.n_shingles >= {percent} * {b}.n_shingles and "
@@ -206,8 +224,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> DataFrame:
-    """node, set (sorted hashes) and sketch of the nodes whose text hash is
-    wanted."""
+    """node, set (sorted hashes), bitmap and sketch of the nodes whose text
+    hash is wanted."""
     if wanted.count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
     rows = docs.select(F.xxhash64(text_col).alias("_row"), F.col(text_col).alias("_text")) \
@@ -219,11 +237,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> Da
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
                  pa.array([s.tobytes() for s in sets], pa.binary()),
+                 pa.array([bitmap(s) for s in sets], pa.list_(pa.int64())),
                  *[pa.array(k, pa.int64()) for k in zip(*map(sketch, sets))]],
-                names=["node", "set", *_SKETCH])
+                names=["node", "set", "bits", *_SKETCH])
 
     words = ", ".join(f"{k} long" for k in _SKETCH)
-    return rows.mapInArrow(step, f"node binary, set binary, {words}").dropDuplicates(["node"])
+    return rows.mapInArrow(step, f"node binary, set binary, bits array<long>, {words}").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -281,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = (open_.where("component <> main").alias("x").join(open_.alias("y"), F.expr(
         f"x.key = y.key and x.component <> y.component"
         f" and (y.component = y.main or x.component < y.component) and {near}"
-        f" and x.slot = {_first_slot('x', 'y')}"))
+        f" and x.slot = {_first_slot('x', 'y')} and {_bounded('x', 'y', percent)}"))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     more = shared_table(confirm(rest, sets, percent).unionByName(first), "links")
     label = components(more)

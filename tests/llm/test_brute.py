@@ -125,6 +125,48 @@ def test_signature_join_finds_all_within_distance():
         assert keys(pack[0]) & keys(pack[1])
 
 
+def test_one_center_and_many_loose_copies(spark, docs):
+    """Copies of one text with more or less noise: some link to it, the loose
+    ones to nothing or to each other; every link counts."""
+    rng = random.Random(14)
+    base = sentence(rng, 120).split()
+    rows = [(1000, " ".join(base))]
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice([1, 3, 8, 12, 16, 25])):
+            words[rng.randrange(len(words))] = rng.choice(WORDS) + str(rng.randrange(9))
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(t.split()[p:p + 2]) for p in range(len(t.split()) - 1)} for i, t in rows}
+    name = {i: i for i in sets}
+
+    def root(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                name[y] = x
+    got = minhash.near_duplicates(docs(rows), size=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: root(i) for i in sets}
+    assert len({r.component_id for r in got}) > 5
+
+
+def test_bitmaps_never_dismiss_a_link():
+    import numpy as np
+    rng = np.random.default_rng(15)
+    for _ in range(200):
+        both = rng.integers(0, 1 << 63, rng.integers(1, 900), np.uint64) * np.uint64(2)
+        a, b = (np.unique(np.concatenate((both, rng.integers(0, 1 << 63, rng.integers(0, 300),
+                                                             np.uint64)))) for _ in range(2))
+        only = [sum(bin(int(u) & ~int(v) & (1 << 64) - 1).count("1")
+                    for u, v in zip(minhash.bitmap(p), minhash.bitmap(q)))
+                for p, q in ((a, b), (b, a))]
+        common = minhash.shared_hashes(a.tobytes(), b.tobytes())
+        assert common <= min(len(a) - only[0], len(b) - only[1])
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(40)] + [(rng.randrange(60, 90), rng.randrange(60, 90))
