@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate, lines, minhash, packing, quality
-from ledgerlens.llm.common import free_name, read_table, shared_table
+from ledgerlens.llm.common import bound_batches, free_name, read_table, shared_table
 from ledgerlens.llm.queries import BYTE_BPE, tokenizer_path
 
 
@@ -32,6 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of passages deleted; documents that lost all words go."""
+    bound_batches(spark)
     report = free_name(docs, "_report")
     done = lines.dedup_lines(docs, report=report)
     lost = (F.col(f"{report}.n_removed") > 0) & (F.trim(F.col("text")) == "")
@@ -40,6 +41,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, 0.8)."""
+    bound_batches(spark)
     found = minhash.near_duplicates(docs)
     gone = found.where("not kept").select(F.col("doc_id").alias("_id"), "_row").distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"])
@@ -53,6 +55,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
+    bound_batches(spark)
     return packing.pack(docs, tokenizer_path(BYTE_BPE)).drop("ids")
 
 

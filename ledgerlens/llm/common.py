@@ -12,7 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.session import checkpoint_dir, scratch_path
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Record batches between the JVM and Python of at most ``size`` bytes, so
+    that long texts do not add up in either."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) != f"{size}b":
+        spark.conf.set(key, f"{size}b")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,6 +67,20 @@ def small_batches(batches, column: int, size: int = 4 << 20):
             at = end
 
 
+def gathered_batches(batches, column: int, size: int = 24 << 20):
+    """Record batches of about ``size`` bytes of texts, joined from smaller ones
+    (for steps whose cost is per distinct word of a batch)."""
+    kept, total = [], 0
+    for batch in small_batches(batches, column, size):
+        kept.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.concat_batches(kept)
+            kept, total = [], 0
+    if kept:
+        yield pa.concat_batches(kept)
+
+
 def as_bytes(column: pa.Array, null: bytes | None = b"") -> list:
     """UTF-8 bytes of a string column; nulls become ``null``."""
     values = column.cast(pa.binary()).to_pylist()

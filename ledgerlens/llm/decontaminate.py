@@ -181,17 +181,20 @@ _FOUND = (("_n_words", "long"), ("_n_hit", "long"), ("_mask", "binary"),
           ("_items", "array<string>"))
 
 
-def _scan(docs: DataFrame, text_col: str, benchmark: DataFrame, **options) -> DataFrame:
+def _scan(docs: DataFrame, text_col: str, benchmark: DataFrame, finish=None,
+          **options) -> DataFrame:
     """``docs`` with four more columns, last: the word count, the number of hit
-    words, the hit mask and the items of every text."""
+    words, the hit mask and the items of every text; or what ``finish`` makes of
+    a record batch of that (of the schema of ``docs``)."""
     names = [free_name(docs, name) for name, _ in _FOUND]
     out = docs.select("*", *[F.lit(None).cast(kind).alias(name)
                              for name, (_, kind) in zip(names, _FOUND)])
     schema = out.schema
     at = len(docs.columns)
     text_at = docs.columns.index(text_col)
-    for shared in automata(benchmark, **options):
-        def step(batches, shared=shared):
+
+    def step_of(shared, finish):
+        def step(batches):
             automaton = shared.value
             for batch in small_batches(batches, text_at):
                 texts = as_bytes(batch.column(text_at))
@@ -210,10 +213,16 @@ def _scan(docs: DataFrame, text_col: str, benchmark: DataFrame, **options) -> Da
                 columns = batch.columns[:at] + [
                     pa.array(counts, pa.int64()), pa.array(hits, pa.int64()),
                     pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(
-                    columns, names=batch.schema.names)
-        out = out.mapInArrow(step, schema)
-    return out
+                done = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                yield finish(done) if finish else done
+        return step
+
+    blocks = automata(benchmark, **options)
+    block = next(blocks)
+    for following in blocks:
+        out = out.mapInArrow(step_of(block, None), schema)
+        block = following
+    return out.mapInArrow(step_of(block, finish), docs.schema if finish else schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
@@ -250,23 +259,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                   max_coverage: float = MAX_COVERAGE, **options) -> DataFrame:
     """``docs`` (all columns) with hit spans cut out of the text; a document
     with more than ``max_coverage`` of its words hit goes as a whole."""
-    found = _scan(docs, text_col, benchmark, **options)
-    text_at, at, schema = docs.columns.index(text_col), len(docs.columns), docs.schema
-
-    def clean(batches):
-        for batch in batches:
-            masks = batch.column(at + 2).to_pylist()
-            texts = batch.column(text_at).to_pylist()
-            keep = []
-            for i, mask in enumerate(masks):
-                if mask is not None:
-                    texts[i] = remove_spans(texts[i], mask)
-                keep.append(mask is None or mask.count(1) <= max_coverage * len(mask))
-            columns = batch.columns[:at]
-            columns[text_at] = pa.array(texts, batch.column(text_at).type)
-            out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:at])
-            yield out.filter(pa.array(keep, pa.bool_()))
-    return found.mapInArrow(clean, schema)
+    text_at, at = docs.columns.index(text_col), len(docs.columns)
+
+    def clean(batch):
+        masks = batch.column(at + 2).to_pylist()
+        texts = batch.column(text_at).to_pylist()
+        keep = []
+        for i, mask in enumerate(masks):
+            if mask is not None:
+                texts[i] = remove_spans(texts[i], mask)
+            keep.append(mask is None or mask.count(1) <= max_coverage * len(mask))
+        columns = batch.columns[:at]
+        columns[text_at] = pa.array(texts, batch.column(text_at).type)
+        out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:at])
+        return out.filter(pa.array(keep, pa.bool_()))
+
+    return _scan(docs, text_col, benchmark, finish=clean, **options)
 
 
 def items_digest(ids: str = "item_ids"):

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import small_batches
+from ledgerlens.llm.common import gathered_batches
 from ledgerlens.llm.tokens import TokenCoder, ids_as_u4
 
 SEQ_LEN = 1024
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         end = np.array([end_id], coder.dtype).tobytes()
         full = seq_len * width
         partition, row = TaskContext.get().partitionId(), 0
-        for batch in small_batches(batches, 1, 32 << 20):
+        for batch in gathered_batches(batches, 1):
             out: dict[str, list] = {k: [] for k in
                                     ("group", "n", "crc", "full", "rest")}
             for ids in coder.encode(batch.column(1)):

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.session import checkpoint_dir
-from ledgerlens.llm.common import shared_folder, shared_table, small_batches
+from ledgerlens.llm.common import gathered_batches, shared_folder, shared_table
 from ledgerlens.llm.tokens import TokenCoder
 
 FILE_BYTES = 32 << 20
@@ -146,7 +146,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None,
                           len(writer.offsets), writer.tokens, before))
             return before + writer.tokens
 
-        for batch in small_batches(batches, 1, 32 << 20):
+        for batch in gathered_batches(batches, 1):
             for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
                 if writer is None:
                     name = f"part-{part:05d}-{len(files):04d}-{uuid.uuid4().hex[:12]}"

@@ -30,7 +30,7 @@ _ODD_SPACE = (r"[\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{20
 # use parts such a word into its letters and its signs
 _SIMPLE = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)"
                      r"([!-&(-/:-@\[-`{-~]*)")
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 
 def _byte_text(b: int) -> str:
