@@ -110,6 +110,36 @@ def test_fewer_types_lower_the_order(spark):
     assert langid.fit(rows).order == 4
 
 
+def test_many_types_keep_the_order_in_blocks(spark):
+    """The model of several blocks is the formula of order 4, as that of one is."""
+    texts = ["The cat sat; on the MAT!", "a cat, a hat", "", "tea for two"]
+    other = ["das ist gut", "日本語の文", "die Katze"]
+    rows = spark.createDataFrame([("en", t) for t in texts] + [("xx", t) for t in other],
+                                 "lang string, text string")
+    one, many = langid.fit(rows), langid.fit(rows, block_values=60)
+    assert one.order == many.order == 4
+    assert len(one.blocks) == 1 and len(many.blocks) > 5
+    asked = ["the hat", "zzz", "cat sat tea", "Katze 日本", "", None]
+    want, sizes = one.entropies(asked)
+    got, again = many.entropies(asked)
+    assert (sizes == again).all() and np.allclose(got, want, rtol=1e-9)
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    a, b = (langid.identify(docs, m).orderBy("doc_id").collect() for m in (one, many))
+    assert [(r.doc_id, r.lang_pred, r.rejected) for r in a] \
+        == [(r.doc_id, r.lang_pred, r.rejected) for r in b]
+    alone = langid.fit(rows.where("lang = 'en'"), block_values=20)
+    prob, _ = plain_kneser_ney(texts, 4)
+    p = "    cat sat tea "
+    want = -sum(math.log(prob(p[i - 3:i + 1])) for i in range(4, len(p)))
+    got, size = alone.entropies(["cat sat tea"])
+    assert len(alone.blocks) > 1 and got[0][0] * size[0] == pytest.approx(want, rel=1e-6)
+
+
+def test_no_number_of_types_lowers_the_order_by_itself():
+    import inspect
+    assert inspect.signature(langid.fit).parameters["max_types"].default is None
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="<p>x</p>";</script></head>
 <body><header><h1>Site</h1></header><nav><ul><li>Home</li></ul></nav>
 <div id="cookie-notice">We use cookies</div>
