@@ -2,13 +2,15 @@
 
 The events of the standard library's parser are cut into lines, one per block
 element.  A line's ratio is its characters over its tags; ratios are smoothed
-with a Gaussian and those above a threshold (half a standard deviation around
-the mean, never above the median of the long lines) are clustered as content.
-The content region is the article elements that hold content lines; on a page
-without such elements it is the sections (div, section, td, body) that directly
-hold content lines.  Lines in menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments never
-count, by element or by the words of class, id and role.
+with a Gaussian and those of at least half a standard deviation below the mean
+are clustered as content.  Candidate regions are the outermost article and main
+elements, each whole, and for lines outside them the section (div, section, td,
+body) that directly holds the line.  A region that holds a content line is kept
+with all its lines, on every page; so is an article with ``PROSE`` characters a
+tag or more whose lines all lie under the threshold, such as a short one beside
+a long one.  Lines in menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and reader comments never count, by element or by the
+words of class, id and role.
 
 Inside a line every run of white space is one space; lines are joined by a
 blank line.  Character references are decoded by the parser.
@@ -34,6 +36,7 @@ from pyspark.sql import types as T
 from ledgerlens.llm.common import small_batches
 
 SIGMA = 1.0
+PROSE = 20        # characters a tag of an article that is text by itself
 # elements that end a line where they start and where they end
 _BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir
 div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li
@@ -179,13 +182,16 @@ def extract(html: str, sigma: float = SIGMA) -> str:
         return ""
     ratios = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])
     content = content_lines(ratios, sigma)
-    article = np.array([a for _, _, a, _ in lines])
-    if article.any():
-        chosen = set(article[content].tolist()) - {0} or set(article.tolist()) - {0}
-        keep = [a in chosen for a in article.tolist()]
-    else:
-        chosen = {line[3] for line, is_content in zip(lines, content) if is_content}
-        keep = [line[3] in chosen for line in lines]
+    # an article number, or a region number below zero
+    regions = [a or -1 - r for _, _, a, r in lines]
+    chosen = {r for r, is_content in zip(regions, content) if is_content}
+    held: dict[int, list] = {}
+    for r, (text, tags, _, _) in zip(regions, lines):
+        if r > 0:
+            held.setdefault(r, []).append((len(text), max(1, tags)))
+    chosen.update(r for r, own in held.items()
+                  if sum(n for n, _ in own) >= PROSE * sum(t for _, t in own))
+    keep = [r in chosen for r in regions]
     return "\n\n".join(line[0] for line, k in zip(lines, keep) if k)
 
 

@@ -159,6 +159,29 @@ def test_article_without_what_is_around_it(tag):
     assert html_text.extract(PAGE % (tag, tag)) == WANT
 
 
+LONG = "This paragraph goes on for long about what the page is there to tell its readers. " * 4
+LONG = LONG.strip()
+
+
+def test_main_text_in_a_div_beside_teaser_articles():
+    cards = "".join(f'<article><h3><a href="/{i}">Card {i}</a></h3></article>' for i in range(3))
+    page = f"<body><div class='text'><p>{LONG}</p><p>{LONG}</p><p>End.</p></div>" \
+           f"<div class='cards'>{cards}</div></body>"
+    assert html_text.extract(page) == f"{LONG}\n\n{LONG}\n\nEnd."
+    page = f"<body><div class='cards'>{cards}</div><div><p>{LONG}</p><p>{LONG}</p></div></body>"
+    # the card next to the text is lifted by the smoothing
+    assert html_text.extract(page) == f"Card 2\n\n{LONG}\n\n{LONG}"
+
+
+def test_long_and_short_article():
+    short = "The bridge is open again since Monday, the town said."
+    many = "".join(f"<p>{LONG}</p>" for _ in range(6))
+    page = f"<body><article>{many}</article><div><ul><li><a href='a'>More</a></li>" \
+           f"<li><a href='b'>Less</a></li><li><a href='c'>Help</a></li></ul></div>" \
+           f"<article><h2>Roads</h2><p>{short}</p></article></body>"
+    assert html_text.extract(page) == "\n\n".join([LONG] * 6 + ["Roads", short])
+
+
 def test_broken_pages():
     assert html_text.extract("") == ""
     assert html_text.extract("plain &lt;text") == "plain <text"
