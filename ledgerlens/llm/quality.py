@@ -7,9 +7,10 @@ score is the mean of its lines' marginal probabilities of good (forward-
 backward), weighted by line length.
 
 The field is fitted by gradient ascent of the conditional likelihood on at most
-``max_docs`` labelled documents (those whose ids have the smallest hashes),
-each line carrying its document's label; documents of more than ``max_lines``
-lines are not used for fitting.  Only features reach the driver.
+``max_docs`` labelled documents (of those in the table, the ones whose ids have
+the smallest hashes), each line carrying its document's label; of a document of
+more than ``max_lines`` lines a run of so many is learned from, which starts at
+a hash of the text.  Only features reach the driver.
 
 Defined results: a null or empty text is one empty line; with no labelled rows,
 or one label only, every score is 0.5; rows with a null label are not learned
@@ -26,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +80,19 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x, sizes
 
 
+def run_features(text: bytes, max_lines: int) -> np.ndarray:
+    """Features of the text's lines, or of a hashed run of ``max_lines`` of them;
+    those of a line are the same either way."""
+    n = text.count(b"\n") + 1
+    if n <= max_lines:
+        return line_features(text)[0]
+    first = xxhash.xxh3_64_intdigest(text) % (n - max_lines + 1)
+    # a line's features reach two lines back and one ahead
+    begin = max(0, first - 2)
+    part = text.split(b"\n")[begin:first + max_lines + 1]
+    return line_features(b"\n".join(part))[0][first - begin:first - begin + max_lines]
+
+
 class LineField:
     """Two-label chain: score of good for each line, and a 2 x 2 transition
     table indexed [label, next label] (0 bad, 1 good)."""
@@ -195,15 +210,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ``labels``; None without both labels."""
     chosen = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
               .where("_id is not null and _y in (0, 1)")
+              .join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
               .orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_docs))
-    few = F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("\n"), F.lit("")))
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-            .join(F.broadcast(chosen), "_id").where(F.coalesce(few, F.lit(0)) < max_lines)
-            .select("_text", "_y").limit(max_docs))
+            .join(F.broadcast(chosen), "_id").select("_text", "_y").limit(max_docs))
 
     def step(batches):
         for batch in batches:
-            found = [line_features(t)[0].astype("<f4").tobytes()
+            found = [run_features(t, max_lines).astype("<f4").tobytes()
                      for t in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.binary()), batch.column(1)], names=["x", "y"])

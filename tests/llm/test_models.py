@@ -39,6 +39,38 @@ def test_features_of_a_line_and_its_neighbours():
     assert (x[1][2 * own:3 * own] == x[2][:own]).all()
 
 
+def test_run_of_a_long_text_has_the_features_of_the_whole():
+    rng = random.Random(3)
+    starts = set()
+    for k in range(40):
+        text = "\n".join(rng.choice(["ab cd", "AB 1|", "", "ab cd ef"])
+                         for _ in range(6 + k % 9)).encode()
+        whole = quality.line_features(text)[0]
+        run = quality.run_features(text, 5)
+        at = [i for i in range(len(whole) - 4) if (whole[i:i + 5] == run).all()]
+        assert at
+        starts.update(at)
+    assert len(starts) > 3
+
+
+def test_quality_learns_from_long_documents_only(spark, docs):
+    good = "A plain line of words about the weather and the town."
+    bad = "$$ 12|34 || BUY BUY BUY !!"
+    texts = [(i, "\n".join([f"{good if i % 2 else bad} {i} {j}" for j in range(300)]))
+             for i in range(12)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    field = quality.fit(docs(texts), labels)
+    assert field is not None
+    found = {r.doc_id: r.score for r in quality.score(docs(texts), field).collect()}
+    assert all((found[i] > 0.5) == (i % 2 == 1) for i in range(12))
+
+
+def test_labels_without_documents_take_no_place_in_the_sample(spark, docs):
+    rows = [(i, "good words here" if i % 2 else "$$ || 99") for i in range(6)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    assert quality.fit(docs(rows), labels, max_docs=6) is not None
+
+
 def test_quality_held_out(spark):
     rows = queries.op5_quality(spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
