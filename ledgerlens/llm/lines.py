@@ -8,11 +8,12 @@ by (id, hash of the text, line number); null ids come first.
 Windows are the shortest passages that start, or that end, at a line; every
 line of a repeated passage lies in a repeated window.  The smallest line hash of
 a window is its fingerprint: equal windows have equal fingerprints, so only
-windows whose fingerprint stands at two places or more are kept (winnowing).
-Positions of a fingerprint are joined, and the match is extended both ways to
-the windows around it, which are compared by 128 bits of hash; the first place
-of a window keeps it, the later ones lose its lines, and overlapping windows add
-up to whole repeated runs.
+windows whose fingerprint stands at two places or more are kept (winnowing, here
+a filter that leaves the result as it is).  No positions are joined and no match
+is extended: windows are grouped by 128 bits of hash of all their lines, the
+first place of a window keeps it, the later ones lose its lines, and overlapping
+windows add up to whole repeated runs.  A join of the positions of a hot
+fingerprint would pair them all, where the group needs one row a window.
 
 Defined results: a null text stays null and an empty one empty; a line without
 words counts as one; rows that agree in id and text count as one place, so
