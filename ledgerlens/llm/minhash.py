@@ -17,11 +17,11 @@ Components are found without all pairs of a group:
 3. in keys that still hold two components or more, the members outside the
    key's largest component meet its other members.  A pair of different
    components is emitted once, at the first key both have, and only if it is
-   within the distance, its sketches of 512 one-bit MinHash values are close
-   enough for the similarity (a pair at exactly 0.8 is not, with a chance of 1
-   in 100,000), and its bitmaps of 4096 shingle bits allow it: bits set in one
-   only bound the intersection from above.  Confirmed links merge components.  No link between different components is
-   left out, so the components are those of all candidate links.
+   within the distance and its bitmaps of 4096 shingle bits allow the
+   similarity: bits set in one only bound the intersection from above, so no
+   link is dismissed by them.  Confirmed links merge components.  No link
+   between different components is left out, so the components are those of all
+   candidate links.
 
 Defined results: a null text, or one without words, has the empty set and is
 linked with nothing; fewer words than a shingle has make one shingle; rows with
@@ -55,10 +55,6 @@ _rng = np.random.default_rng(20240607)
 _MULTIPLY = _rng.integers(1, 1 << 32, CHUNKS * VALUES, np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, CHUNKS * VALUES, np.uint64).astype(np.uint32)
 _SIGNATURE = [f"s{i}" for i in range(CHUNKS)]
-SKETCH_BITS = 512
-_SKETCH = [f"k{i}" for i in range(SKETCH_BITS // 64)]
-_MULTIPLY_1 = _rng.integers(1, 1 << 32, SKETCH_BITS, np.uint64).astype(np.uint32) | np.uint32(1)
-_ADD_1 = _rng.integers(0, 1 << 32, SKETCH_BITS, np.uint64).astype(np.uint32)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -99,12 +95,6 @@ def _lowest(shingles: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.n
     return low * np.uint32(0x9E3779B1)
 
 
-def sketch(shingles: np.ndarray) -> list[int]:
-    """The top bit of every one of ``SKETCH_BITS`` MinHash values."""
-    bits = _lowest(shingles, _MULTIPLY_1, _ADD_1) >> np.uint32(31)
-    return np.packbits(bits.astype(np.uint8)).view("<i8").tolist()
-
-
 def bitmap(shingles: np.ndarray) -> list[int]:
     """4096 bits, those of the shingles' top 12 bits set."""
     bits = np.zeros(4096, np.uint8)
@@ -112,13 +102,6 @@ def bitmap(shingles: np.ndarray) -> list[int]:
     return np.packbits(bits).view("<i8").tolist()
 
 
-def sketch_limit(percent: int) -> int:
-    """Differing sketch bits up to which a pair may have the similarity: 4.4
-    standard deviations above the mean."""
-    p = (1 - percent / 100) / 2
-    return int(SKETCH_BITS * p + 4.4 * (SKETCH_BITS * p * (1 - p)) ** 0.5) + 1
-
-
 def signature(shingles: np.ndarray) -> list[int]:
     """One number per chunk: its values side by side, ``BITS`` bits each."""
     low = _lowest(shingles, _MULTIPLY, _ADD)
@@ -171,12 +154,6 @@ def _first_slot(a: str, b: str) -> str:
     return f"case {' '.join(cases)} end"
 
 
-def _close(a: str, b: str, percent: int) -> str:
-    """SQL: sketches that allow the similarity."""
-    bits = " + ".join(f"bit_count({a}.{k} ^ {b}.{k})" for k in _SKETCH)
-    return f"({bits}) <= {sketch_limit(percent)}"
-
-
 def _bounded(a: str, b: str, percent: int) -> str:
     """SQL: bitmaps that allow the similarity.  Every bit that only one has is a
     shingle that only it has, so the intersection is no larger than either set
@@ -224,8 +201,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> DataFrame:
-    """node, set (sorted hashes), bitmap and sketch of the nodes whose text
-    hash is wanted."""
+    """node, set (sorted hashes) and bitmap of the nodes whose text hash is
+    wanted."""
     if wanted.count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
     rows = docs.select(F.xxhash64(text_col).alias("_row"), F.col(text_col).alias("_text")) \
@@ -237,12 +214,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, text_col: str, size: int) -> Da
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
                  pa.array([s.tobytes() for s in sets], pa.binary()),
-                 pa.array([bitmap(s) for s in sets], pa.list_(pa.int64())),
-                 *[pa.array(k, pa.int64()) for k in zip(*map(sketch, sets))]],
-                names=["node", "set", "bits", *_SKETCH])
+                 pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))],
+                names=["node", "set", "bits"])
 
-    words = ", ".join(f"{k} long" for k in _SKETCH)
-    return rows.mapInArrow(step, f"node binary, set binary, bits array<long>, {words}").dropDuplicates(["node"])
+    return rows.mapInArrow(step, "node binary, set binary, bits array<long>") \
+        .dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -276,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = shared_table(led.select("key", "node").join(shares, "node").groupBy("key").agg(best)
                            .select("key", F.col("best.node").alias("leader")), "leaders")
     near = (f"{_similar('x', 'y', percent)} and ({_distance('x', 'y')}) <= {MAX_DISTANCE}"
-            f" and {_close('x', 'y', percent)}")
+            f" and {_bounded('x', 'y', percent)}")
     stars = (led.join(leaders, "key").where("node <> leader").select("node", "leader").distinct()
              .join(light.alias("x"), "node")
              .join(light.withColumnRenamed("node", "leader").alias("y"), "leader")
@@ -300,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = (open_.where("component <> main").alias("x").join(open_.alias("y"), F.expr(
         f"x.key = y.key and x.component <> y.component"
         f" and (y.component = y.main or x.component < y.component) and {near}"
-        f" and x.slot = {_first_slot('x', 'y')} and {_bounded('x', 'y', percent)}"))
+        f" and x.slot = {_first_slot('x', 'y')}"))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     more = shared_table(confirm(rest, sets, percent).unionByName(first), "links")
     label = components(more)

@@ -153,6 +153,13 @@ def test_one_center_and_many_loose_copies(spark, docs):
     assert len({r.component_id for r in got}) > 5
 
 
+def test_pair_that_one_bit_sketches_dismissed(spark, docs):
+    """Similarity 4/5 and signature distance 4; 83 of 512 one-bit values differ."""
+    rows = [(1, "w38 w2479 w3774 w32"), (2, "w38 w2479 w3774 w32 w2254"), (3, "w1 w2 w3 w4")]
+    got = minhash.near_duplicates(docs(rows), size=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
 def test_bitmaps_never_dismiss_a_link():
     import numpy as np
     rng = np.random.default_rng(15)
