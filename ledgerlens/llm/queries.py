@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (decontaminate, exact, html_text, langid, lines, minhash, packing,
-                            quality, records, substrings)
+from ledgerlens.llm import (decontaminate, exact, hmm, html_text, langid, lexical, lines, minhash,
+                            packing, quality, records, resample, substrings)
 from ledgerlens.llm.common import read_table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -89,10 +89,29 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op11_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    found = hmm.language_scores(docs, ~held_out)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known",
+                        "train_tokens", "base_score", "score")
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"),
+                          read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.importance_resample(read_table(spark, sf_dir, "documents"),
+                                         read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_decontaminate, op2_packing, op3_minhash, op4_exact_dedup, op5_quality, op6_html,
-        op7_lines, op8_records, op9_suffix, op10_langid)}
+        op7_lines, op8_records, op9_suffix, op10_langid, op11_hmm, op12_search, op13_resample)}
 
 
 def llm_sql() -> dict[str, str]:

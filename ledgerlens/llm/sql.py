@@ -126,3 +126,31 @@ SELECT x.doc_id, x.n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed,
        coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM x LEFT JOIN cut USING (doc_id)
 """
+
+SQL["op12_search"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+s AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM d),
+q AS (SELECT item, term, count(*) AS qtf
+      FROM (SELECT item, unnest(w) AS term FROM i) GROUP BY ALL),
+t AS (SELECT doc_id, n, term, count(*) AS tf
+      FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+g AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight
+      FROM f, s),
+r AS (SELECT item, doc_id, sum(qtf * weight * ((1000000000 * tf) //
+               (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+      FROM t JOIN q USING (term) JOIN g USING (term), s GROUP BY item, doc_id),
+k AS (SELECT item, doc_id, score,
+             row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank
+      FROM r WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k JOIN i USING (item) WHERE rank <= 10
+"""

@@ -4,9 +4,11 @@ empty tables."""
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from small_texts import EDGES
-from ledgerlens.llm import (decontaminate, exact, html_text, langid, lines, minhash, packing,
-                            quality, queries, records, substrings)
+
+from ledgerlens.llm import (decontaminate, exact, hmm, html_text, langid, lexical, lines, minhash,
+                            packing, quality, queries, records, resample, substrings)
 
 BENCH = "item_id long, text string"
 
@@ -31,6 +33,8 @@ def run_all(spark, docs):
         "records": records.read_records(records.write_records(
             docs, queries.tokenizer_path(queries.WORD_BPE))),
         "html": html_text.extract_text(docs, "text", ("doc_id",)),
+        "hmm": hmm.language_scores(docs, F.col("doc_id") != 5),
+        "resample": resample.importance_resample(docs, bench(spark)),
         "packing": packing.pack(docs, queries.tokenizer_path(queries.BYTE_BPE)),
     }
     return {name: df.collect() for name, df in out.items()}
