@@ -3,14 +3,20 @@
 The events of the standard library's parser are cut into lines, one per block
 element.  A line's ratio is its characters over its tags; ratios are smoothed
 with a Gaussian and those of at least half a standard deviation below the mean
-are clustered as content.  Candidate regions are the outermost article and main
-elements, each whole, and for lines outside them the section (div, section, td,
-body) that directly holds the line.  A region that holds a content line is kept
-with all its lines, on every page; so is an article with ``PROSE`` characters a
-tag or more whose lines all lie under the threshold, such as a short one beside
-a long one.  Lines in menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments never count, by element or by the
-words of class, id and role.
+are clustered as content, and so are lines whose own ratio is as high; these are
+seeds.  The main text is what they span:
+
+* an outermost article or main element that holds a content line is kept whole;
+* the elements (div, section, td, body) that directly hold the seeds outside of
+  articles are lifted to their lowest common ancestor, of which all lines are
+  kept; if that is the body itself, all from the first such seed to the last;
+* beside these, an article of ``PROSE`` characters a tag or more is kept too (a short
+  one whose lines lie under the threshold), and the last first-level heading
+  above the text if no article or main holds it.
+
+Other articles in between are not part of it.  Lines in menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments never
+count, by element or by the words of class, id and role; no lifting enters them.
 
 Inside a line every run of white space is one space; lines are joined by a
 blank line.  Character references are decoded by the parser.
@@ -54,6 +60,7 @@ comments consent cookie cookies copyright disqus footer gdpr masthead menu modal
 navigation newsletter notice popup promo promoted recommended related share sharing sidebar
 signup social sponsor sponsored subscribe subscription teaser toolbar widget complementary
 contentinfo search""".split())
+_RESULTS = frozenset(["result", "results"])
 _OUTSIDE = frozenset(["header"])          # boilerplate unless inside an article
 _REGIONS = frozenset(["article", "body", "center", "div", "main", "section", "td"])
 _UNCLOSED = frozenset("p li dt dd h1 h2 h3 h4 h5 h6".split())
@@ -61,7 +68,8 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, article number, region number) per line."""
+    """Collects (text, tags, article number, region number, in a first-level
+    heading) per line; ``parents`` has the region around every region."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -72,14 +80,16 @@ class _Lines(HTMLParser):
         self.hidden = 0
         self.articles = 0
         self.article = 0
-        self.regions = 0
+        self.parents = [0]                 # region 0: outside of all
+        self.roots = {0}                   # regions that are the whole page
         self.region = 0
+        self.heading = False
 
     def flush(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, self.article, self.region))
+                self.lines.append((text, self.tags, self.article, self.region, self.heading))
             self.parts = []
         self.tags = 0
 
@@ -91,6 +101,8 @@ class _Lines(HTMLParser):
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
                 words = _SPLIT.split(value.lower())
+                if "search" in words and not _RESULTS.isdisjoint(words):
+                    words.remove("search")        # what was found, not the field
                 if not _WORDS.isdisjoint(words) or (not self.article and tag != "body"
                                                     and "header" in words):
                     return tag not in ("html", "body", "article", "main")
@@ -110,6 +122,7 @@ class _Lines(HTMLParser):
                 self._close(len(self.open) - 1)
             if tag == "body":
                 self._close_tag("head")
+            self.heading = tag == "h1"
         self.tags += 1
         if tag in _VOID:
             return
@@ -119,8 +132,10 @@ class _Lines(HTMLParser):
         starts = tag in ("article", "main") and not self.hidden and not hides
         self.open.append((tag, hides, starts and not self.article, self.region))
         if tag in _REGIONS:
-            self.regions += 1
-            self.region = self.regions
+            self.parents.append(self.region)
+            self.region = len(self.parents) - 1
+            if tag == "body":
+                self.roots.add(self.region)
         self.hidden += hides
         if starts and not self.article:
             self.articles += 1
@@ -134,6 +149,7 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _BLOCK:
             self.flush()
+            self.heading = False
         self.tags += 1
         self._close_tag(tag)
 
@@ -163,13 +179,46 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach:reach + len(ratios)] / weights
 
 
-def content_lines(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Which lines belong to the cluster of high smoothed ratios."""
+def content_lines(ratios: np.ndarray, sigma: float = SIGMA) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines belong to the cluster of high smoothed ratios (or are as high by
+    themselves), and which of these are not only lifted by the lines around them."""
     if not len(ratios):
-        return np.zeros(0, bool)
+        return np.zeros(0, bool), np.zeros(0, bool)
     smooth = smoothed(ratios, sigma)
-    threshold = max(smooth.mean() - 0.5 * smooth.std(), 0.0)
-    return smooth >= threshold
+    threshold = max(smooth.mean() - 0.5 * smooth.std(), 0.0) * (1 - 1e-9)
+    alone = ratios >= threshold
+    content = (smooth >= threshold) | alone
+    return content, alone if alone.any() else content
+
+
+def _path(region: int, parents: list[int]) -> list[int]:
+    """The regions around a region, outermost first, and itself."""
+    path = [region]
+    while region:
+        region = parents[region]
+        path.append(region)
+    return path[::-1]
+
+
+def _spanned(lines: list[tuple], seeds: np.ndarray, parents: list[int],
+             roots: set[int]) -> np.ndarray:
+    """Lines outside of articles that the seeds there span."""
+    keep = np.zeros(len(lines), bool)
+    own = [i for i in np.flatnonzero(seeds) if not lines[i][2]]
+    if not own:
+        return keep
+    common = _path(lines[own[0]][3], parents)
+    for i in own[1:]:
+        path = _path(lines[i][3], parents)
+        size = 0
+        while size < min(len(common), len(path)) and common[size] == path[size]:
+            size += 1
+        common = common[:size]
+    top = common[-1]
+    first, last = (own[0], own[-1]) if top in roots else (0, len(lines) - 1)
+    for i in range(first, last + 1):
+        keep[i] = not lines[i][2] and top in _path(lines[i][3], parents)
+    return keep
 
 
 def extract(html: str, sigma: float = SIGMA) -> str:
@@ -180,18 +229,23 @@ def extract(html: str, sigma: float = SIGMA) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    content = content_lines(ratios, sigma)
-    # an article number, or a region number below zero
-    regions = [a or -1 - r for _, _, a, r in lines]
-    chosen = {r for r, is_content in zip(regions, content) if is_content}
+    content, seeds = content_lines(
+        np.array([len(line[0]) / max(1, line[1]) for line in lines]), sigma)
+    if not content.any():
+        return ""
+    keep = _spanned(lines, seeds, parser.parents, parser.roots)
     held: dict[int, list] = {}
-    for r, (text, tags, _, _) in zip(regions, lines):
-        if r > 0:
-            held.setdefault(r, []).append((len(text), max(1, tags)))
-    chosen.update(r for r, own in held.items()
-                  if sum(n for n, _ in own) >= PROSE * sum(t for _, t in own))
-    keep = [r in chosen for r in regions]
+    for i, (text, tags, article, _, _) in enumerate(lines):
+        if article:
+            held.setdefault(article, []).append((i, len(text), max(1, tags)))
+    for own in held.values():
+        at = [i for i, _, _ in own]
+        if content[at].any() or sum(n for _, n, _ in own) >= PROSE * sum(t for _, _, t in own):
+            keep[at] = True
+    first = int(np.flatnonzero(keep)[0]) if keep.any() else 0
+    above = [i for i in range(first) if lines[i][4] and not lines[i][2]]
+    if above and not any(lines[i][4] for i in np.flatnonzero(keep)):
+        keep[above[-1]] = True
     return "\n\n".join(line[0] for line, k in zip(lines, keep) if k)
 
 

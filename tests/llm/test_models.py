@@ -214,6 +214,38 @@ def test_long_and_short_article():
     assert html_text.extract(page) == "\n\n".join([LONG] * 6 + ["Roads", short])
 
 
+def test_a_div_around_every_paragraph():
+    """Short blocks between the long ones stay, also directly in the body."""
+    blocks = [LONG, "Yes.", LONG, LONG, "No, not at all.", LONG]
+    inner = "".join(f"<div><p>{b}</p></div>" for b in blocks)
+    for around in ("<div id=story>%s</div>", "%s", "<table><tr><td>%s</td></tr></table>"):
+        page = f"<body><nav>Menu</nav>{around % inner}<div class=related>More</div>" \
+               "<div><a href=1>a</a><a href=2>b</a><a href=3>c</a></div></body>"
+        assert html_text.extract(page) == "\n\n".join(blocks), around
+
+
+def test_title_beside_the_story():
+    page = f"<body><div><h1>The title</h1></div><div><a href=x>1</a> <a href=y>2</a></div>" \
+           f"<div class=story><p>{LONG}</p><p>{LONG}</p></div><footer>f</footer></body>"
+    assert html_text.extract(page) == f"The title\n\n{LONG}\n\n{LONG}"
+    results = f"<body><div class='search-results'><p>{LONG}</p><p>{LONG}</p></div></body>"
+    assert html_text.extract(results) == f"{LONG}\n\n{LONG}"
+
+
+def test_the_clusters_decide(monkeypatch):
+    """With all lines or none called content, the same pages come out otherwise."""
+    story = f"<div id=a><div><p>{LONG}</p></div><div><p>Yes.</p></div><div><p>{LONG}</p></div></div>"
+    links = "<div id=b>" + "".join(f"<p><a href={i}>n {i}</a></p>" for i in range(8)) + "</div>"
+    pages = [f"<body>{story}{links}</body>", f"<body>{links}{story}</body>",
+             f"<article><p>{LONG}</p></article>{links}"]
+    want = [f"{LONG}\n\nYes.\n\n{LONG}"] * 2 + [LONG]
+    assert [html_text.extract(p) for p in pages] == want
+    monkeypatch.setattr(html_text, "content_lines", lambda r, sigma: (np.ones(len(r), bool),) * 2)
+    assert all(html_text.extract(p) != w for p, w in zip(pages, want))
+    monkeypatch.setattr(html_text, "content_lines", lambda r, sigma: (np.zeros(len(r), bool),) * 2)
+    assert [html_text.extract(p) for p in pages] == [""] * 3
+
+
 def test_broken_pages():
     assert html_text.extract("") == ""
     assert html_text.extract("plain &lt;text") == "plain <text"
