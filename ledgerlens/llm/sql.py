@@ -73,13 +73,15 @@ SELECT doc_id,
 FROM d
 """
 
-# lines from 1; a window is the shortest run of 50 words or more from or to a line
+# lines from 1; a window is the shortest run of 50 words or more from or to a line;
+# words are as in lines.WORD
 SQL["op7_lines"] = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(text, chr(10)) AS l
            FROM documents),
 x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS p FROM t),
-y AS (SELECT doc_id, line, p,
-             length(trim(line)) - length(replace(trim(line), ' ', '')) + 1 AS n FROM x),
+y AS (SELECT doc_id, line, p, greatest(len(regexp_extract_all(line,
+  '[\x{2E80}-\x{9FFF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]|[^\x20\x09-\x0D\x{2E80}-\x{9FFF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]{1,40}'
+             )), 1) AS n FROM x),
 c AS (SELECT doc_id, line, p, n,
              sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM y),
 w AS (

@@ -227,8 +227,17 @@ def test_perfect_hash_is_minimal_and_checked():
 @pytest.mark.parametrize("min_words", [50, 8])
 def test_lines(spark, docs, min_words):
     rows = corpus(8)
+    table = "\n".join("\t".join(f"cell{i}{j}" for j in range(30)) for i in range(10))
+    cjk = "\n".join("日本語の文章が続く" + chr(0x4E00 + i) * 4 for i in range(8)) + "\n𠀀漢한"
+    blob = "x" * 2500 + "\n" + "\u3000".join("ab" * 40 for _ in range(30))
+    for text in (table, cjk, blob):
+        rows += [(len(rows), text), (len(rows) + 1, "Other start\n" + text + "\nother end"),
+                 (len(rows) + 2, text.replace("5", "6").replace("x", "y"))]
+    rows += [(len(rows), "\n".join(["same line again"] * 70)), (len(rows) + 1, "a b\n\n\t \n" * 40)]
     texts = [t.split("\n") for _, t in rows]
-    count = [[max(1, len(x.strip(" ").split(" "))) for x in t] for t in texts]
+    wide = "[\u2E80-\u9FFF\uAC00-\uD7A3\uF900-\uFAFF\U00020000-\U0003FFFF]"
+    word = re.compile(wide + "|[^ \t-\r" + wide[1:-1] + "]{1,40}")
+    count = [[max(1, len(word.findall(x))) for x in t] for t in texts]
     seen, gone = set(), [set() for _ in rows]
     # every run of lines with enough words, in the order of its place
     for d, t in enumerate(texts):
