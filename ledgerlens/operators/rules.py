@@ -1,9 +1,17 @@
 """Fragment rules: a text (e.g. a retailer category path) gets the target of
 the first rule (lowest ``rule_ord``) whose pattern it contains.
 
-A rule table is a parameter of bounded size, so it becomes one ``CASE WHEN``
-expression evaluated per row inside whole-stage code generation: no join,
-no shuffle, no nested loop over rows.
+A short rule table (``CASE_RULES``) becomes one ``CASE WHEN`` expression evaluated
+per row inside whole-stage code generation: no join, no shuffle.
+
+A longer one is met by an index of q-grams: every pattern is filed under one of
+its grams of ``GRAM`` characters, the one that the texts have least often (a
+shorter pattern under itself).  The distinct grams of every distinct text are
+joined to that index, and only the rules found are verified with ``contains``.
+So a text meets the few rules of its rare grams, not all of them, and the number
+of rules has no bound.  All of it is built-in functions; candidates travel as
+(text hash, rule number), not with the text, and a text that stands in many rows
+is matched once.
 """
 
 from __future__ import annotations
@@ -13,32 +21,103 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..taxonomy import MAX_TAXONOMY, rule_rows
+from ..sources.scratch import shared_table
+from ..taxonomy import rule_rows
+
+CASE_RULES = 200     # rules evaluated one after another per row, at most
+GRAM = 4
 
 
-def rule_list(rules: Mapping[str, Sequence[str]] | DataFrame) -> list[tuple[str, int, str]]:
+def rule_list(rules: Mapping[str, Sequence[str]] | DataFrame) -> list[tuple[str, int, str]] | None:
+    """The rules in order; None if there are more than ``CASE_RULES``."""
     if isinstance(rules, DataFrame):
-        rows = (rules.select("target", "rule_ord", "pattern").orderBy("rule_ord")
-                .limit(MAX_TAXONOMY + 1).collect())
-        if len(rows) > MAX_TAXONOMY:
-            raise ValueError(f"more than {MAX_TAXONOMY} rules")
-        return [(r.target, r.rule_ord, r.pattern) for r in rows]
-    return rule_rows(rules)
+        rows = rules.select("target", "rule_ord", "pattern").limit(CASE_RULES + 1).collect()
+        found = sorted(((r.target, r.rule_ord, r.pattern) for r in rows), key=lambda r: r[1])
+    else:
+        found = rule_rows(rules)
+    return found if len(found) <= CASE_RULES else None
 
 
 def rule_target(text: str | Column, rules: Mapping[str, Sequence[str]] | DataFrame,
                 *, ignore_case: bool = False) -> Column:
-    """Target of the first matching rule, null when none matches."""
+    """Target of the first matching rule, null when none matches, as one
+    expression; for at most ``CASE_RULES`` rules."""
+    found = rule_list(rules)
+    if found is None:
+        raise ValueError(f"more than {CASE_RULES} rules: use map_by_rule")
     t = F.col(text) if isinstance(text, str) else text
     if ignore_case:
         t = F.lower(t)
     expr = None
-    for target, _, pattern in sorted(rule_list(rules), key=lambda r: r[1]):
+    for target, _, pattern in sorted(found, key=lambda r: r[1]):
+        if pattern is None:
+            continue
         p = F.lit(pattern.lower() if ignore_case else pattern)
         cond = F.contains(t, p)
         expr = F.when(cond, F.lit(target)) if expr is None else expr.when(cond, F.lit(target))
     return F.lit(None).cast("string") if expr is None else expr
 
 
-def map_by_rule(df: DataFrame, text_col: str, rules, out_col: str = "target", **kw) -> DataFrame:
-    return df.withColumn(out_col, rule_target(text_col, rules, **kw))
+def _grams(text: str, size: str) -> Column:
+    """Distinct grams of a text column; ``size`` is a column of lengths."""
+    return F.expr(f"array_distinct(transform(sequence(1, length({text}) - {size} + 1), "
+                  f"i -> substr({text}, i, {size})))")
+
+
+def rule_index(rules: DataFrame, texts: DataFrame, gram: int = GRAM) -> DataFrame:
+    """``(gram, rule_ord, target, pattern)``: every pattern under its gram that is
+    in the fewest of the ``texts`` (a column ``text``); empty patterns under ''."""
+    sized = rules.withColumn("size", F.least(F.lit(gram), F.length("pattern")))
+    filed = sized.where("size > 0").select(
+        "rule_ord", "target", "pattern", "size", F.explode(_grams("pattern", "size")).alias("gram"))
+    wanted = filed.select("gram").distinct()
+    sizes = [r.size for r in sized.select("size").distinct().collect()]   # 0 .. gram
+    counts = (_text_grams(texts, "text", sizes).join(wanted, "gram", "left_semi")
+              .groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    best = (filed.join(counts, "gram", "left")
+            .groupBy("rule_ord", "target", "pattern")
+            .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")))
+    empty = sized.where("size = 0").select("rule_ord", "target", "pattern",
+                                           F.lit("").alias("gram"))
+    return best.unionByName(empty).select("gram", "rule_ord", "target", "pattern")
+
+
+def _text_grams(texts: DataFrame, text: str, sizes: Sequence[int], *keep: str) -> DataFrame:
+    """One row per text and distinct gram of one of the ``sizes``."""
+    per_size = [F.when(F.length(text) >= n, _grams(text, str(n))).otherwise(
+        F.array().cast("array<string>")) if n else F.array(F.lit("")) for n in sorted(sizes)]
+    every = F.concat(*per_size) if per_size else F.array().cast("array<string>")
+    return texts.select(*keep, F.explode_outer(every).alias("gram")).where("gram is not null")
+
+
+def match_rules(texts: DataFrame, rules: DataFrame, gram: int = GRAM) -> DataFrame:
+    """``(text, target)`` of the distinct non-null ``texts`` (a column ``text``)
+    that some rule of ``(rule_ord, target, pattern)`` matches."""
+    rules = shared_table(rules.where("pattern is not null"), "rules")
+    texts = shared_table(texts.where("text is not null").distinct(), "texts")
+    index = shared_table(rule_index(rules, texts, gram), "rule-index")
+    sizes = [r.size for r in index.select(F.length("gram").alias("size")).distinct().collect()]
+    tagged = texts.withColumn("_h", F.xxhash64("text"))
+    found = (_text_grams(tagged, "text", sizes, "_h").join(index, "gram")
+             .select("_h", "rule_ord", "target", "pattern"))
+    # equal hashes of different texts only add rules that the check refuses
+    return (tagged.join(found, "_h").where(F.contains("text", "pattern"))
+            .groupBy("text").agg(F.min_by("target", "rule_ord").alias("target")))
+
+
+def map_by_rule(df: DataFrame, text_col: str, rules, out_col: str = "target", *,
+                ignore_case: bool = False, gram: int = GRAM) -> DataFrame:
+    """``df`` with the target of the first matching rule (null: none), from a
+    mapping target -> patterns or a table ``(target, rule_ord, pattern)`` of any
+    length; ``rule_ord`` is unique."""
+    if rule_list(rules) is not None:
+        return df.withColumn(out_col, rule_target(text_col, rules, ignore_case=ignore_case))
+    if not isinstance(rules, DataFrame):
+        rules = df.sparkSession.createDataFrame(
+            rule_rows(rules), "target string, rule_ord int, pattern string")
+    folded = F.lower(F.col(text_col)) if ignore_case else F.col(text_col)
+    pattern = F.lower("pattern") if ignore_case else F.col("pattern")
+    found = match_rules(df.select(folded.alias("text")),
+                        rules.select("rule_ord", "target", pattern.alias("pattern")), gram)
+    found = found.select(F.col("text").alias("_rule_text"), F.col("target").alias(out_col))
+    return df.drop(out_col).join(found, folded == F.col("_rule_text"), "left").drop("_rule_text")

@@ -34,5 +34,6 @@ def register(name: str, sql: str | None):
 
 def all_queries() -> dict[str, Query]:
     # importing the modules fills the registry
-    from . import q_summary, q_text, q_encode, q_model, q_augment, q_io  # noqa: F401
+    from . import (q_augment, q_encode, q_io, q_learn, q_model, q_store, q_summary,  # noqa: F401
+                   q_text)
     return dict(_REGISTRY)

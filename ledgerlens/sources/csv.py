@@ -1,9 +1,10 @@
 """CSV ledgers: readers, merge, dated scan, sinks and preview.
 
 Columns are read as strings and bound **by header name** (never by
-position): the files of a folder are grouped by their header line, each group
+position): the files below a folder are grouped by their header line, each group
 is read on its own (a file that does not match fails), and the groups are
-united by name.  Quotes inside a field are doubled, spaces at its edges are
+united by name; a column that a file does not hold may be given by a ``name=value``
+folder around it.  Quotes inside a field are doubled, spaces at its edges are
 kept.  ``multiLine`` stays off by default so that large files split into many
 tasks; fields with line breaks need it on reading.
 """
@@ -11,9 +12,11 @@ tasks; fields with line breaks need it on reading.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,8 @@ PRICE = "decimal(20,6)"
 DATE_PATTERNS = ("M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
                  "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss")
 _QUOTING = {"quote": '"', "escape": '"'}
+# all *.csv files below a folder, however deep
+_FOLDERS = {"pathGlobFilter": "*.[cC][sS][vV]", "recursiveFileLookup": "true"}
 
 
 def na_to_null(c: str | Column) -> Column:
@@ -51,10 +56,10 @@ def source_name_of(path: str) -> str:
 
 def source_name_col() -> Column:
     """Per-row source name from the file actually read (percent-decoded): the
-    file's, or that of the folder it is a part of if that is named ``*.csv``."""
+    file's, or that of the nearest folder around it that is named ``*.csv``."""
     path = F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")
-    folder, name = F.element_at(F.split(path, "/"), -2), F.element_at(F.split(path, "/"), -1)
-    named = F.when(F.lower(folder).endswith(".csv"), folder).otherwise(name)
+    folder = F.regexp_extract(path, r"(?i).*/([^/]+\.csv)/", 1)
+    named = F.when(folder != "", folder).otherwise(F.element_at(F.split(path, "/"), -1))
     return F.substring_index(F.url_decode(named), ".", 1)
 
 
@@ -67,43 +72,49 @@ def _check_suffix(path: str) -> None:
 def _reader(spark: SparkSession, multi_line: bool):
     return (spark.read.option("header", True).option("inferSchema", False)
             .option("enforceSchema", False).option("multiLine", multi_line)
-            .option("pathGlobFilter", "*.csv").option("encoding", "UTF-8").options(**_QUOTING))
-
-
-def header_groups(spark: SparkSession, path: str) -> list[list[str]]:
-    """The ``*.csv`` files at ``path`` (a file, folder or pattern; folders named
-    ``*.csv`` inside a folder included), grouped by their header line.  Only
-    file names and first lines are read, by Hadoop's file system."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = list(system.globStatus(root) or [])
-    if not found:
-        raise FileNotFoundError(f"no such path: {path}")
-    files, folders = [], [(f, True) for f in found]
-    while folders:
-        status, given = folders.pop()
-        name = status.getPath().getName()
-        if status.isDirectory():
-            if given or name.lower().endswith(".csv"):
-                folders += [(f, False) for f in system.listStatus(status.getPath())]
-        elif name.lower().endswith(".csv") and name[0] not in "._" or given:
-            files.append(status.getPath())
-    groups: dict[str, list[str]] = {}
-    for file in sorted(files, key=lambda f: f.toString()):
-        stream = jvm.java.io.BufferedReader(
-            jvm.java.io.InputStreamReader(system.open(file), "UTF-8"))
-        try:
-            line = stream.readLine()
-        finally:
-            stream.close()
-        if line is not None:           # an empty file has no rows
-            groups.setdefault(line.lstrip("\ufeff"), []).append(file.toString())
-    return list(groups.values())
+            .options(**_FOLDERS).option("encoding", "UTF-8").options(**_QUOTING))
+
+
+def _one_row(batches):
+    """The first row of a partition; the rest is not read."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.slice(0, 1)
+            return
+
+
+def header_groups(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """``(header line, files)`` of the ``*.csv`` files at ``path`` (a file, folder
+    or pattern; folders inside folders included, also ``name=value`` ones).
+
+    A Spark job reads the first lines: every file is one partition of its own (in
+    a session whose file packing says so), of which one row is taken, so that
+    the files are opened by the executors, side by side, and no further than their
+    first block.  The driver gets the names and distinct headers it needs to
+    plan the reads; empty files have no row."""
+    probe = spark.newSession()
+    whole = str(1 << 60)          # a file is never split, and never packed with another
+    probe.conf.set("spark.sql.files.maxPartitionBytes", whole)
+    probe.conf.set("spark.sql.files.openCostInBytes", whole)
+    probe.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        lines = probe.read.options(**_FOLDERS).option("encoding", "UTF-8").text(path)
+        firsts = lines.select("value", "_metadata.file_path").mapInArrow(
+            _one_row, "value string, file_path string")
+        decoded = F.url_decode(F.regexp_replace("file_path", r"\+", "%2B"))
+        found = (firsts.select(F.regexp_replace("value", "^\ufeff", "").alias("header"),
+                               decoded.alias("file"))
+                 .groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+                 .collect())
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            raise FileNotFoundError(f"no such path: {path}") from None
+        raise
+    return sorted(((r.header, r.files) for r in found), key=lambda g: g[1][0])
 
 
 def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
-    """All-string CSV with a header; inside folders only ``*.csv`` files, which
+    """All-string CSV with a header; below folders only ``*.csv`` files, which
     must have the same header (``read_ledger`` takes mixed ones)."""
     _check_suffix(path)
     return _reader(spark, multi_line).csv(path)
@@ -141,15 +152,19 @@ def read_ledger(spark: SparkSession, source, *, columns: Sequence[str] = LEDGER_
     if not groups:
         raise ValueError(f"no CSV file with a header at {source}")
     parts = []
-    for files in groups:
-        raw = _reader(spark, multi_line).csv(source if len(groups) == 1 and _plain(files)
-                                             else files)
+    for _, files in groups:
+        raw = _reader(spark, multi_line).csv(source if len(groups) == 1
+                                             else [_literal(f) for f in files])
         cols = []
         for name in (*columns, *extra):
             found = _resolve(raw, name)
-            if found is None:
+            if found is not None:
+                value = F.col(f"`{found}`")
+            elif all(f"/{name.lower()}=" in f.lower() for f in files):
+                value = _folder_value(name)
+            else:
                 raise KeyError(f"column {name!r} not in {files[0]}: {raw.columns}")
-            cols.append(na_to_null(F.col(f"`{found}`")).alias(name))
+            cols.append(na_to_null(value).alias(name))
         pos = F.struct(F.lit(ordinal).alias("ordinal"),
                        F.col("_metadata.file_path").alias("file"),
                        F.col("_metadata.file_block_start").alias("block"),
@@ -158,9 +173,16 @@ def read_ledger(spark: SparkSession, source, *, columns: Sequence[str] = LEDGER_
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _plain(files: Sequence[str]) -> bool:
-    """All files lie in one folder, so that its path names them."""
-    return len({f.rsplit("/", 1)[0] for f in files}) == 1
+def _literal(file: str) -> str:
+    """A file name with the characters of patterns escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", file)
+
+
+def _folder_value(name: str) -> Column:
+    """The value that a ``name=value`` folder gives a row."""
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")
+    value = F.regexp_extract(path, f"(?i)/{re.escape(name)}=([^/]*)/", 1)
+    return F.when(value != "__HIVE_DEFAULT_PARTITION__", F.url_decode(value))
 
 
 def merge_sources(spark: SparkSession, paths: Sequence[str], *, min_files: int = 2,
