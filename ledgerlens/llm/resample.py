@@ -48,7 +48,7 @@ MIN_WORDS = 20
 SHARE = 25           # percent
 SEED = 7
 _NEAR = 64           # lengths with a table of their own
-_TEXT_BYTES = 8 << 20
+_TEXT_BYTES = 2 << 20
 
 
 # CRC-32 over GF(2) -----------------------------------------------------------
