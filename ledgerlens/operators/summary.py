@@ -171,9 +171,13 @@ def summary_labels(ledger: DataFrame, as_of, *, price: str = "Price",
     """Summary texts: chart titles ``Spending for {year}`` / ``Spending in
     {Month}``, the tab header and the two ``$amount`` labels (plain decimal,
     no thousands separator)."""
+    return labels_of(spend_totals(ledger, as_of, price=price, date=date), as_of)
+
+
+def labels_of(totals: DataFrame, as_of) -> DataFrame:
+    """The summary texts of one row of totals."""
     d = _as_date(as_of)
     month_name = F.date_format(F.lit(d.replace(day=1)), "MMMM")
-    totals = spend_totals(ledger, as_of, price=price, date=date)
     mtd_s = F.col("mtd_total").cast("string")
     ytd_s = F.col("ytd_total").cast("string")
     return totals.select(

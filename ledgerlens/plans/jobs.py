@@ -7,7 +7,7 @@ What a user of the desktop tool does, as Spark jobs over ledgers of any size:
   content -> naive Bayes per head (optionally with word-shuffled copies of the
   training rows) -> model tables and metrics of both splits on shared storage.
 * ``predict_ledger`` — ledger(s) -> keep-first -> clean -> both heads scored
-  independently -> ``Description, Category, Subcategory`` CSV.
+  independently -> ``Description, Category, Subcategory`` CSV in input order.
 * ``augment_cities`` / ``compose_restaurants`` — CSV -> CSV with synthetic
   descriptions; labels and other columns go with their rows.
 * ``summarise`` — dated ledger -> MTD / YTD totals, trees and labels.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_tokens
 from ..operators import naive_bayes as nb
-from ..operators import summary
+from ..operators import rollup, summary
 from ..operators.augment import augment_city, compose_description, shuffle_words, words
 from ..operators.columns import drop_unlabelled
 from ..operators.dedupe import dedupe_first
@@ -31,6 +31,7 @@ from ..operators.split import content_key, train_test_split
 from ..session import checkpoint_dir
 from ..sources import csv as io_csv
 from ..sources.models import load_nb, save_nb
+from ..sources.scratch import shared_table
 from ..taxonomy import MODEL_TAXONOMY, SUMMARY_TAXONOMY, distinct_subs
 
 HEAD_LABELS = {"category": "Category", "sub_category": "Sub_Category"}
@@ -119,7 +120,8 @@ def predict_ledger(spark: SparkSession, source, model_dir: str, out_path: str |
            .select("_pos", "Description", "Category", "Sub_Category", "Raw_Description"))
     if out_path is None:
         return out
-    io_csv.write_predictions(out, out_path)
+    # part files in the order of the input: a range-partitioned sort, no single task
+    io_csv.write_predictions(out.orderBy("_pos"), out_path)
     return io_csv.read_predictions(spark, out_path)
 
 
@@ -153,11 +155,19 @@ def compose_restaurants(spark: SparkSession, source: str, out_path: str, *,
 
 def summarise(spark: SparkSession, source, as_of, *,
               taxonomy: Mapping[str, Sequence[str]] = SUMMARY_TAXONOMY) -> dict[str, DataFrame]:
-    """Totals, both trees and the label texts for the period of ``as_of``."""
+    """Totals, both trees and the label texts for the period of ``as_of``, from one
+    scan of the ledger."""
     ledger = source if isinstance(source, DataFrame) else io_csv.read_dated(spark, source)
-    return {
-        "totals": summary.spend_totals(ledger, as_of),
-        "tree_ytd": summary.spend_tree_ytd(ledger, taxonomy, as_of),
-        "tree_mtd": summary.spend_tree_mtd(ledger, taxonomy, as_of),
-        "labels": summary.summary_labels(ledger, as_of),
-    }
+    nodes = shared_table(rollup.summary_nodes(ledger, taxonomy, as_of), "nodes")
+
+    def total(period: str):
+        return F.max(F.when(F.col("period") == period, F.col("value")))
+
+    def tree(period: str) -> DataFrame:
+        return nodes.where((F.col("period") == period) & (F.col("kind") != "total")).select(
+            "node_id", "label", "parent", "value", "cat_ord", "sub_ord")
+
+    totals = nodes.where("kind = 'total'").agg(total("month").alias("mtd_total"),
+                                               total("year").alias("ytd_total"))
+    return {"totals": totals, "tree_ytd": tree("year"), "tree_mtd": tree("month"),
+            "labels": summary.labels_of(totals, as_of)}
