@@ -13,10 +13,12 @@ repeated items count once in ``item_ids``; an empty benchmark or document table
 gives zero hits or no rows.  Only the named columns of the inputs are read by
 ``scan``; ``decontaminate`` keeps every column of the documents.
 
-Scale: no shuffle.  The benchmark is cut into blocks of at most about
-``block_words`` words by a hash of the item; each block is collected and
-broadcast on its own, and the documents stream through one Arrow step per
-block, so neither the driver nor a worker holds more than one block's automaton.
+Scale: documents are not shuffled.  The benchmark is cut into blocks of at most
+about ``block_words`` words by a hash of the item.  Executors build the blocks'
+automata, one group each, and write them as files below the shared folder; the
+driver holds their names alone.  Documents stream through one Arrow step, which
+takes about ``GATHER_BYTES`` of text at a time through one block after another and
+holds one automaton (a single block is loaded once per task).
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import as_bytes, free_name, small_batches
+from ledgerlens.llm.common import (as_bytes, free_name, gathered_batches, load_object,
+                                   save_object, shared_folder, small_batches)
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+GATHER_BYTES = 8 << 20
 MAX_COVERAGE = 0.5
 
 # byte -> itself if part of a word (A-Z lowered), else a space
@@ -161,20 +165,28 @@ class SuffixAutomaton:
 
 
 def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
-             window: int = WINDOW, block_words: int = BLOCK_WORDS):
-    """Yield one broadcast automaton per block of items."""
-    spark = benchmark.sparkSession
+             window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[str]:
+    """Files of one automaton per block of items, built by the executors."""
     items = benchmark.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"),
         F.col(text_col).alias("body")).where(F.col("body").isNotNull())
     # a word takes two bytes at least, with its separator
     total = items.agg(F.sum((F.octet_length("body") + 1) / 2)).first()[0] or 0
     blocks = int(total // block_words) + 1
-    for block in range(blocks):
-        part = items.where(F.expr(f"pmod(xxhash64(key, body), {blocks}) = {block}"))
-        rows = [(r.key, words_of(r.body.encode("utf-8", "surrogatepass")))
-                for r in part.distinct().collect()]
-        yield spark.sparkContext.broadcast(SuffixAutomaton(rows, window))
+    folder = shared_folder(benchmark.sparkSession, "automata")
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = [(key, words_of(body.encode("utf-8", "surrogatepass")))
+                for key, body in zip(table.column("key").to_pylist(),
+                                     table.column("body").to_pylist())]
+        block = table.column("block")[0].as_py()
+        path = save_object(folder, f"block-{block}", SuffixAutomaton(rows, window))
+        return pa.table({"block": [block], "path": [path]})
+
+    found = (items.distinct()
+             .withColumn("block", F.expr(f"pmod(xxhash64(key, body), {blocks})"))
+             .groupBy("block").applyInArrow(build, "block long, path string"))
+    return [r.path for r in sorted(found.collect(), key=lambda r: r.block)]
 
 
 _FOUND = (("_n_words", "long"), ("_n_hit", "long"), ("_mask", "binary"),
@@ -193,36 +205,39 @@ def _scan(docs: DataFrame, text_col: str, benchmark: DataFrame, finish=None,
     at = len(docs.columns)
     text_at = docs.columns.index(text_col)
 
-    def step_of(shared, finish):
-        def step(batches):
-            automaton = shared.value
-            for batch in small_batches(batches, text_at):
-                texts = as_bytes(batch.column(text_at))
-                counts, masks, items = [], [], []
-                for text, before, known in zip(texts, batch.column(at + 2).to_pylist(),
-                                               batch.column(at + 3).to_pylist()):
-                    words = words_of(text)
-                    mask, found = automaton.scan(words)
-                    if before is not None and mask is not None:
-                        mask = (np.frombuffer(mask, np.uint8)
-                                | np.frombuffer(before, np.uint8)).tobytes()
-                    counts.append(len(words))
-                    masks.append(before if mask is None else bytes(mask))
-                    items.append(sorted(found.union(known or ())))
-                hits = [0 if m is None else m.count(1) for m in masks]
-                columns = batch.columns[:at] + [
-                    pa.array(counts, pa.int64()), pa.array(hits, pa.int64()),
-                    pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-                done = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-                yield finish(done) if finish else done
-        return step
-
-    blocks = automata(benchmark, **options)
-    block = next(blocks)
-    for following in blocks:
-        out = out.mapInArrow(step_of(block, None), schema)
-        block = following
-    return out.mapInArrow(step_of(block, finish), docs.schema if finish else schema)
+    paths = automata(benchmark, **options)
+
+    def scan(texts, automaton, masks, items):
+        """Add the hits of one block's items to ``masks`` and ``items``."""
+        for i, words in enumerate(texts):
+            mask, found = automaton.scan(words)
+            if mask is not None:
+                if masks[i] is not None:
+                    mask = (np.frombuffer(mask, np.uint8)
+                            | np.frombuffer(masks[i], np.uint8)).tobytes()
+                masks[i] = bytes(mask)
+            if found:
+                items[i] = items[i] | found
+
+    def step(batches):
+        only = load_object(paths[0]) if len(paths) == 1 else None
+        cut = small_batches(batches, text_at) if len(paths) < 2 else \
+            gathered_batches(batches, text_at, GATHER_BYTES)
+        for batch in cut:
+            texts = list(map(words_of, as_bytes(batch.column(text_at))))
+            masks: list = [None] * len(texts)
+            items: list = [frozenset()] * len(texts)
+            for path in paths:
+                scan(texts, only or load_object(path), masks, items)
+            columns = batch.columns[:at] + [
+                pa.array([len(words) for words in texts], pa.int64()),
+                pa.array([0 if m is None else m.count(1) for m in masks], pa.int64()),
+                pa.array(masks, pa.binary()),
+                pa.array([sorted(found) for found in items], pa.list_(pa.string()))]
+            done = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield finish(done) if finish else done
+
+    return out.mapInArrow(step, docs.schema if finish else schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",

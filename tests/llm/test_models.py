@@ -167,6 +167,29 @@ def test_many_types_keep_the_order_in_blocks(spark):
     assert len(alone.blocks) > 1 and got[0][0] * size[0] == pytest.approx(want, rel=1e-6)
 
 
+def test_languages_in_groups(spark, monkeypatch):
+    """More languages than a group holds give the model that one group gives."""
+    rows = spark.createDataFrame(
+        [(f"l{i:02d}", " ".join(f"{a}{chr(97 + i)}{b}" for a in "aeiou" for b in "nrst"))
+         for i in range(7)] + [("zz", "𠀀𠀁 𐐨x")], "lang string, text string")
+    one = langid.fit(rows)
+    monkeypatch.setattr(langid, "LANG_GROUP", 3)
+    many = langid.fit(rows)
+    assert len({first for first, _, _ in many.blocks}) == 3 and one.langs == many.langs
+    asked = ["aan", "edr edr", "𠀀", "xyz 𐐨"]
+    assert np.allclose(one.entropies(asked)[0], many.entropies(asked)[0], rtol=1e-9)
+    assert many.langs[int(many.entropies(["𠀀𠀁"])[0].argmin())] == "zz"
+
+
+def test_letters_beyond_the_basic_plane_are_told_apart():
+    """U+20041 is not U+0041 (its lower 16 bits), nor U+10041."""
+    keys = [tuple(langid.grams([t], 1)[0].tolist()) for t in ("a", "\U00020061", "\U00010400")]
+    assert len(set(keys)) == 3 and len(keys[1]) == 3 and keys[0][0] == ord("a")
+    codes, stops = langid.codes_of(["\U00020061b", "", "c"])
+    assert stops.tolist() == [3, 4, 6]
+    assert codes[:3].tolist() == [0xD840, 0xDC61, ord("b")]
+
+
 def test_no_number_of_types_lowers_the_order_by_itself():
     import inspect
     assert inspect.signature(langid.fit).parameters["max_types"].default is None
