@@ -9,7 +9,7 @@ byte for byte; members are repeats and join the slot's group, all others group
 among themselves.
 
 Of equal texts the row with the most code points stays, then the smallest id
-(a null id counts as larger than all).
+(a null id counts as larger than all).  Ids are of any type that can be ordered.
 
 Defined results: null and empty texts are equal; repeated rows (same id and
 text) are all in the group and have the same ``keep_id``; with no history every
@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,6 @@ from ledgerlens.llm.common import as_bytes, mix64, shared_table, small_batches
 SHARD_DIGESTS = 200_000
 GAMMA = 2.0
 _SPACE = b" \t\n\x0b\x0c\r"
-_NO_ID = (1 << 63) - 1
 
 
 class PerfectHash:
@@ -87,17 +87,27 @@ class PerfectHash:
 
 
 class DigestIndex:
-    """Slots of one shard: digest, winner (code points, id), group size."""
-
-    def __init__(self, digests: np.ndarray, points, ids, sizes):
-        self.hash = PerfectHash(digest_keys(digests))
-        slot = self.hash.slots(digest_keys(digests))
-        if len(np.unique(slot)) != len(digests):
-            raise ValueError("two digests of a shard share their first 64 bits")
+    """Slots of one shard: digest, winner (code points, no id, id), group size.
+    Digests are hashed by 64 of their bits; those of the few that share these with
+    another digest of the shard are kept in a dictionary instead."""
+
+    def __init__(self, digests: np.ndarray, points, none, ids, sizes):
+        keys = digest_keys(digests)
+        order = np.argsort(keys, kind="stable")
+        again = np.zeros(len(keys), bool)
+        again[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+        first = np.flatnonzero(~again)
+        self.hash = PerfectHash(keys[first])
+        slot = np.empty(len(keys), np.int64)
+        slot[first] = self.hash.slots(keys[first])
+        slot[again] = len(first) + np.arange(int(again.sum()))
+        self.more = {digests[i].tobytes(): int(slot[i]) for i in np.flatnonzero(again)}
         self.digests = np.empty_like(digests)
         self.digests[slot] = digests
-        self.points, self.ids, self.sizes = (np.empty(len(digests), np.int64) for _ in range(3))
-        for to, values in ((self.points, points), (self.ids, ids), (self.sizes, sizes)):
+        self.points, self.none, self.ids, self.sizes = (
+            np.empty_like(values) for values in (points, none, ids, sizes))
+        for to, values in ((self.points, points), (self.none, none), (self.ids, ids),
+                           (self.sizes, sizes)):
             to[slot] = values
 
     def find(self, digests: np.ndarray) -> np.ndarray:
@@ -106,6 +116,9 @@ class DigestIndex:
         known = slot >= 0
         same = (self.digests[slot[known]] == digests[known]).all(axis=1)
         slot[np.flatnonzero(known)[~same]] = -1
+        if self.more:
+            for i in np.flatnonzero(slot < 0):
+                slot[i] = self.more.get(digests[i].tobytes(), -1)
         return slot
 
 
@@ -134,16 +147,16 @@ def digests(docs: DataFrame, is_history, id_col: str = "doc_id",
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """One row per digest: winner and size.  Code points and id are packed into
-    one comparable value so that the aggregate stays partial and flat."""
-    best = F.max(F.struct(F.col("points"), F.bitwise_not("id").alias("minus")))
-    return (rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("size"))
-            .select("digest", F.col("best.points").alias("points"),
-                    F.bitwise_not("best.minus").alias("id"), "size"))
+    """One row per digest: winner (code points, whether it has no id, id) and size."""
+    best = F.min(F.struct((-F.col("points")).alias("minus"), F.col("_id").isNull().alias("none"),
+                          F.col("_id").alias("id"))).alias("best")
+    return (rows.groupBy("digest").agg(best, F.count("*").alias("size"))
+            .select("digest", (-F.col("best.minus")).alias("points"), "best.none", "best.id",
+                    "size"))
 
 
-_FIELDS = ("digest", "points", "id", "size")
-_GROUP = "digest binary, points long, id long, size long"
+_FIELDS = ("digest", "points", "none", "id", "size")
+_GROUP = "digest binary, points long, none boolean, id {id}, size long"
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -151,6 +164,17 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(-1, 32)
 
 
+def _values(table: pa.Table) -> list[np.ndarray]:
+    """points, none, id (anything where there is none), size."""
+    ids = table.column("id")
+    if ids.null_count:
+        some = ids.drop_null()
+        ids = pc.fill_null(ids, some[0]) if len(some) else pa.chunked_array(
+            [pa.array([False] * len(ids))])
+    return [table.column(c).to_numpy() if c != "id" else ids.to_numpy()
+            for c in ("points", "none", "id", "size")]
+
+
 def _merge(old: pa.Table, new: pa.Table) -> pa.Table:
     """Groups of a shard after looking up the new digests in its index."""
     old = old.select([*_FIELDS]) if old.num_rows else None
@@ -158,22 +182,31 @@ def _merge(old: pa.Table, new: pa.Table) -> pa.Table:
         if new.num_rows else None
     if old is None or new is None:
         return new if old is None else old
-    values = [old.column(c).to_numpy() for c in ("points", "id", "size")]
-    fresh = [new.column(c).to_numpy() for c in ("points", "id", "size")]
+    id_type = old.schema.field("id").type
+    # one id column type on both sides, also where one has no ids at all
+    both = _values(pa.concat_tables([old, new]))
+    values, fresh = ([v[part] for v in both]
+                     for part in (slice(0, old.num_rows), slice(old.num_rows, None)))
     index = DigestIndex(_matrix(old), *values)
     seen = _matrix(new)
     slot = index.find(seen)
     member = slot >= 0
     at = slot[member]
-    points, ids, sizes = (v[member] for v in fresh)
-    better = (points > index.points[at]) | ((points == index.points[at]) & (ids < index.ids[at]))
-    index.points[at[better]] = points[better]
-    index.ids[at[better]] = ids[better]
+    points, none, ids, sizes = (v[member] for v in fresh)
+    same = points == index.points[at]
+    earlier = (none < index.none[at]) | ((none == index.none[at]) & ~none & (ids < index.ids[at]))
+    better = (points > index.points[at]) | (same & earlier)
+    for kept, v in ((index.points, points), (index.none, none), (index.ids, ids)):
+        kept[at[better]] = v[better]
     index.sizes[at] += sizes
     out = [pa.array([d.tobytes() for d in index.digests]
                     + [d.tobytes() for d in seen[~member]], pa.binary())]
-    for kept, v in zip((index.points, index.ids, index.sizes), fresh):
-        out.append(pa.array(np.concatenate((kept, v[~member]))))
+    merged = [np.concatenate((kept, v[~member])) for kept, v in
+              zip((index.points, index.none, index.ids, index.sizes), fresh)]
+    if merged[2].dtype == bool and not pa.types.is_boolean(id_type):      # no ids at all
+        merged[2] = np.full(len(merged[2]), None, object)
+    out += [pa.array(merged[0]), pa.array(merged[1]),
+            pa.array(merged[2], id_type, mask=merged[1]), pa.array(merged[3])]
     return pa.table(out, names=[*_FIELDS])
 
 
@@ -187,7 +220,7 @@ def exact_dedup(docs: DataFrame, is_history=None, id_col: str = "doc_id",
     if is_history is None:
         is_history = F.pmod(F.xxhash64(id_col), F.lit(2)) == 0
     rows = shared_table(digests(docs, is_history, id_col, text_col), "digests")
-    rows = rows.withColumn("id", F.coalesce(F.col("_id").cast("long"), F.lit(_NO_ID)))
+    kind = rows.schema["_id"].dataType.simpleString()
     shards = rows.count() // shard_digests + 1
     shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard")
     history = groups(rows.where("old")).select("*", shard)
@@ -195,12 +228,11 @@ def exact_dedup(docs: DataFrame, is_history=None, id_col: str = "doc_id",
     new = groups(rows.where("not old")).select("*", shard).toDF(
         *[f"new_{c}" for c in (*_FIELDS, "shard")])
     merged = (history.groupBy("shard").cogroup(new.groupBy("new_shard"))
-              .applyInArrow(_merge, _GROUP)
-              .select("digest", F.col("id").alias("_keep"), F.col("size").alias("group_size")))
+              .applyInArrow(_merge, _GROUP.format(id=kind))
+              .select("digest", F.col("id").alias("keep"), F.col("size").alias("group_size")))
     # a table of its own: the join can be split where a text is hot
     merged = shared_table(merged, "winners")
-    keep = F.when(F.col("_keep") != _NO_ID, F.col("_keep"))
     return rows.join(merged, "digest").select(
-        F.col("_id").alias(id_col), keep.alias("keep_id"), "group_size",
-        F.col("_id").eqNullSafe(keep).alias("kept"),
+        F.col("_id").alias(id_col), F.col("keep").alias("keep_id"), "group_size",
+        F.col("_id").eqNullSafe(F.col("keep")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))

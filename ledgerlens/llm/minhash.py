@@ -5,10 +5,10 @@ A document is the set of its distinct word shingles.  Its signature has ``8 x
 number of values in which they differ.  Signatures are split into 8 chunks: two
 at distance 15 or less differ in at most one value of some chunk (pigeonhole),
 so every chunk is entered under its five keys with one value left out, and all
-pairs under that distance share a key.  Pairs that share a key at a distance up
-to ``MAX_DISTANCE`` are candidates; a candidate is a link if the full sets of
-64-bit shingle hashes have the similarity asked for.  At the similarity 0.8 a
-pair misses all keys with a chance of 2 in 100,000, and less above.
+pairs under that distance share a key.  Pairs that share a key are candidates, at
+any distance; a candidate is a link if the full sets of 64-bit shingle hashes
+have the similarity asked for.  At the similarity 0.8 a pair misses all keys with
+a chance of 2 in 100,000, and less above.
 
 Components are found without all pairs of a group:
 1. equal sets are one node;
@@ -16,10 +16,9 @@ Components are found without all pairs of a group:
    shares most keys with others); confirmed links give first components;
 3. in keys that still hold two components or more, the members outside the
    key's largest component meet its other members.  A pair of different
-   components is emitted once, at the first key both have, and only if it is
-   within the distance and its bitmaps of 4096 shingle bits allow the
-   similarity: bits set in one only bound the intersection from above, so no
-   link is dismissed by them.  Confirmed links merge components.  No link
+   components is emitted once, at the first key both have, and only if its set
+   sizes and bitmaps of 4096 shingle bits allow the similarity: bits set in one
+   only bound the intersection from above, so no link is dismissed by them.  Confirmed links merge components.  No link
    between different components is left out, so the components are those of all
    candidate links.
 
@@ -48,7 +47,6 @@ from ledgerlens.llm.common import as_bytes, mix64, shared_table, small_batches
 from ledgerlens.llm.components import components
 
 CHUNKS, VALUES, BITS = 8, 5, 12
-MAX_DISTANCE = 20
 MAX_BROADCAST = 1_000_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(20240607)
@@ -251,8 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = F.max(F.struct("share", "node")).alias("best")
     leaders = shared_table(led.select("key", "node").join(shares, "node").groupBy("key").agg(best)
                            .select("key", F.col("best.node").alias("leader")), "leaders")
-    near = (f"{_similar('x', 'y', percent)} and ({_distance('x', 'y')}) <= {MAX_DISTANCE}"
-            f" and {_bounded('x', 'y', percent)}")
+    near = f"{_similar('x', 'y', percent)} and {_bounded('x', 'y', percent)}"
     stars = (led.join(leaders, "key").where("node <> leader").select("node", "leader").distinct()
              .join(light.alias("x"), "node")
              .join(light.withColumnRenamed("node", "leader").alias("y"), "leader")
@@ -283,7 +280,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = (nodes.select("node", "_id").join(label, "node", "left")
              .select("node", "_id", F.coalesce("component", "node").alias("component")))
-    names = named.groupBy("component").agg(F.min("_id").alias("name"))
+    named = shared_table(named, "named")
+    # a table of its own: the join can be split where a component is large
+    names = shared_table(named.groupBy("component").agg(F.min("_id").alias("name")),
+                         "component-names")
     found = shared_table(named.join(names, "component").select("node", "name"), "names")
     out = rows.join(found, "node", "left")
     name = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("name"))

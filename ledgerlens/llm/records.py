@@ -5,7 +5,8 @@ A record file is a run of records, each
     uint64 length | uint32 masked crc32 of the length | payload | uint32 masked
     crc32 of the payload                                      (little-endian)
 
-A payload is ``int8 id-is-null | int64 id | uint8 bytes per token | token ids``.
+A payload is ``int8 kind of id (0 number, 1 null, 2 text) | int64 id (a text's
+length in bytes) | uint8 bytes per token | the id's text, if it is one | token ids``.
 Beside every record file stands an index file: the uint64 offset of each record
 and, last, the size of the record file; a reader can fetch records in any order.
 
@@ -37,6 +38,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.session import checkpoint_dir
 from ledgerlens.llm.common import gathered_batches, shared_folder, shared_table
@@ -79,14 +81,20 @@ def read_frame(stream) -> bytes:
     return payload
 
 
-def encode_record(doc_id: int | None, ids: bytes, width: int) -> bytes:
+def encode_record(doc_id: int | str | None, ids: bytes, width: int) -> bytes:
+    if isinstance(doc_id, str):
+        name = doc_id.encode("utf-8", "surrogatepass")
+        return frame(_HEAD.pack(2, len(name), width) + name + ids)
     return frame(_HEAD.pack(doc_id is None, doc_id or 0, width) + ids)
 
 
-def decode_record(payload: bytes) -> tuple[int | None, np.ndarray]:
-    is_null, doc_id, width = _HEAD.unpack_from(payload)
-    ids = np.frombuffer(payload, f"<u{width}", offset=_HEAD.size)
-    return None if is_null else doc_id, ids
+def decode_record(payload: bytes) -> tuple[int | str | None, np.ndarray]:
+    kind, doc_id, width = _HEAD.unpack_from(payload)
+    at = _HEAD.size
+    if kind == 2:
+        doc_id, at = payload[at:at + doc_id].decode("utf-8", "surrogatepass"), at + doc_id
+    ids = np.frombuffer(payload, f"<u{width}", offset=at)
+    return None if kind == 1 else doc_id, ids
 
 
 class _Writer:
@@ -129,7 +137,9 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None,
     spark = docs.sparkSession
     folder = _uri(folder or shared_folder(spark, "records"))
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"),
+    kind = docs.schema[id_col].dataType
+    id_type = "long" if isinstance(kind, T.IntegralType) else "string"
+    rows = docs.select(F.col(id_col).cast(id_type).alias("_id"), F.col(text_col).alias("_text"),
                        F.xxhash64(text_col).alias("_tie"))
     rows = (rows.repartitionByRange(partitions, "_id", "_tie")
             .sortWithinPartitions("_id", "_tie").select("_id", "_text"))
@@ -177,9 +187,11 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None,
             .drop("base"))
 
 
-def read_records(manifest: DataFrame, folder: str | None = None) -> DataFrame:
+def read_records(manifest: DataFrame, folder: str | None = None,
+                 id_type: str = "long") -> DataFrame:
     """Every record of the manifest's files: doc_id, start, n_tokens,
-    ids_crc32 (of little-endian unsigned 32-bit ids)."""
+    ids_crc32 (of little-endian unsigned 32-bit ids).  ``id_type``: ``string`` for
+    files of ids that are no whole numbers."""
     spark = manifest.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     root = _uri(folder or checkpoint_dir(spark))
@@ -200,13 +212,15 @@ def read_records(manifest: DataFrame, folder: str | None = None) -> DataFrame:
                                     zlib.crc32(ids.astype("<u4").tobytes())))
                         start += len(ids)
                 if out:
+                    doc_ids, *numbers = zip(*out)
+                    kind = pa.int64() if id_type == "long" else pa.string()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, pa.int64()) for c in zip(*out)],
+                        [pa.array(doc_ids, kind), *[pa.array(c, pa.int64()) for c in numbers]],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return (manifest.select("path", "tokens_before")
             .repartition(partitions, "path")
-            .mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+            .mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long"))
 
 
 def read_shuffled(folder: str, path: str, index_path: str, seed: int):

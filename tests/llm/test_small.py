@@ -107,3 +107,41 @@ def test_odd_texts_have_the_stated_results(spark, docs):
     langs = langid.identify(df, langid.fit(df.select("lang", "text"))).collect()
     assert {r.lang_pred for r in langs if r.doc_id in (1, 2, 3, 8)} == {"und"}
     assert all(0 <= r.score <= 1 for r in langs)
+
+
+def test_ids_of_any_type(spark):
+    """Text ids, and the largest number, which is not null."""
+    top = 2 ** 63 - 1
+    rows = [("b", "x y"), ("a", "xy"), (None, "x y"), ("c", "other"), (None, "none")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for history in (F.lit(True), F.lit(False), F.col("doc_id") == "b", None):
+        got = {(r.doc_id, r.keep_id, r.group_size, r.kept)
+               for r in exact.exact_dedup(df, history).collect()}
+        assert got == {("b", "b", 3, True), ("a", "b", 3, False), (None, "b", 3, False),
+                       ("c", "c", 1, True), (None, None, 1, True)}
+    numbers = spark.createDataFrame([(top, "same"), (None, "same"), (None, "alone")],
+                                    "doc_id long, text string")
+    for history in (F.lit(True), F.lit(False), F.col("doc_id").isNull(), None):
+        got = {(r.doc_id, r.keep_id) for r in exact.exact_dedup(numbers, history).collect()}
+        assert got == {(top, top), (None, top), (None, None)}
+    path = queries.tokenizer_path(queries.WORD_BPE)
+    back = records.read_records(records.write_records(df, path), id_type="string").collect()
+    in_order = [r.doc_id for r in sorted(back, key=lambda r: r.start)]
+    assert in_order == [None, None, "a", "b", "c"]
+    wide = records.read_records(records.write_records(numbers, path)).collect()
+    assert sorted((r.doc_id or 0) for r in wide) == [0, 0, top]
+
+
+def test_digests_that_share_64_bits():
+    import numpy as np
+    digests = np.zeros((5, 32), np.uint8)
+    digests[:, 8] = range(5)            # equal first 64 bits
+    digests[4, 0] = 1
+    numbers = np.arange(5)
+    index = exact.DigestIndex(digests, numbers, numbers < 0, numbers * 10, numbers + 1)
+    slots = index.find(digests)
+    assert sorted(slots.tolist()) == list(range(5))
+    assert index.ids[slots].tolist() == [0, 10, 20, 30, 40]
+    other = digests.copy()
+    other[:, 31] = 9
+    assert index.find(other).tolist() == [-1] * 5
