@@ -16,9 +16,9 @@ Sparse form used for scoring, so the model never becomes K × V rows:
                   + Σ_{t in d, (t, c) seen} ln((count(t, c) + α) / α)
 
 The model has two tables: ``classes`` (K rows) and ``tokens`` (one row per
-seen (token, class) pair plus one "known token" row per token).  The
-(class, token) counts they derive from are checkpointed to the shared
-folder, which cuts lineage and gives exact sizes.
+seen (token, class) pair plus one "known token" row per token).  The counts they
+derive from are a table below the shared folder (a row per token, a column per
+class of every head), which cuts lineage and gives exact sizes.
 
 For scoring with up to ``DENSE_MAX_CLASSES`` classes the token table is
 pivoted once per model into one row per token with one weight column per
@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import explode_elements
+from ..sources.scratch import shared_table
 from .encode import MAX_CLASSES, class_table
 
 KNOWN = -1               # class index of the per-token "in vocabulary" row
@@ -69,6 +70,8 @@ class NaiveBayesModel:
     token_rows: int
     _dense: DataFrame | None = field(default=None, repr=False, compare=False)
     _params: list | None = field(default=None, repr=False, compare=False)
+    # the weights of all heads of one fit, and this head's number in it
+    _wide: tuple[DataFrame, int] | None = field(default=None, repr=False, compare=False)
 
     def class_params(self) -> list[tuple[int, str, float | None, float]]:
         """The K class rows, read once per model (scoring every micro-batch of
@@ -123,31 +126,132 @@ def fit_heads(df: DataFrame, labels: Mapping[str, str], tokens_col: str, *, alph
               ) -> dict[str, NaiveBayesModel]:
     """One model per head (``labels``: head -> label column) from ONE pass over
     the training rows: each row explodes into its tokens plus one marker, and a
-    single partially aggregated group-by on (all labels, token) counts them.
-    That result is checkpointed; the heads' own counts are small aggregates of
-    it.  Empty tokens are not counted."""
+    single partially aggregated group-by on (all labels, token) counts them.  That
+    result is a table; one pivot of it has the counts of every class of every head
+    (``_fit_wide``).  With more than ``DENSE_MAX_CLASSES`` classes in all heads
+    together each head's counts are an aggregate of their own.  Empty tokens are not
+    counted."""
+    known = {h: _class_names((classes or {}).get(h)) for h in labels}
     columns = list(dict.fromkeys(labels.values()))
     real = F.filter(F.coalesce(F.col(tokens_col), F.array().cast("array<string>")),
                     lambda t: t != DOC_MARKER)
     with_marker = F.concat(F.array(F.lit(DOC_MARKER)), real)
-    joint = (explode_elements(df, columns, with_marker, "token")
-             .groupBy(*columns, "token").agg(F.count(F.lit(1)).alias("count"))
-             .checkpoint(eager=True))
+    joint = shared_table(explode_elements(df, columns, with_marker, "token")
+                         .groupBy(*columns, "token").agg(F.count(F.lit(1)).alias("count")),
+                         "nb-joint")
+    rows = _label_counts(joint, columns)
+    names = {h: known[h] if known[h] is not None else
+             sorted({r[label] for r in rows if r[label] is not None})
+             for h, label in labels.items()}
+    if sum(map(len, names.values())) <= DENSE_MAX_CLASSES:
+        return _fit_wide(joint.where(F.col("token") != DOC_MARKER), rows, labels, names, alpha)
     out = {}
     for head, label in labels.items():
-        known = joint.select(F.col(label).alias("class_name"), "token", "count") \
+        counts = joint.select(F.col(label).alias("class_name"), "token", "count") \
             .where(F.col("class_name").isNotNull())
-        own = (classes or {}).get(head)
-        if isinstance(own, (list, tuple)):
-            own = class_table(df.sparkSession, own)
+        own = class_table(df.sparkSession, known[head]) if known[head] is not None else None
         if own is not None:
-            if own.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
-                raise ValueError(f"more than {MAX_CLASSES} classes")
-            known = known.join(F.broadcast(own.select("class_name")), "class_name", "left_semi")
+            counts = counts.join(F.broadcast(own.select("class_name")), "class_name", "left_semi")
         if len(columns) > 1:
-            known = known.groupBy("class_name", "token").agg(F.sum("count").alias("count"))
-            known = known.checkpoint(eager=True)
-        out[head] = _from_counts(known, own, alpha)
+            counts = counts.groupBy("class_name", "token").agg(F.sum("count").alias("count"))
+            counts = counts.checkpoint(eager=True)
+        out[head] = _from_counts(counts, own, alpha)
+    return out
+
+
+def _class_names(classes: DataFrame | list[str] | None) -> list[str] | None:
+    """Sorted names of a class list; None if the data decide."""
+    if classes is None:
+        return None
+    if isinstance(classes, DataFrame):
+        classes = [r.class_name for r in classes.select("class_name", "class_idx")
+                   .orderBy("class_idx").limit(MAX_CLASSES + 1).collect()]
+    names = sorted(set(classes))
+    if len(names) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    return names
+
+
+def _label_counts(joint: DataFrame, columns: list[str]) -> list:
+    """Rows per label of every head (a few rows: checked)."""
+    marked = joint.where(F.col("token") == DOC_MARKER)
+    counts = None
+    for column in columns:
+        own = marked.where(F.col(column).isNotNull()).groupBy(F.col(column)).agg(
+            F.sum("count").alias("_n")).limit(MAX_CLASSES + 1)
+        own = own.select(*[F.col(column) if c == column else F.lit(None).cast("string").alias(c)
+                           for c in columns], "_n")
+        counts = own if counts is None else counts.unionByName(own)
+    rows = counts.collect()
+    for column in columns:
+        if sum(r[column] is not None for r in rows) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes")
+    return rows
+
+
+def _fit_wide(joint: DataFrame, rows: list, labels: Mapping[str, str],
+              names: Mapping[str, list[str]], alpha: float) -> dict[str, NaiveBayesModel]:
+    """All heads from one group-by of the joint counts on token: a count column per
+    class of every head.  That table (one row per token) holds all that the models
+    need; what follows are narrow steps and one aggregate of it."""
+    spark = joint.sparkSession
+    heads = list(labels)
+    cells = [(i, c, F.col(labels[h]) == name) for i, h in enumerate(heads)
+             for c, name in enumerate(names[h])]
+    if not cells:
+        counts = joint.select("token").where("false")
+    else:
+        counts = joint.groupBy("token").agg(*[
+            F.coalesce(F.sum(F.when(is_class, F.col("count"))), F.lit(0)).alias(f"_c_{i}_{c}")
+            for i, c, is_class in cells])
+    counts = shared_table(counts, "nb-counts")
+    a, log_a = float(alpha), math.log(float(alpha))
+    hits = []
+    for i, h in enumerate(heads):
+        any_class = F.lit(False)
+        for c in range(len(names[h])):
+            any_class = any_class | (F.col(f"_c_{i}_{c}") > 0)
+        hits.append(any_class)
+    stats = counts.agg(
+        *[F.sum(f"_c_{i}_{c}").alias(f"t_{i}_{c}") for i, c, _ in cells],
+        *[F.count(F.when(F.col(f"_c_{i}_{c}") > 0, 1)).alias(f"p_{i}_{c}") for i, c, _ in cells],
+        *[F.count(F.when(hit, 1)).alias(f"v_{i}") for i, hit in enumerate(hits)]).first()
+    wide = counts.select(
+        "token", *[F.nullif(hit, F.lit(False)).alias(f"_hit_{i}") for i, hit in enumerate(hits)],
+        *[(F.ln(F.col(f"_c_{i}_{c}") + F.lit(a)) - F.lit(log_a)).alias(f"_w_{i}_{c}")
+          for i, c, _ in cells])
+    out = {}
+    for i, h in enumerate(heads):
+        k, vocab_size = len(names[h]), int(stats[f"v_{i}"] or 0)
+        n_docs = {r[labels[h]]: int(r["_n"]) for r in rows if r[labels[h]] in set(names[h])}
+        total = sum(n_docs.values())
+        params = []
+        for c, name in enumerate(names[h]):
+            n, tokens = n_docs.get(name, 0), int(stats[f"t_{i}_{c}"] or 0)
+            params.append((name, c, n, tokens, math.log(n / total) if n else None,
+                           math.log(tokens + a * vocab_size) if tokens + a * vocab_size else None))
+        own = counts.where(hits[i])
+        # the table by pairs: a row per seen (token, class), and one per token
+        pair = [F.struct(F.lit(c).alias("class_idx"), F.col(f"_c_{i}_{c}").alias("count"),
+                         F.lit(params[c][5]).cast("double").alias("log_denom"))
+                for c in range(k)]
+        known = F.struct(F.lit(KNOWN).alias("class_idx"), F.lit(0).cast("bigint").alias("count"),
+                         F.lit(None).cast("double").alias("log_denom"))
+        tokens = (own.select("token", F.inline(F.array(*pair, known)))
+                  .where((F.col("class_idx") == KNOWN) | (F.col("count") > 0))
+                  .select("token", "class_idx", "count",
+                          (F.ln(F.col("count") + F.lit(a)) - F.col("log_denom")).alias("log_lik"),
+                          F.when(F.col("class_idx") == KNOWN, F.lit(1.0))
+                          .otherwise(F.ln(F.col("count") + F.lit(a)) - F.lit(log_a))
+                          .alias("weight")))
+        dense = wide.where(F.col(f"_hit_{i}")).select(
+            "token", F.col(f"_hit_{i}").alias("_hit"),
+            *[F.col(f"_w_{i}_{c}").alias(f"_w{c}") for c in range(k)])
+        pairs = sum(int(stats[f"p_{i}_{c}"] or 0) for c in range(k))
+        out[h] = NaiveBayesModel(
+            spark.createDataFrame(params, CLASS_SCHEMA), tokens, vocab_size, a,
+            pairs + vocab_size, dense, [(c, name, prior, denom)
+                                        for name, c, _, _, prior, denom in params], (wide, i))
     return out
 
 
@@ -353,9 +457,9 @@ def score_heads(models: Mapping[str, NaiveBayesModel], df: DataFrame, key: str,
     {head}_log_norm, ...)``.  Each head's arg-max is its own (a pair of
     predictions may be one no taxonomy lists).
 
-    The heads' dense tables (model-sized) are outer-joined on token into one
-    wide table, so the rows are exploded, joined and aggregated once instead
-    of once per head.  Heads with more than ``DENSE_MAX_CLASSES`` classes
+    The heads' weights stand in one wide table, as the fit made them (tables of
+    models that were loaded or fitted apart are outer-joined on token first), so the
+    rows are exploded, joined and aggregated once instead of once per head.  Heads with more than ``DENSE_MAX_CLASSES`` classes
     are scored on their own and joined on the key."""
     carry = list(carry)
     params = {h: m.class_params() for h, m in models.items()}
@@ -370,14 +474,14 @@ def score_heads(models: Mapping[str, NaiveBayesModel], df: DataFrame, key: str,
                                ("scores", "pred_idx", "pred_label", "log_norm")])
             out = one if out is None else out.join(one, key)
         return out
-    wide, cells = None, 0
-    for h, m in models.items():
+    cells = sum(m.vocab_size * (ks[h] + 1) for h, m in models.items())
+    wide = _one_table(models, ks)
+    for h, m in models.items() if wide is None else ():
         k = ks[h]
         d = m.dense_tokens(k).select(
             "token", F.col("_hit").alias(f"_hit_{h}"),
             *[F.col(f"_w{c}").alias(f"_w_{h}_{c}") for c in range(k)])
         wide = d if wide is None else wide.join(d, "token", "full_outer")
-        cells += m.vocab_size * (k + 1)
     side = F.broadcast(wide) if cells <= broadcast_cells else wide
     counted = cells > broadcast_cells
     exploded = _occurrences(df, [key, *carry], tokens_col, not counted)
@@ -395,6 +499,17 @@ def score_heads(models: Mapping[str, NaiveBayesModel], df: DataFrame, key: str,
                                      ("scores", "pred_idx", "pred_label", "log_norm")])
 
 
+def _one_table(models: Mapping[str, NaiveBayesModel], ks: Mapping[str, int]) -> DataFrame | None:
+    """The wide table of heads that were fitted together, under their names."""
+    tables = [m._wide[0] for m in models.values() if m._wide is not None]
+    if len(tables) < len(models) or any(t is not tables[0] for t in tables):
+        return None
+    return tables[0].select(
+        "token", *[F.col(f"_hit_{m._wide[1]}").alias(f"_hit_{h}") for h, m in models.items()],
+        *[F.col(f"_w_{m._wide[1]}_{c}").alias(f"_w_{h}_{c}") for h, m in models.items()
+          for c in range(ks[h])])
+
+
 def evaluate_heads(models: Mapping[str, NaiveBayesModel], test: DataFrame, key: str,
                    tokens_col: str, labels: Mapping[str, str],
                    split: str | None = None) -> DataFrame:

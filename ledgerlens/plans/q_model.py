@@ -13,6 +13,7 @@ from ..operators.evaluate import fixed6
 from ..operators.split import threshold_hex, train_test_split
 from ..session import checkpoint_dir, scratch_path
 from ..sources.models import load_nb
+from ..sources.scratch import shared_table
 from ..sources.tables import docs_ledger
 from .catalog import register
 
@@ -26,16 +27,17 @@ SQL_LABEL = {"Category": "lang", "Sub_Category": "source"}
 
 def prepared_docs(spark, sf_dir):
     """Keep-first on raw (Description, Category) by doc_id, then clean and
-    flag the md5 test split.  Checkpointed: both heads' fits and scores read
-    it several times, and recomputing means another shuffle of the texts and
-    another pass of the cleaning regex."""
+    flag the md5 test split.  A table on shared storage: both heads' fits and
+    scores read it several times (each the columns it needs), and recomputing
+    means another shuffle of the texts and another pass of the cleaning regex."""
     checkpoint_dir(spark)
     # the de-duplication's shuffle spreads the rows before the cleaning runs
     docs = docs_ledger(spark, sf_dir, spread_rows=False)
     first = dedupe_first(docs, ["Description", "Category"], "doc_id")
     toks = first.select("doc_id", "Category", "Sub_Category",
                         clean_tokens("Description").alias("tokens"))
-    return train_test_split(toks, "doc_id", test_size=TEST_SIZE, seed=SEED).checkpoint(eager=True)
+    return shared_table(train_test_split(toks, "doc_id", test_size=TEST_SIZE, seed=SEED),
+                        "prepared")
 
 
 def fit_head(prepared, label):
@@ -222,7 +224,7 @@ def q_evaluate_nb(spark, sf_dir):
 
 @register("train_lr", None)
 def q_train_lr(spark, sf_dir):
-    """CountVectorizer -> IDF -> class-weighted multinomial LogisticRegression
+    """HashingTF -> IDF -> class-weighted multinomial LogisticRegression
     on the training split; predictions for the test split."""
     from ..operators.logistic import fit_lr, predict_lr
     prepared = prepared_docs(spark, sf_dir)
