@@ -10,7 +10,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -70,13 +72,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+_scope = threading.local()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
     base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    if getattr(_scope, "made", None) is not None:
+        _scope.made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope():
+    """A list of the scratch folders that this thread makes inside, for a job that
+    knows when it is done with them (``drop_paths``)."""
+    outer, own = getattr(_scope, "made", None), []
+    _scope.made = own
+    try:
+        yield own
+    finally:
+        _scope.made = outer
+        if outer is not None:
+            outer += own
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder of a job that is done with it."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def drop_paths(spark: SparkSession, paths) -> None:
+    """Delete scratch folders of a job that is done with them."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
