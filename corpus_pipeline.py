@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import decontaminate, lines, minhash, packing, quality
 from ledgerlens.llm.common import bound_batches, free_name, read_table, shared_table
 from ledgerlens.llm.queries import BYTE_BPE, tokenizer_path
+from ledgerlens.session import drop_paths, scratch_scope
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -73,10 +74,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``.  Once a stage is written, the tables it was made
+    from are deleted, so that no more than one stage's lie on the shared storage."""
+    docs, before = read_table(spark, sf_dir, "documents"), []
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with scratch_scope() as made:
+            docs = stage(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                docs = shared_table(docs, f"stage-{i}")
         if i < len(STAGES) - 1:
-            docs = shared_table(docs, f"stage-{i}")
+            drop_paths(spark, [*before, *made[:-1]])
+            before = made[-1:]
     return docs
