@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.session import checkpoint_dir, scratch_path
+from ledgerlens.session import scratch_path
 
 
 BATCH_BYTES = 8 << 20
@@ -41,7 +41,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """URI of a fresh folder that driver and executors both reach."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    return scratch_path(spark, name)
 
 
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:

@@ -114,3 +114,17 @@ def test_packing_covers_all_that_is_left(stages):
     assert pieces.where("start = 0").count() == docs
     sums = pieces.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).collect()
     assert all(r.n == r.doc_tokens for r in sums)
+
+
+def test_tables_of_finished_stages_go(spark, stages):
+    import os
+    from urllib.parse import urlparse
+
+    from ledgerlens.session import checkpoint_dir, scratch_scope
+    folder = urlparse(checkpoint_dir(spark)).path + "/scratch"
+    before = set(os.listdir(folder))
+    with scratch_scope() as made:
+        out = corpus_pipeline.run(spark, SF)
+    assert out.count() == stages[5].count()
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert left == {"stage-3"} and len(made) > 10
