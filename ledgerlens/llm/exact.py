@@ -91,7 +91,8 @@ class DigestIndex:
     Digests are hashed by 64 of their bits; those of the few that share these with
     another digest of the shard are kept in a dictionary instead."""
 
-    def __init__(self, digests: np.ndarray, points, none, ids, sizes):
+    def __init__(self, digests: np.ndarray, points, ids, sizes, none=None):
+        none = np.zeros(len(digests), bool) if none is None else none
         keys = digest_keys(digests)
         order = np.argsort(keys, kind="stable")
         again = np.zeros(len(keys), bool)
@@ -187,7 +188,8 @@ def _merge(old: pa.Table, new: pa.Table) -> pa.Table:
     both = _values(pa.concat_tables([old, new]))
     values, fresh = ([v[part] for v in both]
                      for part in (slice(0, old.num_rows), slice(old.num_rows, None)))
-    index = DigestIndex(_matrix(old), *values)
+    points, none, ids, sizes = values
+    index = DigestIndex(_matrix(old), points, ids, sizes, none)
     seen = _matrix(new)
     slot = index.find(seen)
     member = slot >= 0

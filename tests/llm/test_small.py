@@ -138,7 +138,7 @@ def test_digests_that_share_64_bits():
     digests[:, 8] = range(5)            # equal first 64 bits
     digests[4, 0] = 1
     numbers = np.arange(5)
-    index = exact.DigestIndex(digests, numbers, numbers < 0, numbers * 10, numbers + 1)
+    index = exact.DigestIndex(digests, numbers, numbers * 10, numbers + 1)
     slots = index.find(digests)
     assert sorted(slots.tolist()) == list(range(5))
     assert index.ids[slots].tolist() == [0, 10, 20, 30, 40]
