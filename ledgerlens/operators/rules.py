@@ -58,10 +58,16 @@ def rule_target(text: str | Column, rules: Mapping[str, Sequence[str]] | DataFra
     return F.lit(None).cast("string") if expr is None else expr
 
 
-def _grams(text: str, size: str) -> Column:
-    """Distinct grams of a text column; ``size`` is a column of lengths."""
-    return F.expr(f"array_distinct(transform(sequence(1, length({text}) - {size} + 1), "
-                  f"i -> substr({text}, i, {size})))")
+def _grams(pattern: str, size: str) -> Column:
+    """Distinct grams of a pattern column (short); ``size`` is a column of lengths."""
+    return F.expr(f"array_distinct(transform(sequence(1, length({pattern}) - {size} + 1), "
+                  f"i -> substr({pattern}, i, {size})))")
+
+
+def _long_grams(text: str, size: int) -> Column:
+    """Distinct grams of a text: one scan by a look-ahead at every place (``substr``
+    at a place counts characters from the start each time)."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
 
 
 def rule_index(rules: DataFrame, texts: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -84,8 +90,7 @@ def rule_index(rules: DataFrame, texts: DataFrame, gram: int = GRAM) -> DataFram
 
 def _text_grams(texts: DataFrame, text: str, sizes: Sequence[int], *keep: str) -> DataFrame:
     """One row per text and distinct gram of one of the ``sizes``."""
-    per_size = [F.when(F.length(text) >= n, _grams(text, str(n))).otherwise(
-        F.array().cast("array<string>")) if n else F.array(F.lit("")) for n in sorted(sizes)]
+    per_size = [_long_grams(text, n) if n else F.array(F.lit("")) for n in sorted(sizes)]
     every = F.concat(*per_size) if per_size else F.array().cast("array<string>")
     return texts.select(*keep, F.explode_outer(every).alias("gram")).where("gram is not null")
 
