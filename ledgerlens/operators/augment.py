@@ -59,9 +59,11 @@ def augment_city(merchants: DataFrame, cities: DataFrame, *, order_col: str,
     if cap is not None and cap < 1:
         raise ValueError("cap must be positive")
     ranked = global_rank(merchants, [order_col], "_m").withColumn("_m", F.col("_m") - 1)
-    n = merchants.count()
-    if n == 0:
+    # of the checkpointed ranks: the merchants' plan does not run again
+    last = ranked.agg(F.max("_m")).first()[0]
+    if last is None:
         raise ValueError("no merchants")
+    n = last + 1
     c = (cities.select(F.col(city_col).alias("city_state")).dropna().distinct()
          .withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("city_state")))))
     c = global_rank(c, ["_h", "city_state"], "city_rank").drop("_h")

@@ -1,4 +1,4 @@
-"""Sample ledgers carried inline as test fixtures (text as in the
+"""Sample ledgers carried inline as test fixtures (text as in the
 sample files: UTF-8 with BOM where the file has one, CRLF kept)."""
 
 FAST_FOOD_CSV = "\ufeffDescription,Category,Sub_Category\r\nMcDonald's,,\r\nStarbucks,,\r\nSubway,,\r\nTaco Bell,,\r\nBurger King,,\r\nWendy's,,\r\nDunkin' (formerly Dunkin' Donuts),,\r\nDomino's Pizza,,\r\nPizza Hut,,\r\nKFC (Kentucky Fried Chicken),,\r\nChick-fil-A,,\r\nSonic Drive-In,,\r\nPanera Bread,,\r\nChipotle Mexican Grill,,\r\nPopeyes Louisiana Kitchen,,\r\nLittle Caesars,,\r\nPanda Express,,\r\nJimmy John's,,\r\nDairy Queen,,\r\nArby's,,\r\nFive Guys,,\r\nIn-N-Out Burger,,\r\nJack in the Box,,\r\nHardee's / Carl's Jr.,,\r\nPapa John's,,\r\nBaskin-Robbins,,\r\nAuntie Anne's,,\r\nJersey Mike's Subs,,\r\nKrispy Kreme,,\r\nShake Shack,,\r\nTim Hortons,,\r\nBojangles' Famous Chicken 'n Biscuits,,\r\nRaising Cane's Chicken Fingers,,\r\nWhite Castle,,\r\nWhataburger,,\r\nZaxby's,,\r\nCulver's,,\r\nCheckers / Rally's,,\r\nQdoba Mexican Eats,,\r\nBlaze Pizza,,\r\nEl Pollo Loco,,\r\nChurch's Chicken,,\r\nWingstop,,\r\nNoodles & Company,,\r\nMoe's Southwest Grill,,\r\nFirehouse Subs,,\r\nDel Taco,,\r\nJason's Deli,,\r\nMOD Pizza,,\r\nBoston Market,,\r\nSmoothie King,,\r\nDairy Queen / Orange Julius,,\r\nThe Cheesecake Factory,,\r\nLong John Silver's,,\r\nCinnabon,,\r\nRed Lobster,,\r\nOlive Garden,,\r\nApplebee's,,\r\nOutback Steakhouse,,\r\nBuffalo Wild Wings,,\r\nDave & Buster's,,\r\nPanda Express,,\r\nWaffle House,,\r\nAuntie Anne's,,\r\nJersey Mike's Subs,,\r\nKrispy Kreme,,\r\nBlaze Pizza,,\r\nSmashburger,,\r\nCulver's,,\r\nZaxby's,,\r\nRaising Cane's Chicken Fingers,,\r\nWingstop,,\r\nEl Pollo Loco,,\r\nNoodles & Company,,\r\nMoe's Southwest Grill,,\r\nFirehouse Subs,,\r\nDel Taco,,\r\nJason's Deli,,\r\nMOD Pizza,,\r\nBoston Market,,\r\nSmoothie King,,\r\nDairy Queen / Orange Julius,,\r\nThe Cheesecake Factory,,\r\nLong John Silver's,,\r\nCinnabon,,\r\nRed Lobster,,\r\nOlive Garden,,\r\nApplebee's,,\r\nOutback Steakhouse,,\r\nBuffalo Wild Wings,,\r\nDave & Buster's,,\r\nIHOP (International House of Pancakes),,\r\nChili's Grill & Bar,,\r\nP.F. Chang's,,\r\nRed Robin,,\r\nTGI Fridays,,\r\nCheesecake Factory,,\r\nBJ's Restaurant & Brewhouse,,\r\nOlive Garden,,\r\nTexas Roadhouse,,\r\nCracker Barrel,,\r\nRuby Tuesday,,\r\nBuffalo Wild Wings,,\r\nPanera Bread,,\r\nDenny's,,\r\nGolden Corral,,\r\nFamous Dave's,,\r\nMaggiano's Little Italy,,\r\nBonefish Grill,,\r\nHard Rock Cafe,,\r\nO'Charley's,,\r\nPerkins Restaurant & Bakery,,\r\nSizzler,,\r\nUno Pizzeria & Grill,,\r\nPanda Express,,\r\nCorner Bakery Cafe,,\r\nNoodles & Company,,\r\nFirst Watch,,\r\nMellow Mushroom,,\r\nPei Wei Asian Diner,,\r\nBojangles' Famous Chicken 'n Biscuits,,\r\nMOD Pizza,,\r\nJollibee,,\r\nTropical Smoothie Cafe,,\r\nBrio Tuscan Grille,,\r\nSchlotzsky's,,\r\nCaptain D's,,\r\nZaxby's,,\r\nPollo Tropical,,\r\nWhataburger,,\r\nDickey's Barbecue Pit,,\r\nRubio's Coastal Grill,,\r\nWingstop,,\r\nBaja Fresh,,\r\nMoe's Southwest Grill,,\r\nJersey Mike's Subs,,\r\nNaf Naf Grill,,\r\nSalata,,\r\nTaco Cabana,,\r\nShake Shack,,\r\nZoes Kitchen,,\r\nFreddy's Frozen Custard & Steakburgers,,\r\nRaising Cane's Chicken Fingers,,\r\nDickey's Barbecue Pit,,\r\nJamba Juice,,\r\nPeet's Coffee,,\r\nPotbelly Sandwich Shop,,\r\nEinstein Bros. Bagels,,\r\nSmoothie King,,\r\nCold Stone Creamery,,\r\nStarbucks,,\r\nDunkin' (formerly Dunkin' Donuts),,\r\nTim Hortons,,\r\nDutch Bros. Coffee,,\r\nThe Coffee Bean & Tea Leaf,,\r\nScooter's Coffee,,\r\nCaribou Coffee,,\r\nBiggby Coffee,,\r\nPJ's Coffee,,\r\nGloria Jean's Coffees,,\r\nLa Colombe Coffee Roasters,,\r\nIt's A Grind Coffee House,,\r\nMaui Wowi Hawaiian,,\r\nDunn Brothers Coffee,,\r\nThe Human Bean,,\r\nBad Ass Coffee,,\r\nPeet's Coffee,,\r\nPort City Java,,\r\nPJ's Coffee,,\r\nGloria Jean's Coffees,,\r\nThe Coffee Bean & Tea Leaf,,\r\nLa Colombe Coffee Roasters,,\r\nIt's A Grind Coffee House,,\r\nMaui Wowi Hawaiian,,\r\nDunn Brothers Coffee,,\r\nThe Human Bean,,\r\nBad Ass Coffee,,\r\nBiggby Coffee,,\r\nPort City Java,,\r\nDutch Bros. Coffee,,\r\nScooter's Coffee,,\r\nStarbucks,,\r\nCaribou Coffee,,\r\nCold Stone Creamery,,\r\nSmoothie King,,\r\nEinstein Bros. Bagels,,\r\nPotbelly Sandwich Shop,,\r\nJamba Juice,,\r\nPeet's Coffee,,\r\nTim Hortons,,\r\nDunkin' (formerly Dunkin' Donuts),,\r\nThe Coffee Bean & Tea Leaf,,\r\nPJ's Coffee,,\r\nGloria Jean's Coffees,,\r\nLa Colombe Coffee Roasters,,\r\nIt's A Grind Coffee House,,\r\nMaui Wowi Hawaiian,,\r\nDunn Brothers Coffee,,\r\nThe Human Bean,,\r\nBad Ass Coffee,,\r\n"
