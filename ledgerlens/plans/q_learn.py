@@ -9,7 +9,7 @@ from ..operators import rules, softmax, subword
 from ..operators.encode import ids_text
 from ..operators.evaluate import fixed6
 from ..sources.scratch import shared_table
-from ..sources.tables import docs_ledger, table
+from ..sources.tables import docs_ledger, spread, table
 from .catalog import register
 from .q_model import _docs_sql, prepared_docs
 
@@ -151,4 +151,5 @@ def q_map_by_many_rules(spark, sf_dir):
         F.col("source").alias("target"), F.col("doc_id").alias("rule_ord"),
         F.substring("text", 41, 12).alias("pattern"))
     rules_table = shared_table(table_of_rules, "rule-table")
-    return rules.map_by_rule(docs.select("doc_id", "text"), "text", rules_table).drop("text")
+    texts = spread(docs.select("doc_id", "text"), "doc_id")
+    return rules.map_by_rule(texts, "text", rules_table).drop("text")

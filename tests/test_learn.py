@@ -268,3 +268,27 @@ def test_index_files_a_pattern_under_its_rarest_gram(spark):
                                   "target string, rule_ord int, pattern string")
     got = {r.target: r.gram for r in rules.rule_index(frame, texts, 4).collect()}
     assert re.fullmatch("e ze| zeb|zebr|me z", got["a"]) and got["b"] == "ho" and got["c"] == ""
+
+
+def test_rules_of_a_common_fragment_are_met_without_a_shuffle_of_texts(spark, monkeypatch):
+    """All patterns share their grams of four characters, and most texts hold all of
+    these: neither the texts nor their windows are shuffled or paired with the rules,
+    whatever the number of files and blocks."""
+    monkeypatch.setattr(rules, "CASE_RULES", 20)
+    monkeypatch.setattr(rules, "BLOCK_CHARS", 64)
+    rng = random.Random(6)
+    words = [f"item {i:02d} of the shop" for i in range(40)]
+    table = [(f"t{i % 9}", i, rng.choice(words)[rng.randrange(4):] + " " + rng.choice(words)
+              + rng.choice(["", " item", " item 07 of the shop and the house"])) for i in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(150)]
+    frame = spark.createDataFrame(table, "target string, rule_ord int, pattern string")
+    rows = [(k, t) for k, t in enumerate(texts)] + [(900, None), (901, texts[0])]
+    df = spark.createDataFrame(rows, "k int, path string")
+    kind = dict(frame.dtypes)["target"]
+    paths = rules.rule_files(frame, chunk=50)
+    out = rules.match_rules(df, "path", paths, kind, "target")
+    assert len(paths) > 2
+    assert {r.k: r.target for r in out.collect()} == \
+        {k: None if t is None else first_rule(t, table) for k, t in rows}
+    assert "Exchange" not in rules.map_by_rule(df, "path", frame) \
+        ._jdf.queryExecution().executedPlan().toString()
