@@ -28,8 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import gathered_batches
-from ledgerlens.llm.tokens import TokenCoder, ids_as_u4
+from ledgerlens.llm.tokens import TokenCoder, encoded_batches, ids_as_u4, token_coder
 
 SEQ_LEN = 1024
 GROUP_DOCS = 4096
@@ -128,15 +127,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def encode(batches):
-        coder = TokenCoder(tokenizer, keep_space)
+        coder = token_coder(tokenizer, keep_space)
         width = coder.dtype.itemsize
         end = np.array([end_id], coder.dtype).tobytes()
         full = seq_len * width
         partition, row = TaskContext.get().partitionId(), 0
-        for batch in gathered_batches(batches, 1):
+        for batch, texts in encoded_batches(coder, batches, 1):
             out: dict[str, list] = {k: [] for k in
                                     ("group", "n", "crc", "full", "rest")}
-            for ids in coder.encode(batch.column(1)):
+            for ids in texts:
                 ids += end
                 cut = len(ids) // full * full
                 out["group"].append(_mixed(partition, row, seed) % groups)

@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.session import checkpoint_dir
-from ledgerlens.llm.common import gathered_batches, shared_folder, shared_table
-from ledgerlens.llm.tokens import TokenCoder
+from ledgerlens.llm.common import shared_folder, shared_table
+from ledgerlens.llm.tokens import encoded_batches, token_coder
 
 FILE_BYTES = 32 << 20
 _HEAD = struct.Struct("<bqB")
@@ -145,7 +145,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None,
             .sortWithinPartitions("_id", "_tie").select("_id", "_text"))
 
     def write(batches):
-        coder = TokenCoder(tokenizer, keep_space)
+        coder = token_coder(tokenizer, keep_space)
         width = coder.dtype.itemsize
         end = np.array([end_id], coder.dtype).tobytes()
         part, before, files, writer = TaskContext.get().partitionId(), 0, [], None
@@ -156,8 +156,8 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None,
                           len(writer.offsets), writer.tokens, before))
             return before + writer.tokens
 
-        for batch in gathered_batches(batches, 1):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1))):
+        for batch, texts in encoded_batches(coder, batches, 1):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), texts):
                 if writer is None:
                     name = f"part-{part:05d}-{len(files):04d}-{uuid.uuid4().hex[:12]}"
                     writer = _Writer(folder, name)

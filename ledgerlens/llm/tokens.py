@@ -10,6 +10,7 @@ runs of white space whole, or encoded as it is.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from array import array
@@ -18,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ledgerlens.llm.common import gathered_batches
+
 # a piece carries the white space before it (byte-level pre-tokenizers glue the
 # last space to the next word); a final run of white space stands alone
 _WITH_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+$")
@@ -30,7 +33,8 @@ _ODD_SPACE = (r"[\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{20
 # use parts such a word into its letters and its signs
 _SIMPLE = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)"
                      r"([!-&(-/:-@\[-`{-~]*)")
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
+BATCH_TEXT = 8 << 20     # bytes of text that are encoded together
 
 
 def _byte_text(b: int) -> str:
@@ -138,6 +142,21 @@ class TokenCoder:
         return [bytes(data[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
+@functools.lru_cache(maxsize=1)
+def token_coder(path: str, keep_space: bool) -> TokenCoder:
+    """The coder of this process: a worker that runs many tasks loads the tokenizer
+    once and keeps one bounded cache."""
+    return TokenCoder(path, keep_space)
+
+
+def encoded_batches(coder: TokenCoder, batches, column: int):
+    """``(batch, ids of its texts)`` by batches of about ``BATCH_TEXT``; what Arrow
+    held for one goes back to the system before the next."""
+    for batch in gathered_batches(batches, column, BATCH_TEXT):
+        yield batch, coder.encode(batch.column(column))
+        pa.default_memory_pool().release_unused()
+
+
 def ids_as_u4(data: bytes, dtype: np.dtype) -> bytes:
     """The same ids as little-endian unsigned 32-bit integers."""
     return np.frombuffer(data, dtype).astype("<u4").tobytes()

@@ -145,3 +145,17 @@ def test_digests_that_share_64_bits():
     other = digests.copy()
     other[:, 31] = 9
     assert index.find(other).tolist() == [-1] * 5
+
+
+def test_a_worker_loads_one_tokenizer_and_encodes_small_batches(monkeypatch):
+    """Tasks of one worker share a coder; texts are encoded in batches of a few MB."""
+    import pyarrow as pa
+    from ledgerlens.llm import tokens
+    path = queries.tokenizer_path(queries.WORD_BPE)
+    coder = tokens.token_coder(path, False)
+    assert tokens.token_coder(path, False) is coder
+    monkeypatch.setattr(tokens, "BATCH_TEXT", 1000)
+    rows = pa.RecordBatch.from_pydict({"i": list(range(50)), "text": ["a few words " * 20] * 50})
+    parts = list(tokens.encoded_batches(coder, [rows], 1))
+    assert len(parts) > 5 and [i for b, _ in parts for i in b.column(0).to_pylist()] == list(range(50))
+    assert [x for _, ids in parts for x in ids] == coder.encode(rows.column(1))
