@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import explode_elements
+from .blocks import look_up
 from .rank import global_rank
 
 PAD_ID = 0
@@ -22,7 +23,6 @@ UNKNOWN_ID = 100
 FIRST_TOKEN_ID = 101
 UNKNOWN_TOKEN = "[UNK]"
 MAX_CLASSES = 2_000        # class tables are broadcast and become literals
-BROADCAST_TOKENS = 2_000_000   # vocabulary rows broadcast up to this
 
 
 # --- labels ----------------------------------------------------------------
@@ -96,16 +96,25 @@ def explode_tokens(df: DataFrame, key: str, tokens_col: str) -> DataFrame:
 
 def token_ids(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
               out_col: str = "token_ids", *,
-              broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+              broadcast_tokens: int | None = None) -> DataFrame:
     """``(key, out_col)``: the id of every token in order (unknown -> 100),
     for every row of ``df`` (null tokens -> null, empty -> []).
 
-    The vocabulary is broadcast when it has at most ``broadcast_tokens`` rows:
+    The distinct tokens of a block of rows are joined to the vocabulary, and the rows
+    take their ids from what was found for their block (``blocks``), so that what is
+    shuffled grows with the rows whatever the size of the vocabulary.
+
+    ``broadcast_tokens`` asks for a plan of exploded rows instead.  The vocabulary is
+    then broadcast when it has at most so many rows:
     the exploded rows of a key then sit in one task and its ids are collected
     there, so the shuffle carries one array per row.  A larger one is met by a
     shuffle join of distinct (key, token) pairs with their positions, so a common
     token is sent once per row that has it.  Row text never travels with the
     tokens."""
+    if broadcast_tokens is None:
+        ids = F.transform("_found", lambda i: F.coalesce(i, F.lit(UNKNOWN_ID)).cast("int"))
+        return look_up(df, key, tokens_col, vocab, "token", "token_id").select(
+            key, ids.alias(out_col))
     arr = F.col(tokens_col)
     exploded = df.select(key, arr.isNull().alias("_null"),
                          F.posexplode_outer(arr).alias("pos", "token"))
@@ -134,10 +143,17 @@ def pad_ids(ids: str | Column, length: int) -> Column:
 
 def decode_ids(df: DataFrame, key: str, ids_col: str, vocab: DataFrame,
                out_col: str = "decoded", drop_pad: bool = True, *,
-               broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+               broadcast_tokens: int | None = None) -> DataFrame:
     """``(key, out_col)``: ids back to text (pads dropped, unknown ids as
     ``[UNK]``), words joined by one space; null ids -> null.  Planned as
     ``token_ids``."""
+    if broadcast_tokens is None:
+        both = F.arrays_zip("_items", "_found")
+        if drop_pad:
+            both = F.filter(both, lambda x: x["_items"] != PAD_ID)
+        words = F.transform(both, lambda x: F.coalesce(x["_found"], F.lit(UNKNOWN_TOKEN)))
+        return look_up(df, key, ids_col, vocab, "token_id", "token").select(
+            key, F.array_join(words, " ").alias(out_col))
     arr = F.col(ids_col)
     exploded = df.select(key, arr.isNull().alias("_null"),
                          F.posexplode_outer(arr).alias("pos", "token_id"))

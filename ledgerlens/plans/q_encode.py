@@ -11,8 +11,8 @@ from ..operators import encode
 from ..operators.evaluate import class_weights
 from ..operators.dedupe import dedupe_first
 from ..operators.split import content_key, split_counts, threshold_hex, train_test_split
+from ..sources.scratch import shared_table
 from ..sources.tables import docs_ledger, parts_ledger, table
-from ..session import checkpoint_dir
 from .catalog import register
 from .q_summary import txn_taxonomy
 from .sqltext import q
@@ -114,13 +114,12 @@ v AS (SELECT token, CAST(100 + row_number() OVER (ORDER BY cnt DESC, token ASC)
 
 
 def doc_tokens(spark, sf_dir, reuse: bool = False):
-    """Cleaned tokens of every document; checkpointed when the caller reads
-    them more than once (vocabulary, then ids)."""
+    """Cleaned tokens of every document; a table when the caller reads them more
+    than once (vocabulary, then ids)."""
     docs = docs_ledger(spark, sf_dir)
     toks = docs.select("doc_id", clean_tokens("Description").alias("tokens"))
     if reuse:
-        checkpoint_dir(spark)
-        toks = toks.checkpoint(eager=True)
+        toks = shared_table(toks, "doc-tokens")
     return toks
 
 

@@ -57,3 +57,32 @@ def test_global_rank_matches_row_number(spark):
     got = {r.id: r.r for r in ranked.collect()}
     want = {r.id: i + 1 for i, r in enumerate(sorted(df.collect(), key=lambda r: (r.x, r.id)))}
     assert got == want
+
+
+def test_ids_of_whole_rows_by_blocks(spark, monkeypatch):
+    """Rows of many blocks against a vocabulary of any size: null and empty rows, null
+    and unknown tokens, pads; no token travels with a row's key."""
+    from ledgerlens.operators import blocks
+    rng = __import__("random").Random(3)
+    rows = [(k, None if k % 31 == 0 else
+             [rng.choice(["a", "b", "ß", "long word", "", None, f"w{rng.randrange(300)}"])
+              for _ in range(rng.randrange(12))]) for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, toks array<string>").repartition(3, "k")
+    words = sorted({t for _, ts in rows for t in ts or [] if t is not None and t[-1:] != "7"})
+    table = [(t, 101 + i, 1) for i, t in enumerate(words)]
+    vocab = spark.createDataFrame(table, "token string, token_id bigint, count bigint")
+    for size in (1, 40, blocks.BLOCK_ITEMS):
+        monkeypatch.setattr(blocks.blocks_of, "__defaults__", (size,))
+        monkeypatch.setattr(blocks.look_up, "__defaults__", (size,))
+        ids = encode.token_ids(df, "k", "toks", vocab)
+        assert "Exchange hashpartitioning(k" not in \
+            ids._jdf.queryExecution().executedPlan().toString()
+        of = {t: i for t, i, _ in table}
+        want = {k: None if ts is None else [of.get(t, encode.UNKNOWN_ID) for t in ts]
+                for k, ts in rows}
+        assert {r.k: r.token_ids for r in ids.collect()} == want
+    padded = ids.withColumn("token_ids", F.concat("token_ids", F.array(F.lit(0), F.lit(99999))))
+    back = {i: t for t, i, _ in table}
+    got = {r.k: r.decoded for r in encode.decode_ids(padded, "k", "token_ids", vocab).collect()}
+    assert got == {k: None if x is None else " ".join([back.get(i, "[UNK]") for i in x] + ["[UNK]"])
+                   for k, x in want.items()}
