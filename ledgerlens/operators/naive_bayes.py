@@ -25,8 +25,11 @@ pivoted once per model into one row per token with one weight column per
 class (0 for a pair never seen, which is exactly its sparse weight
 ln(α/α)), so every document token joins to one row and the per-document
 sums are plain column sums.  That table is broadcast only when its cell
-count (V × (K + 1)) is under ``broadcast_cells``; otherwise the join is a
-shuffle join whose hot tokens AQE splits.  The K class rows are the only
+count (V × (K + 1)) is at most ``BROADCAST_CELLS``; otherwise the distinct tokens
+of a block of rows are joined to it and the sums are taken per block
+(``block_sums``), so neither a token nor its weights travel once per row.  A number
+given as ``broadcast_cells`` is the bound of a broadcast beyond which a plan of
+exploded rows joins by a shuffle, whose hot tokens AQE splits.  The K class rows are the only
 thing read on the driver; they become literals in the scoring expression
 (bounded by ``MAX_CLASSES``).
 """
@@ -37,12 +40,15 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import explode_elements
 from ..sources.scratch import shared_table
+from .blocks import meet_by_blocks, places
 from .encode import MAX_CLASSES, class_table
 
 KNOWN = -1               # class index of the per-token "in vocabulary" row
@@ -356,8 +362,40 @@ def _hits(hit: str, counted: bool) -> Column:
     return F.coalesce(F.sum(F.when(F.col(hit), F.col("_n"))), F.lit(0))
 
 
+def block_sums(df: DataFrame, keys: Sequence[str], tokens_col: str, table: DataFrame,
+               hits: Mapping[str, str], weights: Mapping[str, str]) -> DataFrame:
+    """``(*keys, *hits, *weights)``: for every row the number of its tokens whose
+    column of ``hits`` (name -> column of ``table``) is set, and the sums over its
+    tokens of the columns of ``weights``; by blocks, for a ``table`` of any size."""
+    schema = T.StructType([*[df.schema[k] for k in keys],
+                           *[T.StructField(n, T.LongType()) for n in hits],
+                           *[T.StructField(n, T.DoubleType()) for n in weights]])
+    names, counted = [*hits, *weights], set(hits)
+    cells = {n: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(n)
+             for n, c in {**hits, **weights}.items()}     # flags as 1.0
+
+    keys = list(keys)
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        at, offsets, _ = places(rows, found, "token")
+        at = at.fill_null(len(found)).to_numpy(zero_copy_only=False)
+        some = offsets[1:] > offsets[:-1]
+        out = {k: rows.column(k) for k in keys}
+        for name in names:
+            # a token that is not in the table has the weight 0
+            weight = np.append(found.column(name).to_numpy(), 0.0)
+            sums = np.zeros(len(rows))
+            if some.any():
+                sums[some] = np.add.reduceat(weight[at], offsets[:-1][some])
+            out[name] = pa.array(sums.astype(np.int64) if name in counted else sums)
+        return pa.table(out)
+
+    return meet_by_blocks(df, keys, tokens_col, table.select("token", *cells.values()), "token",
+                          run, schema)
+
+
 def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
-          carry: Sequence[str] = (), broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+          carry: Sequence[str] = (), broadcast_cells: int | None = None) -> DataFrame:
     """``(key, scores array<double> indexed by class, pred_idx, pred_label,
     log_norm)`` for every row of ``df`` (rows without a known token get the
     prior's class).  ``key`` must be unique per row.
@@ -378,10 +416,18 @@ def score(model: NaiveBayesModel, df: DataFrame, key: str, tokens_col: str, *,
     params = model.class_params()
     a = model.alpha
     k = max(p[0] for p in params) + 1 if params else 0
-    _, fits = _sized_side(model, k, broadcast_cells)
+    bound = BROADCAST_CELLS if broadcast_cells is None else broadcast_cells
+    side, fits = _sized_side(model, k, bound)
     exploded = _occurrences(df, [key, *carry], tokens_col, fits)
-    joined = exploded.join(_token_side(model, k, broadcast_cells), "token", "left")
-    if k <= DENSE_MAX_CLASSES:
+    joined = exploded.join(_token_side(model, k, bound), "token", "left")
+    if k <= DENSE_MAX_CLASSES and not fits and broadcast_cells is None:
+        sums = block_sums(df, [key, *carry], tokens_col, side, {"_known": "_hit"},
+                          {f"_s{c}": f"_w{c}" for c in range(k)})
+        n_known = F.col("_known")
+
+        def s_of(c: int) -> Column:
+            return F.col(f"_s{c}")
+    elif k <= DENSE_MAX_CLASSES:
         sums = joined.groupBy(key, *carry).agg(
             _hits("_hit", not fits).alias("_known"),
             *[F.sum(_times(f"_w{c}", not fits)).alias(f"_s{c}") for c in range(k)])
@@ -451,7 +497,7 @@ def _add_predictions(df: DataFrame, heads: Mapping[str, tuple]) -> DataFrame:
 
 def score_heads(models: Mapping[str, NaiveBayesModel], df: DataFrame, key: str,
                 tokens_col: str, *, carry: Sequence[str] = (),
-                broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+                broadcast_cells: int | None = None) -> DataFrame:
     """Several independent classifiers over the same tokens in ONE pass:
     ``(key, *carry, {head}_scores, {head}_pred_idx, {head}_pred_label,
     {head}_log_norm, ...)``.  Each head's arg-max is its own (a pair of
@@ -482,14 +528,20 @@ def score_heads(models: Mapping[str, NaiveBayesModel], df: DataFrame, key: str,
             "token", F.col("_hit").alias(f"_hit_{h}"),
             *[F.col(f"_w{c}").alias(f"_w_{h}_{c}") for c in range(k)])
         wide = d if wide is None else wide.join(d, "token", "full_outer")
-    side = F.broadcast(wide) if cells <= broadcast_cells else wide
-    counted = cells > broadcast_cells
-    exploded = _occurrences(df, [key, *carry], tokens_col, not counted)
-    sums = exploded.join(side, "token", "left").groupBy(key, *carry).agg(*[
-        agg for h in models for agg in
-        [_hits(f"_hit_{h}", counted).alias(f"_known_{h}"),
-         *[F.sum(_times(f"_w_{h}_{c}", counted)).alias(f"_s_{h}_{c}")
-           for c in range(ks[h])]]])
+    bound = BROADCAST_CELLS if broadcast_cells is None else broadcast_cells
+    counted = cells > bound
+    if counted and broadcast_cells is None:
+        sums = block_sums(df, [key, *carry], tokens_col, wide,
+                          {f"_known_{h}": f"_hit_{h}" for h in models},
+                          {f"_s_{h}_{c}": f"_w_{h}_{c}" for h in models for c in range(ks[h])})
+    else:
+        side = wide if counted else F.broadcast(wide)
+        exploded = _occurrences(df, [key, *carry], tokens_col, not counted)
+        sums = exploded.join(side, "token", "left").groupBy(key, *carry).agg(*[
+            agg for h in models for agg in
+            [_hits(f"_hit_{h}", counted).alias(f"_known_{h}"),
+             *[F.sum(_times(f"_w_{h}_{c}", counted)).alias(f"_s_{h}_{c}")
+               for c in range(ks[h])]]])
     out = sums.select(key, *carry, *[
         _score_array(params[h], models[h].alpha, F.col(f"_known_{h}"),
                      lambda c, h=h: F.col(f"_s_{h}_{c}")).alias(f"{h}_scores")

@@ -99,3 +99,27 @@ def test_heads_in_one_pass_equal_separate_scoring(spark, monkeypatch, dense_max)
             assert both[k][f"{h}_pred_label"] == r.pred_label
             assert both[k][f"{h}_pred_idx"] == r.pred_idx
             assert math.isclose(both[k][f"{h}_log_norm"], r.log_norm, rel_tol=1e-9)
+
+
+def test_large_models_score_by_blocks(spark, monkeypatch):
+    """A model beyond the bound of a broadcast: sums by blocks of rows equal the sums by
+    joined tokens, for one head and two; no weights are shuffled by row."""
+    rows = [(i, None if i % 17 == 0 else [f"w{(i * j) % 23}" for j in range(i % 9)] + ["hot"] * 3,
+             "abc"[i % 3], None if i % 5 == 0 else "xy"[i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, toks array<string>, a string, b string")
+    models = nb.fit_heads(df.where("k < 150"), {"one": "a", "two": "b"}, "toks")
+
+    def by_key(frame, names):
+        return {r.k: [getattr(r, n) if "idx" in n else
+                      [round(x, 9) for x in getattr(r, n)] for n in names]
+                for r in frame.collect()}
+
+    heads = [f"{h}_{c}" for h in models for c in ("scores", "pred_idx")]
+    want = by_key(nb.score_heads(models, df, "k", "toks", carry=["a"]), heads)
+    alone = by_key(nb.score(models["one"], df, "k", "toks"), ["scores", "pred_idx"])
+    monkeypatch.setattr(nb, "BROADCAST_CELLS", 0)
+    both = nb.score_heads(models, df, "k", "toks", carry=["a"])
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(k" not in plan and "FlatMapCoGroupsInArrow" in plan
+    assert by_key(both, heads) == want and len(want) == 200
+    assert by_key(nb.score(models["one"], df, "k", "toks"), ["scores", "pred_idx"]) == alone
