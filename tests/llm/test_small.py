@@ -159,3 +159,60 @@ def test_a_worker_loads_one_tokenizer_and_encodes_small_batches(monkeypatch):
     parts = list(tokens.encoded_batches(coder, [rows], 1))
     assert len(parts) > 5 and [i for b, _ in parts for i in b.column(0).to_pylist()] == list(range(50))
     assert [x for _, ids in parts for x in ids] == coder.encode(rows.column(1))
+
+
+def peak_of(step):
+    import tracemalloc
+    tracemalloc.start()
+    try:
+        out = step()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_anchors_hold_a_block_of_a_text():
+    """Working memory for the anchors of a text does not grow with it (here 6 MB; over
+    a hundred bytes for each of its bytes before)."""
+    import numpy as np
+    text = np.random.default_rng(3).integers(0, 256, 6 << 20, np.uint8).tobytes()
+    finder = substrings.Anchors(400, 32)
+    (own, _, first, last, at), peak = peak_of(lambda: finder.find([text]))
+    assert peak < 32 << 20
+    # every start in one stretch, its anchor inside all strings of the stretch
+    assert not own.any() and first[0] == 0 and last[-1] == len(text) - 400
+    assert (first[1:] == last[:-1] + 1).all() and (at[1:] != at[:-1]).all()
+    assert (last <= at).all() and (at + 32 <= first + 400).all()
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 100])
+def test_anchors_do_not_depend_on_blocks(monkeypatch, size):
+    import random
+    rng = random.Random(size)
+    texts = [bytes(rng.choices(b"ab" if k % 2 else b"abcdefgh", k=rng.choice(
+        (0, 39, 40, 41, 150, 600)))) for k in range(20)] + [b"x" * 300]
+    want = [c.tolist() for c in substrings.Anchors(40, 8).find(texts)]
+    monkeypatch.setattr(substrings, "_BLOCK", size)
+    assert [c.tolist() for c in substrings.Anchors(40, 8).find(texts)] == want
+    assert [c.tolist() for c in substrings.Anchors(40, 8).find([b"", b"short"])] == [[]] * 5
+
+
+def test_contexts_and_cuts_take_little_memory():
+    import pyarrow as pa
+    import random
+    rng = random.Random(5)
+    bodies = [rng.randbytes(768) for _ in range(1000)]
+    _, peak = peak_of(lambda: substrings.Contexts(bodies, [368] * 1000, 400))
+    assert peak < 12 << 20              # 8 bytes a position; 40 before
+    text = rng.randbytes(200_000)
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("fp", "c1", "c2")]
+                              + [(c, pa.int32()) for c in ("lo", "hi", "pos")]))
+    wanted = [[dict(fp=i, c1=-i, c2=7, lo=i, hi=i + 3, pos=i + 2) for i in range(k, k + n)]
+              for k, n in ((0, 5), (5, 20_000), (9, 1))]
+    rows = pa.RecordBatch.from_arrays([pa.array([text] * 3, pa.binary()),
+                                       pa.array(wanted, kind)], names=["_text", "w"])
+    parts = list(substrings._cut(400)([rows.slice(1)]))
+    assert max(p.num_rows for p in parts) <= substrings._ROWS
+    got = pa.Table.from_batches(parts).to_pylist()
+    assert got == [dict(fp=w["fp"], c1=w["c1"], c2=w["c2"], at=2,
+                        body=text[w["lo"]:w["hi"] + 400]) for ws in wanted[1:] for w in ws]
